@@ -50,6 +50,14 @@ from orders""",
 from events""",
 }
 
+GUID = ("substr(md5({c}),1,8) || '-' || substr(md5({c}),9,4) || '-' || substr(md5({c}),13,4) || '-' || "
+        "substr(md5({c}),17,4) || '-' || substr(md5({c}),21,12)")
+
+BLOCKS["b_room_probes"] = (f"select case p_partkey % 3 when 0 then {GUID.format(c='p_brand')} "
+                           f"when 1 then {GUID.format(c='p_type')} "
+                           f"else substr({GUID.format(c='p_brand')}, 1, 35) end probe from part")
+BLOCKS["b_room_history"] = "select o_orderkey room_id, o_custkey creator, o_orderdate created from orders"
+
 # Blocks that other blocks or oracles reuse, defined on top of BLOCKS.
 DERIVED: dict[str, str] = {
     "latest_votes": """select room_id, task_id, person_id, score from (
@@ -58,7 +66,13 @@ DERIVED: dict[str, str] = {
   from b_vote_log) where rn = 1""",
 }
 
-DEPENDS = {"latest_votes": ["b_vote_log"]}
+DERIVED["task_median"] = """select room_id, task_id,
+  cast(quantile_cont(case when score not in (select score from b_dictionary) then score end, 0.5) as decimal(9,2)) median
+from latest_votes group by room_id, task_id"""
+DERIVED["members"] = "select distinct room_id, person_id from b_connections"
+
+DEPENDS = {"latest_votes": ["b_vote_log"], "task_median": ["latest_votes", "b_dictionary"],
+           "members": ["b_connections"]}
 
 
 def with_blocks(names: list[str], body: str) -> str:

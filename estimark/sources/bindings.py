@@ -153,3 +153,19 @@ def b_commands(spark: SparkSession, sf: str) -> DataFrame:
     n = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     return e.select(F.col("user_id").alias("room_id"), "ts", "event_id", (F.col("event_id") % 7).alias("person_no"),
                     kind.alias("kind"), (n % 5 + 1).alias("task_ordinal"), _card(n).alias("score"))
+
+
+def b_room_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """GUID probes: a room's GUID, a GUID of no room, and a 35-character stub."""
+    p = read_table(spark, sf, "part", "p_partkey", "p_brand", "p_type")
+    k = F.col("p_partkey") % 3
+    probe = (F.when(k == 0, _guid(F.col("p_brand"))).when(k == 1, _guid(F.col("p_type")))
+             .otherwise(F.substring(_guid(F.col("p_brand")), 1, 35)))
+    return p.select(probe.alias("probe"))
+
+
+def b_room_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Rooms as created over time: one per order, created by its customer."""
+    o = read_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    return o.select(F.col("o_orderkey").alias("room_id"), F.col("o_custkey").alias("creator"),
+                    F.col("o_orderdate").alias("created"))
