@@ -58,6 +58,13 @@ BLOCKS["b_room_probes"] = (f"select case p_partkey % 3 when 0 then {GUID.format(
                            f"else substr({GUID.format(c='p_brand')}, 1, 35) end probe from part")
 BLOCKS["b_room_history"] = "select o_orderkey room_id, o_custkey creator, o_orderdate created from orders"
 
+BLOCKS["b_messages"] = """select room_id, ts, event_id, person_no,
+  case when kind = 'ChangeGetVM' then kind else kind || '==' || case kind
+    when 'StartVoting' then '<Change><StartVoting taskId="' || cast(task_ordinal as varchar) || '" isCurrentActive="1"/></Change>'
+    when 'ChangeVote' then '<Change><AddVote vote="1" score="' || cast(score as varchar) || '"/></Change>'
+    else '' end end msg
+from b_commands"""
+
 # Blocks that other blocks or oracles reuse, defined on top of BLOCKS.
 DERIVED: dict[str, str] = {
     "latest_votes": """select room_id, task_id, person_id, score from (
@@ -71,7 +78,7 @@ DERIVED["task_median"] = """select room_id, task_id,
 from latest_votes group by room_id, task_id"""
 DERIVED["members"] = "select distinct room_id, person_id from b_connections"
 
-DEPENDS = {"latest_votes": ["b_vote_log"], "task_median": ["latest_votes", "b_dictionary"],
+DEPENDS = {"b_messages": ["b_commands"], "latest_votes": ["b_vote_log"], "task_median": ["latest_votes", "b_dictionary"],
            "members": ["b_connections"]}
 
 

@@ -169,3 +169,30 @@ def b_room_history(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     return o.select(F.col("o_orderkey").alias("room_id"), F.col("o_custkey").alias("creator"),
                     F.col("o_orderdate").alias("created"))
+
+
+def b_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The command log as the text messages a room receives: ``Kind==payload``
+    (ChangeGetVM is sent bare).  Only the text goes on; kinds, ordinals and
+    scores are recovered by the parser under test."""
+    c = b_commands(spark, sf)
+    payload = (F.when(F.col("kind") == "StartVoting",
+                      F.format_string('<Change><StartVoting taskId="%d" isCurrentActive="1"/></Change>',
+                                      F.col("task_ordinal")))
+               .when(F.col("kind") == "ChangeVote",
+                     F.format_string('<Change><AddVote vote="1" score="%d"/></Change>', F.col("score")))
+               .otherwise(F.lit("")))
+    msg = F.when(F.col("kind") == "ChangeGetVM", F.col("kind")).otherwise(F.concat("kind", F.lit("=="), payload))
+    return c.select("room_id", "ts", "event_id", "person_no", msg.alias("msg"))
+
+
+def b_room_request_xml(spark: SparkSession, sf: str) -> DataFrame:
+    """Room requests as the form posts them: a room name and the XML task list
+    (tasks in position order).  Grouping is by request: four rows each."""
+    from estimark.sources.xml import task_list_xml
+    r = b_room_requests(spark, sf)
+    items = F.array_sort(F.collect_list(F.struct("pos", task_list_xml(F.col("name"), F.col("mins")).alias("x"))))
+    return r.groupBy("request_id").agg(items.alias("__i")).select(
+        "request_id", F.concat(F.lit("Room "), F.col("request_id").cast("string")).alias("name_room"),
+        F.concat(F.lit("<tasks>"), F.array_join(F.transform("__i", lambda s: s["x"]), ""), F.lit("</tasks>"))
+        .alias("tasks_xml"))
