@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from estimark.plans import q_ingest, q_rooms, q_votes  # noqa: F401
+from estimark.plans import q_fold, q_ingest, q_rooms, q_votes  # noqa: F401
 from estimark.plans.registry import ORACLE, QUERIES  # noqa: F401

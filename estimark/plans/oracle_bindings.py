@@ -78,7 +78,52 @@ DERIVED["task_median"] = """select room_id, task_id,
 from latest_votes group by room_id, task_id"""
 DERIVED["members"] = "select distinct room_id, person_id from b_connections"
 
-DEPENDS = {"b_messages": ["b_commands"], "latest_votes": ["b_vote_log"], "task_median": ["latest_votes", "b_dictionary"],
+KNOWN_KINDS = "('ChangeVote', 'ChangeGetVM', 'StartVoting', 'StopVoting', 'FinishPlanning')"
+DERIVED["o_cmd"] = f"""select room_id, ts, event_id, person_no, kind,
+  case when kind = 'StartVoting' then task_ordinal end task_ordinal,
+  case when kind = 'ChangeVote' then score end score, case when kind = 'ChangeVote' then true end vote
+from b_commands where kind in {KNOWN_KINDS}"""
+DERIVED["o_tord"] = """select room_id, task_id, cast(row_number() over (partition by room_id order by task_id) as int) task_ord
+from b_tasks"""
+DERIVED["o_ev"] = """select c.*, t.task_id start_task,
+  cast(sum(case when c.kind in ('StartVoting', 'StopVoting') then 1 else 0 end) over (partition by c.room_id
+    order by c.ts, c.event_id rows between unbounded preceding and current row) as bigint) seg
+from o_cmd c left join o_tord t on c.kind = 'StartVoting' and t.room_id = c.room_id and t.task_ord = c.task_ordinal"""
+DERIVED["o_mk"] = """select room_id, seg, kind opener, start_task mtask, ts opened_ts, event_id opened_event,
+  task_ordinal opened_ordinal from o_ev where kind in ('StartVoting', 'StopVoting')"""
+DERIVED["o_seg0"] = """select m.*, n.opener closer, n.opened_ts closed_ts, n.opened_event closed_event,
+  case when m.opener = 'StartVoting' then m.mtask end open_task
+from o_mk m left join o_mk n on n.room_id = m.room_id and n.seg = m.seg + 1"""
+DERIVED["o_first"] = """select room_id, task_id, first_seg, completed_ts from (
+  select room_id, open_task task_id, seg first_seg, closed_ts completed_ts,
+    row_number() over (partition by room_id, open_task order by seg) rn
+  from o_seg0 where open_task is not null and closer = 'StopVoting') where rn = 1"""
+DERIVED["o_seg"] = """select s.*, coalesce(s.open_task is not null and s.closer = 'StopVoting', false) completed,
+  coalesce(s.seg > f.first_seg, false) already_completed
+from o_seg0 s left join o_first f on f.room_id = s.room_id and f.task_id = s.open_task"""
+DERIVED["o_votes"] = """select e.room_id, e.event_id, e.ts, e.person_no, e.score, e.vote, e.seg, s.open_task task_id,
+  case when s.open_task is null then 'no_active_task' when m.room_id is null then 'no_slot' end reason
+from o_ev e left join o_seg s on s.room_id = e.room_id and s.seg = e.seg
+left join (select distinct room_id, person_no from b_commands) m on m.room_id = e.room_id and m.person_no = e.person_no
+where e.kind = 'ChangeVote'"""
+DERIVED["o_results"] = """select f.room_id, f.task_id, f.completed_ts, m.median from o_first f left join (
+  select room_id, task_id,
+    cast(quantile_cont(case when score not in (select score from b_dictionary) then score end, 0.5) as decimal(9,2)) median
+  from (select v.*, row_number() over (partition by v.room_id, v.task_id, v.person_no order by v.ts desc, v.event_id desc) rn
+        from o_votes v join o_first f on f.room_id = v.room_id and f.task_id = v.task_id
+        where v.reason is null and v.seg <= f.first_seg) where rn = 1
+  group by room_id, task_id) m on m.room_id = f.room_id and m.task_id = f.task_id"""
+DERIVED["o_active"] = """select r.room_id, l.active_task, coalesce(l.active_task is not null, false) has_active
+from (select distinct room_id from o_cmd) r left join (
+  select room_id, open_task active_task from (
+    select *, row_number() over (partition by room_id order by seg desc) rn from o_seg) where rn = 1) l
+on l.room_id = r.room_id"""
+
+DEPENDS = {"o_cmd": ["b_commands"], "o_tord": ["b_tasks"], "o_ev": ["o_cmd", "o_tord"], "o_mk": ["o_ev"],
+           "o_seg0": ["o_mk"], "o_first": ["o_seg0"], "o_seg": ["o_seg0", "o_first"],
+           "o_votes": ["o_ev", "o_seg"], "o_results": ["o_votes", "o_first", "b_dictionary"],
+           "o_active": ["o_cmd", "o_seg"],
+           "b_messages": ["b_commands"], "latest_votes": ["b_vote_log"], "task_median": ["latest_votes", "b_dictionary"],
            "members": ["b_connections"]}
 
 
