@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from estimark.operators.scan import running, time_chunk
 from estimark.operators.votes import task_median
+from estimark.session import materialize
 
 START, STOP, VOTE, FINISH, GETVM = "StartVoting", "StopVoting", "ChangeVote", "FinishPlanning", "ChangeGetVM"
 
@@ -55,7 +56,7 @@ def resolve_starts(cmds: DataFrame, ordinals: DataFrame) -> DataFrame:
 
 
 def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,
-         chunk_unit: str = "hour", stop_after_finish: bool = False) -> Fold:
+         chunk_unit: str = "hour", stop_after_finish: bool = False, checkpoint: bool = True) -> Fold:
     """``cmds``: (room_id, ts, event_id, person_no, kind, task_ordinal, score,
     vote) of well-formed messages.  ``ordinals``: (room_id, task_id, task_ord).
     ``members``: optional (room_id, person_no) holders of a slot in the room."""
@@ -63,6 +64,8 @@ def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,
     is_marker = F.col("kind").isin(START, STOP)
     ev = running(ev.withColumn("__m", is_marker.cast("int")), ["room_id"], ["ts", "event_id"],
                  time_chunk("ts", chunk_unit), {"seg": ("sum", "__m")}).drop("__m")
+    if checkpoint:
+        ev = materialize(ev)
 
     mk = ev.filter(is_marker).select(
         "room_id", "seg", F.col("kind").alias("opener"), F.col("start_task").alias("mtask"),
@@ -79,6 +82,8 @@ def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,
     seg = (seg.join(first.withColumnRenamed("task_id", "open_task"), ["room_id", "open_task"], "left")
            .withColumn("already_completed", F.coalesce(F.col("seg") > F.col("first_seg"), F.lit(False)))
            .drop("completed_ts"))
+    if checkpoint:
+        seg = materialize(seg)
 
     if stop_after_finish:
         fin = ev.filter(F.col("kind") == FINISH).groupBy("room_id").agg(

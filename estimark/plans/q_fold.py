@@ -102,7 +102,8 @@ def q_task_status(spark, sf):
 @register("time_box", ["o_seg", "b_tasks"], """select s.room_id, s.seg, s.open_task task_id, s.opened_ts start_ts,
   s.closed_ts end_ts, t.minutes, s.opened_ts + to_seconds(cast(t.minutes as bigint) * 60) deadline,
   date_diff('second', s.opened_ts, s.closed_ts) elapsed_s,
-  greatest(cast(t.minutes as bigint) * 60 - date_diff('second', s.opened_ts, s.closed_ts), 0) remaining_s,
+  case when s.closed_ts is not null then
+    greatest(cast(t.minutes as bigint) * 60 - date_diff('second', s.opened_ts, s.closed_ts), 0) end remaining_s,
   date_diff('second', s.opened_ts, s.closed_ts) > cast(t.minutes as bigint) * 60 overrun,
   case when s.closed_ts is not null and t.minutes is not null then
     cast(floor(greatest(cast(t.minutes as bigint) * 60 - date_diff('second', s.opened_ts, s.closed_ts), 0) / 60) as bigint)

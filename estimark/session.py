@@ -50,3 +50,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def materialize(df):
+    """Cut lineage of an intermediate that several outputs read: a reliable
+    checkpoint into the shared ``spark.checkpoint.dir`` (survives the loss of
+    executors, unlike a cache or a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    df = df.persist()  # the checkpoint write then reads this instead of recomputing
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
