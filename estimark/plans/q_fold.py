@@ -151,21 +151,33 @@ def q_results_grid(spark, sf):
                         FO.room_has_active(run_fold(spark, sf)))
 
 
-@register("snapshot_on_change")
+APPLY_SQL = """select room_id, task_id, person_no, vote, score from (
+  select *, row_number() over (partition by room_id, task_id, person_no order by ts desc, event_id desc) rn
+  from o_votes where reason is null) where rn = 1"""
+
+VIEWS_AFTER_LOG_SQL = f"""select r.room_id, case when r.is_active then null else 'UnknownRoom' end error,
+  case when r.is_active then r.name_room end name_room,
+  case when r.is_active then cast((select count(*) from (select distinct room_id, person_no from b_commands) m
+    join b_persons p on m.person_no = p.person_id where m.room_id = r.room_id) as int) end n_persons,
+  case when r.is_active then cast((select count(*) from b_tasks t where t.room_id = r.room_id) as int) end n_tasks,
+  case when r.is_active then cast((select count(*) from ({APPLY_SQL}) v join b_tasks t on v.task_id = t.task_id
+    where t.room_id = r.room_id) as int) end n_person_tasks,
+  case when r.is_active then cast(coalesce((select sum(v.score) from ({APPLY_SQL}) v join b_tasks t on v.task_id = t.task_id
+    where t.room_id = r.room_id), 0) as bigint) end sum_scores,
+  case when r.is_active then cast((select count(*) from o_results m join b_tasks t on m.task_id = t.task_id
+    where t.room_id = r.room_id and m.median is not null) as int) end n_medians,
+  case when r.is_active then cast(nullif((select count(*) from (select distinct room_id, person_no from b_commands) m
+    join b_persons p on m.person_no = p.person_id where m.room_id = r.room_id), 0) as int) end last_person_id
+from b_rooms r where r.room_id in (select room_id from o_cmd)"""
+VIEW_BLOCKS = ["b_rooms", "b_tasks", "b_persons", "b_commands", "o_cmd", "o_votes", "o_results"]
+
+
+@register("snapshot_on_change", VIEW_BLOCKS, VIEWS_AFTER_LOG_SQL)
 def q_snapshot_on_change(spark, sf):
     """Views of the rooms the log touched, rebuilt from the folded state:
     tasks with their active / completed flags, the applied votes and results."""
+    from estimark.operators.views import views_after_log
     f = run_fold(spark, sf)
-    touched = f.events.select("room_id").distinct()
-    state = FO.room_state_fold(f, B.b_dictionary(spark))
-    tasks = B.b_tasks(spark, sf).join(touched, "room_id", "left_semi").join(
-        state.select("task_id", "on_active", "completed"), "task_id", "left").select(
-        "room_id", "task_id", "name", "minutes", F.coalesce("completed", F.lit(False)).alias("completed"),
-        F.coalesce("on_active", F.lit(False)).alias("on_active"))
-    votes = FO.apply_votes(f).select("room_id", "task_id", F.col("person_no").cast("bigint").alias("person_id"),
-                                     "vote", "score")
-    conns = log_members(spark, sf).select("room_id", F.col("person_no").cast("bigint").alias("person_id"))
-    results = FO.stop_voting(f, B.b_dictionary(spark)).select("task_id", "median")
-    rooms = B.b_rooms(spark, sf).join(touched, "room_id", "left_semi")
-    snap = S.room_snapshot(rooms, B.b_persons(spark, sf), conns, tasks, votes, results)
+    snap = views_after_log(f, B.b_rooms(spark, sf), B.b_tasks(spark, sf), B.b_persons(spark, sf),
+                           log_members(spark, sf), B.b_dictionary(spark))
     return S.snapshot_summary(snap)

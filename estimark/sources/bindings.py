@@ -64,6 +64,11 @@ def _line_part(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
 
 def b_vote_log(spark: SparkSession, sf: str) -> DataFrame:
     j = _line_part(spark, sf, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
+    return vote_log_of(j)
+
+
+def vote_log_of(j: DataFrame) -> DataFrame:
+    """Vote log rows from lineitem joined with part (batch or stream)."""
     return j.select(
         _room_of_brand(F.col("p_brand")).alias("room_id"), F.col("l_partkey").alias("task_id"),
         F.col("l_suppkey").alias("person_id"), _card(F.col("l_quantity").cast("int")).alias("score"),
@@ -146,7 +151,11 @@ KIND_BY_EVENT_TYPE = {"signup": "StartVoting", "purchase": "StopVoting", "click"
 
 
 def b_commands(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events", "user_id", "ts", "event_id", "event_type", "props")
+    return commands_of(read_table(spark, sf, "events", "user_id", "ts", "event_id", "event_type", "props"))
+
+
+def commands_of(e: DataFrame) -> DataFrame:
+    """Command rows from event rows (batch or stream)."""
     kind = F.lit("Bogus")
     for et, k in reversed(list(KIND_BY_EVENT_TYPE.items())):
         kind = F.when(F.col("event_type") == et, k).otherwise(kind)
@@ -175,7 +184,11 @@ def b_messages(spark: SparkSession, sf: str) -> DataFrame:
     """The command log as the text messages a room receives: ``Kind==payload``
     (ChangeGetVM is sent bare).  Only the text goes on; kinds, ordinals and
     scores are recovered by the parser under test."""
-    c = b_commands(spark, sf)
+    return messages_of(b_commands(spark, sf))
+
+
+def messages_of(c: DataFrame) -> DataFrame:
+    """Message texts from command rows (batch or stream)."""
     payload = (F.when(F.col("kind") == "StartVoting",
                       F.format_string('<Change><StartVoting taskId="%d" isCurrentActive="1"/></Change>',
                                       F.col("task_ordinal")))
