@@ -51,10 +51,16 @@ def median_of(score_col: str = "score"):
 
 def task_median(votes: DataFrame, dictionary: DataFrame, keys: Sequence[str] = ("room_id", "task_id")) -> DataFrame:
     """Median of the (latest) scores of each task with sentinels left out;
-    NULL when nothing is left.  Every task that has a vote gets a row."""
-    flagged = sentinel_flag(votes, dictionary)
+    NULL when nothing is left.  Every task that has a vote gets a row.
+
+    Votes are first counted per (task, score) - a codegen hash aggregation
+    with a map-side partial step - and the exact percentile then runs on
+    those (value, frequency) rows, a handful per task, however hot the task."""
+    counted = votes.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("__n"))
+    flagged = sentinel_flag(counted, dictionary)
     kept = F.when(~F.col("is_sentinel"), F.col("score"))
-    return flagged.groupBy(*keys).agg(F.percentile(kept, F.lit(0.5)).cast("decimal(9,2)").alias("median"))
+    return flagged.groupBy(*keys).agg(
+        F.percentile(kept, F.lit(0.5), F.col("__n")).cast("decimal(9,2)").alias("median"))
 
 
 def median_window(votes: DataFrame, dictionary: DataFrame) -> DataFrame:

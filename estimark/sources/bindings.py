@@ -82,8 +82,10 @@ def b_connections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b_dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(999, "Coffee break"), (777, "Question"), (0, "Not voice")],
-                                 "score int, meaning string")
+    """The score dictionary (fixed values of the data model: coffee break,
+    question, not voted), as an inline JVM table (no Python-side rows)."""
+    return spark.sql("SELECT * FROM VALUES (999, 'Coffee break'), (777, 'Question'), (0, 'Not voice') "
+                     "AS dictionary(score, meaning)")
 
 
 def b_accounts(spark: SparkSession, sf: str) -> DataFrame:
