@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estimark.operators.members import connected_persons, person_ordinals, task_ordinals
+from estimark.operators.scan import ordinal
 from estimark.operators.votes import vote_ordinals
 
 UNKNOWN_ROOM = "UnknownRoom"
@@ -23,13 +24,24 @@ def _sorted_list(struct_col, key: str):
                         .when(a[key] > b[key], 1).otherwise(0))
 
 
+PAGE_CELLS = 10000
+
+
 def room_snapshot(rooms: DataFrame, persons: DataFrame, connections: DataFrame, tasks: DataFrame,
-                  votes: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per room of ``rooms``:
-    room_id, error, NameRoom, Persons ARRAY<STRUCT<Id, UserName>>,
-    Tasks ARRAY<STRUCT<Id, NameTask, Completed, IsCurrentActive, TimeDiscussion, Median,
+                  votes: DataFrame, results: DataFrame, page_cells: int = PAGE_CELLS) -> DataFrame:
+    """Room views, one row per (room, page):
+    room_id, page, error, NameRoom, Persons ARRAY<STRUCT<Id, UserName>>,
+    Tasks ARRAY<STRUCT<Id, NameTask, Completed, IsCurrentActive, TimeDiscussion, Median, Continued,
     PersonTask ARRAY<STRUCT<PersonId, Vote, Score>>>>.
 
+    A room's view is cut into pages so that no row (and no task building it)
+    grows with the room: the (task, vote) cells of a room are numbered in view
+    order (task ordinal, then vote ordinal) and each page holds at most
+    ``page_cells`` cells; persons are paged the same way.  A task whose votes
+    run over a page boundary appears again on the next page with
+    ``Continued = true``.  Concatenating the pages in order gives the single
+    document of the original view.
+
     ``tasks`` may carry ``completed`` / ``on_active`` (default false);
     ``votes`` may carry ``vote`` (default true); ``results`` is (task_id, median).
     """
@@ -38,52 +50,70 @@ def room_snapshot(rooms: DataFrame, persons: DataFrame, connections: DataFrame,
     for c in ("completed", "on_active"):
         if c not in tasks.columns:
             tasks = tasks.withColumn(c, F.lit(False))
+    page_of = lambda ix: (F.floor((F.col(ix) - 1) / F.lit(page_cells)) + 1).cast("int")
 
-    ppl = person_ordinals(connected_persons(persons, connections))
-    persons_arr = ppl.groupBy("room_id").agg(
+    ppl = person_ordinals(connected_persons(persons, connections)).withColumn("page", page_of("person_ord"))
+    persons_pages = ppl.groupBy("room_id", "page").agg(
         _sorted_list(F.struct(F.col("person_ord").alias("Id"), F.col("login_name").alias("UserName")), "Id")
         .alias("Persons"))
 
-    pv = vote_ordinals(votes.select("room_id", "task_id", "person_id", "vote", "score"))
-    per_task = pv.groupBy("task_id").agg(
-        _sorted_list(F.struct(F.col("person_ord").alias("PersonId"), F.col("vote").alias("Vote"),
-                              F.col("score").alias("Score")), "PersonId").alias("PersonTask"))
-
+    pv = vote_ordinals(votes.select("task_id", "person_id", "vote", "score")).select(
+        "task_id", F.col("person_ord").alias("vote_ord"), "vote", "score")
     t = (task_ordinals(tasks.select("room_id", "task_id", "name", "minutes", "completed", "on_active"))
-         .join(results.select("task_id", "median"), "task_id", "left")
-         .join(per_task, "task_id", "left"))
+         .join(results.select("task_id", "median"), "task_id", "left"))
+    cells = t.join(pv, "task_id", "left").withColumn("__vo", F.coalesce("vote_ord", F.lit(0)))
+    cells = ordinal(cells, ["room_id"], ["task_ord", "__vo"], "cell_ix",
+                    chunk=F.floor(F.col("task_ord") / F.lit(1024))).withColumn("page", page_of("cell_ix"))
+    vote_struct = F.when(F.col("vote_ord").isNotNull(), F.struct(
+        F.col("vote_ord").alias("PersonId"), F.col("vote").alias("Vote"), F.col("score").alias("Score")))
+    frag = cells.groupBy("room_id", "page", "task_id").agg(
+        F.first("task_ord").alias("task_ord"), F.first("name").alias("name"),
+        F.first("completed").alias("completed"), F.first("on_active").alias("on_active"),
+        F.first("minutes").alias("minutes"), F.first("median").alias("median"),
+        F.min("cell_ix").alias("first_cell"), _sorted_list(vote_struct, "PersonId").alias("PersonTask"))
+    first_cell = cells.groupBy("task_id").agg(F.min("cell_ix").alias("task_first_cell"))
+    frag = frag.join(first_cell, "task_id")
     task_struct = F.struct(
         F.col("task_ord").alias("Id"), F.col("name").alias("NameTask"), F.col("completed").alias("Completed"),
         F.col("on_active").alias("IsCurrentActive"), F.col("minutes").alias("TimeDiscussion"),
-        F.col("median").alias("Median"),
-        F.coalesce("PersonTask", F.array().cast("array<struct<PersonId:int,Vote:boolean,Score:int>>"))
-        .alias("PersonTask"))
-    tasks_arr = t.groupBy("room_id").agg(_sorted_list(task_struct, "Id").alias("Tasks"))
+        F.col("median").alias("Median"), (F.col("first_cell") > F.col("task_first_cell")).alias("Continued"),
+        F.col("PersonTask"))
+    tasks_pages = frag.groupBy("room_id", "page").agg(_sorted_list(task_struct, "Id").alias("Tasks"))
 
+    pages = persons_pages.join(tasks_pages, ["room_id", "page"], "full")
     base = rooms.select("room_id", "name_room", "is_active")
-    j = base.join(persons_arr, "room_id", "left").join(tasks_arr, "room_id", "left")
+    j = base.join(pages, "room_id", "left")
     ok = F.coalesce(F.col("is_active"), F.lit(False))
+    j = j.filter(ok | F.col("page").isNull() | (F.col("page") == 1))
     return j.select(
         "room_id",
+        F.when(ok, F.coalesce("page", F.lit(1))).otherwise(F.lit(1)).alias("page"),
         F.when(~ok, F.lit(UNKNOWN_ROOM)).alias("error"),
         F.when(ok, F.col("name_room")).alias("NameRoom"),
-        F.when(ok, F.coalesce("Persons", F.array().cast(persons_arr.schema["Persons"].dataType))).alias("Persons"),
-        F.when(ok, F.coalesce("Tasks", F.array().cast(tasks_arr.schema["Tasks"].dataType))).alias("Tasks"),
+        F.when(ok, F.coalesce("Persons", F.array().cast(persons_pages.schema["Persons"].dataType))).alias("Persons"),
+        F.when(ok, F.coalesce("Tasks", F.array().cast(tasks_pages.schema["Tasks"].dataType))).alias("Tasks"),
     )
 
 
 def snapshot_summary(snap: DataFrame) -> DataFrame:
-    """Flat, comparable digest of nested room views, read from the arrays."""
+    """Flat, comparable digest of paged room views, read from the arrays and
+    summed over the pages of each room (continued tasks counted once)."""
+    lead = lambda t: ~F.coalesce(t["Continued"], F.lit(False))
+    n_tasks = F.aggregate("Tasks", F.lit(0), lambda acc, t: acc + F.when(lead(t), 1).otherwise(0))
     pt = F.aggregate("Tasks", F.lit(0), lambda acc, t: acc + F.size(t["PersonTask"]))
     sc = F.aggregate("Tasks", F.lit(0).cast("bigint"),
                      lambda acc, t: acc + F.aggregate(t["PersonTask"], F.lit(0).cast("bigint"),
                                                       lambda a, p: a + p["Score"]))
-    med = F.aggregate("Tasks", F.lit(0), lambda acc, t: acc + F.when(t["Median"].isNotNull(), 1).otherwise(0))
-    return snap.select(
-        "room_id", "error", F.col("NameRoom").alias("name_room"),
-        F.size("Persons").cast("int").alias("n_persons"), F.size("Tasks").cast("int").alias("n_tasks"),
-        pt.cast("int").alias("n_person_tasks"), sc.alias("sum_scores"), med.cast("int").alias("n_medians"),
-        F.try_element_at("Persons", F.lit(-1))["Id"].alias("last_person_id"))
+    med = F.aggregate("Tasks", F.lit(0),
+                      lambda acc, t: acc + F.when(t["Median"].isNotNull() & lead(t), 1).otherwise(0))
+    per_page = snap.select(
+        "room_id", "error", "NameRoom", F.size("Persons").alias("np"), n_tasks.alias("nt"), pt.alias("npt"),
+        sc.alias("ss"), med.alias("nm"), F.array_max(F.transform("Persons", lambda p: p["Id"])).alias("lp"))
+    return per_page.groupBy("room_id").agg(
+        F.first("error").alias("error"), F.first("NameRoom").alias("name_room"),
+        F.sum("np").cast("int").alias("n_persons"), F.sum("nt").cast("int").alias("n_tasks"),
+        F.sum("npt").cast("int").alias("n_person_tasks"), F.sum("ss").alias("sum_scores"),
+        F.sum("nm").cast("int").alias("n_medians"), F.max("lp").alias("last_person_id"))
 
 
 def _bit(c):
@@ -101,21 +131,21 @@ def room_snapshot_xml(snap: DataFrame) -> DataFrame:
     tasks = F.transform("Tasks", lambda t: F.struct(
         t["Id"].alias("_Id"), t["NameTask"].alias("_NameTask"), _bit(t["Completed"]).alias("_Completed"),
         _bit(t["IsCurrentActive"]).alias("_IsCurrentActive"), t["TimeDiscussion"].alias("_TimeDiscussion"),
-        t["Median"].alias("_Median"),
+        t["Median"].alias("_Median"), F.when(t["Continued"], 1).alias("_Continued"),
         F.transform(t["PersonTask"], lambda v: F.struct(
             v["PersonId"].alias("_PersonId"), _bit(v["Vote"]).alias("_Vote"), v["Score"].alias("_Score")))
         .alias("PersonTask")))
     doc = F.struct(
-        F.col("error").alias("_Error"), F.col("NameRoom").alias("_NameRoom"),
+        F.col("error").alias("_Error"), F.col("NameRoom").alias("_NameRoom"), F.col("page").alias("_Page"),
         F.struct(persons.alias("Person")).alias("Persons"),
         F.struct(tasks.alias("Task")).alias("Tasks"))
-    return snap.select("room_id", F.to_xml(doc, {"rowTag": "Room"}).alias("xml"))
+    return snap.select("room_id", "page", F.to_xml(doc, {"rowTag": "Room"}).alias("xml"))
 
 
-XML_VIEW_SCHEMA = ("_Error STRING, _NameRoom STRING, "
+XML_VIEW_SCHEMA = ("_Error STRING, _NameRoom STRING, _Page INT, "
                    "Persons STRUCT<Person: ARRAY<STRUCT<_UserName: STRING, _Id: INT>>>, "
                    "Tasks STRUCT<Task: ARRAY<STRUCT<_Id: INT, _NameTask: STRING, _Completed: INT, "
-                   "_IsCurrentActive: INT, _TimeDiscussion: INT, _Median: DECIMAL(9,2), "
+                   "_IsCurrentActive: INT, _TimeDiscussion: INT, _Median: DECIMAL(9,2), _Continued: INT, "
                    "PersonTask: ARRAY<STRUCT<_PersonId: INT, _Vote: INT, _Score: INT>>>>>")
 
 
@@ -127,12 +157,13 @@ def parse_room_xml(xml_rows: DataFrame) -> DataFrame:
     tasks = F.transform(F.coalesce(F.col("r.Tasks.Task"), F.array()), lambda t: F.struct(
         t["_Id"].alias("Id"), t["_NameTask"].alias("NameTask"), (t["_Completed"] == 1).alias("Completed"),
         (t["_IsCurrentActive"] == 1).alias("IsCurrentActive"), t["_TimeDiscussion"].alias("TimeDiscussion"),
-        t["_Median"].alias("Median"),
+        t["_Median"].alias("Median"), F.coalesce(t["_Continued"] == 1, F.lit(False)).alias("Continued"),
         F.transform(F.coalesce(t["PersonTask"], F.array()), lambda v: F.struct(
             v["_PersonId"].alias("PersonId"), (v["_Vote"] == 1).alias("Vote"), v["_Score"].alias("Score")))
         .alias("PersonTask")))
     err = F.col("r._Error")
-    return p.select("room_id", err.alias("error"), F.col("r._NameRoom").alias("NameRoom"),
+    return p.select("room_id", F.col("r._Page").alias("page"), err.alias("error"),
+                    F.col("r._NameRoom").alias("NameRoom"),
                     F.when(err.isNull(), persons).alias("Persons"), F.when(err.isNull(), tasks).alias("Tasks"))
 
 

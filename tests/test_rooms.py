@@ -1,5 +1,7 @@
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from conftest import rows_of
 
 from estimark.operators import members as M
@@ -86,3 +88,29 @@ def test_snapshot_xml_round_trip(spark):
 def test_unknown_room_xml(spark):
     text = S.room_snapshot_xml(_tiny_snapshot(spark, active=False)).collect()[0]["xml"]
     assert 'Error="UnknownRoom"' in text and "NameRoom" not in text
+
+
+def test_paged_view_equals_single_page(spark):
+    from conftest import SF_SMALL
+    from estimark.operators import votes as V
+    from estimark.sources import bindings as B
+    votes = V.latest_vote(B.b_vote_log(spark, SF_SMALL))
+    args = (B.b_rooms(spark, SF_SMALL), B.b_persons(spark, SF_SMALL), B.b_connections(spark, SF_SMALL),
+            B.b_tasks(spark, SF_SMALL), votes, V.task_median(votes, B.b_dictionary(spark)))
+    one = S.room_snapshot(*args, page_cells=10 ** 9)
+    paged = S.room_snapshot(*args, page_cells=7)
+    assert one.groupBy("room_id").count().filter("count > 1").count() == 0
+    assert paged.filter("page > 1").count() > 0
+    # every page is bounded
+    cells = F.aggregate("Tasks", F.lit(0), lambda a, t: a + F.greatest(F.size(t["PersonTask"]), F.lit(1)))
+    assert paged.filter(F.coalesce(cells, F.lit(0)) > 7).count() == 0
+    assert rows_of(S.snapshot_summary(paged)) == rows_of(S.snapshot_summary(one))
+    # the flattened cells in page order equal the single document's cells
+    def flat(df):
+        t = df.select("room_id", "page", F.posexplode("Tasks").alias("i", "t"))
+        v = t.select("room_id", "page", "i", F.col("t.Id").alias("task"), F.explode_outer("t.PersonTask").alias("v"))
+        return sorted((r["room_id"], r["task"], r["v"]["PersonId"] if r["v"] else None,
+                       r["v"]["Score"] if r["v"] else None) for r in v.collect())
+    assert flat(paged) == flat(one)
+    back = S.parse_room_xml(S.room_snapshot_xml(paged))
+    assert rows_of(S.snapshot_summary(back)) == rows_of(S.snapshot_summary(one))
