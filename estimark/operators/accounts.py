@@ -46,20 +46,30 @@ def credential_match(attempts: DataFrame, credentials: DataFrame) -> DataFrame:
     return j.withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+def _base_matches(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Requests with their comparison keys (__e, __l) and flags: an account
+    holds the pair (__p), the email (__em), the login (__lg)."""
+    acc = accounts.select(key_text(F.col("email")).alias("__e"), key_text(F.col("login_name")).alias("__l"))
+    pairs = acc.distinct().withColumn("__p", F.lit(True))
+    emails = acc.select("__e").distinct().withColumn("__em", F.lit(True))
+    logins = acc.select("__l").distinct().withColumn("__lg", F.lit(True))
+    return (requests.withColumn("__e", key_text(F.col("email"))).withColumn("__l", key_text(F.col("login_name")))
+            .join(pairs, ["__e", "__l"], "left").join(emails, "__e", "left").join(logins, "__l", "left"))
+
+
+def _outcome(pair, email, login):
+    return (F.when(F.coalesce(pair, F.lit(False)), "pair_exists").when(F.coalesce(email, F.lit(False)), "email_exists")
+            .when(F.coalesce(login, F.lit(False)), "login_exists").otherwise("inserted"))
+
+
 def register_users(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     """Classify each registration against the existing accounts, with the
     original precedence: 'pair_exists' (one account holds both), else
     'email_exists', else 'login_exists', else 'inserted'.  Three equi-joins
     on distinct key sets; no request row is multiplied."""
-    acc = accounts.select(key_text(F.col("email")).alias("__e"), key_text(F.col("login_name")).alias("__l"))
-    pairs = acc.distinct().withColumn("__p", F.lit(True))
-    emails = acc.select("__e").distinct().withColumn("__em", F.lit(True))
-    logins = acc.select("__l").distinct().withColumn("__lg", F.lit(True))
-    r = (requests.withColumn("__e", key_text(F.col("email"))).withColumn("__l", key_text(F.col("login_name")))
-         .join(pairs, ["__e", "__l"], "left").join(emails, "__e", "left").join(logins, "__l", "left"))
-    outcome = (F.when(F.col("__p"), "pair_exists").when(F.col("__em"), "email_exists")
-               .when(F.col("__lg"), "login_exists").otherwise("inserted"))
-    return r.withColumn("outcome", outcome).drop("__e", "__l", "__p", "__em", "__lg")
+    r = _base_matches(requests, accounts)
+    return (r.withColumn("outcome", _outcome(F.col("__p"), F.col("__em"), F.col("__lg")))
+            .drop("__e", "__l", "__p", "__em", "__lg"))
 
 
 def recovery_state(requests: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -102,3 +112,61 @@ def recovery_redeem(redeems: DataFrame, links: DataFrame) -> DataFrame:
 def latest_link(links: DataFrame, id_col: str = "o_orderkey") -> DataFrame:
     """``TOP(1) AccountId ... WHERE Link = l ORDER BY Id DESC`` per link."""
     return links.groupBy("link").agg(F.max_by("account_id", id_col).alias("account_id"))
+
+
+def register_users_in_batch(requests: DataFrame, accounts: DataFrame, order=("ts", "request_id"),
+                            checkpoint: bool = True) -> DataFrame:
+    """Registration of a whole batch with the original's one-at-a-time
+    semantics: requests are taken in ``order``; each is checked against the
+    accounts *and the requests accepted before it*; a rejected request blocks
+    nothing.  Outcome precedence as in ``register_users``.
+
+    Exact, without a sequential loop over rows: in each round every undecided
+    request that comes first on both its email and its login among the
+    undecided ones is accepted (nothing earlier can block it), then every
+    undecided request sharing a key with a newly accepted one is rejected
+    (that one is earlier by construction).  The earliest undecided request is
+    always decided, so the rounds end; each round is two aggregations and a
+    few semi/anti joins, and the undecided set is checkpointed between rounds.
+    Rejected requests are classified at the end against the accepted requests
+    that precede them (accepted requests never share a key, so each key join
+    finds at most one partner)."""
+    from estimark.session import materialize
+
+    ord_col = F.struct(*order)
+    base = _base_matches(requests, accounts).withColumn("__o", ord_col)
+    clean = ~(F.coalesce("__p", F.lit(False)) | F.coalesce("__em", F.lit(False)) | F.coalesce("__lg", F.lit(False)))
+    undecided = base.filter(clean).select("request_id", "__e", "__l", "__o")
+    accepted = None
+    while True:
+        if checkpoint:
+            undecided = materialize(undecided)
+        if undecided.isEmpty():
+            break
+        fe = undecided.groupBy("__e").agg(F.min("__o").alias("__fe"))
+        fl = undecided.groupBy("__l").agg(F.min("__o").alias("__fl"))
+        newly = (undecided.join(fe, "__e").join(fl, "__l")
+                 .filter((F.col("__o") == F.col("__fe")) & (F.col("__o") == F.col("__fl")))
+                 .select("request_id", "__e", "__l", "__o"))
+        if checkpoint:
+            newly = materialize(newly)
+        accepted = newly if accepted is None else accepted.unionByName(newly)
+        rest = undecided.join(newly.select("request_id"), "request_id", "left_anti")
+        clash_e = rest.join(newly.select("__e"), "__e", "left_semi").select("request_id")
+        clash_l = rest.join(newly.select("__l"), "__l", "left_semi").select("request_id")
+        undecided = rest.join(clash_e.unionByName(clash_l), "request_id", "left_anti")
+    if accepted is None:
+        accepted = base.select("request_id", "__e", "__l", "__o").limit(0)
+    elif checkpoint:
+        accepted = materialize(accepted)
+    a_ids = accepted.select("request_id", F.lit(True).alias("__acc"))
+    a_pair = accepted.select("__e", "__l", F.col("__o").alias("__op"))
+    a_e = accepted.select("__e", F.col("__o").alias("__oe"))
+    a_l = accepted.select("__l", F.col("__o").alias("__ol"))
+    j = (base.join(a_ids, "request_id", "left").join(a_pair, ["__e", "__l"], "left")
+         .join(a_e, "__e", "left").join(a_l, "__l", "left"))
+    earlier = lambda c: F.coalesce(F.col(c) < F.col("__o"), F.lit(False))
+    outcome = F.when(F.col("__acc"), "inserted").otherwise(_outcome(
+        F.col("__p") | earlier("__op"), F.col("__em") | earlier("__oe"), F.col("__lg") | earlier("__ol")))
+    return j.withColumn("outcome", outcome).drop("__e", "__l", "__o", "__p", "__em", "__lg", "__acc",
+                                                 "__op", "__oe", "__ol")

@@ -127,7 +127,7 @@ DEPENDS = {"o_cmd": ["b_commands"], "o_tord": ["b_tasks"], "o_ev": ["o_cmd", "o_
            "members": ["b_connections"]}
 
 
-def with_blocks(names: list[str], body: str) -> str:
+def with_blocks(names: list[str], body: str, recursive: bool = False) -> str:
     """``WITH`` clause holding ``names`` (and what they depend on), then ``body``."""
     order: list[str] = []
 
@@ -140,4 +140,4 @@ def with_blocks(names: list[str], body: str) -> str:
     for n in names:
         add(n)
     parts = [f"{n} as ({BLOCKS.get(n) or DERIVED[n]})" for n in order]
-    return "with " + ",\n".join(parts) + "\n" + body
+    return ("with recursive " if recursive else "with ") + ",\n".join(parts) + "\n" + body

@@ -179,3 +179,39 @@ def q_recovery_redeem(spark, sf):
           "select link, arg_max(account_id, o_orderkey) account_id from b_recovery_requests group by link")
 def q_latest_link(spark, sf):
     return A.latest_link(B.b_recovery_requests(spark, sf))
+
+
+REG_BATCH_SQL = """, base as (
+  select r.*, lower(rtrim(r.email)) e, lower(rtrim(r.login_name)) l,
+    row_number() over (order by r.ts, r.request_id) o,
+    exists (select 1 from b_accounts a where lower(rtrim(a.email)) = lower(rtrim(r.email))
+            and lower(rtrim(a.login_name)) = lower(rtrim(r.login_name))) bp,
+    exists (select 1 from b_accounts a where lower(rtrim(a.email)) = lower(rtrim(r.email))) be,
+    exists (select 1 from b_accounts a where lower(rtrim(a.login_name)) = lower(rtrim(r.login_name))) bl
+  from b_registrations r),
+rounds as (
+  select 0 rnd, request_id, e, l, o, case when bp or be or bl then 'b' else 'u' end st from base
+  union all
+  select rnd + 1, request_id, e, l, o,
+    case when st <> 'u' then st when nw then 'a' when ne or nl then 'r' else 'u' end
+  from (select *, bool_or(nw) over (partition by e) ne, bool_or(nw) over (partition by l) nl from (
+          select *, st = 'u' and o = min(case when st = 'u' then o end) over (partition by e)
+                   and o = min(case when st = 'u' then o end) over (partition by l) nw,
+                 count(case when st = 'u' then 1 end) over () n_u
+          from rounds) where n_u > 0)),
+final as (select * from rounds where rnd = (select max(rnd) from rounds)),
+acc as (select * from final where st = 'a')
+select b.request_id, b.ts, b.login_name, b.email,
+  case when f.st = 'a' then 'inserted'
+       when b.bp or exists (select 1 from acc where acc.e = b.e and acc.l = b.l and acc.o < b.o) then 'pair_exists'
+       when b.be or exists (select 1 from acc where acc.e = b.e and acc.o < b.o) then 'email_exists'
+       when b.bl or exists (select 1 from acc where acc.l = b.l and acc.o < b.o) then 'login_exists'
+       else 'inserted' end outcome
+from base b join final f on f.request_id = b.request_id"""
+
+
+@register("register_users_batch", ["b_registrations", "b_accounts"], REG_BATCH_SQL, recursive=True)
+def q_register_users_batch(spark, sf):
+    """Registrations of one batch decided one at a time in (ts, request_id)
+    order against the accounts and the requests accepted before them."""
+    return A.register_users_in_batch(B.b_registrations(spark, sf), B.b_accounts(spark, sf))

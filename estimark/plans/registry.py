@@ -14,7 +14,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, blocks: list[str] | None = None, sql: str | None = None):
+def register(name: str, blocks: list[str] | None = None, sql: str | None = None, recursive: bool = False):
     """Register ``fn(spark, sf_dir)`` as ``name``; ``sql`` (with ``blocks``
     put into a WITH clause) is its oracle.  No ``sql`` means rows-only."""
 
@@ -23,7 +23,7 @@ def register(name: str, blocks: list[str] | None = None, sql: str | None = None)
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_blocks(blocks or [], sql) if blocks else sql
+            ORACLE[name] = with_blocks(blocks, sql, recursive) if blocks else sql
         return fn
 
     return deco

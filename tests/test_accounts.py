@@ -41,3 +41,37 @@ def test_credentials(spark):
     att = spark.createDataFrame([(1, "a@x.io", "pw1234"), (2, "a@x.io", "nope"), (3, "b@x.io", "pw1234")],
                                 "attempt_id long, email string, plain string")
     assert rows_of(A.credential_match(att, cred), "attempt_id", "matched") == [(1, True), (2, False), (3, False)]
+
+
+def _sequential(base_accounts, reqs):
+    """Brute force: one request at a time, as the stored procedure does."""
+    emails = {e.lower().rstrip() for _, _, e in base_accounts}
+    logins = {lg.lower().rstrip() for _, lg, _ in base_accounts}
+    pairs = {(e.lower().rstrip(), lg.lower().rstrip()) for _, lg, e in base_accounts}
+    out = {}
+    for rid, _, login, email in sorted(reqs, key=lambda r: (r[1], r[0])):
+        e, lg = email.lower().rstrip(), login.lower().rstrip()
+        if (e, lg) in pairs:
+            out[rid] = "pair_exists"
+        elif e in emails:
+            out[rid] = "email_exists"
+        elif lg in logins:
+            out[rid] = "login_exists"
+        else:
+            out[rid] = "inserted"
+            emails.add(e)
+            logins.add(lg)
+            pairs.add((e, lg))
+    return out
+
+
+def test_registration_in_batch_equals_one_at_a_time(spark):
+    import random
+    rnd = random.Random(11)
+    base = [(i, f"u{i}", f"u{i}@x.io") for i in range(5)]
+    reqs = [(100 + i, _t(1 + rnd.randint(0, 5)), f"u{rnd.randint(0, 12)}", f"u{rnd.randint(0, 12)}@x.io")
+            for i in range(80)]
+    acc = spark.createDataFrame(base, "account_id long, login_name string, email string")
+    rq = spark.createDataFrame(reqs, "request_id long, ts timestamp_ntz, login_name string, email string")
+    got = dict(rows_of(A.register_users_in_batch(rq, acc), "request_id", "outcome"))
+    assert got == _sequential(base, reqs)
