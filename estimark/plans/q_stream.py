@@ -40,7 +40,7 @@ def _stream_fold(spark, sf):
 @register("stream_room_state_fold", ["o_seg", "o_active", "o_results"], STATE_SQL)
 def q_stream_room_state_fold(spark, sf):
     """The fold run as a stream (foreachBatch); its task-state table."""
-    return _stream_fold(spark, sf).state.read(spark)
+    return _stream_fold(spark, sf).state.task_states(spark)
 
 
 @register("append_sinks", ["b_messages"], PARSE_SQL)

@@ -1,0 +1,215 @@
+"""The room fold carried from micro-batch to micro-batch with compact state.
+
+Re-folding a room's whole history on every micro-batch would make a busy room
+cost more with every batch.  Instead each micro-batch continues the fold from
+four keyed state tables (each a ``VersionedTable`` under the stream's folder):
+
+* ``rooms``   (room_id): markers seen so far and the last marker (its kind,
+  task, time) - the segment that is open when the batch starts;
+* ``tasks``   (room_id, task_id): segments opened, completed, and for the
+  first completed segment its end time and median;
+* ``votes``   (room_id, task_id, person_no): the last applied vote (the Votes
+  table);
+* ``members`` (room_id, person_no): who has a slot in the room.
+
+A batch's work is proportional to the batch plus the state of the rooms it
+touches, never to their history.  Messages are taken in arrival order, as the
+original processes them; within a batch they are ordered by (ts, event_id).
+The rules are those of ``estimark.operators.fold`` and the result equals the
+batch fold over the same log (tested).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from estimark.operators.fold import START, STOP, VOTE, resolve_starts
+from estimark.operators.scan import running, time_chunk
+from estimark.operators.snapshot import room_snapshot
+from estimark.operators.votes import task_median
+from estimark.session import materialize
+from estimark.streaming.sinks import AppendTable, VersionedTable
+
+ROOMS_SCHEMA = ("room_id BIGINT, n_markers BIGINT, last_kind STRING, last_task BIGINT, last_ts TIMESTAMP_NTZ, "
+                "last_event BIGINT")
+TASKS_SCHEMA = ("room_id BIGINT, task_id BIGINT, n_segments BIGINT, completed BOOLEAN, first_done_ts TIMESTAMP_NTZ, "
+                "median DECIMAL(9,2), has_result BOOLEAN")
+VOTES_SCHEMA = "room_id BIGINT, task_id BIGINT, person_no BIGINT, vote BOOLEAN, score INT, ts TIMESTAMP_NTZ, event_id BIGINT"
+MEMBERS_SCHEMA = "room_id BIGINT, person_no BIGINT"
+
+
+class FoldState:
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+        self.rooms = VersionedTable(f"{self.root}/rooms")
+        self.tasks = VersionedTable(f"{self.root}/tasks")
+        self.votes = VersionedTable(f"{self.root}/votes")
+        self.members = VersionedTable(f"{self.root}/members")
+        self.views = VersionedTable(f"{self.root}/views")
+        self.quarantine = AppendTable(f"{self.root}/quarantine")
+
+    @staticmethod
+    def _read(spark: SparkSession, t: VersionedTable, schema: str, below: int | None = None) -> DataFrame:
+        df = t.read(spark, below=below)
+        return df if df is not None else spark.createDataFrame([], schema)
+
+    def task_states(self, spark: SparkSession) -> DataFrame:
+        """(room_id, task_id, on_active, completed, n_segments, median): the
+        batch fold's ``room_state_fold`` as of the last micro-batch."""
+        tasks = self._read(spark, self.tasks, TASKS_SCHEMA)
+        rooms = self._read(spark, self.rooms, ROOMS_SCHEMA).select(
+            "room_id", F.col("last_task").alias("__active"))
+        return tasks.join(rooms, "room_id", "left").select(
+            "room_id", "task_id", F.coalesce(F.col("__active") == F.col("task_id"), F.lit(False)).alias("on_active"),
+            "completed", "n_segments", "median")
+
+
+def apply_batch(spark: SparkSession, st: FoldState, cmds: DataFrame, senders: DataFrame, ordinals: DataFrame,
+                dictionary: DataFrame, batch_id: int, chunk_unit: str = "hour") -> DataFrame:
+    """Advance the fold by one micro-batch of well-formed commands.  Returns
+    the rooms whose commands changed something (room_id)."""
+    cmd_rooms = materialize(cmds.select("room_id").distinct())
+    touched = materialize(cmd_rooms.union(senders.select("room_id")).distinct())
+    rooms_prev = st._read(spark, st.rooms, ROOMS_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
+    tasks_prev = st._read(spark, st.tasks, TASKS_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
+    votes_prev = st._read(spark, st.votes, VOTES_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
+    members_prev = st._read(spark, st.members, MEMBERS_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
+
+    members = members_prev.unionByName(senders.select("room_id", "person_no")).distinct()
+    st.members.replace_keys(members, ["room_id", "person_no"], batch_id)
+
+    # 1. segment numbers continue from the room's marker count
+    ev = resolve_starts(cmds, ordinals)
+    is_marker = F.col("kind").isin(START, STOP)
+    ev = running(ev.withColumn("__m", is_marker.cast("int")), ["room_id"], ["ts", "event_id"],
+                 time_chunk("ts", chunk_unit), {"__local": ("sum", "__m")}).drop("__m")
+    ev = (ev.join(rooms_prev.select("room_id", "n_markers"), "room_id", "left")
+          .withColumn("seg", F.coalesce("n_markers", F.lit(0)) + F.col("__local")).drop("n_markers", "__local"))
+    ev = materialize(ev)
+
+    # 2. segments: the one open at batch start (from state) and those opened now
+    carried = rooms_prev.select("room_id", F.col("n_markers").alias("seg"), F.col("last_kind").alias("opener"),
+                                F.col("last_task").alias("mtask"), F.col("last_ts").alias("opened_ts"),
+                                F.col("last_event").alias("opened_event"), F.lit(True).alias("carried"))
+    new_mk = ev.filter(is_marker).select("room_id", "seg", F.col("kind").alias("opener"),
+                                         F.col("start_task").alias("mtask"), F.col("ts").alias("opened_ts"),
+                                         F.col("event_id").alias("opened_event"), F.lit(False).alias("carried"))
+    mk = carried.unionByName(new_mk)
+    nxt = new_mk.select("room_id", (F.col("seg") - 1).alias("seg"), F.col("opener").alias("closer"),
+                        F.col("opened_ts").alias("closed_ts"))
+    seg = mk.join(nxt, ["room_id", "seg"], "left")
+    seg = seg.withColumn("open_task", F.when(F.col("opener") == START, F.col("mtask")))
+    seg = seg.withColumn("completed", F.col("open_task").isNotNull() & F.coalesce(F.col("closer") == STOP, F.lit(False)))
+    seg = materialize(seg)
+
+    # 3. first completion of tasks that had none before
+    done_before = tasks_prev.filter("has_result").select("room_id", "task_id")
+    first = (seg.filter("completed").groupBy("room_id", F.col("open_task").alias("task_id"))
+             .agg(F.min("seg").alias("first_seg"), F.min_by("closed_ts", "seg").alias("first_done_ts"))
+             .join(done_before, ["room_id", "task_id"], "left_anti"))
+
+    # 4. votes of the batch: active task, slot, reason
+    v = ev.filter(F.col("kind") == VOTE).join(
+        seg.select("room_id", "seg", F.col("open_task").alias("task_id")), ["room_id", "seg"], "left")
+    v = v.join(members.withColumn("__slot", F.lit(True)), ["room_id", "person_no"], "left")
+    v = v.withColumn("reason", F.when(F.col("task_id").isNull(), "no_active_task")
+                     .when(F.col("__slot").isNull(), "no_slot")).drop("__slot")
+    valid = v.filter(F.col("reason").isNull())
+
+    # 5. medians of the tasks completed for the first time in this batch
+    prior = votes_prev.join(first.select("room_id", "task_id"), ["room_id", "task_id"], "left_semi").select(
+        "room_id", "task_id", "person_no", "score", "ts", "event_id")
+    now = valid.join(first.select("room_id", "task_id", "first_seg"), ["room_id", "task_id"]).filter(
+        F.col("seg") <= F.col("first_seg")).select("room_id", "task_id", "person_no", "score", "ts", "event_id")
+    last = prior.unionByName(now).groupBy("room_id", "task_id", "person_no").agg(
+        F.max_by("score", F.struct("ts", "event_id")).alias("score"))
+    med = task_median(last, dictionary)
+    results = first.join(med, ["room_id", "task_id"], "left").select(
+        "room_id", "task_id", "first_done_ts", "median", "first_seg")
+
+    # 6. the Votes table: latest per key over state and batch
+    best = F.max_by(F.struct("vote", "score", "ts", "event_id"), F.struct("ts", "event_id"))
+    batch_votes = valid.select("room_id", "task_id", "person_no", "vote", "score", "ts", "event_id")
+    touched_keys = batch_votes.select("room_id", "task_id", "person_no").distinct()
+    merged = (votes_prev.join(touched_keys, ["room_id", "task_id", "person_no"], "left_semi")
+              .unionByName(batch_votes).groupBy("room_id", "task_id", "person_no").agg(best.alias("b"))
+              .select("room_id", "task_id", "person_no", "b.vote", "b.score", "b.ts", "b.event_id"))
+    st.votes.replace_keys(merged, ["room_id", "task_id", "person_no"], batch_id)
+
+    # 7. task states
+    opened = seg.filter(~F.col("carried") & F.col("open_task").isNotNull())
+    seg_counts = opened.groupBy("room_id", F.col("open_task").alias("task_id")).agg(
+        F.count(F.lit(1)).alias("__new_segs"))
+    done_now = seg.filter("completed").select("room_id", F.col("open_task").alias("task_id")).distinct().withColumn(
+        "__done_now", F.lit(True))
+    keys = seg_counts.select("room_id", "task_id").unionByName(done_now.select("room_id", "task_id")).distinct()
+    upd = (keys.join(tasks_prev, ["room_id", "task_id"], "left").join(seg_counts, ["room_id", "task_id"], "left")
+           .join(done_now, ["room_id", "task_id"], "left")
+           .join(results.select("room_id", "task_id", F.col("first_done_ts").alias("__fd"),
+                                F.col("median").alias("__med"), F.lit(True).alias("__new_res")),
+                 ["room_id", "task_id"], "left"))
+    upd = upd.select(
+        "room_id", "task_id",
+        (F.coalesce("n_segments", F.lit(0)) + F.coalesce("__new_segs", F.lit(0))).alias("n_segments"),
+        (F.coalesce("completed", F.lit(False)) | F.coalesce("__done_now", F.lit(False))).alias("completed"),
+        F.when(F.col("__new_res"), F.col("__fd")).otherwise(F.col("first_done_ts")).alias("first_done_ts"),
+        F.when(F.col("__new_res"), F.col("__med")).otherwise(F.col("median")).alias("median"),
+        (F.coalesce("has_result", F.lit(False)) | F.coalesce("__new_res", F.lit(False))).alias("has_result"))
+    st.tasks.replace_keys(upd, ["room_id", "task_id"], batch_id)
+
+    # 8. room states: marker count and last marker
+    last_new = new_mk.groupBy("room_id").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.max_by(F.struct("opener", "mtask", "opened_ts", "opened_event"), "seg").alias("__last"))
+    rooms = (touched.join(rooms_prev, "room_id", "left").join(last_new, "room_id", "left").select(
+        "room_id", (F.coalesce("n_markers", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("n_markers"),
+        F.coalesce(F.col("__last.opener"), F.col("last_kind")).alias("last_kind"),
+        F.when(F.col("__last").isNotNull(),
+               F.when(F.col("__last.opener") == START, F.col("__last.mtask"))).otherwise(F.col("last_task"))
+        .alias("last_task"),
+        F.coalesce(F.col("__last.opened_ts"), F.col("last_ts")).alias("last_ts"),
+        F.coalesce(F.col("__last.opened_event"), F.col("last_event")).alias("last_event")))
+    st.rooms.replace_keys(rooms, ["room_id"], batch_id)
+
+    # 9. quarantine of the batch: late votes and flagged Starts
+    prev_open = mk.select("room_id", (F.col("seg") + 1).alias("seg"),
+                          F.when(F.col("opener") == START, F.col("mtask")).isNotNull().alias("__prev_open"))
+    starts = new_mk.filter(F.col("opener") == START).join(prev_open, ["room_id", "seg"], "left")
+    first_all = (tasks_prev.filter("has_result").select("room_id", "task_id", F.lit(-1).cast("bigint").alias("fs"))
+                 .unionByName(first.select("room_id", "task_id", F.col("first_seg").alias("fs"))))
+    starts = starts.join(first_all.withColumnRenamed("task_id", "mtask"), ["room_id", "mtask"], "left")
+    flags = [(F.col("mtask").isNull(), "unknown_ordinal"),
+             (F.coalesce("__prev_open", F.lit(False)), "overlapping_start"),
+             (F.coalesce(F.col("seg") > F.col("fs"), F.lit(False)), "already_completed")]
+    q = v.filter(F.col("reason").isNotNull()).select("room_id", "event_id", "reason")
+    for cond, name in flags:
+        q = q.unionByName(starts.filter(cond).select("room_id", F.col("opened_event").alias("event_id"),
+                                                     F.lit(name).alias("reason")))
+    st.quarantine.append(q, batch_id)
+    return cmd_rooms
+
+
+def refresh_views(spark: SparkSession, st: FoldState, touched: DataFrame, rooms: DataFrame, tasks: DataFrame,
+                  persons: DataFrame, batch_id: int) -> None:
+    """Rebuild the views of the touched rooms from the state tables and upsert
+    them (a view keeps the time it was first written)."""
+    ts_ = st.task_states(spark).join(touched, "room_id", "left_semi")
+    t = tasks.join(touched, "room_id", "left_semi").join(
+        ts_.select("task_id", "on_active", "completed"), "task_id", "left").select(
+        "room_id", "task_id", "name", "minutes", F.coalesce("completed", F.lit(False)).alias("completed"),
+        F.coalesce("on_active", F.lit(False)).alias("on_active"))
+    votes = st._read(spark, st.votes, VOTES_SCHEMA).join(touched, "room_id", "left_semi").select(
+        "room_id", "task_id", F.col("person_no").cast("bigint").alias("person_id"), "vote", "score")
+    members = st._read(spark, st.members, MEMBERS_SCHEMA).join(touched, "room_id", "left_semi").select(
+        "room_id", F.col("person_no").cast("bigint").alias("person_id"))
+    results = st._read(spark, st.tasks, TASKS_SCHEMA).join(touched, "room_id", "left_semi").filter(
+        "has_result").select("task_id", "median")
+    views = room_snapshot(rooms.join(touched, "room_id", "left_semi"), persons, members, t, votes, results)
+    views = views.withColumn("created", F.current_timestamp())
+
+    def keep_created(new: DataFrame, prev: DataFrame) -> DataFrame:
+        old = prev.select("room_id", F.col("created").alias("__c0")).distinct()
+        return new.join(old, "room_id", "left").withColumn("created", F.coalesce("__c0", "created")).drop("__c0")
+
+    st.views.replace_keys(views, ["room_id"], batch_id, merge=keep_created)

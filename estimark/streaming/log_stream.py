@@ -12,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estimark.operators import fold as FO
 from estimark.operators.members import task_ordinals
-from estimark.operators.views import views_after_log
 from estimark.sources.bindings import commands_of, messages_of, vote_log_of
 from estimark.sources.messages import parse_messages
 from estimark.sources.xml import parse_change
+from estimark.streaming.incremental import FoldState, apply_batch, refresh_views
 from estimark.streaming.sinks import AppendTable, VersionedTable, scratch_root
 
 ROOM_BUCKETS = 64
@@ -83,13 +82,13 @@ def parsed_commands(parsed: DataFrame) -> DataFrame:
 
 
 class StreamFold:
-    """Folder layout of one streaming fold: message log, task states, views."""
+    """Folder layout of one streaming fold: message log and the fold state."""
 
     def __init__(self, root: str):
         self.root = root
         self.log = AppendTable(f"{root}/log", partition_by=["room_bucket"])
-        self.state = VersionedTable(f"{root}/state")
-        self.views = VersionedTable(f"{root}/views")
+        self.state = FoldState(f"{root}/state")
+        self.views = self.state.views
 
 
 def stream_room_fold(spark: SparkSession, messages: DataFrame, tasks: DataFrame, rooms: DataFrame,
@@ -98,32 +97,22 @@ def stream_room_fold(spark: SparkSession, messages: DataFrame, tasks: DataFrame,
 
     1. parse the batch's messages and append them to the log (partitioned by
        a room bucket; idempotent per batch id);
-    2. re-fold the touched rooms from their logged history (a semi-join on
-       room_id; the other rooms are not read past their bucket);
-    3. upsert the touched rooms' task states and nested views (keyed replace
-       into new table versions; a view keeps its first ``created`` time).
-    The same fold code as the batch form runs, so stream equals batch."""
+    2. continue the fold of the touched rooms from the compact state tables
+       (``estimark.streaming.incremental``): work grows with the batch and the
+       touched rooms' state, not with their history;
+    3. upsert the touched rooms' nested views (keyed replace into a new table
+       version; a view keeps its first ``created`` time).
+    The rules are the batch fold's, so stream equals batch."""
     sf = StreamFold(root or scratch_root(spark, "room-fold"))
     ordinals = task_ordinals(tasks)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_messages(batch).withColumn("room_bucket", F.pmod(F.hash("room_id"), F.lit(ROOM_BUCKETS)))
         sf.log.append(parsed, batch_id)
-        touched = parsed.select("room_id", "room_bucket").distinct()
-        hist = sf.log.read(spark).join(F.broadcast(touched.select("room_bucket").distinct()), "room_bucket",
-                                       "left_semi").join(touched.select("room_id"), "room_id", "left_semi")
-        members = hist.select("room_id", "person_no").distinct()
-        f = FO.fold(parsed_commands(hist), ordinals, members)
-        sf.state.replace_keys(FO.room_state_fold(f, dictionary), ["room_id"], batch_id)
-        views = views_after_log(f, rooms, tasks, persons, members, dictionary).withColumn(
-            "created", F.current_timestamp())
-
-        def keep_created(new: DataFrame, prev: DataFrame) -> DataFrame:
-            old = prev.select("room_id", F.col("created").alias("__c0"))
-            return new.join(old, "room_id", "left").withColumn(
-                "created", F.coalesce("__c0", "created")).drop("__c0")
-
-        sf.views.replace_keys(views, ["room_id"], batch_id, merge=keep_created)
+        parsed = sf.log.read_batch(spark, batch_id)
+        senders = parsed.select("room_id", "person_no").distinct()
+        changed = apply_batch(spark, sf.state, parsed_commands(parsed), senders, ordinals, dictionary, batch_id)
+        refresh_views(spark, sf.state, changed, rooms, tasks, persons, batch_id)
 
     _run(messages.writeStream.foreachBatch(handle), sf.root)
     return sf

@@ -92,6 +92,11 @@ class AppendTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", self.root).parquet(f"{self.root}/batch_id=*")
 
+    def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The rows of one batch as written (so later steps reuse the write
+        instead of recomputing the batch)."""
+        return spark.read.parquet(f"{self.root}/batch_id={batch_id}")
+
     def exists(self, spark: SparkSession) -> bool:
         fs, p = _fs(spark, self.root)
         return fs.exists(p)

@@ -26,7 +26,9 @@ def _split_events(spark, parts=4):
     out = tempfile.mkdtemp(prefix="estimark-stream-files-", dir="/tmp")
     for i in range(parts):
         for f in glob.glob(f"{d}/p{i}/*.parquet"):
-            shutil.copy(f, os.path.join(out, f"events-{i}.parquet"))
+            target = os.path.join(out, f"events-{i}.parquet")
+            shutil.copy(f, target)
+            os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))  # arrival order = file age
     return out
 
 
@@ -36,8 +38,15 @@ def test_stream_fold_equals_batch(spark):
     sf = LS.stream_room_fold(spark, msgs, B.b_tasks(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL),
                              B.b_persons(spark, SF_SMALL), B.b_dictionary(spark))
     batch = FO.room_state_fold(q_fold.run_fold(spark, SF_SMALL), B.b_dictionary(spark))
-    assert rows_of(sf.state.read(spark)) == rows_of(batch.select(*sf.state.read(spark).columns))
+    got = sf.state.task_states(spark)
+    assert rows_of(got) == rows_of(batch.select(*got.columns))
     assert sf.log.read(spark).select("batch_id").distinct().count() == 4
+    q = sf.state.quarantine.read(spark).select("room_id", "event_id", "reason")
+    from estimark.operators.quarantine import quarantine
+    from estimark.sources.messages import parse_messages
+    exp_q = quarantine(parse_messages(B.b_messages(spark, SF_SMALL)), q_fold.run_fold(spark, SF_SMALL)).filter(
+        F.col("reason").isin("no_active_task", "no_slot", "unknown_ordinal", "overlapping_start", "already_completed"))
+    assert rows_of(q) == rows_of(exp_q)
     # views keep the time they were first written
     views = sf.views.read(spark)
     first = spark.read.parquet(sf.views.path(sf.views.latest_version(spark, below=1) or 0))
@@ -65,3 +74,19 @@ def test_replayed_batch_is_idempotent(spark):
     t.replace_keys(b, ["k"], 1)
     t.replace_keys(spark.createDataFrame([(2, "WRONG")], "k long, v string"), ["k"], 1)  # replay
     assert rows_of(t.read(spark)) == [(1, "x"), (2, "z")]
+
+
+def test_stream_fold_many_small_batches(spark):
+    """Markers and votes cut at every batch boundary: six batches."""
+    src = _split_events(spark, parts=6)
+    msgs = LS.message_stream(spark, src, glob="events-*.parquet", max_files=1)
+    sf = LS.stream_room_fold(spark, msgs, B.b_tasks(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL),
+                             B.b_persons(spark, SF_SMALL), B.b_dictionary(spark))
+    got = sf.state.task_states(spark)
+    batch = FO.room_state_fold(q_fold.run_fold(spark, SF_SMALL), B.b_dictionary(spark))
+    assert rows_of(got) == rows_of(batch.select(*got.columns))
+    from estimark.operators.snapshot import snapshot_summary
+    from estimark.operators.views import views_after_log
+    exp = views_after_log(q_fold.run_fold(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL), B.b_tasks(spark, SF_SMALL),
+                          B.b_persons(spark, SF_SMALL), q_fold.log_members(spark, SF_SMALL), B.b_dictionary(spark))
+    assert rows_of(snapshot_summary(sf.views.read(spark))) == rows_of(snapshot_summary(exp))
