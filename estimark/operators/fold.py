@@ -46,13 +46,19 @@ class Fold:
 
 def resolve_starts(cmds: DataFrame, ordinals: DataFrame) -> DataFrame:
     """Add ``start_task``: the task with ordinal ``task_ordinal`` in the room
-    (only for StartVoting rows; NULL when unknown)."""
+    (only for StartVoting rows; NULL when unknown).
+
+    One left join over all commands.  Rows that are not a Start get a negative
+    join key that no ordinal has, spread over 4096 values, so they neither
+    match nor pile up in one partition (as NULL keys of a busy room would)."""
     o = ordinals.select(F.col("room_id").alias("__room"), F.col("task_ord").alias("__ord"),
                         F.col("task_id").cast("bigint").alias("start_task"))
-    starts = cmds.filter(F.col("kind") == START)
-    rest = cmds.filter(F.col("kind") != START).withColumn("start_task", F.lit(None).cast("bigint"))
-    s = starts.join(o, (F.col("room_id") == F.col("__room")) & (F.col("task_ordinal") == F.col("__ord")), "left")
-    return s.drop("__room", "__ord").unionByName(rest)
+    is_start = (F.col("kind") == START) & F.col("task_ordinal").isNotNull()
+    key = F.when(is_start, F.col("task_ordinal").cast("bigint")).otherwise(
+        -1 - F.pmod(F.xxhash64("event_id"), F.lit(4096)))
+    j = cmds.withColumn("__k", key).join(o, (F.col("room_id") == F.col("__room")) & (F.col("__k") == F.col("__ord")),
+                                         "left")
+    return j.drop("__room", "__ord", "__k")
 
 
 def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,

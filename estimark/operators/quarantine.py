@@ -12,10 +12,9 @@ def quarantine(parsed_messages: DataFrame, f: Fold) -> DataFrame:
     """Union of all rule failures: message format (bad_arity, unknown_kind),
     bad XML payloads, votes that changed nothing, flagged Start markers.
     Columns: (room_id, event_id, reason)."""
-    from estimark.sources.xml import parse_change
+    from estimark.sources.xml import with_change
     fmt = parsed_messages.filter(F.col("reason").isNotNull()).select("room_id", "event_id", "reason")
-    xml = (parsed_messages.filter(F.col("reason").isNull() & F.col("kind").isin("ChangeVote", "StartVoting"))
-           .filter(parse_change(F.col("payload"))["bad_xml"])
-           .select("room_id", "event_id", F.lit("bad_xml").alias("reason")))
+    xml = (with_change(parsed_messages.filter(F.col("reason").isNull() & F.col("kind").isin("ChangeVote", "StartVoting")))
+           .filter(F.col("__c.bad_xml")).select("room_id", "event_id", F.lit("bad_xml").alias("reason")))
     votes = late_votes(f).select("room_id", "event_id", "reason")
     return fmt.unionByName(xml).unionByName(votes).unionByName(segment_flags(f))

@@ -11,13 +11,13 @@ from estimark.operators import votes as V
 from estimark.plans.registry import register
 from estimark.sources import bindings as B
 from estimark.sources.messages import parse_messages
-from estimark.sources.xml import parse_change
+from estimark.sources.xml import with_change
 
 
 def commands(spark, sf):
     """Parsed, well-formed commands from the message text log."""
     p = parse_messages(B.b_messages(spark, sf)).filter(F.col("reason").isNull())
-    p = p.withColumn("__c", parse_change(F.col("payload"))).filter(~F.col("__c.bad_xml"))
+    p = with_change(p).filter(~F.col("__c.bad_xml"))
     return p.select("room_id", "ts", "event_id", "person_no", "kind",
                     F.col("__c.task_ordinal").alias("task_ordinal"), F.col("__c.score").alias("score"),
                     F.col("__c.vote").alias("vote"))

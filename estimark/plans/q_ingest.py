@@ -10,7 +10,7 @@ from estimark.operators import requests as RQ
 from estimark.plans.registry import register
 from estimark.sources import bindings as B
 from estimark.sources.messages import parse_messages
-from estimark.sources.xml import parse_change, shred_tasks
+from estimark.sources.xml import shred_tasks, with_change
 
 REQ_SQL = """select request_id, cast(row_number() over (partition by request_id order by pos) - 1 as int) pos,
   name, mins as minutes from b_room_requests"""
@@ -76,7 +76,7 @@ from ({PARSE_SQL}) where kind in ('ChangeVote', 'StartVoting') and reason is nul
 def q_xml_change_parse(spark, sf):
     p = parse_messages(B.b_messages(spark, sf)).filter(F.col("reason").isNull() & F.col("kind").isin(
         "ChangeVote", "StartVoting"))
-    return p.select("event_id", "kind", parse_change(F.col("payload")).alias("c")).select(
+    return with_change(p.select("event_id", "kind", "payload"), name="c").select(
         "event_id", "kind", F.when(F.col("kind") == "ChangeVote", F.col("c.vote")).alias("vote"),
         F.when(F.col("kind") == "ChangeVote", F.col("c.score")).alias("score"),
         F.when(F.col("kind") == "StartVoting", F.col("c.task_ordinal")).alias("task_ordinal"),

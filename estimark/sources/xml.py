@@ -18,12 +18,21 @@ def _is_corrupt(parsed: Column) -> Column:
     return parsed.isNull() | (F.coalesce(parsed["_corrupt_record"], F.lit("")) != "")
 
 
+def parsed_once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
+    """Add ``parsed`` as column ``name``, evaluated once per row.
+
+    The value goes through a one-element ``inline`` (a Generate node), so a
+    later filter on it cannot be pushed below the parse and re-evaluate it,
+    and every field read from it shares the one evaluation."""
+    return df.select("*", F.inline(F.array(F.struct(parsed.alias(name)))))
+
+
 def shred_tasks(requests: DataFrame, xml_col: str = "tasks_xml", key: str = "request_id") -> DataFrame:
     """``nodes('/tasks/task')`` + ``value('@name')``, ``value('@time-discussion')``:
     one row per task with its position (0-based).  ``minutes`` is NULL when the
     attribute is missing or not an integer.  Requests whose XML is broken give
     no rows here; see ``bad_task_xml``."""
-    p = requests.select(key, F.from_xml(xml_col, TASKS_SCHEMA, {"rowTag": "tasks"}).alias("__x"))
+    p = parsed_once(requests.select(key, xml_col), F.from_xml(xml_col, TASKS_SCHEMA, {"rowTag": "tasks"}), "__x")
     ok = p.filter(~_is_corrupt(F.col("__x")))
     return ok.select(key, F.posexplode(F.col("__x.task")).alias("pos", "__t")).select(
         key, "pos", F.col("__t._name").alias("name"),
@@ -32,10 +41,15 @@ def shred_tasks(requests: DataFrame, xml_col: str = "tasks_xml", key: str = "req
 
 def bad_task_xml(requests: DataFrame, xml_col: str = "tasks_xml", key: str = "request_id") -> DataFrame:
     """Requests whose task list does not parse: (key, reason='bad_xml')."""
-    p = requests.select(key, F.from_xml(xml_col, TASKS_SCHEMA, {"rowTag": "tasks"}).alias("__x"))
+    p = parsed_once(requests.select(key, xml_col), F.from_xml(xml_col, TASKS_SCHEMA, {"rowTag": "tasks"}), "__x")
     return p.filter(_is_corrupt(F.col("__x"))).select(key, F.lit("bad_xml").alias("reason"))
 
 
+def with_change(df: DataFrame, payload: str = "payload", name: str = "__c") -> DataFrame:
+    """``df`` plus column ``name`` = ``parse_change(payload)``, parsed once per row."""
+    return parsed_once(df, parse_change(F.col(payload)), name)
+
+
 def parse_change(payload: Column) -> Column:
     """``/Change/AddVote/@vote,@score`` (the last node wins, as a variable
     assignment over rows does) and ``TOP(1) /Change/StartVoting/@taskId``.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from estimark.operators.members import task_ordinals
 from estimark.sources.bindings import commands_of, messages_of, vote_log_of
 from estimark.sources.messages import parse_messages
-from estimark.sources.xml import parse_change
+from estimark.sources.xml import with_change
 from estimark.streaming.incremental import FoldState, apply_batch, refresh_views
 from estimark.streaming.sinks import AppendTable, VersionedTable, scratch_root
 
@@ -74,8 +74,7 @@ def stream_vote_counts(spark: SparkSession, lineitem: DataFrame, part: DataFrame
 
 def parsed_commands(parsed: DataFrame) -> DataFrame:
     """Well-formed commands from parsed messages (format and XML checked)."""
-    p = parsed.filter(F.col("reason").isNull()).withColumn("__c", parse_change(F.col("payload")))
-    p = p.filter(~F.col("__c.bad_xml"))
+    p = with_change(parsed.filter(F.col("reason").isNull())).filter(~F.col("__c.bad_xml"))
     return p.select("room_id", "ts", "event_id", "person_no", "kind",
                     F.col("__c.task_ordinal").alias("task_ordinal"), F.col("__c.score").alias("score"),
                     F.col("__c.vote").alias("vote"))
