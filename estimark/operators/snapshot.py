@@ -20,8 +20,9 @@ UNKNOWN_ROOM = "UnknownRoom"
 
 
 def _sorted_list(struct_col, key: str):
-    return F.array_sort(F.collect_list(struct_col), lambda a, b: F.when(a[key] < b[key], -1)
-                        .when(a[key] > b[key], 1).otherwise(0))
+    """``collect_list`` sorted by ``key``, which must be the struct's first
+    field: structs order field by field, so ``sort_array`` (no lambda) does it."""
+    return F.sort_array(F.collect_list(struct_col))
 
 
 PAGE_CELLS = 10000
@@ -70,13 +71,11 @@ def room_snapshot(rooms: DataFrame, persons: DataFrame, connections: DataFrame,
         F.first("task_ord").alias("task_ord"), F.first("name").alias("name"),
         F.first("completed").alias("completed"), F.first("on_active").alias("on_active"),
         F.first("minutes").alias("minutes"), F.first("median").alias("median"),
-        F.min("cell_ix").alias("first_cell"), _sorted_list(vote_struct, "PersonId").alias("PersonTask"))
-    first_cell = cells.groupBy("task_id").agg(F.min("cell_ix").alias("task_first_cell"))
-    frag = frag.join(first_cell, "task_id")
+        F.min("__vo").alias("first_vote"), _sorted_list(vote_struct, "PersonId").alias("PersonTask"))
     task_struct = F.struct(
         F.col("task_ord").alias("Id"), F.col("name").alias("NameTask"), F.col("completed").alias("Completed"),
         F.col("on_active").alias("IsCurrentActive"), F.col("minutes").alias("TimeDiscussion"),
-        F.col("median").alias("Median"), (F.col("first_cell") > F.col("task_first_cell")).alias("Continued"),
+        F.col("median").alias("Median"), (F.col("first_vote") > 1).alias("Continued"),
         F.col("PersonTask"))
     tasks_pages = frag.groupBy("room_id", "page").agg(_sorted_list(task_struct, "Id").alias("Tasks"))
 
