@@ -62,7 +62,14 @@ def room_snapshot(rooms: DataFrame, persons: DataFrame, connections: DataFrame,
         "task_id", F.col("person_ord").alias("vote_ord"), "vote", "score")
     t = (task_ordinals(tasks.select("room_id", "task_id", "name", "minutes", "completed", "on_active"))
          .join(results.select("task_id", "median"), "task_id", "left"))
-    cells = t.join(pv, "task_id", "left").withColumn("__vo", F.coalesce("vote_ord", F.lit(0)))
+    # tasks x their votes, and tasks without votes: an inner join (AQE may split a
+    # hot task's votes on either side) plus an anti join, rather than a left
+    # join whose skewed side (the votes) could not be split.
+    voted = t.join(pv, "task_id")
+    silent = t.join(pv.select("task_id").distinct(), "task_id", "left_anti").select(
+        "*", F.lit(None).cast("int").alias("vote_ord"), F.lit(None).cast("boolean").alias("vote"),
+        F.lit(None).cast("int").alias("score"))
+    cells = voted.unionByName(silent).withColumn("__vo", F.coalesce("vote_ord", F.lit(0)))
     cells = ordinal(cells, ["room_id"], ["task_ord", "__vo"], "cell_ix",
                     chunk=F.floor(F.col("task_ord") / F.lit(1024))).withColumn("page", page_of("cell_ix"))
     vote_struct = F.when(F.col("vote_ord").isNotNull(), F.struct(

@@ -104,3 +104,19 @@ def test_order_independence(spark):
     b = FO.room_state_fold(FO.fold(c.orderBy(c.event_id.desc()).repartition(3), _ordinals(spark)),
                            B.b_dictionary(spark))
     assert rows_of(a) == rows_of(b)
+
+
+def test_chunking_does_not_change_the_fold(spark):
+    """The running marker count is computed per time chunk with carries; any
+    chunk size must give the same fold (here: a day vs a minute)."""
+    from conftest import SF_SMALL
+    from estimark.operators.members import task_ordinals
+    from estimark.plans import q_fold
+    c = q_fold.commands(spark, SF_SMALL)
+    o = task_ordinals(B.b_tasks(spark, SF_SMALL))
+    m = q_fold.log_members(spark, SF_SMALL)
+    a = FO.fold(c, o, m, chunk_unit="day")
+    b = FO.fold(c, o, m, chunk_unit="minute")
+    assert rows_of(a.events.select("event_id", "seg")) == rows_of(b.events.select("event_id", "seg"))
+    d = B.b_dictionary(spark)
+    assert rows_of(FO.room_state_fold(a, d)) == rows_of(FO.room_state_fold(b, d))
