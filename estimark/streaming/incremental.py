@@ -69,8 +69,8 @@ def apply_batch(spark: SparkSession, st: FoldState, cmds: DataFrame, senders: Da
                 dictionary: DataFrame, batch_id: int, chunk_unit: str = "hour") -> DataFrame:
     """Advance the fold by one micro-batch of well-formed commands.  Returns
     the rooms whose commands changed something (room_id)."""
-    cmd_rooms = materialize(cmds.select("room_id").distinct())
-    touched = materialize(cmd_rooms.union(senders.select("room_id")).distinct())
+    cmd_rooms = cmds.select("room_id").distinct()
+    touched = cmd_rooms.union(senders.select("room_id")).distinct()
     rooms_prev = st._read(spark, st.rooms, ROOMS_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
     tasks_prev = st._read(spark, st.tasks, TASKS_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
     votes_prev = st._read(spark, st.votes, VOTES_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
