@@ -213,3 +213,21 @@ def refresh_views(spark: SparkSession, st: FoldState, touched: DataFrame, rooms:
         return new.join(old, "room_id", "left").withColumn("created", F.coalesce("__c0", "created")).drop("__c0")
 
     st.views.replace_keys(views, ["room_id"], batch_id, merge=keep_created)
+
+
+def live_time_box(st: FoldState, spark: SparkSession, tasks: DataFrame, now=None) -> DataFrame:
+    """The countdown of every room's open voting segment at processing time:
+    (room_id, task_id, start_ts, minutes, deadline, remaining_s, overrun,
+    countdown).  ``now`` defaults to the current timestamp (NTZ, UTC)."""
+    now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
+    rooms = st._read(spark, st.rooms, ROOMS_SCHEMA).filter(F.col("last_task").isNotNull())
+    j = rooms.join(tasks.select(F.col("task_id").alias("last_task"), "minutes"), "last_task", "left")
+    box = F.col("minutes").cast("bigint") * 60
+    elapsed = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_ts").cast("timestamp"))
+    remaining = F.greatest(box - elapsed, F.lit(0).cast("bigint"))
+    return j.select(
+        "room_id", F.col("last_task").alias("task_id"), F.col("last_ts").alias("start_ts"), "minutes",
+        F.timestamp_add("SECOND", box, F.col("last_ts")).alias("deadline"), remaining.alias("remaining_s"),
+        (elapsed > box).alias("overrun"),
+        F.format_string("%d-m: %d-sec", F.floor(remaining / 60).cast("bigint"), (remaining % 60).cast("bigint"))
+        .alias("countdown"))

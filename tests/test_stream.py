@@ -90,3 +90,19 @@ def test_stream_fold_many_small_batches(spark):
     exp = views_after_log(q_fold.run_fold(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL), B.b_tasks(spark, SF_SMALL),
                           B.b_persons(spark, SF_SMALL), q_fold.log_members(spark, SF_SMALL), B.b_dictionary(spark))
     assert rows_of(snapshot_summary(sf.views.read(spark))) == rows_of(snapshot_summary(exp))
+
+
+def test_live_time_box(spark):
+    import datetime as dt
+    from estimark.streaming.incremental import FoldState, live_time_box
+    from estimark.streaming.sinks import scratch_root
+    st = FoldState(scratch_root(spark, "tb"))
+    rooms = spark.createDataFrame(
+        [(1, 1, "StartVoting", 10, dt.datetime(2024, 1, 1, 10, 0, 0), 1),
+         (2, 2, "StopVoting", None, dt.datetime(2024, 1, 1, 10, 0, 0), 2)],
+        "room_id long, n_markers long, last_kind string, last_task long, last_ts timestamp_ntz, last_event long")
+    st.rooms.replace_keys(rooms, ["room_id"], 0)
+    tasks = spark.createDataFrame([(10, 3)], "task_id long, minutes int")
+    now = F.lit(dt.datetime(2024, 1, 1, 10, 1, 30)).cast("timestamp_ntz")
+    r = live_time_box(st, spark, tasks, now=now).collect()
+    assert len(r) == 1 and r[0]["remaining_s"] == 90 and r[0]["countdown"] == "1-m: 30-sec" and not r[0]["overrun"]
