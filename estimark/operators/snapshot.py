@@ -143,8 +143,8 @@ def room_snapshot_xml(snap: DataFrame) -> DataFrame:
         .alias("PersonTask")))
     doc = F.struct(
         F.col("error").alias("_Error"), F.col("NameRoom").alias("_NameRoom"), F.col("page").alias("_Page"),
-        F.struct(persons.alias("Person")).alias("Persons"),
-        F.struct(tasks.alias("Task")).alias("Tasks"))
+        F.when(F.col("error").isNull(), F.struct(persons.alias("Person"))).alias("Persons"),
+        F.when(F.col("error").isNull(), F.struct(tasks.alias("Task"))).alias("Tasks"))
     return snap.select("room_id", "page", F.to_xml(doc, {"rowTag": "Room"}).alias("xml"))
 
 
