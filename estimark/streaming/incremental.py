@@ -42,23 +42,27 @@ MEMBERS_SCHEMA = "room_id BIGINT, person_no BIGINT"
 class FoldState:
     def __init__(self, root: str):
         self.root = root.rstrip("/")
-        self.rooms = VersionedTable(f"{self.root}/rooms")
-        self.tasks = VersionedTable(f"{self.root}/tasks")
-        self.votes = VersionedTable(f"{self.root}/votes")
-        self.members = VersionedTable(f"{self.root}/members")
-        self.views = VersionedTable(f"{self.root}/views")
+        # all state is bucketed by room, so a batch reads and rewrites only the
+        # buckets of the rooms it touches
+        by_room = {"bucket_by": ["room_id"]}
+        self.rooms = VersionedTable(f"{self.root}/rooms", **by_room)
+        self.tasks = VersionedTable(f"{self.root}/tasks", **by_room)
+        self.votes = VersionedTable(f"{self.root}/votes", **by_room)
+        self.members = VersionedTable(f"{self.root}/members", **by_room)
+        self.views = VersionedTable(f"{self.root}/views", **by_room)
         self.quarantine = AppendTable(f"{self.root}/quarantine")
 
     @staticmethod
-    def _read(spark: SparkSession, t: VersionedTable, schema: str, below: int | None = None) -> DataFrame:
-        df = t.read(spark, below=below)
+    def _read(spark: SparkSession, t: VersionedTable, schema: str, below: int | None = None,
+              buckets=None) -> DataFrame:
+        df = t.read(spark, below=below, buckets=buckets)
         return df if df is not None else spark.createDataFrame([], schema)
 
-    def task_states(self, spark: SparkSession) -> DataFrame:
+    def task_states(self, spark: SparkSession, buckets=None) -> DataFrame:
         """(room_id, task_id, on_active, completed, n_segments, median): the
         batch fold's ``room_state_fold`` as of the last micro-batch."""
-        tasks = self._read(spark, self.tasks, TASKS_SCHEMA)
-        rooms = self._read(spark, self.rooms, ROOMS_SCHEMA).select(
+        tasks = self._read(spark, self.tasks, TASKS_SCHEMA, None, buckets)
+        rooms = self._read(spark, self.rooms, ROOMS_SCHEMA, None, buckets).select(
             "room_id", F.col("last_task").alias("__active"))
         return tasks.join(rooms, "room_id", "left").select(
             "room_id", "task_id", F.coalesce(F.col("__active") == F.col("task_id"), F.lit(False)).alias("on_active"),
@@ -71,10 +75,11 @@ def apply_batch(spark: SparkSession, st: FoldState, cmds: DataFrame, senders: Da
     the rooms whose commands changed something (room_id)."""
     cmd_rooms = cmds.select("room_id").distinct()
     touched = cmd_rooms.union(senders.select("room_id")).distinct()
-    rooms_prev = st._read(spark, st.rooms, ROOMS_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
-    tasks_prev = st._read(spark, st.tasks, TASKS_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
-    votes_prev = st._read(spark, st.votes, VOTES_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
-    members_prev = st._read(spark, st.members, MEMBERS_SCHEMA, below=batch_id).join(touched, "room_id", "left_semi")
+    bk = st.rooms.bucket_ids(touched)
+    rooms_prev = st._read(spark, st.rooms, ROOMS_SCHEMA, batch_id, bk).join(touched, "room_id", "left_semi")
+    tasks_prev = st._read(spark, st.tasks, TASKS_SCHEMA, batch_id, bk).join(touched, "room_id", "left_semi")
+    votes_prev = st._read(spark, st.votes, VOTES_SCHEMA, batch_id, bk).join(touched, "room_id", "left_semi")
+    members_prev = st._read(spark, st.members, MEMBERS_SCHEMA, batch_id, bk).join(touched, "room_id", "left_semi")
 
     members = members_prev.unionByName(senders.select("room_id", "person_no")).distinct()
     st.members.replace_keys(members, ["room_id", "person_no"], batch_id)
@@ -194,16 +199,17 @@ def refresh_views(spark: SparkSession, st: FoldState, touched: DataFrame, rooms:
                   persons: DataFrame, batch_id: int) -> None:
     """Rebuild the views of the touched rooms from the state tables and upsert
     them (a view keeps the time it was first written)."""
-    ts_ = st.task_states(spark).join(touched, "room_id", "left_semi")
+    bk = st.rooms.bucket_ids(touched)
+    ts_ = st.task_states(spark, bk).join(touched, "room_id", "left_semi")
     t = tasks.join(touched, "room_id", "left_semi").join(
         ts_.select("task_id", "on_active", "completed"), "task_id", "left").select(
         "room_id", "task_id", "name", "minutes", F.coalesce("completed", F.lit(False)).alias("completed"),
         F.coalesce("on_active", F.lit(False)).alias("on_active"))
-    votes = st._read(spark, st.votes, VOTES_SCHEMA).join(touched, "room_id", "left_semi").select(
+    votes = st._read(spark, st.votes, VOTES_SCHEMA, None, bk).join(touched, "room_id", "left_semi").select(
         "room_id", "task_id", F.col("person_no").cast("bigint").alias("person_id"), "vote", "score")
-    members = st._read(spark, st.members, MEMBERS_SCHEMA).join(touched, "room_id", "left_semi").select(
+    members = st._read(spark, st.members, MEMBERS_SCHEMA, None, bk).join(touched, "room_id", "left_semi").select(
         "room_id", F.col("person_no").cast("bigint").alias("person_id"))
-    results = st._read(spark, st.tasks, TASKS_SCHEMA).join(touched, "room_id", "left_semi").filter(
+    results = st._read(spark, st.tasks, TASKS_SCHEMA, None, bk).join(touched, "room_id", "left_semi").filter(
         "has_result").select("task_id", "median")
     views = room_snapshot(rooms.join(touched, "room_id", "left_semi"), persons, members, t, votes, results)
     views = views.withColumn("created", F.current_timestamp())

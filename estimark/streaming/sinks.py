@@ -1,11 +1,11 @@
 """Sinks for ``foreachBatch``: idempotent append and keyed replace.
 
-Parquet has no MERGE, so a keyed upsert writes a *new version* of the table:
-``(previous version without the batch's keys) UNION (batch rows)``.  Versions
-are folders ``v=<batch_id>``; a batch that is replayed after a failure finds
-its version already committed and does nothing, so the sinks are exactly-once
-together with the stream's checkpoint.  A version is never written over a path
-that is being read.
+Parquet has no MERGE, so a keyed upsert writes a *new version* of the hash
+buckets it touches: ``(previous rows without the batch's keys) UNION (batch
+rows)``.  Versions are folders ``v=<batch_id>``; a batch that is replayed
+after a failure finds its version already committed and does nothing, so the
+sinks are exactly-once together with the stream's checkpoint.  A version is
+never written over a path that is being read.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from estimark.session import checkpoint_dir
 
 
@@ -30,49 +32,85 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _committed_versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
 class VersionedTable:
-    """A table kept as numbered Parquet versions under ``root``."""
+    """A keyed table kept as numbered versions of hash buckets under ``root``.
+
+    Version ``v`` is the folder ``v=<v>`` holding, partitioned by ``__b``, the
+    buckets that batch ``v`` changed; ``_SUCCESS`` marks it committed.  The
+    table as of a version is, per bucket, that bucket's latest committed
+    version.  A batch therefore rewrites only the buckets its keys fall into,
+    not the whole table.  (Long-lived tables should be compacted from time to
+    time: one version holding every bucket.)"""
 
-    def __init__(self, root: str):
+    def __init__(self, root: str, buckets: int = 64, bucket_by: Sequence[str] | None = None):
         self.root = root.rstrip("/")
+        self.buckets = buckets
+        self.bucket_by = list(bucket_by) if bucket_by else None
 
     def path(self, version: int) -> str:
         return f"{self.root}/v={version:012d}"
 
-    def latest_version(self, spark: SparkSession, below: int | None = None) -> int | None:
-        vs = [v for v in _committed_versions(spark, self.root) if below is None or v < below]
-        return vs[-1] if vs else None
+    def _layout(self, spark: SparkSession) -> dict[int, list[int]]:
+        """Committed versions and the buckets each one holds."""
+        fs, p = _fs(spark, self.root)
+        if not fs.exists(p):
+            return {}
+        out: dict[int, list[int]] = {}
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if not name.startswith("v=") or not fs.exists(st.getPath().suffix("/_SUCCESS")):
+                continue
+            out[int(name[2:])] = [int(b.getPath().getName()[4:]) for b in fs.listStatus(st.getPath())
+                                  if b.getPath().getName().startswith("__b=")]
+        return out
 
-    def read(self, spark: SparkSession, below: int | None = None) -> DataFrame | None:
-        v = self.latest_version(spark, below)
-        return None if v is None else spark.read.parquet(self.path(v))
+    def latest_version(self, spark: SparkSession, below: int | None = None) -> int | None:
+        vs = [v for v in self._layout(spark) if below is None or v < below]
+        return max(vs) if vs else None
+
+    def _paths(self, spark: SparkSession, below: int | None, buckets=None) -> list[str]:
+        latest: dict[int, int] = {}
+        for v, bs in self._layout(spark).items():
+            if below is not None and v >= below:
+                continue
+            for b in bs:
+                if (buckets is None or b in buckets) and latest.get(b, -1) < v:
+                    latest[b] = v
+        return [f"{self.path(v)}/__b={b}" for b, v in sorted(latest.items())]
+
+    def read(self, spark: SparkSession, below: int | None = None, buckets=None) -> DataFrame | None:
+        paths = self._paths(spark, below, buckets)
+        return spark.read.parquet(*paths) if paths else None
+
+    def _bucket(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        cols = self.bucket_by or list(keys)
+        return df.withColumn("__b", F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int"))
+
+    def bucket_ids(self, keys_df: DataFrame) -> set[int]:
+        """Buckets holding the given bucket-key values (at most ``buckets`` ints
+        come back to the driver)."""
+        return {r[0] for r in self._bucket(keys_df, self.bucket_by or keys_df.columns)
+                .select("__b").distinct().collect()}
 
     def replace_keys(self, batch: DataFrame, keys: Sequence[str], batch_id: int,
                      merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> None:
-        """New version = previous rows whose keys are not in ``batch`` plus the
-        batch rows (``merge(batch, previous)`` may carry columns over first)."""
+        """New version of the touched buckets = their previous rows whose keys
+        are not in ``batch`` plus the batch rows (``merge(batch, previous)``
+        may carry columns over first).  A replayed batch id is skipped."""
         spark = batch.sparkSession
-        if batch_id in _committed_versions(spark, self.root):
+        if batch_id in self._layout(spark):
+            return
+        b = self._bucket(batch, keys)
+        touched = [r[0] for r in b.select("__b").distinct().collect()]  # at most ``buckets`` ints
+        if not touched:
             return
-        prev = self.read(spark, below=batch_id)
+        prev = self.read(spark, below=batch_id, buckets=set(touched))
         if prev is not None:
             if merge is not None:
                 batch = merge(batch, prev)
             kept = prev.join(batch.select(*keys).distinct(), list(keys), "left_anti")
             batch = kept.unionByName(batch.select(*prev.columns))
-        batch.write.mode("overwrite").parquet(self.path(batch_id))
+        self._bucket(batch, keys).write.mode("overwrite").partitionBy("__b").parquet(self.path(batch_id))
 
 
 class AppendTable:
