@@ -54,8 +54,9 @@ def create_rooms(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def distinct_task_names(tasks: DataFrame, key: str = "request_id") -> DataFrame:
     """The browser keeps task names in a Set: one task per (request, name),
-    the first by position, with its own minutes.  ``min_by`` is a partial
-    aggregate, so a long list is not sorted in one task."""
+    the first by position, with its own minutes.  ``min_by`` is aggregated
+    partially before the shuffle, so a long list is reduced per input
+    partition first."""
     first = F.min_by(F.struct("pos", "minutes"), F.col("pos"))
     return tasks.groupBy(key, "name").agg(first.alias("__f")).select(
         key, F.col("__f.pos").alias("pos"), "name", F.col("__f.minutes").alias("minutes"))

@@ -20,8 +20,10 @@ VOTE_ORDER = ("ts", "l_orderkey", "l_linenumber", "l_quantity")
 def latest_vote(log: DataFrame, keys: Sequence[str] = ("task_id", "person_id"),
                 order: Sequence[str] = VOTE_ORDER, carry: Sequence[str] = ("room_id", "score")) -> DataFrame:
     """Repeated UPDATE semantics: the last row per key by the total ``order``
-    wins.  ``max_by`` over a struct of the order columns is a partial
-    aggregate (no sort, no window), so one busy key costs one hash slot."""
+    wins.  ``max_by`` over a struct of the order columns is aggregated
+    partially before the shuffle (no window), so one busy key is reduced to
+    one row per input partition.  Struct buffers make Spark run it as a
+    sort-based aggregate."""
     best = F.max_by(F.struct(*carry), F.struct(*order))
     return (log.groupBy(*keys).agg(best.alias("__b"))
             .select(*[F.col(f"__b.{c}").alias(c) for c in carry], *keys))
