@@ -33,15 +33,21 @@ def main() -> None:
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     # warm-up: JVM, code paths and the Parquet footers
     QUERIES["task_median"](spark, sf_dir).agg(F.count(F.lit(1))).collect()
-    times = {}
+    times, failed = {}, {}
     for n in names:
         t0 = time.perf_counter()
-        df = QUERIES[n](spark, sf_dir)
-        df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).collect()
-        times[n] = round(time.perf_counter() - t0, 3)
+        try:
+            df = QUERIES[n](spark, sf_dir)
+            df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).collect()
+            times[n] = round(time.perf_counter() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - report, keep the line
+            failed[n] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+    out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":

@@ -1,7 +1,8 @@
 """New-room requests: validate the task list, create rooms and tasks.
 
 A request is (request_id, name_room, tasks_xml).  One bad task rejects the
-whole request.  Everything is one shuffle by request.
+whole request.  Tasks are shredded row by row; validity is an aggregation by
+request joined back on the request key.
 """
 
 from __future__ import annotations
