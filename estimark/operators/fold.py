@@ -42,6 +42,7 @@ class Fold:
     segments: DataFrame    # one row per marker: opener, closer, open_task, flags
     votes: DataFrame       # ChangeVote rows with their active task and reason
     first_done: DataFrame  # (room_id, task_id, first_seg, completed_ts)
+    rejected: DataFrame | None = None  # commands refused before the fold (room_id, event_id, reason)
 
 
 def resolve_starts(cmds: DataFrame, ordinals: DataFrame) -> DataFrame:
@@ -62,10 +63,20 @@ def resolve_starts(cmds: DataFrame, ordinals: DataFrame) -> DataFrame:
 
 
 def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,
-         chunk_unit: str = "hour", stop_after_finish: bool = False, checkpoint: bool = True) -> Fold:
+         chunk_unit: str = "hour", stop_after_finish: bool = False, checkpoint: bool = True,
+         creators: DataFrame | None = None) -> Fold:
     """``cmds``: (room_id, ts, event_id, person_no, kind, task_ordinal, score,
     vote) of well-formed messages.  ``ordinals``: (room_id, task_id, task_ord).
-    ``members``: optional (room_id, person_no) holders of a slot in the room."""
+    ``members``: optional (room_id, person_no) holders of a slot in the room.
+    ``creators``: optional (room_id, person_no); when given, Start / Stop /
+    Finish from anyone else are refused ('not_creator') instead of applied."""
+    rejected = None
+    if creators is not None:
+        c = creators.select("room_id", "person_no").distinct().withColumn("__creator", F.lit(True))
+        cmds = cmds.join(c, ["room_id", "person_no"], "left")
+        refused = F.col("kind").isin(START, STOP, FINISH) & F.col("__creator").isNull()
+        rejected = cmds.filter(refused).select("room_id", "event_id", F.lit("not_creator").alias("reason"))
+        cmds = cmds.filter(~refused).drop("__creator")
     ev = resolve_starts(cmds, ordinals)
     is_marker = F.col("kind").isin(START, STOP)
     ev = running(ev.withColumn("__m", is_marker.cast("int")), ["room_id"], ["ts", "event_id"],
@@ -109,7 +120,7 @@ def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,
     reason = (F.when(F.col("__after_finish"), "room_finished").when(F.col("task_id").isNull(), "no_active_task")
               .when(F.col("__slot").isNull(), "no_slot"))
     v = v.withColumn("reason", reason).drop("__slot", "__after_finish")
-    return Fold(ev.drop("__after_finish", "__fin"), seg, v, first)
+    return Fold(ev.drop("__after_finish", "__fin"), seg, v, first, rejected)
 
 
 def valid_votes(f: Fold) -> DataFrame:

@@ -17,4 +17,5 @@ def quarantine(parsed_messages: DataFrame, f: Fold) -> DataFrame:
     xml = (with_change(parsed_messages.filter(F.col("reason").isNull() & F.col("kind").isin("ChangeVote", "StartVoting")))
            .filter(F.col("__c.bad_xml")).select("room_id", "event_id", F.lit("bad_xml").alias("reason")))
     votes = late_votes(f).select("room_id", "event_id", "reason")
-    return fmt.unionByName(xml).unionByName(votes).unionByName(segment_flags(f))
+    out = fmt.unionByName(xml).unionByName(votes).unionByName(segment_flags(f))
+    return out.unionByName(f.rejected) if f.rejected is not None else out

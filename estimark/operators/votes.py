@@ -16,6 +16,9 @@ from estimark.operators.scan import ordinal
 
 VOTE_ORDER = ("ts", "l_orderkey", "l_linenumber", "l_quantity")
 
+# The cards of the voting deck, as the room page offers them.
+DECK = (1, 2, 3, 5, 8, 13, 20, 40, 999, 777)
+
 
 def latest_vote(log: DataFrame, keys: Sequence[str] = ("task_id", "person_id"),
                 order: Sequence[str] = VOTE_ORDER, carry: Sequence[str] = ("room_id", "score")) -> DataFrame:
@@ -82,11 +85,14 @@ def vote_ordinals(votes: DataFrame) -> DataFrame:
 
 
 def decode_scores(votes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Card label: the dictionary meaning of a sentinel, else the number."""
+    """Card label: the dictionary meaning of a sentinel, else the number; and
+    ``in_deck``, whether the score is a card of the deck (scores are not
+    checked when votes arrive, so this is an audit column, not a filter)."""
     d = F.broadcast(dictionary.select(F.col("score").alias("__ds"), "meaning"))
     j = votes.join(d, votes["score"] == d["__ds"], "left")
     return j.select("room_id", "task_id", "person_id", "score",
-                    F.coalesce("meaning", F.col("score").cast("string")).alias("label"))
+                    F.coalesce("meaning", F.col("score").cast("string")).alias("label"),
+                    F.coalesce(F.col("score").isin(*DECK), F.lit(False)).alias("in_deck"))
 
 
 def voted_flags(log: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def q_vote_ordinals(spark, sf):
 
 
 @register("decode_scores", ["latest_votes", "b_dictionary"], """select v.room_id, v.task_id, v.person_id, v.score,
-  coalesce(d.meaning, cast(v.score as varchar)) label
+  coalesce(d.meaning, cast(v.score as varchar)) label, coalesce(v.score in (1, 2, 3, 5, 8, 13, 20, 40, 999, 777), false) in_deck
 from latest_votes v left join b_dictionary d on v.score = d.score""")
 def q_decode_scores(spark, sf):
     return V.decode_scores(latest(spark, sf), B.b_dictionary(spark))

@@ -120,3 +120,12 @@ def test_chunking_does_not_change_the_fold(spark):
     assert rows_of(a.events.select("event_id", "seg")) == rows_of(b.events.select("event_id", "seg"))
     d = B.b_dictionary(spark)
     assert rows_of(FO.room_state_fold(a, d)) == rows_of(FO.room_state_fold(b, d))
+
+
+def test_creator_only(spark):
+    creators = spark.createDataFrame([(1, 0)], "room_id long, person_no long")
+    f = _fold(spark, [(1, 0, 9, "StartVoting", 1), (1, 1, 0, "StartVoting", 2), (1, 2, 5, "ChangeVote", 8),
+                      (1, 3, 9, "StopVoting", None), (1, 4, 0, "StopVoting", None)], creators=creators)
+    assert rows_of(f.rejected, "event_id", "reason") == [(0, "not_creator"), (3, "not_creator")]
+    assert rows_of(FO.stop_voting(f, B.b_dictionary(spark)), "task_id", "median") == [(12, Decimal("8.00"))]
+    assert rows_of(FO.segment_flags(f), "reason") == []

@@ -69,3 +69,5 @@ def test_vote_ordinals_dense_per_task(spark):
 def test_decode_scores(spark):
     got = rows_of(V.decode_scores(_votes(spark, [777, 999, 0, 8]), B.b_dictionary(spark)), "score", "label")
     assert got == [(0, "Not voice"), (777, "Question"), (8, "8"), (999, "Coffee break")]
+    deck = rows_of(V.decode_scores(_votes(spark, [0, 8, 7, 777]), B.b_dictionary(spark)), "score", "in_deck")
+    assert deck == [(0, False), (7, False), (777, True), (8, True)]
