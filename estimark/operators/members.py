@@ -89,3 +89,11 @@ def cascade_delete(deleted_rooms: DataFrame, children: dict[str, DataFrame]) ->
     """ON DELETE CASCADE: each child table without the rows of deleted rooms."""
     gone = deleted_rooms.select("room_id").distinct()
     return {name: df.join(gone, "room_id", "left_anti") for name, df in children.items()}
+
+
+def resolve_rooms(log: DataFrame, rooms: DataFrame, guid: str = "room_guid") -> DataFrame:
+    """Natural key to surrogate key for rooms: ``guid`` to room_id by a left
+    join on a one-row-per-GUID lookup; unknown GUIDs get reason 'unknown_room'."""
+    look = rooms.groupBy(F.col("room_guid").alias("__g")).agg(F.min("room_id").alias("room_id"))
+    j = log.join(look, log[guid] == look["__g"], "left").drop("__g")
+    return j.withColumn("reason", F.when(F.col("room_id").isNull(), "unknown_room"))

@@ -114,3 +114,9 @@ def test_paged_view_equals_single_page(spark):
     assert flat(paged) == flat(one)
     back = S.parse_room_xml(S.room_snapshot_xml(paged))
     assert rows_of(S.snapshot_summary(back)) == rows_of(S.snapshot_summary(one))
+
+
+def test_resolve_rooms(spark):
+    rooms = spark.createDataFrame([(1, "g-1"), (2, "g-2")], "room_id long, room_guid string")
+    log = spark.createDataFrame([(10, "g-2"), (11, "nope")], "event_id long, room_guid string")
+    assert rows_of(M.resolve_rooms(log, rooms), "event_id", "room_id", "reason") == [(10, 2, None), (11, None, "unknown_room")]
