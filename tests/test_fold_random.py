@@ -100,3 +100,32 @@ def test_fold_equals_sequential_rules(spark, seed):
              rows_of(FO.room_state_fold(f, d), "room_id", "task_id", "on_active", "completed", "n_segments")}
     assert state == {(r, t): (exp["active"].get(r) == t, (r, t) in exp.get("completed", set()), n)
                      for (r, t), n in exp["segments"].items()}
+
+
+@pytest.mark.parametrize("seed,cuts", [(5, (60, 200, 210, 400)), (17, (1, 2, 250))])
+def test_incremental_fold_equals_sequential_rules(spark, seed, cuts):
+    from estimark.streaming.incremental import FoldState, apply_batch
+    from estimark.streaming.sinks import scratch_root
+    rooms = list(range(1, 9))
+    rows = _random_log(seed, rooms)
+    ordinals = {(r, k): 100 * r + 10 * k for r in rooms for k in (1, 2, 3)}
+    members = {(r, p) for r in rooms for p in (0, 1, 2)}
+    exp = simulate(rows, ordinals, members)
+
+    o = spark.createDataFrame([(r, t, k) for (r, k), t in ordinals.items()], "room_id long, task_id long, task_ord int")
+    m = spark.createDataFrame(sorted(members), "room_id long, person_no long")
+    st = FoldState(scratch_root(spark, "inc"))
+    all_cmds = cmds(spark, rows)
+    bounds = [0, *cuts, len(rows)]
+    for b, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        part = all_cmds.filter((all_cmds.event_id >= lo) & (all_cmds.event_id < hi))
+        apply_batch(spark, st, part, m, o, B.b_dictionary(spark), b, chunk_unit="minute")
+    got = st.task_states(spark)
+    state = {(r, t): (a, c, n) for r, t, a, c, n in rows_of(got, "room_id", "task_id", "on_active", "completed",
+                                                             "n_segments")}
+    assert state == {(r, t): (exp["active"].get(r) == t, (r, t) in exp.get("completed", set()), n)
+                     for (r, t), n in exp["segments"].items()}
+    assert {(r, t): med for r, t, med, c in rows_of(got, "room_id", "task_id", "median", "completed") if c} \
+        == exp["results"]
+    q = rows_of(st.quarantine.read(spark), "event_id", "reason")
+    assert q == sorted(exp["late"] + exp["flags"], key=repr)
