@@ -82,6 +82,16 @@ class VersionedTable:
         paths = self._paths(spark, below, buckets)
         return spark.read.parquet(*paths) if paths else None
 
+    def compact(self, spark: SparkSession, version: int, keys: Sequence[str]) -> None:
+        """Write the whole table as one version ``version`` (every bucket), so
+        reads look at one folder per bucket again.  Use a version id above
+        every committed one; older versions can then be removed."""
+        if version in self._layout(spark):
+            return
+        cur = self.read(spark)
+        if cur is not None:
+            self._bucket(cur, keys).write.mode("overwrite").partitionBy("__b").parquet(self.path(version))
+
     def _bucket(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         cols = self.bucket_by or list(keys)
         return df.withColumn("__b", F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int"))

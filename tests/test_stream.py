@@ -76,6 +76,9 @@ def test_versioned_table_rewrites_only_touched_buckets(spark):
     got = dict(rows_of(t.read(spark)))
     assert len(got) == 40 and got[3] == "v1" and got[4] == "v0"
     assert dict(rows_of(t.read(spark, below=1)))[3] == "v0"
+    t.compact(spark, 2, ["k"])
+    assert len(t._paths(spark, None)) == 8 and all("v=000000000002" in p for p in t._paths(spark, None))
+    assert dict(rows_of(t.read(spark))) == got
 
 
 def test_replayed_batch_is_idempotent(spark):
