@@ -56,11 +56,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage of an intermediate that several outputs read: a reliable
-    checkpoint into the shared ``spark.checkpoint.dir`` (survives the loss of
-    executors, unlike a cache or a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    df = df.persist()  # the checkpoint write then reads this instead of recomputing
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    """Cut the lineage of an intermediate that several outputs read: write it
+    as a Parquet table in the shared ``spark.checkpoint.dir`` and read it back.
+
+    One job (a checkpoint needs a second one, or a cache), survives the loss
+    of executors (unlike a cache or a local checkpoint), and the read-back
+    relation gets column pruning and statistics, which a checkpointed RDD
+    does not."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/estimark-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
