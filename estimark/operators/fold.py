@@ -254,8 +254,9 @@ def time_box(f: Fold, tasks: DataFrame) -> DataFrame:
         F.col("closed_ts").alias("end_ts"))
     j = s.join(tasks.select("task_id", "minutes"), "task_id", "left")
     box = F.col("minutes").cast("bigint") * 60
-    elapsed = (F.unix_seconds(F.col("end_ts").cast("timestamp"))
-               - F.unix_seconds(F.col("start_ts").cast("timestamp")))
+    # whole-second boundaries between the two wall-clock times (no time zone involved)
+    elapsed = F.timestamp_diff("SECOND", F.date_trunc("second", F.col("start_ts")),
+                               F.date_trunc("second", F.col("end_ts")))
     remaining = F.when(elapsed.isNotNull(), F.greatest(box - elapsed, F.lit(0).cast("bigint")))
     text = F.format_string("%d-m: %d-sec", F.floor(remaining / 60).cast("bigint"), (remaining % 60).cast("bigint"))
     return j.select("room_id", "seg", "task_id", "start_ts", "end_ts", "minutes",

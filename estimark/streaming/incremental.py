@@ -229,7 +229,7 @@ def live_time_box(st: FoldState, spark: SparkSession, tasks: DataFrame, now=None
     rooms = st._read(spark, st.rooms, ROOMS_SCHEMA).filter(F.col("last_task").isNotNull())
     j = rooms.join(tasks.select(F.col("task_id").alias("last_task"), "minutes"), "last_task", "left")
     box = F.col("minutes").cast("bigint") * 60
-    elapsed = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_ts").cast("timestamp"))
+    elapsed = F.timestamp_diff("SECOND", F.date_trunc("second", F.col("last_ts")), F.date_trunc("second", now))
     remaining = F.greatest(box - elapsed, F.lit(0).cast("bigint"))
     return j.select(
         "room_id", F.col("last_task").alias("task_id"), F.col("last_ts").alias("start_ts"), "minutes",
