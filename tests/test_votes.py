@@ -71,3 +71,19 @@ def test_decode_scores(spark):
     assert got == [(0, "Not voice"), (777, "Question"), (8, "8"), (999, "Coffee break")]
     deck = rows_of(V.decode_scores(_votes(spark, [0, 8, 7, 777]), B.b_dictionary(spark)), "score", "in_deck")
     assert deck == [(0, False), (7, False), (777, True), (8, True)]
+
+
+def test_results_grid_masks_and_pivots(spark):
+    from decimal import Decimal as D
+
+    from estimark.operators.grid import pivot_grid, results_grid
+    votes = spark.createDataFrame([(1, 7, 30, 5), (1, 7, 10, 8), (2, 9, 10, 3)],
+                                  "room_id int, task_id long, person_id long, score int")
+    persons = spark.createDataFrame([(10, "ann"), (30, "bob")], "person_id long, login_name string")
+    medians = spark.createDataFrame([(7, D("6.50")), (9, D("3.00"))], "task_id long, median decimal(9,2)")
+    active = spark.createDataFrame([(1, False), (2, True)], "room_id int, has_active boolean")
+    cells = results_grid(votes, persons, medians, active)
+    assert rows_of(cells, "task_id", "person_ord", "login_name", "score") == [
+        (7, 1, "ann", 8), (7, 2, "bob", 5), (9, 1, "ann", None)]
+    wide = pivot_grid(cells, [1, 2]).orderBy("task_id").collect()
+    assert [(r["task_id"], r["1"], r["2"], r["median"]) for r in wide] == [(7, 8, 5, D("6.50")), (9, None, None, D("3.00"))]
