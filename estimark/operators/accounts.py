@@ -99,11 +99,14 @@ def recovery_link_of(accounts: DataFrame, links: DataFrame) -> DataFrame:
 def recovery_redeem(redeems: DataFrame, links: DataFrame) -> DataFrame:
     """Redeem links: a redeem succeeds when its link exists and is active and
     it is the first redeem of that link (by ts, id); success deactivates the
-    link, so later redeems of it fail.  Returns every redeem with ``ok`` and
+    link, so later redeems of it fail.  Links compare without case (mails
+    carry them lower-cased).  Returns every redeem with ``ok`` and
     the account whose password it sets."""
-    first = redeems.groupBy("link").agg(F.min_by("redeem_id", F.struct("ts", "redeem_id")).alias("__first"))
-    act = links.filter("is_active").groupBy("link").agg(F.max("account_id").alias("account_id"))
-    j = redeems.join(first, "link", "left").join(act, "link", "left")
+    r = redeems.withColumn("__k", key_text(F.col("link")))
+    first = r.groupBy("__k").agg(F.min_by("redeem_id", F.struct("ts", "redeem_id")).alias("__first"))
+    act = (links.filter("is_active").groupBy(key_text(F.col("link")).alias("__k"))
+           .agg(F.max("account_id").alias("account_id")))
+    j = r.join(first, "__k", "left").join(act, "__k", "left")
     ok = F.col("account_id").isNotNull() & (F.col("redeem_id") == F.col("__first"))
     return j.select("redeem_id", "ts", "link", F.when(ok, F.col("account_id")).alias("account_id"),
                     F.coalesce(ok, F.lit(False)).alias("ok"))

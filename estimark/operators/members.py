@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estimark.functions.rules import key_text
 from estimark.operators.scan import ordinal
 
 
@@ -65,10 +66,11 @@ def creator_role(rooms: DataFrame, persons: DataFrame, pairs: DataFrame) -> Data
 
 def room_exists(rooms: DataFrame, probes: DataFrame, probe: str = "probe") -> DataFrame:
     """Existence probe by room GUID after the 36-character length check; the
-    active flag is not looked at."""
-    guids = rooms.select(F.col("room_guid").alias("__g")).distinct().withColumn("__hit", F.lit(True))
+    active flag is not looked at.  GUIDs compare without case (links carry
+    them lower-cased)."""
+    guids = rooms.select(key_text(F.col("room_guid")).alias("__g")).distinct().withColumn("__hit", F.lit(True))
     p = probes.select(probe).distinct()
-    j = p.join(guids, p[probe] == guids["__g"], "left")
+    j = p.join(guids, key_text(p[probe]) == guids["__g"], "left")
     return j.select(probe, ((F.length(probe) == 36) & F.coalesce("__hit", F.lit(False))).alias("room_exists"))
 
 
@@ -94,6 +96,6 @@ def cascade_delete(deleted_rooms: DataFrame, children: dict[str, DataFrame]) ->
 def resolve_rooms(log: DataFrame, rooms: DataFrame, guid: str = "room_guid") -> DataFrame:
     """Natural key to surrogate key for rooms: ``guid`` to room_id by a left
     join on a one-row-per-GUID lookup; unknown GUIDs get reason 'unknown_room'."""
-    look = rooms.groupBy(F.col("room_guid").alias("__g")).agg(F.min("room_id").alias("room_id"))
-    j = log.join(look, log[guid] == look["__g"], "left").drop("__g")
+    look = rooms.groupBy(key_text(F.col("room_guid")).alias("__g")).agg(F.min("room_id").alias("room_id"))
+    j = log.join(look, key_text(log[guid]) == look["__g"], "left").drop("__g")
     return j.withColumn("reason", F.when(F.col("room_id").isNull(), "unknown_room"))

@@ -168,9 +168,9 @@ def q_recovery_link_of(spark, sf):
 
 @register("recovery_redeem", ["b_recovery_requests", "b_accounts", "b_redeems"], f"""select r.redeem_id, r.ts, r.link,
   case when ok then s.account_id end account_id, coalesce(ok, false) ok from (
-  select r.*, s.account_id is not null and row_number() over (partition by r.link order by r.ts, r.redeem_id) = 1 ok,
-    s.account_id from b_redeems r left join (select link, max(account_id) account_id from ({RECOVERY_SQL}) where is_active
-    group by link) s on r.link = s.link) r""".replace("case when ok then s.account_id", "case when ok then r.account_id"))
+  select r.*, s.account_id is not null and row_number() over (partition by lower(rtrim(r.link)) order by r.ts, r.redeem_id) = 1 ok,
+    s.account_id from b_redeems r left join (select lower(rtrim(link)) k, max(account_id) account_id from ({RECOVERY_SQL})
+    where is_active group by 1) s on lower(rtrim(r.link)) = s.k) r""".replace("case when ok then s.account_id", "case when ok then r.account_id"))
 def q_recovery_redeem(spark, sf):
     return A.recovery_redeem(B.b_redeems(spark, sf), _recovery(spark, sf))
 

@@ -64,7 +64,7 @@ def q_creator_role(spark, sf):
 
 
 @register("room_exists", ["b_room_probes", "b_rooms"], """select probe,
-  length(probe) = 36 and exists (select 1 from b_rooms r where r.room_guid = p.probe) room_exists
+  length(probe) = 36 and exists (select 1 from b_rooms r where lower(rtrim(r.room_guid)) = lower(rtrim(p.probe))) room_exists
 from (select distinct probe from b_room_probes) p""")
 def q_room_exists(spark, sf):
     return M.room_exists(B.b_rooms(spark, sf), B.b_room_probes(spark, sf))

@@ -75,3 +75,9 @@ def test_registration_in_batch_equals_one_at_a_time(spark):
     rq = spark.createDataFrame(reqs, "request_id long, ts timestamp_ntz, login_name string, email string")
     got = dict(rows_of(A.register_users_in_batch(rq, acc), "request_id", "outcome"))
     assert got == _sequential(base, reqs)
+
+
+def test_redeem_link_ignores_case(spark):
+    links = spark.createDataFrame([(1, "ABC-DEF", True)], "account_id long, link string, is_active boolean")
+    red = spark.createDataFrame([(1, _t(1), "abc-def")], "redeem_id long, ts timestamp_ntz, link string")
+    assert rows_of(A.recovery_redeem(red, links), "redeem_id", "ok") == [(1, True)]
