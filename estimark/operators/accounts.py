@@ -159,7 +159,7 @@ def register_users_in_batch(requests: DataFrame, accounts: DataFrame, order=("ts
         clash_l = rest.join(newly.select("__l"), "__l", "left_semi").select("request_id")
         undecided = rest.join(clash_e.unionByName(clash_l), "request_id", "left_anti")
     if accepted is None:
-        accepted = base.select("request_id", "__e", "__l", "__o").limit(0)
+        accepted = base.select("request_id", "__e", "__l", "__o").filter(F.lit(False))  # none accepted
     elif checkpoint:
         accepted = materialize(accepted)
     a_ids = accepted.select("request_id", F.lit(True).alias("__acc"))
