@@ -21,7 +21,7 @@ def census(plan: str) -> dict:
         "sort_aggregates": plan.count("SortAggregate"),
         "object_aggregates": plan.count("ObjectHashAggregate"),
         "python": plan.count("EvalPython") + plan.count("InPandas"),
-        "scans": re.findall(r"ReadSchema: (struct<[^>]*>)", plan),
+        "scans": re.findall(r"ReadSchema: (\S+)", plan),
     }
 
 
