@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from estimark.operators import votes as V
 from estimark.plans.registry import register
