@@ -68,7 +68,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
     for out, (kind, _) in aggs.items():
         lo, ca = F.col(f"__l_{out}"), F.col(f"__c_{out}")
         if kind in ("count", "sum"):
-            outs.append((F.coalesce(ca, F.lit(0)) + lo).alias(out))
+            # NULL only when every value so far is NULL, as the window's sum
+            outs.append(F.when(ca.isNull() & lo.isNull(), F.lit(None))
+                        .otherwise(F.coalesce(ca, F.lit(0)) + F.coalesce(lo, F.lit(0))).alias(out))
         else:
             outs.append(F.greatest(ca, lo).alias(out))
     keep = [c for c in df.columns]

@@ -30,3 +30,36 @@ def test_ordinal_equals_row_number(spark):
     got = ordinal(df, ["g"], ["id"], "rn", chunk=id_chunk("id", 11))
     exp = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("id")))
     assert rows_of(got, "g", "id", "rn") == rows_of(exp, "g", "id", "rn")
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("width", [1, 2, 1000, 1 << 40])
+def test_running_any_chunk_width(spark, width):
+    df = _data(spark, 200, width % 97)
+    got = running(df, ["g"], ["id"], id_chunk("id", width), {"s": ("sum", "v"), "m": ("max", "v")})
+    w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exp = df.select("*", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"))
+    assert rows_of(got, "g", "id", "s", "m") == rows_of(exp, "g", "id", "s", "m")
+
+
+def test_running_with_ties_in_order_and_nulls(spark):
+    """Rows tied on the order get distinct running counts; NULL values are
+    ignored by sum/max as in the window."""
+    rows = [(1, 5, None), (1, 5, 3), (1, 6, 1), (1, 7, None), (2, 1, 4)]
+    df = spark.createDataFrame(rows, "g long, id long, v int")
+    got = running(df, ["g"], ["id"], id_chunk("id", 2), {"c": ("count", None), "s": ("sum", "v")})
+    r = sorted((x["g"], x["id"], x["c"], x["s"]) for x in got.collect())
+    assert [(g, i, c) for g, i, c, _ in r] in ([(1, 5, 1), (1, 5, 2), (1, 6, 3), (1, 7, 4), (2, 1, 1)],
+                                               [(1, 5, 2), (1, 5, 1), (1, 6, 3), (1, 7, 4), (2, 1, 1)])
+    assert [s for g, i, c, s in r if i >= 6] == [4, 4]
+
+
+def test_running_sum_null_after_carry(spark):
+    rows = [(1, 0, 3), (1, 2, None), (1, 3, 4), (1, 4, None), (2, 0, None)]
+    df = spark.createDataFrame(rows, "g long, id long, v int")
+    got = running(df, ["g"], ["id"], id_chunk("id", 2), {"s": ("sum", "v")})
+    w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exp = df.select("*", F.sum("v").over(w).alias("s"))
+    assert rows_of(got, "g", "id", "s") == rows_of(exp, "g", "id", "s")
