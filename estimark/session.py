@@ -23,9 +23,6 @@ _LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
-    # checkpoints of intermediates (one set per fold / micro-batch) are removed
-    # once nothing references them
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -47,10 +44,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
+    current = sc.getConf().get("spark.checkpoint.dir", None)
+    if not current:  # local runs only: the cluster names a shared folder
         current = tempfile.mkdtemp(prefix="estimark-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 
