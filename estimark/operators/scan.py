@@ -41,26 +41,26 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
         Window.unboundedPreceding, Window.currentRow)
     w_carry = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
+    w_chunk = Window.partitionBy(*ck)
     local_cols, total_cols, carry_cols = [], [], []
     for out, (kind, val) in aggs.items():
         v = F.lit(1) if kind == "count" else _col(val)
         if kind in ("count", "sum"):
             local_cols.append(F.sum(v).over(w_local).alias(f"__l_{out}"))
-            local_cols.append(v.alias(f"__v_{out}"))
-            total_cols.append(F.sum(f"__v_{out}").alias(f"__t_{out}"))
+            local_cols.append(F.sum(v).over(w_chunk).alias(f"__v_{out}"))
             carry_cols.append(F.sum(f"__t_{out}").over(w_carry).alias(f"__c_{out}"))
         elif kind == "max":
             local_cols.append(F.max(v).over(w_local).alias(f"__l_{out}"))
-            local_cols.append(v.alias(f"__v_{out}"))
-            total_cols.append(F.max(f"__v_{out}").alias(f"__t_{out}"))
+            local_cols.append(F.max(v).over(w_chunk).alias(f"__v_{out}"))
             carry_cols.append(F.max(f"__t_{out}").over(w_carry).alias(f"__c_{out}"))
         else:
             raise ValueError(kind)
+        total_cols.append(F.first(f"__v_{out}").alias(f"__t_{out}"))
 
-    # The local window shuffles the rows once, by (keys, chunk).  The chunk
-    # totals are aggregated from that output, which is already partitioned
-    # that way, so they cost no second shuffle of the input; only the small
-    # totals table moves (to compute the carries and to meet the rows again).
+    # One shuffle of the rows, by (keys, chunk), feeds both windows: the running
+    # value and the chunk's total.  The totals are read from that output (one
+    # row per chunk), so the input is not recomputed for them; only the small
+    # totals table moves, to compute the carries and to meet the rows again.
     local = d.select("*", *local_cols)
     carry = local.groupBy(*ck).agg(*total_cols).select(*ck, *carry_cols)
     joined = local.join(carry, ck, "left")
