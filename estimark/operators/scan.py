@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CHUNK = "__chunk"
+_KEY = "__key"
 
 
 def _col(c) -> Column:
@@ -34,35 +35,36 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
     """Add running aggregates ``{out: (kind, value)}`` with kind in count/sum/max,
     over rows of each ``keys`` group ordered by ``order`` (unbounded preceding
     to current row).  ``chunk`` must not decrease along ``order``."""
-    keys = list(keys)
-    ck = keys + [_CHUNK]
-    d = df.withColumn(_CHUNK, chunk)
+    # the keys travel as one struct column: a struct is never NULL and compares
+    # NULL fields as equal, so NULL keys form one group (as in a window) and
+    # the carry join stays a plain equi-join, co-partitioned with the windows
+    ck = [_KEY, _CHUNK]
+    d = df.withColumn(_KEY, F.struct(*keys)).withColumn(_CHUNK, chunk)
     w_local = Window.partitionBy(*ck).orderBy(*[_col(o) for o in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    w_carry = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    w_carry = Window.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
-    w_chunk = Window.partitionBy(*ck)
     local_cols, total_cols, carry_cols = [], [], []
     for out, (kind, val) in aggs.items():
         v = F.lit(1) if kind == "count" else _col(val)
         if kind in ("count", "sum"):
             local_cols.append(F.sum(v).over(w_local).alias(f"__l_{out}"))
-            local_cols.append(F.sum(v).over(w_chunk).alias(f"__v_{out}"))
+            total_cols.append(F.sum(v).alias(f"__t_{out}"))
             carry_cols.append(F.sum(f"__t_{out}").over(w_carry).alias(f"__c_{out}"))
         elif kind == "max":
             local_cols.append(F.max(v).over(w_local).alias(f"__l_{out}"))
-            local_cols.append(F.max(v).over(w_chunk).alias(f"__v_{out}"))
+            total_cols.append(F.max(v).alias(f"__t_{out}"))
             carry_cols.append(F.max(f"__t_{out}").over(w_carry).alias(f"__c_{out}"))
         else:
             raise ValueError(kind)
-        total_cols.append(F.first(f"__v_{out}").alias(f"__t_{out}"))
 
-    # One shuffle of the rows, by (keys, chunk), feeds both windows: the running
-    # value and the chunk's total.  The totals are read from that output (one
-    # row per chunk), so the input is not recomputed for them; only the small
-    # totals table moves, to compute the carries and to meet the rows again.
+    # The rows are shuffled once, by (keys, chunk), for the running window.
+    # The chunk totals are a separate aggregation that Spark runs partially
+    # before its shuffle (and prunes to the columns it needs), so only about
+    # one row per chunk and input partition moves for them; the carries are a
+    # window over that small table, which then meets the rows again.
     local = d.select("*", *local_cols)
-    carry = local.groupBy(*ck).agg(*total_cols).select(*ck, *carry_cols)
+    carry = d.groupBy(*ck).agg(*total_cols).select(*ck, *carry_cols)
     joined = local.join(carry, ck, "left")
     outs = []
     for out, (kind, _) in aggs.items():

@@ -63,3 +63,11 @@ def test_running_sum_null_after_carry(spark):
     w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     exp = df.select("*", F.sum("v").over(w).alias("s"))
     assert rows_of(got, "g", "id", "s") == rows_of(exp, "g", "id", "s")
+
+
+def test_running_null_key_is_one_group(spark):
+    rows = [(None, 1, 1), (None, 5, 1), (None, 9, 1), (7, 2, 1)]
+    df = spark.createDataFrame(rows, "g long, id long, v int")
+    got = running(df, ["g"], ["id"], id_chunk("id", 2), {"c": ("count", None)})
+    assert rows_of(got, "g", "id", "c") == rows_of(spark.createDataFrame(
+        [(None, 1, 1), (None, 5, 2), (None, 9, 3), (7, 2, 1)], "g long, id long, c long"))
