@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 # application name and host are settings, so they are parameters here.
 WELCOME = "Dear User!, %s. You have successfully registered with %s with login: %s"
 RECOVERY = "Dear User!, %s. An attempt was made to restore your account. To change your password, follow the link: %s"
-INVITATION = "%s%s%s"
 ROOM_PATH = "rooms?roomId="
 RESTORE_PATH = "change-password-form?linkRestore="
 
