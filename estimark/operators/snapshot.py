@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estimark.operators.members import connected_persons, person_ordinals, task_ordinals
-from estimark.operators.scan import ordinal
+from estimark.operators.members import connected_persons, person_ordinals
+from estimark.operators.scan import id_chunk, running
 from estimark.operators.votes import vote_ordinals
 
 UNKNOWN_ROOM = "UnknownRoom"
@@ -60,18 +60,25 @@ def room_snapshot(rooms: DataFrame, persons: DataFrame, connections: DataFrame,
 
     pv = vote_ordinals(votes.select("task_id", "person_id", "vote", "score")).select(
         "task_id", F.col("person_ord").alias("vote_ord"), "vote", "score")
-    t = (task_ordinals(tasks.select("room_id", "task_id", "name", "minutes", "completed", "on_active"))
+    # Cells of a room in view order: a task with n votes has n cells, one with
+    # none has one.  One running scan over the tasks gives each task both its
+    # ordinal and the number of cells before it; a cell's index is then that
+    # offset plus its vote ordinal - no scan over the cells themselves.
+    n_votes = pv.groupBy("task_id").agg(F.max("vote_ord").alias("__nv"))
+    t = (tasks.select("room_id", "task_id", "name", "minutes", "completed", "on_active")
+         .join(n_votes, "task_id", "left")
+         .withColumn("__cells", F.greatest(F.coalesce("__nv", F.lit(0)), F.lit(1))))
+    t = running(t, ["room_id"], ["task_id"], id_chunk("task_id"),
+                {"task_ord": ("count", None), "__upto": ("sum", "__cells")})
+    t = (t.withColumn("task_ord", F.col("task_ord").cast("int"))
+         .withColumn("__offset", F.col("__upto") - F.col("__cells"))
          .join(results.select("task_id", "median"), "task_id", "left"))
-    # tasks x their votes, and tasks without votes: an inner join (AQE may split a
-    # hot task's votes on either side) plus an anti join, rather than a left
-    # join whose skewed side (the votes) could not be split.
-    voted = t.join(pv, "task_id")
-    silent = t.join(pv.select("task_id").distinct(), "task_id", "left_anti").select(
+    voted = t.join(pv, "task_id").withColumn("cell_ix", F.col("__offset") + F.col("vote_ord"))
+    silent = t.filter(F.col("__nv").isNull()).select(
         "*", F.lit(None).cast("int").alias("vote_ord"), F.lit(None).cast("boolean").alias("vote"),
-        F.lit(None).cast("int").alias("score"))
-    cells = voted.unionByName(silent).withColumn("__vo", F.coalesce("vote_ord", F.lit(0)))
-    cells = ordinal(cells, ["room_id"], ["task_ord", "__vo"], "cell_ix",
-                    chunk=F.floor(F.col("task_ord") / F.lit(1024))).withColumn("page", page_of("cell_ix"))
+        F.lit(None).cast("int").alias("score"), (F.col("__offset") + 1).alias("cell_ix"))
+    cells = (voted.unionByName(silent).withColumn("__vo", F.coalesce("vote_ord", F.lit(0)))
+             .withColumn("page", page_of("cell_ix")))
     vote_struct = F.when(F.col("vote_ord").isNotNull(), F.struct(
         F.col("vote_ord").alias("PersonId"), F.col("vote").alias("Vote"), F.col("score").alias("Score")))
     frag = cells.groupBy("room_id", "page", "task_id").agg(
