@@ -65,3 +65,18 @@ def materialize(df):
     path = f"{checkpoint_dir(spark).rstrip('/')}/estimark-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor
+    (once per session), so jobs with Python stages need no ``--py-files``."""
+    import shutil
+
+    sc = spark.sparkContext
+    if any(os.path.basename(f).startswith("estimark-") for f in sc._python_includes):
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    stage = tempfile.mkdtemp(prefix="estimark-ship-")  # read on the driver only, addPyFile copies it from there
+    shutil.copytree(os.path.join(home, "estimark"), os.path.join(stage, "pkg", "estimark"),
+                    ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(stage, f"estimark-{os.getpid()}"), "zip", os.path.join(stage, "pkg")))
