@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from estimark.llm import weak_rules
+from estimark.llm import bpe_tree, secret_scan, weak_rules
 from estimark.sources.tables import read_table
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -20,6 +22,25 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def tokenizer() -> tuple[str, str]:
+    """(path of the rank file, split pattern) of the public tokenizer in use."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+
+
+@query("op2_secret_scans")
+def op2_secret_scans(spark, sf_dir):
+    """Secrets in whole `documents`: base patterns and the token-efficiency test."""
+    return secret_scan.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"), *tokenizer())
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark, sf_dir):
+    """Byte-level BPE of whole `documents` by tree reduction, and back."""
+    return bpe_tree.encode_texts(read_table(spark, sf_dir, "documents", "doc_id", "text"), *tokenizer(), ids=False)
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     """Quality rules as weak supervision over whole `documents`."""
