@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from estimark.llm import bpe_tree, secret_scan, weak_rules
+from estimark.llm import bpe_tree, secret_scan, warc, weak_rules
 from estimark.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -41,6 +41,23 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe_tree.encode_texts(read_table(spark, sf_dir, "documents", "doc_id", "text"), *tokenizer(), ids=False)
 
 
+@query("op8_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, cast(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
+b AS (SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY x) AS f,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + cast((cast('0x' || substr(x, cast((i // 4) * 5 + 1 AS INT), 5) AS INTEGER) >> cast(5 * (3 - i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '')
+      AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM f THEN NULL ELSE f END AS refers_to
+FROM b""")
+def op8_warc(spark, sf_dir):
+    """Write all `pages` as WARC archives in the shared folder and read them back."""
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     """Quality rules as weak supervision over whole `documents`."""
