@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from estimark.llm import bpe_tree, secret_scan, warc, weak_rules
+from estimark.llm import bpe_tree, minhash_forest, secret_scan, warc, weak_rules
 from estimark.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,24 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+@query("op1_minhash_near_dedup", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT u AS doc_id, u AS r FROM both_ways UNION SELECT t.v, reach.r FROM reach JOIN both_ways t ON t.u = reach.doc_id),
+c AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT s.doc_id, cast(len(sh) AS BIGINT) AS n_shingles, coalesce(c.r, s.doc_id) AS component_id,
+  coalesce(c.r, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON s.doc_id = c.doc_id""")
+def op1_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate groups of whole `documents` by an LSH forest, links confirmed on full sets."""
+    return minhash_forest.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op2_secret_scans")
 def op2_secret_scans(spark, sf_dir):
     """Secrets in whole `documents`: base patterns and the token-efficiency test."""
