@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from estimark.llm import bpe_tree, minhash_forest, secret_scan, warc, weak_rules
+from estimark.llm import bpe_tree, minhash_forest, pareto_mix, pivot_index, secret_scan, warc, weak_rules
 from estimark.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -53,6 +53,53 @@ def op2_secret_scans(spark, sf_dir):
     return secret_scan.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"), *tokenizer())
 
 
+@query("op5_pareto_mix", r"""
+WITH d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, cast(sum(size) AS BIGINT) AS ss, cast(sum(cast(floor(sqrt(size) * 1024) AS HUGEINT) * size) AS DOUBLE) AS sq
+  FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+o AS (SELECT *, row_number() OVER o AS k, coalesce(sum(2 * ss) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+  (sum(w) OVER ()) - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_w,
+  sum(ss) OVER () AS total FROM w WINDOW o AS (ORDER BY 2.0 * ss / w, source NULLS LAST)),
+l AS (SELECT *, CAST(1.5 AS DOUBLE) * cast(total AS DOUBLE) - cast(held AS DOUBLE) AS room FROM o),
+f AS (SELECT min(k) AS k FROM l WHERE NOT 2 * ss * cast(open_w AS DOUBLE) < w * room),
+lev AS (SELECT room, cast(open_w AS DOUBLE) AS open_w, k FROM l WHERE k = (SELECT k FROM f)),
+t AS (SELECT l.source, l.ss, l.sq, CASE WHEN lev.k IS NULL OR l.k < lev.k THEN cast(2 * l.ss AS DOUBLE)
+  ELSE l.w * lev.room / lev.open_w END AS target FROM l LEFT JOIN lev ON true),
+c AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS certain FROM t),
+m AS (SELECT *, target - certain * ss AS missing FROM c),
+u AS (SELECT d.doc_id, d.size, m.source, m.ss, m.target, m.certain, m.missing,
+  (cast(cast('0x' || substr(md5('mix-1:' || coalesce(cast(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u,
+  least(1.0, CASE WHEN m.sq > 0 THEN floor(sqrt(d.size) * 1024) * m.missing / m.sq ELSE 0.0 END) AS p
+  FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
+q AS (SELECT *, CASE WHEN p >= 1 THEN 0.0 WHEN p <= 0 OR size = 0 OR missing <= 0 THEN NULL ELSE (u / (1 - u)) / (p / (1 - p)) END AS q FROM u),
+r AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, size, u, doc_id
+  ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+SELECT doc_id, size, ss AS source_size, target, cast(size * (certain + CASE WHEN q IS NOT NULL
+  AND upto - missing <= missing - (upto - size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""")
+def op5_pareto_mix(spark, sf_dir):
+    """Mix all `documents` to target weights by Pareto order sampling."""
+    out = pareto_mix.mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_pivot_index", """
+WITH RECURSIVE v AS (SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+  AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT u AS vec_id, u AS r FROM e UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.vec_id),
+c AS (SELECT vec_id, min(r) AS r FROM reach GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+SELECT v.vec_id, cast(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.r, v.vec_id) AS component_id,
+  coalesce(c.r, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN c ON v.vec_id = c.vec_id LEFT JOIN n ON n.u = v.vec_id""")
+def op6_pivot_index(spark, sf_dir):
+    """Near-duplicate vectors of all `embeddings` by a pivot-permutation index."""
+    return pivot_index.near_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, sf_dir):
     """Byte-level BPE of whole `documents` by tree reduction, and back."""
