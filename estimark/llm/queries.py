@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from estimark.llm import bpe_tree, minhash_forest, pareto_mix, pivot_index, secret_scan, warc, weak_rules
+from estimark.llm import bpe_tree, fm_dedup, minhash_forest, pareto_mix, pivot_index, secret_scan, warc, weak_rules
 from estimark.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -123,6 +123,23 @@ def op8_warc(spark, sf_dir):
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op9_fm_index", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT g, min(doc_id) AS d FROM x GROUP BY g),
+r AS (SELECT doc_id, list_distinct(flatten(list(list_transform(range(13), lambda j: i + j)))) AS gone FROM x JOIN f USING (g)
+  WHERE f.d < x.doc_id GROUP BY doc_id),
+k AS (SELECT w.doc_id, w.ws, coalesce(r.gone, []) AS gone FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+y AS (SELECT doc_id, i, ws[i] AS word, len(ws) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+g AS (SELECT doc_id, unnest(gone) AS i FROM k),
+t AS (SELECT y.doc_id, string_agg(y.word, ' ' ORDER BY y.i) AS kept, count(*) AS n FROM y ANTI JOIN g ON y.doc_id = g.doc_id AND y.i = g.i GROUP BY y.doc_id)
+SELECT k.doc_id, cast(len(k.ws) AS BIGINT) AS n_words, cast(len(k.gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(t.kept, '')) AS kept_sha256 FROM k LEFT JOIN t ON k.doc_id = t.doc_id""")
+def op9_fm_index(spark, sf_dir):
+    """Remove words of passages of 13 words that an earlier document of `documents` has."""
+    return fm_dedup.repeated_passages(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept_text")
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     """Quality rules as weak supervision over whole `documents`."""
