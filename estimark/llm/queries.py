@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from estimark.llm import bpe_tree, fm_dedup, minhash_forest, pareto_mix, pii_surrogates, pivot_index, secret_scan, warc, weak_rules
+from estimark.llm import bpe_tree, cotraining, fm_dedup, minhash_forest, pareto_mix, pii_surrogates, pivot_index, secret_scan, warc, weak_rules
 from estimark.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -60,6 +60,13 @@ def op3_pii_surrogates(spark, sf_dir):
     return pii_surrogates.pseudonymised(docs, key="estimark-production")
 
 
+@query("op4_cotraining")
+def op4_cotraining(spark, sf_dir):
+    """Quality of all `documents` by co-trained content and metadata views."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return cotraining.quality_scores(docs, read_table(spark, sf_dir, "labels"))
+
+
 @query("op5_pareto_mix", r"""
 WITH d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, cast(sum(size) AS BIGINT) AS ss, cast(sum(cast(floor(sqrt(size) * 1024) AS HUGEINT) * size) AS DOUBLE) AS sq
