@@ -12,8 +12,8 @@ two texts link when 100 * |A & B| >= ``PERCENT`` * |A | B| on the full sets.
    thin ones keep short prefixes.  Regions that are still larger at the
    deepest level (equal signatures) are cut into overlapping runs of the
    sorted order.
-3. Inside a region, nodes whose signatures agree (``AGREE`` of the values, a
-   margin of over four deviations below the threshold) are candidates; a
+3. Inside a region, nodes whose signatures agree (``agree_at``: a margin of
+   over four deviations below the threshold) are candidates; a
    region reports a spanning forest of them, never its pairs.  The forests'
    components say which nodes must meet.
 4. A node's full set is sent once to its component (to its regions, when the
@@ -22,8 +22,8 @@ two texts link when 100 * |A & B| >= ``PERCENT`` * |A | B| on the full sets.
    the true links is reported.  Their components are the answer.
 
 A pair at the threshold shares a region in one order at least with
-probability 1 - (1 - 0.85 ** 3) ** 12, over 0.99998; links inside a component
-need only one path.
+probability 1 - (1 - 0.85 ** 3) ** 16, over 0.999999 (0.99998 at 0.8); links
+inside a component need only one path.
 
 Defined cases: null and empty texts have no set and link with nothing;
 rows that repeat a doc_id are one document whose texts all link for it; a row
@@ -43,8 +43,8 @@ from estimark.llm.components import connected_components
 from estimark.session import materialize
 
 SHINGLE, PERCENT = 3, 85
-HASHES, TREES, STEP = 128, 12, 10
-DEPTHS = (3, 6, 12, 24)
+HASHES, TREES, STEP = 128, 16, 8
+DEPTHS = (3, 6, 12)
 REGION = 1024
 MARGIN = 4.2  # standard deviations of the estimate
 
@@ -297,12 +297,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     spread = meeting.repartition("home").sortWithinPartitions("home", "sig", "id")
     links = W.map_batches(spread, verify, "u long, v long")
-    # rows that repeat a doc_id are one document: its sets share a node
-    own = table.filter("id IS NOT NULL").join(nodes.select("fp", F.col("id").alias("rep")), "fp").select("id", "rep")
-    links = links.unionByName(own.filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
-    found = connected_components(links)
-
-    out = table.select("id", "n").join(found, F.col("id") == F.col("node"), "left")
-    component = F.coalesce("component", "id")
+    # rows that repeat a doc_id are one document: its sets' nodes are linked through it
+    reps = nodes.select(F.col("fp").alias("rfp"), F.col("id").alias("rep"))
+    own = table.select("id", "n", "fp").join(reps, F.col("fp") == F.col("rfp"), "left")
+    again = table.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
+    tied = own.join(again, "id", "left_semi").select(F.col("id").alias("u"), F.coalesce("rep", "id").alias("v"))
+    found = connected_components(links.unionByName(tied))
+
+    at = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
+    out = own.withColumn("at", at).join(found, F.col("at") == F.col("node"), "left")
+    component = F.coalesce("component", "at")
     return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"),
                       component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose document is kept, with their own columns; rows that repeat doc_id and text stay once."""
+    kept = near_duplicates(docs, key, text, k, percent).filter("kept").select(F.col(key).alias("__kept")).distinct()
+    rows = docs.withColumn("__md5", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    rows = rows.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    return rows.dropDuplicates([key, "__md5"]).select(*docs.columns)
