@@ -174,20 +174,37 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300,
     return share, bad, post
 
 
-def quality_votes(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_at: float = 0.5,
-                  min_words: int = 10, max_repeat: int = 20) -> DataFrame:
-    """Judge every row: measures, ``base_failed``, ``p_good`` and ``kept``."""
-    spark = docs.sparkSession
-    m = materialize(measure(docs, key, text))
-    names = [f"v_{r[0]}" for r in RULES]
-    voted = m.select("*", *vote_columns())
-    seen = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** len(RULES) rows
-    patterns = np.array([[row[c] for c in names] for row in seen], float).reshape(-1, len(names))
+VOTES = [f"v_{r[0]}" for r in RULES]
+
+
+def posterior(voted: DataFrame) -> DataFrame:
+    """(votes, p_good): EM over the counts of all vote combinations, at most 3 ** len(RULES) rows."""
+    seen = voted.groupBy(*VOTES).agg(F.count(F.lit(1)).alias("n")).collect()
+    patterns = np.array([[row[c] for c in VOTES] for row in seen], float).reshape(-1, len(VOTES))
     _, _, post = fit_accuracies(patterns, np.array([row["n"] for row in seen], float))
-    posterior = spark.createDataFrame(
-        [(*map(int, p), float(q)) for p, q in zip(patterns, post)],
-        ", ".join(f"{c} int" for c in names) + ", p_good double")
+    return voted.sparkSession.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, post)],
+                                              ", ".join(f"{c} int" for c in VOTES) + ", p_good double")
+
+
+def judge(voted: DataFrame, post: DataFrame, keep_at: float, min_words: int, max_repeat: int) -> DataFrame:
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    return (voted.join(F.broadcast(posterior), names)  # bounded as above
+    return (voted.join(F.broadcast(post), VOTES)  # bounded as above
             .withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_at)))
+
+
+def quality_votes(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_at: float = 0.5,
+                  min_words: int = 10, max_repeat: int = 20) -> DataFrame:
+    """Judge every row: measures, votes, ``base_failed``, ``p_good`` and ``kept``."""
+    voted = materialize(measure(docs, key, text)).select("*", *vote_columns())
+    return judge(voted, posterior(voted), keep_at, min_words, max_repeat)
+
+
+def kept_documents(docs: DataFrame, text: str = "text", keep_at: float = 0.5, min_words: int = 10,
+                   max_repeat: int = 20) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.  Texts are
+    read twice (votes, then verdicts) and never shuffled."""
+    votes = measure(docs.select(F.lit(0).alias("__k"), F.col(text).alias("__t")), "__k", "__t").select(*vote_columns())
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__t"))
+    judged = judge(measure(rows, "__row", "__t").select("*", *vote_columns()), posterior(votes), keep_at, min_words, max_repeat)
+    return judged.filter("kept").select("__row.*")
