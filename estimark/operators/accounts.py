@@ -76,18 +76,20 @@ def recovery_state(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     """Recovery links after a batch of requests (MERGE on account):
     base rows (``is_base``) give the stored table, the latest per account;
     the other rows are new requests, the latest per account wins and replaces
-    the link, re-activating it.  Requests of unknown accounts are ignored.
+    the link, re-activating it.  An account without a new request keeps its
+    stored row, a used (inactive) link included.  Requests of unknown accounts
+    are ignored.
     Returns (account_id, link, is_active, requested)."""
     order = F.struct("ts", "o_orderkey")
     known = requests.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
     base = (known.filter("is_base").groupBy("account_id")
-            .agg(F.max_by(F.struct("link", "ts"), order).alias("b")))
+            .agg(F.max_by(F.struct("link", "ts", "is_active"), order).alias("b")))
     chg = (known.filter(~F.col("is_base")).groupBy("account_id")
            .agg(F.max_by(F.struct("link", "ts"), order).alias("c")))
     j = base.join(chg, "account_id", "full")
     return j.select("account_id",
                     F.coalesce(F.col("c.link"), F.col("b.link")).alias("link"),
-                    F.lit(True).alias("is_active"),
+                    F.when(F.col("c").isNotNull(), True).otherwise(F.col("b.is_active")).alias("is_active"),
                     F.coalesce(F.col("c.ts"), F.col("b.ts")).alias("requested"))
 
 
@@ -112,9 +114,31 @@ def recovery_redeem(redeems: DataFrame, links: DataFrame) -> DataFrame:
                     F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
+def redeemed_tables(redeems: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What redeeming changes: (account_id, password) of every account that got
+    a new password (the last successful redeem wins), and the links table with
+    the used links deactivated."""
+    done = recovery_redeem(redeems, links).filter("ok")
+    done = done.join(redeems.select("redeem_id", "new_password"), "redeem_id")
+    passwords = done.groupBy("account_id").agg(F.max_by("new_password", F.struct("ts", "redeem_id")).alias("password"))
+    used = done.select(key_text(F.col("link")).alias("__k")).distinct().withColumn("__used", F.lit(True))
+    after = links.withColumn("__k", key_text(F.col("link"))).join(used, "__k", "left")
+    after = after.withColumn("is_active", F.col("is_active") & F.col("__used").isNull()).select(*links.columns)
+    return passwords, after
+
+
+def inserted_persons(outcomes: DataFrame, password: str = "password") -> DataFrame:
+    """The Persons rows that accepted registrations insert: login, email,
+    password and a repeatable token (a digest of the request)."""
+    new = outcomes.filter(F.col("outcome") == "inserted")
+    token = F.md5(F.concat_ws("|", F.col("request_id").cast("string"), key_text(F.col("email"))))
+    return new.select("request_id", "login_name", "email", F.md5(password).alias("password"), token.alias("token"))
+
+
 def latest_link(links: DataFrame, id_col: str = "o_orderkey") -> DataFrame:
-    """``TOP(1) AccountId ... WHERE Link = l ORDER BY Id DESC`` per link."""
-    return links.groupBy("link").agg(F.max_by("account_id", id_col).alias("account_id"))
+    """``TOP(1) AccountId ... WHERE Link = l ORDER BY Id DESC`` per link, links
+    compared as in ``recovery_redeem``."""
+    return links.groupBy(key_text(F.col("link")).alias("link")).agg(F.max_by("account_id", id_col).alias("account_id"))
 
 
 def register_users_in_batch(requests: DataFrame, accounts: DataFrame, order=("ts", "request_id"),

@@ -28,15 +28,22 @@ def audit_unique(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
-def audit_foreign_keys(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """``{constraint: (child, fk_col, parent, pk_col)}`` -> (constraint_name,
-    n_orphans): child rows whose non-NULL key has no parent row."""
+def audit_foreign_keys(children: dict[str, tuple[DataFrame, dict[str, tuple[str, DataFrame, str]]]]) -> DataFrame:
+    """``{child: (table, {constraint: (fk_col, parent, pk_col)})}`` ->
+    (constraint_name, n_orphans): child rows whose non-NULL key has no parent
+    row.  A child table is scanned once and reduced to its distinct key
+    combinations (partial aggregation) before it meets each parent's keys."""
     out = None
-    for name, (child, fk, parent, pk) in checks.items():
-        keys = parent.select(F.col(pk).alias("__pk")).distinct()
-        orphans = child.select(fk).filter(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("__pk"), "left_anti")
-        part = orphans.agg(F.count(F.lit(1)).alias("n_orphans")).select(
-            F.lit(name).alias("constraint_name"), "n_orphans")
+    for child, constraints in children.values():
+        fks = list(dict.fromkeys(fk for fk, _, _ in constraints.values()))
+        rows = child.groupBy(*fks).agg(F.count(F.lit(1)).alias("__n"))
+        counts = []
+        for i, (name, (fk, parent, pk)) in enumerate(constraints.items()):
+            keys = parent.select(F.col(pk).alias(f"__pk{i}")).distinct().withColumn(f"__hit{i}", F.lit(True))
+            rows = rows.join(keys, F.col(fk) == F.col(f"__pk{i}"), "left")
+            orphan = F.col(fk).isNotNull() & F.col(f"__hit{i}").isNull()
+            counts.append(F.coalesce(F.sum(F.when(orphan, F.col("__n"))), F.lit(0)).alias(name))
+        part = rows.agg(*counts).unpivot([], list(constraints), "constraint_name", "n_orphans")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -38,7 +38,7 @@ START, STOP, VOTE, FINISH, GETVM = "StartVoting", "StopVoting", "ChangeVote", "F
 
 @dataclass
 class Fold:
-    events: DataFrame      # valid commands with seg and the opened task of Start markers
+    events: DataFrame      # valid commands with seg
     segments: DataFrame    # one row per marker: opener, closer, open_task, flags
     votes: DataFrame       # ChangeVote rows with their active task and reason
     first_done: DataFrame  # (room_id, task_id, first_seg, completed_ts)
@@ -46,12 +46,13 @@ class Fold:
 
 
 def resolve_starts(cmds: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """Add ``start_task``: the task with ordinal ``task_ordinal`` in the room
-    (only for StartVoting rows; NULL when unknown).
+    """Add ``start_task`` to marker rows: the task with ordinal
+    ``task_ordinal`` in the room (only for StartVoting rows; NULL when
+    unknown).
 
-    One left join over all commands.  Rows that are not a Start get a negative
-    join key that no ordinal has, spread over 4096 values, so they neither
-    match nor pile up in one partition (as NULL keys of a busy room would)."""
+    Rows that are not a Start get negative join keys that no ordinal has, many
+    of them, so they neither match nor pile up in one partition (as NULL keys
+    of a busy room would)."""
     o = ordinals.select(F.col("room_id").alias("__room"), F.col("task_ord").alias("__ord"),
                         F.col("task_id").cast("bigint").alias("start_task"))
     is_start = (F.col("kind") == START) & F.col("task_ordinal").isNotNull()
@@ -63,13 +64,14 @@ def resolve_starts(cmds: DataFrame, ordinals: DataFrame) -> DataFrame:
 
 
 def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,
-         chunk_unit: str = "hour", stop_after_finish: bool = False, checkpoint: bool = True,
+         chunk_unit: str | None = None, stop_after_finish: bool = False, checkpoint: bool = True,
          creators: DataFrame | None = None) -> Fold:
     """``cmds``: (room_id, ts, event_id, person_no, kind, task_ordinal, score,
     vote) of well-formed messages.  ``ordinals``: (room_id, task_id, task_ord).
     ``members``: optional (room_id, person_no) holders of a slot in the room.
     ``creators``: optional (room_id, person_no); when given, Start / Stop /
-    Finish from anyone else are refused ('not_creator') instead of applied."""
+    Finish from anyone else are refused ('not_creator') instead of applied.
+    ``chunk_unit``: a time unit to cut busy rooms by, instead of measuring."""
     rejected = None
     if creators is not None:
         c = creators.select("room_id", "person_no").distinct().withColumn("__creator", F.lit(True))
@@ -77,14 +79,17 @@ def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,
         refused = F.col("kind").isin(START, STOP, FINISH) & F.col("__creator").isNull()
         rejected = cmds.filter(refused).select("room_id", "event_id", F.lit("not_creator").alias("reason"))
         cmds = cmds.filter(~refused).drop("__creator")
-    ev = resolve_starts(cmds, ordinals)
     is_marker = F.col("kind").isin(START, STOP)
-    ev = running(ev.withColumn("__m", is_marker.cast("int")), ["room_id"], ["ts", "event_id"],
-                 time_chunk("ts", chunk_unit), {"seg": ("sum", "__m")}).drop("__m")
+    chunk = time_chunk("ts", chunk_unit) if chunk_unit else None
+    if checkpoint and chunk is None:
+        cmds = materialize(cmds)  # measured, then numbered
+    ev = running(cmds.withColumn("__m", is_marker.cast("int")), ["room_id"], ["ts", "event_id"],
+                 chunk, {"seg": ("sum", "__m")}).drop("__m")
     if checkpoint:
         ev = materialize(ev)
 
-    mk = ev.filter(is_marker).select(
+    # ordinals are looked up for the markers only; the votes take no part
+    mk = resolve_starts(ev.filter(is_marker), ordinals).select(
         "room_id", "seg", F.col("kind").alias("opener"), F.col("start_task").alias("mtask"),
         F.col("ts").alias("opened_ts"), F.col("event_id").alias("opened_event"),
         F.col("task_ordinal").alias("opened_ordinal"))
@@ -179,6 +184,23 @@ def room_has_active(f: Fold) -> DataFrame:
         "room_id", F.col("active_task").isNotNull().alias("has_active"))
 
 
+def markers_only(cmds: DataFrame) -> DataFrame:
+    """The commands that number segments: enough for everything but votes."""
+    return cmds.filter(F.col("kind").isin(START, STOP))
+
+
+def rooms_with_active(cmds: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """``room_has_active`` straight from the commands: the last marker per room
+    (one aggregation with a partial step), a Start of a known task."""
+    marker = F.col("kind").isin(START, STOP)
+    last = F.max_by(F.struct("kind", "task_ordinal"), F.when(marker, F.struct("ts", "event_id")))
+    rooms = cmds.groupBy("room_id").agg(last.alias("m"))
+    o = ordinals.select(F.col("room_id").alias("__room"), F.col("task_ord").alias("__ord"))
+    started = F.when(F.col("m.kind") == START, F.col("m.task_ordinal").cast("bigint"))
+    j = rooms.withColumn("__k", started).join(o, (F.col("room_id") == F.col("__room")) & (F.col("__k") == F.col("__ord")), "left")
+    return j.select("room_id", F.col("__room").isNotNull().alias("has_active"))
+
+
 def room_state_fold(f: Fold, dictionary: DataFrame) -> DataFrame:
     """Final state of every task touched by the log:
     (room_id, task_id, on_active, completed, n_segments, median)."""

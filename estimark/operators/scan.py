@@ -2,26 +2,35 @@
 
 A plain ``Window.partitionBy(room).orderBy(ts)`` sends every row of one room to
 one task.  With one room holding a third of the data that task becomes the
-whole job.  Here the ordered stream of each key is cut into chunks by a column
-that is monotone in the order (a time bucket, or ``id div K``):
+whole job.  Here the rows per key are counted first (a partial aggregation).
+Where no key has more than ``CHUNK_ROWS`` rows the plain window is used.  For
+the keys that do, boundaries in the order column are measured (approximate
+percentiles of the rows themselves, so neither busy hours nor sparse ids
+matter), and each such key is cut into chunks of about ``CHUNK_ROWS`` rows:
 
 1. the running aggregate is computed inside each (key, chunk) - many tasks;
 2. each chunk's total is computed by a (partial) aggregation - a small table;
 3. the carry-in of a chunk is the running total of the chunks before it,
-   a window over that small table;
+   a window over that small table (a row per chunk);
 4. carry-in and local value are combined after an equi-join on (key, chunk).
 
-The result equals the single-window form exactly.  AQE decides at run time
-whether the chunk table (its real size is known then) is broadcast.
+The result equals the single-window form exactly.  A caller that knows a
+monotone chunk column (a time bucket, ``id div K``) may pass it instead.  Rows
+that tie in the order column stay in one chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estimark.session import materialize
+
+CHUNK_ROWS = 1 << 20
+MOST_CHUNKS = 4096  # boundaries measured for a key
 _CHUNK = "__chunk"
 _KEY = "__key"
 
@@ -30,16 +39,45 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
-            aggs: dict[str, tuple[str, Column | str | None]]) -> DataFrame:
+def measured_chunks(df: DataFrame, keys: Sequence[str], by: Column, rows: int) -> DataFrame | None:
+    """(__key, __bounds) of the keys with more than ``rows`` rows: boundaries in
+    ``by`` that cut each into chunks of about ``rows``.  None if no key has."""
+    narrow = df.select(F.struct(*keys).alias(_KEY), by.alias("__by"))
+    hot = narrow.groupBy(_KEY).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
+    most = hot.agg(F.max("__n")).first()[0]
+    if most is None:
+        return None
+    parts = min(MOST_CHUNKS, math.ceil(most / rows))
+    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
+    bounds = narrow.join(hot.select(_KEY), _KEY, "left_semi").groupBy(_KEY).agg(
+        F.percentile_approx("__by", cuts, max(10_000, 20 * parts)).alias("__bounds"))
+    return materialize(bounds)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column | None,
+            aggs: dict[str, tuple[str, Column | str | None]], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add running aggregates ``{out: (kind, value)}`` with kind in count/sum/max,
     over rows of each ``keys`` group ordered by ``order`` (unbounded preceding
-    to current row).  ``chunk`` must not decrease along ``order``."""
+    to current row).  ``chunk`` must not decrease along ``order``; None measures
+    (``order[0]`` must then be a number, date or time).  Measuring reads ``df``
+    once more, so pass a table or something as cheap."""
     # the keys travel as one struct column: a struct is never NULL and compares
     # NULL fields as equal, so NULL keys form one group (as in a window) and
     # the carry join stays a plain equi-join, co-partitioned with the windows
     ck = [_KEY, _CHUNK]
-    d = df.withColumn(_KEY, F.struct(*keys)).withColumn(_CHUNK, chunk)
+    d = df.withColumn(_KEY, F.struct(*keys))
+    if chunk is None:
+        bounds = measured_chunks(df, keys, _col(order[0]), chunk_rows)
+        if bounds is None:
+            whole = Window.partitionBy(_KEY).orderBy(*[_col(o) for o in order]).rowsBetween(
+                Window.unboundedPreceding, Window.currentRow)
+            of = {"count": F.sum, "sum": F.sum, "max": F.max}
+            return d.select(*df.columns, *[of[kind](F.lit(1) if kind == "count" else _col(v)).over(whole).alias(out)
+                                           for out, (kind, v) in aggs.items()])
+        d = d.join(bounds, _KEY, "left").withColumn(_CHUNK, F.coalesce(F.size(F.filter(
+            "__bounds", lambda b: b < _col(order[0]))), F.lit(0))).drop("__bounds")
+    else:
+        d = d.withColumn(_CHUNK, chunk)
     w_local = Window.partitionBy(*ck).orderBy(*[_col(o) for o in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     w_carry = Window.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,9 +128,7 @@ def time_chunk(col: str, unit: str = "hour") -> Column:
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-            chunk: Column | None = None) -> DataFrame:
-    """ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order) as INT, hot-key safe.
-    ``chunk`` defaults to ``order[0] div 2^20`` (order[0] must be integral)."""
-    chunk = chunk if chunk is not None else id_chunk(order[0])
-    r = running(df, keys, order, chunk, {out: ("count", None)})
+            chunk: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order) as INT, hot-key safe."""
+    r = running(df, keys, order, chunk, {out: ("count", None)}, chunk_rows)
     return r.withColumn(out, F.col(out).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estimark.operators.members import connected_persons, person_ordinals
-from estimark.operators.scan import id_chunk, running
+from estimark.operators.scan import running
 from estimark.operators.votes import vote_ordinals
 
 UNKNOWN_ROOM = "UnknownRoom"
@@ -68,7 +68,7 @@ def room_snapshot(rooms: DataFrame, persons: DataFrame, connections: DataFrame,
     t = (tasks.select("room_id", "task_id", "name", "minutes", "completed", "on_active")
          .join(n_votes, "task_id", "left")
          .withColumn("__cells", F.greatest(F.coalesce("__nv", F.lit(0)), F.lit(1))))
-    t = running(t, ["room_id"], ["task_id"], id_chunk("task_id"),
+    t = running(t, ["room_id"], ["task_id"], None,
                 {"task_ord": ("count", None), "__upto": ("sum", "__cells")})
     t = (t.withColumn("task_ord", F.col("task_ord").cast("int"))
          .withColumn("__offset", F.col("__upto") - F.col("__cells"))

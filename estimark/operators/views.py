@@ -13,7 +13,9 @@ def views_after_log(f: FO.Fold, rooms: DataFrame, tasks: DataFrame, persons: Dat
                     members: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Nested views of the rooms the log touched: the rooms' tasks with the
     fold's active / completed flags, the applied votes, the task results and
-    the members of the log (person_no is the person key)."""
+    the members of the log (person_no is the person key).  A room that the log
+    finished is hidden: its view is ``UnknownRoom``."""
+    rooms = rooms.drop("is_active").join(FO.finish_room(rooms, f.events).select("room_id", "is_active"), "room_id")
     touched = f.events.select("room_id").distinct()
     state = FO.room_state_fold(f, dictionary)
     t = tasks.join(touched, "room_id", "left_semi").join(

@@ -104,6 +104,17 @@ def voted_flags(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_persons"), F.count_if("voted").alias("n_voted"))
 
 
+def voted_on_active(active: DataFrame, members: DataFrame, votes: DataFrame) -> DataFrame:
+    """For every room with a task being voted on: each member and whether the
+    member has voted on that task (a vote row with the Vote flag).
+    ``active``: (room_id, task_id); ``members``: (room_id, person_id);
+    ``votes``: (room_id, task_id, person_id, vote)."""
+    cast = votes.filter("vote").select("room_id", "task_id", "person_id", F.lit(True).alias("__v")).distinct()
+    return (active.filter(F.col("task_id").isNotNull()).select("room_id", "task_id").join(members, "room_id")
+            .join(cast, ["room_id", "task_id", "person_id"], "left")
+            .select("room_id", "task_id", "person_id", F.coalesce("__v", F.lit(False)).alias("has_voted")))
+
+
 def results_by_person(votes: DataFrame, persons: DataFrame) -> DataFrame:
     """Scores with the voter's name, joined on the person key (not on ordinals)."""
     return votes.join(persons.select("person_id", "login_name"), "person_id").select(

@@ -40,11 +40,12 @@ from orders join customer on o_custkey = c_custkey""",
     else 'new.' || cast(o_orderkey % 7000 as string) end || '@ex.io' email
 from orders join customer on o_custkey = c_custkey""",
     "b_recovery_requests": """select o_custkey account_id, o_orderdate ts, o_orderkey, md5(cast(o_orderkey as string)) link,
-  o_orderstatus = 'F' is_base
+  o_orderstatus = 'F' is_base, o_orderkey % 3 <> 0 is_active
 from orders""",
     "b_commands": f"""select user_id room_id, ts, event_id, event_id % 7 person_no,
   case event_type when 'signup' then 'StartVoting' when 'purchase' then 'StopVoting' when 'click' then 'ChangeVote'
-    when 'view' then 'ChangeGetVM' else 'Bogus' end kind,
+    when 'view' then case when event_id % 23 = 11 then 'FinishPlanning' else 'ChangeGetVM' end else 'Bogus' end kind,
+  case when event_id % 41 = 5 then 'arity' when event_id % 43 = 7 and event_type in ('signup', 'click') then 'xml' end fault,
   cast(regexp_extract(props, '[0-9]+', 0) as int) % 5 + 1 task_ordinal,
   {CARD.format(n="cast(regexp_extract(props, '[0-9]+', 0) as int)")} score
 from events""",
@@ -59,11 +60,52 @@ BLOCKS["b_room_probes"] = (f"select case p_partkey % 3 when 0 then {GUID.format(
 BLOCKS["b_room_history"] = "select o_orderkey room_id, o_custkey creator, o_orderdate created from orders"
 
 BLOCKS["b_messages"] = """select room_id, ts, event_id, person_no,
-  case when kind = 'ChangeGetVM' then kind else kind || '==' || case kind
-    when 'StartVoting' then '<Change><StartVoting taskId="' || cast(task_ordinal as varchar) || '" isCurrentActive="1"/></Change>'
-    when 'ChangeVote' then '<Change><AddVote vote="1" score="' || cast(score as varchar) || '"/></Change>'
-    else '' end end msg
+  case when kind = 'ChangeGetVM' then kind else kind || '==' || case when fault = 'xml' then '<Change><AddVote vote='
+    when kind = 'StartVoting' then '<Change><StartVoting taskId="' || cast(task_ordinal as varchar) || '" isCurrentActive="1"/></Change>'
+    when kind = 'ChangeVote' then '<Change><AddVote vote="1" score="' || cast(score as varchar) || '"/></Change>'
+    else '' end end || case when fault = 'arity' then '==a==b' else '' end msg
 from b_commands"""
+BLOCKS["b_slots"] = "select distinct room_id, person_no from b_commands where (room_id * 7 + person_no) % 11 <> 0"
+
+# Imported tables as they may arrive, with NULL, orphan and duplicate keys, for the audits.  ``{name}`` is another
+# block; the text runs on Spark (``bindings.faulty``) and DuckDB alike.
+FAULTY: dict[str, tuple[tuple[str, ...], str]] = {
+    "d_rooms": (("b_rooms",), """select room_id, case when room_id % 11 = 4 then null else name_room end name_room,
+  case when room_id % 13 = 5 then null else creator end creator, room_guid from {b_rooms}
+union all select room_id + 1000, name_room, creator, upper(room_guid) || '  ' from {b_rooms} where room_id % 6 = 1"""),
+    "d_persons": (("b_persons",), """select person_id,
+  case when person_id % 19 = 4 then null when person_id % 10 = 2 then 'Same ' || cast(person_id % 4 as string) else login_name end login_name,
+  case when person_id % 23 = 6 then null when person_id % 10 = 3 then 'DUP' || cast(person_id % 3 as string) || '@ex.io ' else email end email
+from {b_persons}"""),
+    "d_accounts": (("b_accounts",), """select account_id, login_name, email from {b_accounts}
+union all select account_id + 1000000, upper(login_name), 'x' || email from {b_accounts} where account_id % 97 = 1
+union all select account_id + 2000000, 'x' || login_name, email || ' ' from {b_accounts} where account_id % 89 = 2"""),
+    "d_tasks": (("b_tasks",), """select task_id, case when task_id % 37 = 6 then null when task_id % 31 = 5 then 9999 else room_id end room_id,
+  case when task_id % 41 = 7 then null else name end name, case when task_id % 43 = 8 then null else minutes end as minutes,
+  case when task_id % 47 = 9 then null else task_id % 2 = 0 end on_active,
+  case when task_id % 53 = 10 then null else task_id % 3 = 0 end completed,
+  case when task_id % 59 = 11 then null else task_id end changed from {b_tasks}"""),
+    "d_connections": (("b_connections",), """select case when person_id % 17 = 3 then null when room_id % 7 = 2 and person_id % 5 = 1
+  then room_id + 500 else room_id end room_id, case when person_id % 29 = 8 then person_id + 100000 else person_id end person_id
+from {b_connections}"""),
+    "d_votes": (("b_vote_log",), """select case when l_orderkey % 61 = 1 then null when l_orderkey % 67 = 2 then room_id + 500 else room_id end room_id,
+  case when l_orderkey % 71 = 3 then null when l_orderkey % 73 = 4 then task_id + 5000000 else task_id end task_id,
+  case when l_orderkey % 79 = 5 then null when l_orderkey % 83 = 6 then person_id + 100000 else person_id end person_id,
+  case when l_orderkey % 89 = 7 then null else l_orderkey % 2 = 0 end vote,
+  case when l_orderkey % 97 = 8 then null else score end score from {b_vote_log}"""),
+    "d_results": (("task_median",), """select case when task_id % 29 = 4 then null when task_id % 31 = 5 then task_id + 5000000 else task_id end task_id,
+  case when task_id % 37 = 6 then null when task_id % 41 = 7 then room_id + 500 else room_id end room_id,
+  case when task_id % 43 = 8 then null else task_id end created from {task_median}
+union all select task_id, room_id, task_id from {task_median} where task_id % 47 = 9"""),
+    "d_recovery": (("b_recovery_requests",), """select case when o_orderkey % 61 = 1 then null when o_orderkey % 67 = 2
+  then account_id + 10000000 else account_id end account_id, case when o_orderkey % 71 = 3 then null else link end link,
+  case when o_orderkey % 73 = 4 then null else is_active end is_active, case when o_orderkey % 79 = 5 then null else ts end requested
+from {b_recovery_requests}"""),
+    "d_views": (("b_rooms",), "select case when room_id % 8 = 3 then null when room_id % 9 = 2 then room_id + 700 else room_id end room_id from {b_rooms}"),
+    "d_dictionary": (("b_dictionary",), "select score, meaning from {b_dictionary} union all select cast(null as int), 'Lost card'"),
+    "d_errors": (("b_commands",), """select event_id error_id, case when event_id % 101 = 7 then null else kind end error_text,
+  case when event_id % 103 = 9 then null else ts end ts from {b_commands} where kind = 'Bogus'"""),
+}
 
 # Blocks that other blocks or oracles reuse, defined on top of BLOCKS.
 DERIVED: dict[str, str] = {
@@ -82,7 +124,7 @@ KNOWN_KINDS = "('ChangeVote', 'ChangeGetVM', 'StartVoting', 'StopVoting', 'Finis
 DERIVED["o_cmd"] = f"""select room_id, ts, event_id, person_no, kind,
   case when kind = 'StartVoting' then task_ordinal end task_ordinal,
   case when kind = 'ChangeVote' then score end score, case when kind = 'ChangeVote' then true end vote
-from b_commands where kind in {KNOWN_KINDS}"""
+from b_commands where kind in {KNOWN_KINDS} and fault is null"""
 DERIVED["o_tord"] = """select room_id, task_id, cast(row_number() over (partition by room_id order by task_id) as int) task_ord
 from b_tasks"""
 DERIVED["o_ev"] = """select c.*, t.task_id start_task,
@@ -104,7 +146,7 @@ from o_seg0 s left join o_first f on f.room_id = s.room_id and f.task_id = s.ope
 DERIVED["o_votes"] = """select e.room_id, e.event_id, e.ts, e.person_no, e.score, e.vote, e.seg, s.open_task task_id,
   case when s.open_task is null then 'no_active_task' when m.room_id is null then 'no_slot' end reason
 from o_ev e left join o_seg s on s.room_id = e.room_id and s.seg = e.seg
-left join (select distinct room_id, person_no from b_commands) m on m.room_id = e.room_id and m.person_no = e.person_no
+left join b_slots m on m.room_id = e.room_id and m.person_no = e.person_no
 where e.kind = 'ChangeVote'"""
 DERIVED["o_results"] = """select f.room_id, f.task_id, f.completed_ts, m.median from o_first f left join (
   select room_id, task_id,
@@ -121,12 +163,17 @@ on l.room_id = r.room_id"""
 
 DEPENDS = {"o_cmd": ["b_commands"], "o_tord": ["b_tasks"], "o_ev": ["o_cmd", "o_tord"], "o_mk": ["o_ev"],
            "o_seg0": ["o_mk"], "o_first": ["o_seg0"], "o_seg": ["o_seg0", "o_first"],
-           "o_votes": ["o_ev", "o_seg"], "o_results": ["o_votes", "o_first", "b_dictionary"],
+           "o_votes": ["o_ev", "o_seg", "b_slots"], "b_slots": ["b_commands"], "o_results": ["o_votes", "o_first", "b_dictionary"],
            "o_active": ["o_cmd", "o_seg"],
            "b_messages": ["b_commands"], "latest_votes": ["b_vote_log"], "task_median": ["latest_votes", "b_dictionary"],
            "members": ["b_connections"]}
 
 
+for _name, (_deps, _text) in FAULTY.items():
+    DERIVED[_name] = _text.format(**{d: d for d in _deps})
+    DEPENDS[_name] = list(_deps)
+
+
 def with_blocks(names: list[str], body: str, recursive: bool = False) -> str:
     """``WITH`` clause holding ``names`` (and what they depend on), then ``body``."""
     order: list[str] = []

@@ -68,10 +68,10 @@ def q_parse_messages(spark, sf):
 
 
 @register("xml_change_parse", ["b_messages"], f"""select event_id, kind,
-  case when kind = 'ChangeVote' then cast(regexp_extract(payload, 'vote="(-?[0-9]+)"', 1) as int) <> 0 end vote,
-  case when kind = 'ChangeVote' then cast(regexp_extract(payload, 'score="(-?[0-9]+)"', 1) as int) end score,
-  case when kind = 'StartVoting' then cast(regexp_extract(payload, 'taskId="(-?[0-9]+)"', 1) as int) end task_ordinal,
-  false bad_xml
+  case when kind = 'ChangeVote' then try_cast(regexp_extract(payload, 'vote="(-?[0-9]+)"', 1) as int) <> 0 end vote,
+  case when kind = 'ChangeVote' then try_cast(regexp_extract(payload, 'score="(-?[0-9]+)"', 1) as int) end score,
+  case when kind = 'StartVoting' then try_cast(regexp_extract(payload, 'taskId="(-?[0-9]+)"', 1) as int) end task_ordinal,
+  payload not like '%</Change>' bad_xml
 from ({PARSE_SQL}) where kind in ('ChangeVote', 'StartVoting') and reason is null""")
 def q_xml_change_parse(spark, sf):
     p = parse_messages(B.b_messages(spark, sf)).filter(F.col("reason").isNull() & F.col("kind").isin(
@@ -142,8 +142,9 @@ def q_register_users(spark, sf):
     return A.register_users(B.b_registrations(spark, sf), B.b_accounts(spark, sf))
 
 
-RECOVERY_SQL = """select account_id, coalesce(c_link, b_link) link, true is_active, coalesce(c_ts, b_ts) requested from (
-  select coalesce(b.account_id, c.account_id) account_id, b.link b_link, b.ts b_ts, c.link c_link, c.ts c_ts
+RECOVERY_SQL = """select account_id, coalesce(c_link, b_link) link, c_link is not null or b_active is_active,
+  coalesce(c_ts, b_ts) requested from (
+  select coalesce(b.account_id, c.account_id) account_id, b.link b_link, b.ts b_ts, b.is_active b_active, c.link c_link, c.ts c_ts
   from (select * from (select *, row_number() over (partition by account_id order by ts desc, o_orderkey desc) rn
         from b_recovery_requests where is_base and account_id in (select account_id from b_accounts)) where rn = 1) b
   full join (select * from (select *, row_number() over (partition by account_id order by ts desc, o_orderkey desc) rn
@@ -175,8 +176,41 @@ def q_recovery_redeem(spark, sf):
     return A.recovery_redeem(B.b_redeems(spark, sf), _recovery(spark, sf))
 
 
+REDEEMED_SQL = f"""select r.*, row_number() over (partition by r.account_id order by r.ts desc, r.redeem_id desc) rn from (
+  select d.redeem_id, d.ts, lower(rtrim(d.link)) k, d.new_password, s.account_id,
+    row_number() over (partition by lower(rtrim(d.link)) order by d.ts, d.redeem_id) nth
+  from b_redeems d join (select lower(rtrim(link)) k, max(account_id) account_id from ({RECOVERY_SQL}) where is_active group by 1) s
+    on lower(rtrim(d.link)) = s.k) r where nth = 1"""
+
+
+@register("recovery_redeem_passwords", ["b_recovery_requests", "b_accounts", "b_redeems"],
+          f"select account_id, new_password as password from ({REDEEMED_SQL}) where rn = 1")
+def q_recovery_redeem_passwords(spark, sf):
+    """Passwords set by redeeming."""
+    return A.redeemed_tables(B.b_redeems(spark, sf), _recovery(spark, sf))[0]
+
+
+@register("recovery_redeem_links", ["b_recovery_requests", "b_accounts", "b_redeems"],
+          f"""select account_id, link, is_active and lower(rtrim(link)) not in (select k from ({REDEEMED_SQL})) is_active, requested
+from ({RECOVERY_SQL})""")
+def q_recovery_redeem_links(spark, sf):
+    """The links table after redeeming: used links inactive."""
+    return A.redeemed_tables(B.b_redeems(spark, sf), _recovery(spark, sf))[1]
+
+
+@register("register_users_rows", ["b_registrations", "b_accounts"], """select r.request_id, r.login_name, r.email,
+  md5(r.login_name) as password, md5(cast(r.request_id as varchar) || '|' || lower(rtrim(r.email))) token
+from b_registrations r
+where not exists (select 1 from b_accounts a where lower(rtrim(a.email)) = lower(rtrim(r.email)))
+  and not exists (select 1 from b_accounts a where lower(rtrim(a.login_name)) = lower(rtrim(r.login_name)))""")
+def q_register_users_rows(spark, sf):
+    """The Persons rows that the registrations insert (the binding's password is the login)."""
+    out = A.register_users(B.b_registrations(spark, sf), B.b_accounts(spark, sf))
+    return A.inserted_persons(out.withColumn("password", F.col("login_name")))
+
+
 @register("latest_link", ["b_recovery_requests"],
-          "select link, arg_max(account_id, o_orderkey) account_id from b_recovery_requests group by link")
+          "select lower(rtrim(link)) link, arg_max(account_id, o_orderkey) account_id from b_recovery_requests group by 1")
 def q_latest_link(spark, sf):
     return A.latest_link(B.b_recovery_requests(spark, sf))
 

@@ -8,6 +8,7 @@ from estimark.functions import texts as TX
 from estimark.operators import accounts as A
 from estimark.operators import audits as AU
 from estimark.operators import votes as V
+from estimark.plans.oracle_bindings import FAULTY
 from estimark.plans.registry import register
 from estimark.sources import bindings as B
 from estimark.sources.tables import read_table
@@ -17,52 +18,45 @@ def _latest(spark, sf):
     return V.latest_vote(B.b_vote_log(spark, sf))
 
 
-@register("audit_unique", ["b_rooms", "b_persons", "b_accounts", "latest_votes", "task_median"], """
-select 'rooms_guid' constraint_name, lower(rtrim(room_guid)) key_value, count(*) n_rows from b_rooms group by 2 having count(*) > 1
-union all select 'persons_login', lower(rtrim(login_name)), count(*) from b_persons group by 2 having count(*) > 1
-union all select 'persons_email', lower(rtrim(email)), count(*) from b_persons group by 2 having count(*) > 1
-union all select 'accounts_login', lower(rtrim(login_name)), count(*) from b_accounts group by 2 having count(*) > 1
-union all select 'accounts_email', lower(rtrim(email)), count(*) from b_accounts group by 2 having count(*) > 1
-union all select 'results_task', cast(task_id as varchar), count(*) from task_median group by 2 having count(*) > 1""")
+def _faulty(spark, sf, *names):
+    """The audited tables: imports with NULL, orphan and duplicate keys (``oracle_bindings.FAULTY``)."""
+    make = {"b_rooms": B.b_rooms, "b_persons": B.b_persons, "b_accounts": B.b_accounts, "b_tasks": B.b_tasks,
+            "b_connections": B.b_connections, "b_vote_log": B.b_vote_log, "b_recovery_requests": B.b_recovery_requests,
+            "b_commands": B.b_commands, "b_dictionary": lambda s, _: B.b_dictionary(s),
+            "task_median": lambda s, d: V.task_median(_latest(s, d), B.b_dictionary(s))}
+    return {n: B.faulty(spark, n, **{d: make[d](spark, sf) for d in FAULTY[n][0]}) for n in names}
+
+
+UNIQUE = [("rooms_guid", "d_rooms", "room_guid"), ("persons_login", "d_persons", "login_name"), ("persons_email", "d_persons", "email"),
+          ("accounts_login", "d_accounts", "login_name"), ("accounts_email", "d_accounts", "email"),
+          ("results_task", "d_results", "task_id")]
+
+
+@register("audit_unique", ["d_rooms", "d_persons", "d_accounts", "d_results"], "\nunion all ".join(
+    f"select '{n}' constraint_name, lower(rtrim(cast({c} as varchar))) key_value, count(*) n_rows from {t} "
+    f"where {c} is not null group by 2 having count(*) > 1" for n, t, c in UNIQUE))
 def q_audit_unique(spark, sf):
-    rooms, persons, accounts = B.b_rooms(spark, sf), B.b_persons(spark, sf), B.b_accounts(spark, sf)
-    return AU.audit_unique({
-        "rooms_guid": (rooms, "room_guid"), "persons_login": (persons, "login_name"),
-        "persons_email": (persons, "email"), "accounts_login": (accounts, "login_name"),
-        "accounts_email": (accounts, "email"),
-        "results_task": (V.task_median(_latest(spark, sf), B.b_dictionary(spark)), "task_id")})
-
-
-@register("audit_foreign_keys", ["b_rooms", "b_persons", "b_tasks", "b_connections", "b_vote_log", "b_accounts",
-                                 "b_recovery_requests"], """
-select 'connections_room' constraint_name, count(*) n_orphans from b_connections c
-  where room_id is not null and not exists (select 1 from b_rooms r where r.room_id = c.room_id)
-union all select 'connections_person', count(*) from b_connections c
-  where person_id is not null and not exists (select 1 from b_persons p where p.person_id = c.person_id)
-union all select 'tasks_room', count(*) from b_tasks t
-  where room_id is not null and not exists (select 1 from b_rooms r where r.room_id = t.room_id)
-union all select 'votes_task', count(*) from b_vote_log v
-  where task_id is not null and not exists (select 1 from b_tasks t where t.task_id = v.task_id)
-union all select 'votes_room', count(*) from b_vote_log v
-  where room_id is not null and not exists (select 1 from b_rooms r where r.room_id = v.room_id)
-union all select 'votes_person', count(*) from b_vote_log v
-  where person_id is not null and not exists (select 1 from b_persons p where p.person_id = v.person_id)
-union all select 'recovery_account', count(*) from b_recovery_requests q
-  where account_id is not null and not exists (select 1 from b_accounts a where a.account_id = q.account_id)
-union all select 'rooms_creator', count(*) from b_rooms r
-  where creator is not null and not exists (select 1 from b_persons p where p.person_id = r.creator)""")
+    t = _faulty(spark, sf, *dict.fromkeys(t for _, t, _ in UNIQUE))
+    return AU.audit_unique({n: (t[table], c) for n, table, c in UNIQUE})
+
+
+# The source's declared foreign keys (child table, key, parent table).
+FOREIGN = [("connections_room", "d_connections", "room_id", "b_rooms"), ("connections_person", "d_connections", "person_id", "b_persons"),
+           ("tasks_room", "d_tasks", "room_id", "b_rooms"), ("votes_task", "d_votes", "task_id", "b_tasks"),
+           ("votes_room", "d_votes", "room_id", "b_rooms"), ("votes_person", "d_votes", "person_id", "b_persons"),
+           ("results_task", "d_results", "task_id", "b_tasks"), ("results_room", "d_results", "room_id", "b_rooms"),
+           ("recovery_account", "d_recovery", "account_id", "b_accounts"), ("views_room", "d_views", "room_id", "b_rooms")]
+
+
+@register("audit_foreign_keys", ["b_rooms", "b_persons", "b_tasks", "b_accounts", "d_connections", "d_tasks", "d_votes", "d_results",
+                                 "d_recovery", "d_views"], "\nunion all ".join(
+    f"select '{n}' constraint_name, count(*) n_orphans from {c} c where {k} is not null "
+    f"and not exists (select 1 from {p} p where p.{k} = c.{k})" for n, c, k, p in FOREIGN))
 def q_audit_foreign_keys(spark, sf):
-    rooms, persons, tasks = B.b_rooms(spark, sf), B.b_persons(spark, sf), B.b_tasks(spark, sf)
-    conns, log = B.b_connections(spark, sf), B.b_vote_log(spark, sf)
-    return AU.audit_foreign_keys({
-        "connections_room": (conns, "room_id", rooms, "room_id"),
-        "connections_person": (conns, "person_id", persons, "person_id"),
-        "tasks_room": (tasks, "room_id", rooms, "room_id"),
-        "votes_task": (log, "task_id", tasks, "task_id"),
-        "votes_room": (log, "room_id", rooms, "room_id"),
-        "votes_person": (log, "person_id", persons, "person_id"),
-        "recovery_account": (B.b_recovery_requests(spark, sf), "account_id", B.b_accounts(spark, sf), "account_id"),
-        "rooms_creator": (rooms, "creator", persons, "person_id")})
+    child = _faulty(spark, sf, *dict.fromkeys(c for _, c, _, _ in FOREIGN))
+    parent = {"b_rooms": B.b_rooms(spark, sf), "b_persons": B.b_persons(spark, sf), "b_tasks": B.b_tasks(spark, sf),
+              "b_accounts": B.b_accounts(spark, sf)}
+    return AU.audit_foreign_keys({c: (df, {n: (k, parent[p], k) for n, cc, k, p in FOREIGN if cc == c}) for c, df in child.items()})
 
 
 @register("audit_check", ["b_tasks"],
@@ -71,24 +65,21 @@ def q_audit_check(spark, sf):
     return AU.audit_check(B.b_tasks(spark, sf))
 
 
-@register("audit_not_null", ["b_rooms", "b_persons", "b_tasks", "b_vote_log"], """
-select 'rooms' table_name, 'name_room' column_name, count(*) filter (where name_room is null) n_nulls from b_rooms
-union all select 'rooms', 'creator', count(*) filter (where creator is null) from b_rooms
-union all select 'persons', 'login_name', count(*) filter (where login_name is null) from b_persons
-union all select 'persons', 'email', count(*) filter (where email is null) from b_persons
-union all select 'tasks', 'name', count(*) filter (where name is null) from b_tasks
-union all select 'tasks', 'minutes', count(*) filter (where minutes is null) from b_tasks
-union all select 'tasks', 'room_id', count(*) filter (where room_id is null) from b_tasks
-union all select 'votes', 'score', count(*) filter (where score is null) from b_vote_log
-union all select 'votes', 'task_id', count(*) filter (where task_id is null) from b_vote_log
-union all select 'votes', 'room_id', count(*) filter (where room_id is null) from b_vote_log
-union all select 'votes', 'person_id', count(*) filter (where person_id is null) from b_vote_log""")
+# The source's NOT NULL columns.
+NOT_NULL = {"rooms": ("d_rooms", ["name_room", "creator"]), "persons": ("d_persons", ["login_name", "email"]),
+            "tasks": ("d_tasks", ["name", "minutes", "on_active", "completed", "changed"]),
+            "votes": ("d_votes", ["room_id", "task_id", "person_id", "vote", "score"]),
+            "task_results": ("d_results", ["task_id", "room_id", "created"]),
+            "recovery": ("d_recovery", ["account_id", "link", "is_active", "requested"]),
+            "dictionary": ("d_dictionary", ["score"]), "errors": ("d_errors", ["error_id", "error_text", "ts"])}
+
+
+@register("audit_not_null", [t for t, _ in NOT_NULL.values()], "\nunion all ".join(
+    f"select '{n}' table_name, '{c}' column_name, count(*) filter (where {c} is null) n_nulls from {t}"
+    for n, (t, cols) in NOT_NULL.items() for c in cols))
 def q_audit_not_null(spark, sf):
-    return AU.audit_not_null({
-        "rooms": (B.b_rooms(spark, sf), ["name_room", "creator"]),
-        "persons": (B.b_persons(spark, sf), ["login_name", "email"]),
-        "tasks": (B.b_tasks(spark, sf), ["name", "minutes", "room_id"]),
-        "votes": (B.b_vote_log(spark, sf), ["score", "task_id", "room_id", "person_id"])})
+    t = _faulty(spark, sf, *(t for t, _ in NOT_NULL.values()))
+    return AU.audit_not_null({n: (t[table], cols) for n, (table, cols) in NOT_NULL.items()})
 
 
 @register("url_param", sql="""select page_id, url,

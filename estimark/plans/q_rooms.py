@@ -8,6 +8,7 @@ from estimark.operators import members as M
 from estimark.operators import snapshot as S
 from estimark.operators import votes as V
 from estimark.plans.registry import register
+from estimark.session import materialize
 from estimark.sources import bindings as B
 
 
@@ -20,8 +21,9 @@ def _medians(spark, sf):
 
 
 def _snapshot(spark, sf):
+    votes = materialize(_latest(spark, sf))  # reduced once, read for ordinals and medians
     return S.room_snapshot(B.b_rooms(spark, sf), B.b_persons(spark, sf), B.b_connections(spark, sf),
-                           B.b_tasks(spark, sf), _latest(spark, sf), _medians(spark, sf))
+                           B.b_tasks(spark, sf), votes, V.task_median(votes, B.b_dictionary(spark)))
 
 
 @register("task_ordinals", ["b_tasks"], """select task_id, room_id, name, minutes,

@@ -34,7 +34,7 @@ def q_stream_vote_counts(spark, sf):
 
 def _stream_fold(spark, sf):
     return LS.stream_room_fold(spark, LS.message_stream(spark, sf), B.b_tasks(spark, sf), B.b_rooms(spark, sf),
-                               B.b_persons(spark, sf), B.b_dictionary(spark))
+                               B.b_persons(spark, sf), B.b_dictionary(spark), members=B.b_slots(spark, sf))
 
 
 @register("stream_room_state_fold", ["o_seg", "o_active", "o_results"], STATE_SQL)
@@ -53,4 +53,4 @@ def q_append_sinks(spark, sf):
 @register("room_snapshot_upsert", VIEW_BLOCKS, VIEWS_AFTER_LOG_SQL)
 def q_room_snapshot_upsert(spark, sf):
     """Stored room views after the stream: keyed replace per micro-batch."""
-    return snapshot_summary(_stream_fold(spark, sf).views.read(spark))
+    return snapshot_summary(_stream_fold(spark, sf).state.live_views(spark))

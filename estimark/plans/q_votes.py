@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from estimark.operators import votes as V
 from estimark.plans.registry import register
+from estimark.session import materialize
 from estimark.sources import bindings as B
 from estimark.sources.tables import TEST_TABLES, scan_tables
 
@@ -50,7 +51,7 @@ def q_median_window(spark, sf):
 @register("vote_ordinals", ["latest_votes"], """select room_id, task_id, person_id, score,
   cast(row_number() over (partition by task_id order by person_id) as int) person_ord from latest_votes""")
 def q_vote_ordinals(spark, sf):
-    return V.vote_ordinals(latest(spark, sf))
+    return V.vote_ordinals(materialize(latest(spark, sf)))
 
 
 @register("decode_scores", ["latest_votes", "b_dictionary"], """select v.room_id, v.task_id, v.person_id, v.score,

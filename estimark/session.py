@@ -2,13 +2,14 @@
 
 The library never creates machine-local scratch paths on a cluster: the
 checkpoint folder is whatever the cluster names in ``spark.checkpoint.dir``.
-Only when that setting is absent (local tests, bench) do we pick one under
-/tmp, once per process.
+Only when that setting is absent *and* the master is ``local`` (tests, bench)
+do we pick one under /tmp, once per process; elsewhere its absence is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,15 +23,20 @@ _LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "12g",
 }
 
 
 def get_session(master: str | None = None, app: str = "estimark", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings the operators assume."""
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    b = SparkSession.builder.master(master).appName(app)
-    for k, v in {**_LOCAL_CONF, **(extra or {})}.items():
+    """Build (or reuse) a session.  A job started by a submit command keeps the
+    master and settings it was given; otherwise the session is local, with the
+    settings of tests and bench."""
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+    b = SparkSession.builder.appName(app)
+    if master or not submitted:
+        b = b.master(master or "local[*]")
+    local = _LOCAL_CONF if not submitted and (master or "local").startswith("local") else {}
+    for k, v in {**local, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,13 +45,17 @@ def get_session(master: str | None = None, app: str = "estimark", extra: dict |
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder.  A local session without one gets a
+    folder under /tmp; on a cluster that would be a different disk on every
+    machine, so a missing setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:  # local runs only: the cluster names a shared folder
+    if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="estimark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
@@ -64,9 +74,24 @@ def materialize(df):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/estimark-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written with
+    ``materialize``; call it once the results that read them are stored.
+    Returns how many were deleted."""
+    n = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor
     (once per session), so jobs with Python stages need no ``--py-files``."""

@@ -3,7 +3,7 @@
 These only reshape test-table rows into the schemas of the estimation data
 model (rooms, tasks, persons, vote log, command log, accounts ...).  They do
 none of the operators' work; every operator is generic over its schema.
-The same blocks exist as SQL text in ``estimark.plans.oracle`` for DuckDB.
+The same blocks exist as SQL text in ``estimark.plans.oracle_bindings`` for DuckDB.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def _card(n: Column) -> Column:
 
 
 def _room_of_brand(c: Column) -> Column:
-    return F.substring(c, 7, 1 << 20).cast("int")
+    return F.substr(c, F.lit(7)).cast("int")
 
 
 def _guid(c: Column) -> Column:
@@ -145,7 +145,8 @@ def b_recovery_requests(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
     return o.select(F.col("o_custkey").alias("account_id"), F.col("o_orderdate").alias("ts"), "o_orderkey",
                     F.md5(F.col("o_orderkey").cast("string")).alias("link"),
-                    (F.col("o_orderstatus") == "F").alias("is_base"))
+                    (F.col("o_orderstatus") == "F").alias("is_base"),
+                    (F.col("o_orderkey") % 3 != 0).alias("is_active"))
 
 
 # Fixed values of the bindings: events.event_type to message kind.
@@ -162,8 +163,11 @@ def commands_of(e: DataFrame) -> DataFrame:
     for et, k in reversed(list(KIND_BY_EVENT_TYPE.items())):
         kind = F.when(F.col("event_type") == et, k).otherwise(kind)
     n = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    kind = F.when((kind == "ChangeGetVM") & (F.col("event_id") % 23 == 11), "FinishPlanning").otherwise(kind)
+    fault = F.when(F.col("event_id") % 41 == 5, "arity").when(
+        (F.col("event_id") % 43 == 7) & F.col("event_type").isin("signup", "click"), "xml")
     return e.select(F.col("user_id").alias("room_id"), "ts", "event_id", (F.col("event_id") % 7).alias("person_no"),
-                    kind.alias("kind"), (n % 5 + 1).alias("task_ordinal"), _card(n).alias("score"))
+                    kind.alias("kind"), fault.alias("fault"), (n % 5 + 1).alias("task_ordinal"), _card(n).alias("score"))
 
 
 def b_room_probes(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,17 +194,30 @@ def b_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages_of(c: DataFrame) -> DataFrame:
-    """Message texts from command rows (batch or stream)."""
-    payload = (F.when(F.col("kind") == "StartVoting",
+    """Message texts from command rows (batch or stream); some have too many parts or broken XML."""
+    payload = (F.when(F.col("fault") == "xml", "<Change><AddVote vote=").when(F.col("kind") == "StartVoting",
                       F.format_string('<Change><StartVoting taskId="%d" isCurrentActive="1"/></Change>',
                                       F.col("task_ordinal")))
                .when(F.col("kind") == "ChangeVote",
                      F.format_string('<Change><AddVote vote="1" score="%d"/></Change>', F.col("score")))
                .otherwise(F.lit("")))
     msg = F.when(F.col("kind") == "ChangeGetVM", F.col("kind")).otherwise(F.concat("kind", F.lit("=="), payload))
+    msg = F.concat(msg, F.when(F.col("fault") == "arity", "==a==b").otherwise(""))
     return c.select("room_id", "ts", "event_id", "person_no", msg.alias("msg"))
 
 
+def faulty(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
+    """A table with faults for the audits (``oracle_bindings.FAULTY``), from clean ``inputs``."""
+    from estimark.plans.oracle_bindings import FAULTY
+    return spark.sql(FAULTY[name][1], **inputs)
+
+
+def b_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Who holds a slot in a room of the log (some senders don't)."""
+    c = b_commands(spark, sf).select("room_id", "person_no").distinct()
+    return c.filter((F.col("room_id") * 7 + F.col("person_no")) % 11 != 0)
+
+
 def b_room_request_xml(spark: SparkSession, sf: str) -> DataFrame:
     """Room requests as the form posts them: a room name and the XML task list
     (tasks in position order).  Grouping is by request: four rows each."""

@@ -15,18 +15,10 @@ TEST_TABLES = (
 )
 
 
-_RELATIONS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The table's relation (file listing and footer schema resolved once per
-    session and path), narrowed to ``columns``."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    df = _RELATIONS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _RELATIONS[key] = df
+    """The table as it is now (files are listed at every call, so a table that
+    grew is read whole), narrowed to ``columns``."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 

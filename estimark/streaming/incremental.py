@@ -2,18 +2,19 @@
 
 Re-folding a room's whole history on every micro-batch would make a busy room
 cost more with every batch.  Instead each micro-batch continues the fold from
-four keyed state tables (each a ``VersionedTable`` under the stream's folder):
+four keyed state tables (each a ``DeltaTable`` under the stream's folder):
 
-* ``rooms``   (room_id): markers seen so far and the last marker (its kind,
-  task, time) - the segment that is open when the batch starts;
+* ``rooms``   (room_id): markers seen so far, the last marker (its kind, task,
+  time) - the segment that is open when the batch starts - and when the room
+  was finished;
 * ``tasks``   (room_id, task_id): segments opened, completed, and for the
   first completed segment its end time and median;
 * ``votes``   (room_id, task_id, person_no): the last applied vote (the Votes
   table);
 * ``members`` (room_id, person_no): who has a slot in the room.
 
-A batch's work is proportional to the batch plus the state of the rooms it
-touches, never to their history.  Messages are taken in arrival order, as the
+A batch writes the rows it changes and reads the state in the touched rooms'
+hash buckets, never the rooms' history.  Messages are taken in arrival order, as the
 original processes them; within a batch they are ordered by (ts, event_id).
 The rules are those of ``estimark.operators.fold`` and the result equals the
 batch fold over the same log (tested).
@@ -24,15 +25,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estimark.operators.fold import START, STOP, VOTE, resolve_starts
+from estimark.operators.fold import FINISH, START, STOP, VOTE, resolve_starts
 from estimark.operators.scan import running, time_chunk
 from estimark.operators.snapshot import room_snapshot
 from estimark.operators.votes import task_median
 from estimark.session import materialize
-from estimark.streaming.sinks import AppendTable, VersionedTable
+from estimark.streaming.sinks import AppendTable, DeltaTable
 
 ROOMS_SCHEMA = ("room_id BIGINT, n_markers BIGINT, last_kind STRING, last_task BIGINT, last_ts TIMESTAMP_NTZ, "
-                "last_event BIGINT")
+                "last_event BIGINT, finished_ts TIMESTAMP_NTZ")
 TASKS_SCHEMA = ("room_id BIGINT, task_id BIGINT, n_segments BIGINT, completed BOOLEAN, first_done_ts TIMESTAMP_NTZ, "
                 "median DECIMAL(9,2), has_result BOOLEAN")
 VOTES_SCHEMA = "room_id BIGINT, task_id BIGINT, person_no BIGINT, vote BOOLEAN, score INT, ts TIMESTAMP_NTZ, event_id BIGINT"
@@ -42,22 +43,26 @@ MEMBERS_SCHEMA = "room_id BIGINT, person_no BIGINT"
 class FoldState:
     def __init__(self, root: str):
         self.root = root.rstrip("/")
-        # all state is bucketed by room, so a batch reads and rewrites only the
-        # buckets of the rooms it touches
+        # all state is bucketed by room, so a batch reads only the buckets of the
+        # rooms it touches
         by_room = {"bucket_by": ["room_id"]}
-        self.rooms = VersionedTable(f"{self.root}/rooms", **by_room)
-        self.tasks = VersionedTable(f"{self.root}/tasks", **by_room)
-        self.votes = VersionedTable(f"{self.root}/votes", **by_room)
-        self.members = VersionedTable(f"{self.root}/members", **by_room)
-        self.views = VersionedTable(f"{self.root}/views", **by_room)
+        self.rooms = DeltaTable(f"{self.root}/rooms", ["room_id"], **by_room)
+        self.tasks = DeltaTable(f"{self.root}/tasks", ["room_id", "task_id"], **by_room)
+        self.votes = DeltaTable(f"{self.root}/votes", ["room_id", "task_id", "person_no"], **by_room)
+        self.members = DeltaTable(f"{self.root}/members", ["room_id", "person_no"], **by_room)
+        self.views = DeltaTable(f"{self.root}/views", ["room_id", "page"], **by_room)
         self.quarantine = AppendTable(f"{self.root}/quarantine")
 
     @staticmethod
-    def _read(spark: SparkSession, t: VersionedTable, schema: str, below: int | None = None,
+    def _read(spark: SparkSession, t: DeltaTable, schema: str, below: int | None = None,
               buckets=None) -> DataFrame:
         df = t.read(spark, below=below, buckets=buckets)
         return df if df is not None else spark.createDataFrame([], schema)
 
+    def live_views(self, spark: SparkSession, below: int | None = None) -> DataFrame:
+        """The stored room views (without the markers of pages that are gone)."""
+        return self.views.read(spark, below=below).filter("NOT __gone").drop("__gone")
+
     def task_states(self, spark: SparkSession, buckets=None) -> DataFrame:
         """(room_id, task_id, on_active, completed, n_segments, median): the
         batch fold's ``room_state_fold`` as of the last micro-batch."""
@@ -70,7 +75,7 @@ class FoldState:
 
 
 def apply_batch(spark: SparkSession, st: FoldState, cmds: DataFrame, senders: DataFrame, ordinals: DataFrame,
-                dictionary: DataFrame, batch_id: int, chunk_unit: str = "hour") -> DataFrame:
+                dictionary: DataFrame, batch_id: int, chunk_unit: str | None = None) -> DataFrame:
     """Advance the fold by one micro-batch of well-formed commands.  Returns
     the rooms whose commands changed something (room_id)."""
     cmd_rooms = cmds.select("room_id").distinct()
@@ -81,14 +86,15 @@ def apply_batch(spark: SparkSession, st: FoldState, cmds: DataFrame, senders: Da
     votes_prev = st._read(spark, st.votes, VOTES_SCHEMA, batch_id, bk).join(touched, "room_id", "left_semi")
     members_prev = st._read(spark, st.members, MEMBERS_SCHEMA, batch_id, bk).join(touched, "room_id", "left_semi")
 
-    members = members_prev.unionByName(senders.select("room_id", "person_no")).distinct()
-    st.members.replace_keys(members, ["room_id", "person_no"], batch_id)
+    new = senders.select("room_id", "person_no").join(members_prev, ["room_id", "person_no"], "left_anti").distinct()
+    members = members_prev.unionByName(new)
+    st.members.upsert(new, batch_id)
 
     # 1. segment numbers continue from the room's marker count
-    ev = resolve_starts(cmds, ordinals)
     is_marker = F.col("kind").isin(START, STOP)
-    ev = running(ev.withColumn("__m", is_marker.cast("int")), ["room_id"], ["ts", "event_id"],
-                 time_chunk("ts", chunk_unit), {"__local": ("sum", "__m")}).drop("__m")
+    chunk = time_chunk("ts", chunk_unit) if chunk_unit else None
+    ev = running(cmds.withColumn("__m", is_marker.cast("int")), ["room_id"], ["ts", "event_id"],
+                 chunk, {"__local": ("sum", "__m")}).drop("__m")
     ev = (ev.join(rooms_prev.select("room_id", "n_markers"), "room_id", "left")
           .withColumn("seg", F.coalesce("n_markers", F.lit(0)) + F.col("__local")).drop("n_markers", "__local"))
     ev = materialize(ev)
@@ -97,7 +103,7 @@ def apply_batch(spark: SparkSession, st: FoldState, cmds: DataFrame, senders: Da
     carried = rooms_prev.select("room_id", F.col("n_markers").alias("seg"), F.col("last_kind").alias("opener"),
                                 F.col("last_task").alias("mtask"), F.col("last_ts").alias("opened_ts"),
                                 F.col("last_event").alias("opened_event"), F.lit(True).alias("carried"))
-    new_mk = ev.filter(is_marker).select("room_id", "seg", F.col("kind").alias("opener"),
+    new_mk = resolve_starts(ev.filter(is_marker), ordinals).select("room_id", "seg", F.col("kind").alias("opener"),
                                          F.col("start_task").alias("mtask"), F.col("ts").alias("opened_ts"),
                                          F.col("event_id").alias("opened_event"), F.lit(False).alias("carried"))
     mk = carried.unionByName(new_mk)
@@ -140,7 +146,7 @@ def apply_batch(spark: SparkSession, st: FoldState, cmds: DataFrame, senders: Da
     merged = (votes_prev.join(touched_keys, ["room_id", "task_id", "person_no"], "left_semi")
               .unionByName(batch_votes).groupBy("room_id", "task_id", "person_no").agg(best.alias("b"))
               .select("room_id", "task_id", "person_no", "b.vote", "b.score", "b.ts", "b.event_id"))
-    st.votes.replace_keys(merged, ["room_id", "task_id", "person_no"], batch_id)
+    st.votes.upsert(merged, batch_id)
 
     # 7. task states
     opened = seg.filter(~F.col("carried") & F.col("open_task").isNotNull())
@@ -161,21 +167,23 @@ def apply_batch(spark: SparkSession, st: FoldState, cmds: DataFrame, senders: Da
         F.when(F.col("__new_res"), F.col("__fd")).otherwise(F.col("first_done_ts")).alias("first_done_ts"),
         F.when(F.col("__new_res"), F.col("__med")).otherwise(F.col("median")).alias("median"),
         (F.coalesce("has_result", F.lit(False)) | F.coalesce("__new_res", F.lit(False))).alias("has_result"))
-    st.tasks.replace_keys(upd, ["room_id", "task_id"], batch_id)
+    st.tasks.upsert(upd, batch_id)
 
     # 8. room states: marker count and last marker
     last_new = new_mk.groupBy("room_id").agg(
         F.count(F.lit(1)).alias("__n"),
         F.max_by(F.struct("opener", "mtask", "opened_ts", "opened_event"), "seg").alias("__last"))
-    rooms = (touched.join(rooms_prev, "room_id", "left").join(last_new, "room_id", "left").select(
+    fin = cmds.filter(F.col("kind") == FINISH).groupBy("room_id").agg(F.min("ts").alias("__fin"))
+    rooms = (touched.join(rooms_prev, "room_id", "left").join(last_new, "room_id", "left").join(fin, "room_id", "left").select(
         "room_id", (F.coalesce("n_markers", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("n_markers"),
         F.coalesce(F.col("__last.opener"), F.col("last_kind")).alias("last_kind"),
         F.when(F.col("__last").isNotNull(),
                F.when(F.col("__last.opener") == START, F.col("__last.mtask"))).otherwise(F.col("last_task"))
         .alias("last_task"),
         F.coalesce(F.col("__last.opened_ts"), F.col("last_ts")).alias("last_ts"),
-        F.coalesce(F.col("__last.opened_event"), F.col("last_event")).alias("last_event")))
-    st.rooms.replace_keys(rooms, ["room_id"], batch_id)
+        F.coalesce(F.col("__last.opened_event"), F.col("last_event")).alias("last_event"),
+        F.coalesce("finished_ts", "__fin").alias("finished_ts")))
+    st.rooms.upsert(rooms, batch_id)
 
     # 9. quarantine of the batch: late votes and flagged Starts
     prev_open = mk.select("room_id", (F.col("seg") + 1).alias("seg"),
@@ -211,14 +219,23 @@ def refresh_views(spark: SparkSession, st: FoldState, touched: DataFrame, rooms:
         "room_id", F.col("person_no").cast("bigint").alias("person_id"))
     results = st._read(spark, st.tasks, TASKS_SCHEMA, None, bk).join(touched, "room_id", "left_semi").filter(
         "has_result").select("task_id", "median")
-    views = room_snapshot(rooms.join(touched, "room_id", "left_semi"), persons, members, t, votes, results)
-    views = views.withColumn("created", F.current_timestamp())
-
-    def keep_created(new: DataFrame, prev: DataFrame) -> DataFrame:
-        old = prev.select("room_id", F.col("created").alias("__c0")).distinct()
-        return new.join(old, "room_id", "left").withColumn("created", F.coalesce("__c0", "created")).drop("__c0")
-
-    st.views.replace_keys(views, ["room_id"], batch_id, merge=keep_created)
+    done = st._read(spark, st.rooms, ROOMS_SCHEMA, None, bk).filter("finished_ts IS NOT NULL").select(
+        "room_id", F.lit(True).alias("__done"))
+    live = rooms.join(touched, "room_id", "left_semi").join(done, "room_id", "left").withColumn(
+        "is_active", F.col("is_active") & F.col("__done").isNull()).drop("__done")
+    views = room_snapshot(live, persons, members, t, votes, results).withColumn("created", F.current_timestamp())
+    prev = st.views.read(spark, below=batch_id, buckets=bk)
+    if prev is None:
+        views = views.withColumn("__gone", F.lit(False))
+    else:
+        old = prev.groupBy("room_id").agg(F.min("created").alias("__c0"))
+        views = views.join(old, "room_id", "left").withColumn("created", F.coalesce("__c0", "created")).drop("__c0")
+        # pages that a view no longer has (its room was finished) are marked, and left out by a read
+        gone = (prev.filter("NOT __gone").join(touched, "room_id", "left_semi")
+                .join(views.select("room_id", "page"), ["room_id", "page"], "left_anti"))
+        views = views.withColumn("__gone", F.lit(False)).unionByName(
+            gone.withColumn("__gone", F.lit(True)).select(*views.columns, "__gone"))
+    st.views.upsert(views, batch_id)
 
 
 def live_time_box(st: FoldState, spark: SparkSession, tasks: DataFrame, now=None) -> DataFrame:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from estimark.operators.members import task_ordinals
 from estimark.sources.bindings import commands_of, messages_of, vote_log_of
+from estimark.session import materialize
 from estimark.sources.messages import parse_messages
 from estimark.sources.xml import with_change
 from estimark.streaming.incremental import FoldState, apply_batch, refresh_views
-from estimark.streaming.sinks import AppendTable, VersionedTable, scratch_root
+from estimark.streaming.sinks import AppendTable, DeltaTable, scratch_root
 
 ROOM_BUCKETS = 64
 
@@ -57,16 +58,16 @@ def change_log_stream(spark: SparkSession, messages: DataFrame, root: str | None
 def stream_vote_counts(spark: SparkSession, lineitem: DataFrame, part: DataFrame, root: str | None = None) -> DataFrame:
     """Live last score per (task, person): a streaming ``max_by`` aggregation
     (update mode, state in the state store) whose changed keys are upserted
-    into a versioned table each micro-batch.  ``part`` is static (stream-static join)."""
+    into a delta table each micro-batch.  ``part`` is static (stream-static join)."""
     root = root or scratch_root(spark, "vote-counts")
-    table = VersionedTable(f"{root}/table")
+    table = DeltaTable(f"{root}/table", ["task_id", "person_id"])
     log = vote_log_of(lineitem.join(part, lineitem.l_partkey == part.p_partkey))
     best = F.max_by(F.struct("room_id", "score"), F.struct("ts", "l_orderkey", "l_linenumber", "l_quantity"))
     agg = log.groupBy("task_id", "person_id").agg(best.alias("b")).select(
         F.col("b.room_id").alias("room_id"), F.col("b.score").alias("score"), "task_id", "person_id")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        table.replace_keys(batch, ["task_id", "person_id"], batch_id)
+        table.upsert(batch, batch_id)
 
     _run(agg.writeStream.outputMode("update").foreachBatch(upsert), root)
     return table.read(spark)
@@ -91,7 +92,8 @@ class StreamFold:
 
 
 def stream_room_fold(spark: SparkSession, messages: DataFrame, tasks: DataFrame, rooms: DataFrame,
-                     persons: DataFrame, dictionary: DataFrame, root: str | None = None) -> StreamFold:
+                     persons: DataFrame, dictionary: DataFrame, root: str | None = None,
+                     members: DataFrame | None = None) -> StreamFold:
     """Apply the room fold per micro-batch (JVM only, no Python state worker):
 
     1. parse the batch's messages and append them to the log (partitioned by
@@ -99,18 +101,23 @@ def stream_room_fold(spark: SparkSession, messages: DataFrame, tasks: DataFrame,
     2. continue the fold of the touched rooms from the compact state tables
        (``estimark.streaming.incremental``): work grows with the batch and the
        touched rooms' state, not with their history;
-    3. upsert the touched rooms' nested views (keyed replace into a new table
-       version; a view keeps its first ``created`` time).
-    The rules are the batch fold's, so stream equals batch."""
+    3. upsert the touched rooms' nested views (a view keeps its first
+       ``created`` time; a finished room's view is ``UnknownRoom``).
+    ``members`` (room_id, person_no) holds who may have a slot; without it every
+    sender has one.  The rules are the batch fold's, so stream equals batch."""
     sf = StreamFold(root or scratch_root(spark, "room-fold"))
-    ordinals = task_ordinals(tasks)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_messages(batch).withColumn("room_bucket", F.pmod(F.hash("room_id"), F.lit(ROOM_BUCKETS)))
         sf.log.append(parsed, batch_id)
         parsed = sf.log.read_batch(spark, batch_id)
         senders = parsed.select("room_id", "person_no").distinct()
-        changed = apply_batch(spark, sf.state, parsed_commands(parsed), senders, ordinals, dictionary, batch_id)
+        if members is not None:
+            senders = senders.join(members.select("room_id", "person_no"), ["room_id", "person_no"], "left_semi")
+        commands = materialize(parsed_commands(parsed))
+        # ordinals of the touched rooms only
+        mine = tasks.join(commands.select("room_id").distinct(), "room_id", "left_semi")
+        changed = apply_batch(spark, sf.state, commands, senders, task_ordinals(mine), dictionary, batch_id)
         refresh_views(spark, sf.state, changed, rooms, tasks, persons, batch_id)
 
     _run(messages.writeStream.foreachBatch(handle), sf.root)

@@ -1,17 +1,16 @@
-"""Sinks for ``foreachBatch``: idempotent append and keyed replace.
-
-Parquet has no MERGE, so a keyed upsert writes a *new version* of the hash
-buckets it touches: ``(previous rows without the batch's keys) UNION (batch
-rows)``.  Versions are folders ``v=<batch_id>``; a batch that is replayed
-after a failure finds its version already committed and does nothing, so the
-sinks are exactly-once together with the stream's checkpoint.  A version is
-never written over a path that is being read.
+"""Sinks for ``foreachBatch``: idempotent append and keyed upsert.
+
+Parquet has no MERGE, so a keyed table is a series of append-only deltas: a
+batch writes the rows it changes, a read takes the latest row per key.  A
+batch that is replayed after a failure finds its delta already committed and
+does nothing, so the sinks are exactly-once together with the stream's
+checkpoint.  No folder is written over while it is being read.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,95 +31,99 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-class VersionedTable:
-    """A keyed table kept as numbered versions of hash buckets under ``root``.
+class DeltaTable:
+    """A keyed table kept as append-only deltas under ``root``.
 
-    Version ``v`` is the folder ``v=<v>`` holding, partitioned by ``__b``, the
-    buckets that batch ``v`` changed; ``_SUCCESS`` marks it committed.  The
-    table as of a version is, per bucket, that bucket's latest committed
-    version.  A batch therefore rewrites only the buckets its keys fall into,
-    not the whole table.  (Long-lived tables should be compacted from time to
-    time: one version holding every bucket.)"""
+    Batch ``i`` writes the rows it inserts or replaces, and nothing else, to its
+    own folder (partitioned by a hash bucket of ``bucket_by``, so a reader of a
+    few keys opens few files).  The table is the latest row per key.  A
+    compaction writes the table as of batch ``i`` as a base.  Folders are
+    numbered ``2 i`` for the delta of batch ``i`` and ``2 i + 1`` for the base
+    as of batch ``i``: a compaction never takes a batch's number, and it orders
+    before every later batch.  A read starts from the newest base and adds the
+    deltas after it.  ``_SUCCESS`` marks a folder as committed; a replayed batch
+    finds its delta (or a base that holds it) and does nothing."""
 
-    def __init__(self, root: str, buckets: int = 64, bucket_by: Sequence[str] | None = None):
+    def __init__(self, root: str, keys: Sequence[str], buckets: int = 64, bucket_by: Sequence[str] | None = None,
+                 compact_every: int = 32):
         self.root = root.rstrip("/")
-        self.buckets = buckets
-        self.bucket_by = list(bucket_by) if bucket_by else None
-
-    def path(self, version: int) -> str:
-        return f"{self.root}/v={version:012d}"
+        self.keys, self.buckets, self.compact_every = list(keys), buckets, compact_every
+        self.bucket_by = list(bucket_by or keys)
 
-    def _layout(self, spark: SparkSession) -> dict[int, list[int]]:
-        """Committed versions and the buckets each one holds."""
+    def _layout(self, spark: SparkSession) -> dict[int, bool]:
+        """Committed folder numbers, and whether each holds rows: a base, the
+        deltas since, and at most one generation before."""
         fs, p = _fs(spark, self.root)
-        if not fs.exists(p):
-            return {}
-        out: dict[int, list[int]] = {}
-        for st in fs.listStatus(p):
+        out: dict[int, bool] = {}
+        for st in fs.listStatus(p) if fs.exists(p) else []:
             name = st.getPath().getName()
-            if not name.startswith("v=") or not fs.exists(st.getPath().suffix("/_SUCCESS")):
-                continue
-            out[int(name[2:])] = [int(b.getPath().getName()[4:]) for b in fs.listStatus(st.getPath())
-                                  if b.getPath().getName().startswith("__b=")]
+            inside = [x.getPath().getName() for x in fs.listStatus(st.getPath())] if name.startswith("__v=") else []
+            if "_SUCCESS" in inside:
+                out[int(name[4:])] = any(x.startswith("__b=") for x in inside)
         return out
 
-    def latest_version(self, spark: SparkSession, below: int | None = None) -> int | None:
-        vs = [v for v in self._layout(spark) if below is None or v < below]
-        return max(vs) if vs else None
+    def _folder(self, number: int) -> str:
+        return f"{self.root}/__v={number:012d}"
 
-    def _paths(self, spark: SparkSession, below: int | None, buckets=None) -> list[str]:
-        latest: dict[int, int] = {}
-        for v, bs in self._layout(spark).items():
-            if below is not None and v >= below:
-                continue
-            for b in bs:
-                if (buckets is None or b in buckets) and latest.get(b, -1) < v:
-                    latest[b] = v
-        return [f"{self.path(v)}/__b={b}" for b, v in sorted(latest.items())]
+    @staticmethod
+    def _base(layout: dict[int, bool]) -> int:
+        return max((n for n in layout if n % 2), default=-1)
 
-    def read(self, spark: SparkSession, below: int | None = None, buckets=None) -> DataFrame | None:
-        paths = self._paths(spark, below, buckets)
-        return spark.read.parquet(*paths) if paths else None
-
-    def compact(self, spark: SparkSession, version: int, keys: Sequence[str]) -> None:
-        """Write the whole table as one version ``version`` (every bucket), so
-        reads look at one folder per bucket again.  Use a version id above
-        every committed one; older versions can then be removed."""
-        if version in self._layout(spark):
-            return
-        cur = self.read(spark)
-        if cur is not None:
-            self._bucket(cur, keys).write.mode("overwrite").partitionBy("__b").parquet(self.path(version))
+    def has(self, spark: SparkSession, batch_id: int) -> bool:
+        layout = self._layout(spark)
+        return 2 * batch_id in layout or 2 * batch_id < self._base(layout)
 
-    def _bucket(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        cols = self.bucket_by or list(keys)
-        return df.withColumn("__b", F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int"))
+    def read(self, spark: SparkSession, below: int | None = None, buckets=None) -> DataFrame | None:
+        """The latest row per key, as of the batches below ``below``; ``buckets`` reads only those."""
+        layout = {n: rows for n, rows in self._layout(spark).items() if below is None or n < 2 * below}
+        since = self._base(layout)
+        parts = [n for n, rows in sorted(layout.items()) if rows and (n == since or n > since)]
+        if not parts:
+            return None
+        df = spark.read.option("basePath", self.root).parquet(*map(self._folder, parts))
+        if buckets is not None:
+            df = df.filter(F.col("__b").isin(*buckets)) if buckets else df.filter(F.lit(False))
+        names = [c for c in df.columns if c not in ("__b", "__v")]
+        if len(parts) == 1:
+            return df.select(*names)
+        return df.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "__v").alias("r")).select("r.*")
+
+    def _bucket(self):
+        """Bucket number; by the keys' text, so integer widths don't matter."""
+        return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in self.bucket_by]), F.lit(self.buckets)).cast("int")
+
+    def _write(self, df: DataFrame, number: int) -> None:
+        df = df.withColumn("__b", self._bucket())
+        df.repartition("__b").write.mode("overwrite").partitionBy("__b").parquet(self._folder(number))
 
     def bucket_ids(self, keys_df: DataFrame) -> set[int]:
         """Buckets holding the given bucket-key values (at most ``buckets`` ints
         come back to the driver)."""
-        return {r[0] for r in self._bucket(keys_df, self.bucket_by or keys_df.columns)
-                .select("__b").distinct().collect()}
-
-    def replace_keys(self, batch: DataFrame, keys: Sequence[str], batch_id: int,
-                     merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> None:
-        """New version of the touched buckets = their previous rows whose keys
-        are not in ``batch`` plus the batch rows (``merge(batch, previous)``
-        may carry columns over first).  A replayed batch id is skipped."""
+        return {r[0] for r in keys_df.select(self._bucket().alias("b")).distinct().collect()}
+
+    def upsert(self, batch: DataFrame, batch_id: int) -> None:
+        """Insert or replace the batch's rows (one per key).  Writes the batch
+        only; every ``compact_every`` batches the table is compacted."""
         spark = batch.sparkSession
-        if batch_id in self._layout(spark):
-            return
-        b = self._bucket(batch, keys)
-        touched = [r[0] for r in b.select("__b").distinct().collect()]  # at most ``buckets`` ints
-        if not touched:
+        if not self.has(spark, batch_id):
+            self._write(batch, 2 * batch_id)
+        layout = self._layout(spark)
+        if sum(n > self._base(layout) for n in layout) >= self.compact_every:
+            self.compact(spark)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Write the table as of its last committed batch as a base, and drop
+        what the base before this one had already replaced."""
+        layout = self._layout(spark)
+        base, last = self._base(layout), max((n for n in layout if n % 2 == 0), default=-1)
+        table = self.read(spark)
+        if table is None or last < base:
             return
-        prev = self.read(spark, below=batch_id, buckets=set(touched))
-        if prev is not None:
-            if merge is not None:
-                batch = merge(batch, prev)
-            kept = prev.join(batch.select(*keys).distinct(), list(keys), "left_anti")
-            batch = kept.unionByName(batch.select(*prev.columns))
-        self._bucket(batch, keys).write.mode("overwrite").partitionBy("__b").parquet(self.path(batch_id))
+        self._write(table, last + 1)
+        for n in layout:  # a reader may still be on the base before and the deltas after it
+            if n < base:
+                fs, p = _fs(spark, self._folder(n))
+                fs.delete(p, True)
 
 
 class AppendTable:

@@ -20,8 +20,8 @@ def _t(d):
 
 def test_recovery_one_row_latest_link(spark):
     acc = spark.createDataFrame([(1, "a@x.io")], "account_id long, email string")
-    req = spark.createDataFrame([(1, _t(1), 5, "old", False), (1, _t(2), 6, "new", False), (9, _t(3), 7, "x", False)],
-                                "account_id long, ts timestamp_ntz, o_orderkey long, link string, is_base boolean")
+    req = spark.createDataFrame([(1, _t(1), 5, "old", False, False), (1, _t(2), 6, "new", False, False), (9, _t(3), 7, "x", False, False)],
+                                "account_id long, ts timestamp_ntz, o_orderkey long, link string, is_base boolean, is_active boolean")
     got = rows_of(A.recovery_state(req, acc), "account_id", "link", "is_active")
     assert got == [(1, "new", True)]
 
@@ -81,3 +81,15 @@ def test_redeem_link_ignores_case(spark):
     links = spark.createDataFrame([(1, "ABC-DEF", True)], "account_id long, link string, is_active boolean")
     red = spark.createDataFrame([(1, _t(1), "abc-def")], "redeem_id long, ts timestamp_ntz, link string")
     assert rows_of(A.recovery_redeem(red, links), "redeem_id", "ok") == [(1, True)]
+
+
+def test_recovery_keeps_a_used_link_inactive(spark):
+    import datetime as dt
+
+    from estimark.operators import accounts as A
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t, 1, "used", True, False), (2, t, 2, "open", True, True), (3, t, 3, "used", True, False), (3, t, 4, "new", False, False)]
+    req = spark.createDataFrame(rows, "account_id long, ts timestamp_ntz, o_orderkey long, link string, is_base boolean, is_active boolean")
+    acc = spark.createDataFrame([(1,), (2,), (3,)], "account_id long")
+    got = {r.account_id: (r.link, r.is_active) for r in A.recovery_state(req, acc).collect()}
+    assert got == {1: ("used", False), 2: ("open", True), 3: ("new", True)}

@@ -16,8 +16,8 @@ def test_audit_unique_case_and_blanks(spark):
 def test_audit_foreign_keys_counts_orphans(spark):
     parent = spark.createDataFrame([(1,), (2,)], "room_id long")
     child = spark.createDataFrame([(1,), (3,), (3,), (None,)], "room_id long")
-    got = rows_of(AU.audit_foreign_keys({"tasks_room": (child, "room_id", parent, "room_id"),
-                                         "ok": (parent, "room_id", parent, "room_id")}))
+    got = rows_of(AU.audit_foreign_keys({"tasks": (child, {"tasks_room": ("room_id", parent, "room_id")}),
+                                         "rooms": (parent, {"ok": ("room_id", parent, "room_id")})}))
     assert got == [("ok", 0), ("tasks_room", 2)]
 
 

@@ -71,3 +71,41 @@ def test_running_null_key_is_one_group(spark):
     got = running(df, ["g"], ["id"], id_chunk("id", 2), {"c": ("count", None)})
     assert rows_of(got, "g", "id", "c") == rows_of(spark.createDataFrame(
         [(None, 1, 1), (None, 5, 2), (None, 9, 3), (7, 2, 1)], "g long, id long, c long"))
+
+
+def _most_rows(df, keys):
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("kind", ["busy hour", "hashed ids"])
+def test_measured_chunks_bound_the_rows_of_a_chunk(spark, kind):
+    """One key with 95 % of the rows: in one hour, or with ids spread over the whole range."""
+    import datetime as dt
+
+    from estimark.operators.scan import measured_chunks
+    n, rows = 20_000, 1_000
+    base = spark.range(n).withColumn("g", F.when(F.col("id") % 20 == 0, F.col("id") % 7).otherwise(99))
+    if kind == "busy hour":
+        start = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+        df = base.withColumn("o", F.timestamp_add("SECOND", (F.xxhash64("id") % 1800 + 1800).cast("int"), start))
+    else:
+        df = base.withColumn("o", F.xxhash64("id"))
+    bounds = measured_chunks(df, ["g"], F.col("o"), rows)
+    cut = df.withColumn("__key", F.struct("g")).join(bounds, "__key", "left").withColumn(
+        "c", F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col("o"))), F.lit(0)))
+    assert _most_rows(cut, ["g", "c"]) <= 2 * rows
+    assert bounds.count() == 1
+    got = running(df, ["g"], ["o", "id"], None, {"c": ("count", None)}, chunk_rows=rows)
+    w = Window.partitionBy("g").orderBy("o", "id")
+    exp = df.withColumn("c", F.row_number().over(w).cast("long"))
+    assert got.select("g", "id", "c").exceptAll(exp.select("g", "id", "c")).count() == 0 and got.count() == n
+    plain = running(df, ["g"], ["o", "id"], None, {"c": ("count", None)})
+    assert plain.select("g", "id", "c").exceptAll(exp.select("g", "id", "c")).count() == 0
+
+
+def test_running_measures_with_null_keys_and_null_order(spark):
+    rows = [(None if i % 2 else 1, None if i % 9 == 0 else (i * 7919) % 1000, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g long, o long, id long")
+    got = running(df, ["g"], ["o", "id"], None, {"s": ("sum", "id")}, chunk_rows=20)
+    w = Window.partitionBy("g").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    assert rows_of(got, "g", "id", "s") == rows_of(df.withColumn("s", F.sum("id").over(w)), "g", "id", "s")

@@ -36,7 +36,7 @@ def test_stream_fold_equals_batch(spark):
     src = _split_events(spark)
     msgs = LS.message_stream(spark, src, glob="events-*.parquet", max_files=1)
     sf = LS.stream_room_fold(spark, msgs, B.b_tasks(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL),
-                             B.b_persons(spark, SF_SMALL), B.b_dictionary(spark))
+                             B.b_persons(spark, SF_SMALL), B.b_dictionary(spark), members=B.b_slots(spark, SF_SMALL))
     batch = FO.room_state_fold(q_fold.run_fold(spark, SF_SMALL), B.b_dictionary(spark))
     got = sf.state.task_states(spark)
     assert rows_of(got) == rows_of(batch.select(*got.columns))
@@ -48,8 +48,8 @@ def test_stream_fold_equals_batch(spark):
         F.col("reason").isin("no_active_task", "no_slot", "unknown_ordinal", "overlapping_start", "already_completed"))
     assert rows_of(q) == rows_of(exp_q)
     # views keep the time they were first written
-    views = sf.views.read(spark)
-    first = sf.views.read(spark, below=1)
+    views = sf.state.live_views(spark)
+    first = sf.state.live_views(spark, below=1)
     j = views.join(first.select("room_id", F.col("created").alias("c0")), "room_id")
     assert j.filter("created <> c0").count() == 0
 
@@ -65,31 +65,94 @@ def test_stream_vote_counts_equals_batch(spark):
     assert rows_of(got) == rows_of(exp)
 
 
-def test_versioned_table_rewrites_only_touched_buckets(spark):
-    from estimark.streaming.sinks import VersionedTable, scratch_root
-    t = VersionedTable(scratch_root(spark, "buckets"), buckets=8)
-    a = spark.createDataFrame([(k, "v0") for k in range(40)], "k long, v string")
-    t.replace_keys(a, ["k"], 0)
-    t.replace_keys(spark.createDataFrame([(3, "v1")], "k long, v string"), ["k"], 1)
-    layout = t._layout(spark)
-    assert len(layout[0]) == 8 and len(layout[1]) == 1
+def _delta(spark, name, **kwargs):
+    from estimark.streaming.sinks import DeltaTable, scratch_root
+    return DeltaTable(scratch_root(spark, name), ["k"], **kwargs)
+
+
+def _kv(spark, *rows):
+    return spark.createDataFrame(list(rows), "k long, v string")
+
+
+def test_delta_table_writes_the_batch_only(spark):
+    import glob
+    t = _delta(spark, "delta", buckets=8)
+    t.upsert(_kv(spark, *[(k, "v0") for k in range(40)]), 0)
+    t.upsert(_kv(spark, (3, "v1")), 1)
+    path = t._folder(2).removeprefix("file:")
+    assert spark.read.parquet(path).count() == 1 and len(glob.glob(f"{path}/__b=*/*.parquet")) == 1
     got = dict(rows_of(t.read(spark)))
     assert len(got) == 40 and got[3] == "v1" and got[4] == "v0"
     assert dict(rows_of(t.read(spark, below=1)))[3] == "v0"
-    t.compact(spark, 2, ["k"])
-    assert len(t._paths(spark, None)) == 8 and all("v=000000000002" in p for p in t._paths(spark, None))
-    assert dict(rows_of(t.read(spark))) == got
+    assert t.read(spark, buckets=t.bucket_ids(_kv(spark, (3, "")).select("k"))).filter("k = 3").first()["v"] == "v1"
+
+
+def test_delta_table_write_compact_write_read_replay(spark):
+    t = _delta(spark, "compact", buckets=4)
+    t.upsert(_kv(spark, (1, "a0"), (2, "b0")), 0)
+    t.upsert(_kv(spark, (2, "b1")), 1)
+    t.compact(spark)
+    assert rows_of(t.read(spark)) == [(1, "a0"), (2, "b1")]
+    t.upsert(_kv(spark, (2, "b2"), (3, "c2")), 2)  # the batch right after the compaction
+    assert rows_of(t.read(spark)) == [(1, "a0"), (2, "b2"), (3, "c2")]
+    t.upsert(_kv(spark, (2, "WRONG")), 1)  # replays, before and after the base
+    t.upsert(_kv(spark, (3, "WRONG")), 2)
+    assert rows_of(t.read(spark)) == [(1, "a0"), (2, "b2"), (3, "c2")]
+    t.compact(spark)
+    t.compact(spark)
+    t.upsert(_kv(spark, (4, "d3")), 3)
+    assert rows_of(t.read(spark)) == [(1, "a0"), (2, "b2"), (3, "c2"), (4, "d3")]
+    assert rows_of(t.read(spark, below=3)) == [(1, "a0"), (2, "b2"), (3, "c2")]
+
+
+def test_delta_table_compacts_itself_and_takes_empty_batches(spark):
+    t = _delta(spark, "auto", buckets=2, compact_every=3)
+    for i in range(8):
+        t.upsert(_kv(spark, *([] if i % 3 == 1 else [(i % 4, f"v{i}")])), i)
+    assert dict(rows_of(t.read(spark))) == {0: "v0", 2: "v6", 3: "v3", 1: "v5"}
+    assert len(t._layout(spark)) < 8
+
+
+def test_read_table_sees_appended_rows(spark):
+    from estimark.streaming.sinks import scratch_root
+    folder = scratch_root(spark, "grow")
+    _kv(spark, (1, "a")).write.parquet(f"{folder}/t.parquet")
+    assert read_table(spark, folder, "t").count() == 1
+    _kv(spark, (2, "b"), (3, "c")).write.mode("append").parquet(f"{folder}/t.parquet")
+    assert read_table(spark, folder, "t").count() == 3
+
 
+def test_finished_room_is_hidden_in_batch_and_stream(spark):
+    import datetime as dt
 
-def test_replayed_batch_is_idempotent(spark):
-    from estimark.streaming.sinks import VersionedTable, scratch_root
-    t = VersionedTable(scratch_root(spark, "idem"))
-    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
-    t.replace_keys(a, ["k"], 0)
-    b = spark.createDataFrame([(2, "z")], "k long, v string")
-    t.replace_keys(b, ["k"], 1)
-    t.replace_keys(spark.createDataFrame([(2, "WRONG")], "k long, v string"), ["k"], 1)  # replay
-    assert rows_of(t.read(spark)) == [(1, "x"), (2, "z")]
+    from estimark.operators.views import views_after_log
+    at = lambda m: dt.datetime(2024, 1, 1, 10, m)
+    msgs = [(1, at(0), 0, 1, '<Change><StartVoting taskId="1" isCurrentActive="1"/></Change>', "StartVoting"),
+            (1, at(1), 1, 1, '<Change><AddVote vote="1" score="5"/></Change>', "ChangeVote"), (1, at(2), 2, 1, "", "StopVoting"),
+            (2, at(2), 3, 1, "", "StopVoting"), (1, at(3), 4, 1, "", "FinishPlanning")]
+    rows = [(r, t, e, p, f"{k}=={x}") for r, t, e, p, x, k in msgs]
+    log = spark.createDataFrame(rows, "room_id long, ts timestamp_ntz, event_id long, person_no long, msg string")
+    rooms = spark.createDataFrame([(1, "one", True), (2, "two", True)], "room_id long, name_room string, is_active boolean")
+    tasks = spark.createDataFrame([(10, 1, "t", 3), (20, 2, "u", 3)], "task_id long, room_id long, name string, minutes int")
+    persons = spark.createDataFrame([(1, "ann")], "person_id long, login_name string")
+    d = B.b_dictionary(spark)
+    from estimark.operators.members import task_ordinals
+    from estimark.sources.messages import parse_messages
+    cmds = LS.parsed_commands(parse_messages(log))
+    members = log.select("room_id", "person_no").distinct()
+    f = FO.fold(cmds, task_ordinals(tasks), members)
+    batch = views_after_log(f, rooms, tasks, persons, members, d)
+    want = [(1, "UnknownRoom", None), (2, None, "two")]
+    assert rows_of(batch, "room_id", "error", "NameRoom") == want
+    src = tempfile.mkdtemp(prefix="estimark-finish-", dir="/tmp")
+    log.filter("event_id < 3").coalesce(1).write.parquet(f"{src}/a")
+    stream = lambda: spark.readStream.schema(log.schema).parquet(f"{src}/*")
+    root = f"{src}-out"
+    sf = LS.stream_room_fold(spark, stream(), tasks, rooms, persons, d, root=root)
+    assert rows_of(sf.state.live_views(spark), "room_id", "error", "NameRoom") == [(1, None, "one")]
+    log.filter("event_id >= 3").coalesce(1).write.parquet(f"{src}/b")
+    sf = LS.stream_room_fold(spark, stream(), tasks, rooms, persons, d, root=root)
+    assert rows_of(sf.state.live_views(spark), "room_id", "error", "NameRoom") == want
 
 
 def test_stream_fold_many_small_batches(spark):
@@ -97,7 +160,7 @@ def test_stream_fold_many_small_batches(spark):
     src = _split_events(spark, parts=6)
     msgs = LS.message_stream(spark, src, glob="events-*.parquet", max_files=1)
     sf = LS.stream_room_fold(spark, msgs, B.b_tasks(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL),
-                             B.b_persons(spark, SF_SMALL), B.b_dictionary(spark))
+                             B.b_persons(spark, SF_SMALL), B.b_dictionary(spark), members=B.b_slots(spark, SF_SMALL))
     got = sf.state.task_states(spark)
     batch = FO.room_state_fold(q_fold.run_fold(spark, SF_SMALL), B.b_dictionary(spark))
     assert rows_of(got) == rows_of(batch.select(*got.columns))
@@ -105,7 +168,7 @@ def test_stream_fold_many_small_batches(spark):
     from estimark.operators.views import views_after_log
     exp = views_after_log(q_fold.run_fold(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL), B.b_tasks(spark, SF_SMALL),
                           B.b_persons(spark, SF_SMALL), q_fold.log_members(spark, SF_SMALL), B.b_dictionary(spark))
-    assert rows_of(snapshot_summary(sf.views.read(spark))) == rows_of(snapshot_summary(exp))
+    assert rows_of(snapshot_summary(sf.state.live_views(spark))) == rows_of(snapshot_summary(exp))
 
 
 def test_live_time_box(spark):
@@ -117,7 +180,7 @@ def test_live_time_box(spark):
         [(1, 1, "StartVoting", 10, dt.datetime(2024, 1, 1, 10, 0, 0), 1),
          (2, 2, "StopVoting", None, dt.datetime(2024, 1, 1, 10, 0, 0), 2)],
         "room_id long, n_markers long, last_kind string, last_task long, last_ts timestamp_ntz, last_event long")
-    st.rooms.replace_keys(rooms, ["room_id"], 0)
+    st.rooms.upsert(rooms.withColumn("finished_ts", F.lit(None).cast("timestamp_ntz")), 0)
     tasks = spark.createDataFrame([(10, 3)], "task_id long, minutes int")
     now = F.lit(dt.datetime(2024, 1, 1, 10, 1, 30)).cast("timestamp_ntz")
     r = live_time_box(st, spark, tasks, now=now).collect()
