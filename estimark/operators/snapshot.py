@@ -129,6 +129,24 @@ def snapshot_summary(snap: DataFrame) -> DataFrame:
         F.sum("nm").cast("int").alias("n_medians"), F.max("lp").alias("last_person_id"))
 
 
+def snapshot_cells(snap: DataFrame) -> DataFrame:
+    """The contents of paged room views as flat rows: one per (task, vote), and
+    one without a vote for a task that has none.  The same rows whatever the
+    page size."""
+    t = snap.select("room_id", F.explode("Tasks").alias("t"))
+    return t.select("room_id", "t", F.explode_outer("t.PersonTask").alias("p")).select(
+        "room_id", F.col("t.Id").alias("task_ord"), F.col("t.NameTask").alias("name"), F.col("t.Completed").alias("completed"),
+        F.col("t.IsCurrentActive").alias("on_active"), F.col("t.TimeDiscussion").alias("minutes"),
+        F.col("t.Median").alias("median"), F.col("p.PersonId").alias("vote_ord"), F.col("p.Vote").alias("vote"),
+        F.col("p.Score").alias("score"))
+
+
+def snapshot_persons(snap: DataFrame) -> DataFrame:
+    """The persons of paged room views as flat rows."""
+    return snap.select("room_id", F.explode("Persons").alias("p")).select(
+        "room_id", F.col("p.Id").alias("person_ord"), F.col("p.UserName").alias("login_name"))
+
+
 def _bit(c):
     return F.when(c, 1).when(~c, 0)
 

@@ -206,3 +206,25 @@ def q_snapshot_on_change(spark, sf):
     snap = views_after_log(f, B.b_rooms(spark, sf), B.b_tasks(spark, sf), B.b_persons(spark, sf),
                            log_members(spark, sf), B.b_dictionary(spark))
     return S.snapshot_summary(snap)
+
+
+OPEN_ROOMS_SQL = """(select b.room_id from b_rooms b where b.is_active and b.room_id in (select room_id from o_cmd)
+  and b.room_id not in (select room_id from o_cmd where kind = 'FinishPlanning'))"""
+CELLS_AFTER_LOG_SQL = f"""select r.room_id, t.task_ord, t.name, coalesce(s.completed, false) completed,
+  coalesce(a.active_task = t.task_id, false) on_active, t.minutes, m.median, v.vote_ord, v.vote, v.score
+from {OPEN_ROOMS_SQL} r join (select *, cast(row_number() over (partition by room_id order by task_id) as int) task_ord from b_tasks) t
+  on t.room_id = r.room_id
+left join (select open_task, bool_or(completed) completed from o_seg where open_task is not null group by open_task) s on s.open_task = t.task_id
+left join o_active a on a.room_id = t.room_id left join o_results m on m.task_id = t.task_id
+left join (select task_id, cast(row_number() over (partition by task_id order by person_no) as int) vote_ord, vote, score
+  from ({APPLY_SQL})) v on v.task_id = t.task_id"""
+CELL_BLOCKS = ["b_rooms", "b_tasks", "b_persons", "o_cmd", "o_seg", "o_active", "o_votes", "o_results"]
+
+
+@register("snapshot_on_change_cells", CELL_BLOCKS, CELLS_AFTER_LOG_SQL)
+def q_snapshot_on_change_cells(spark, sf):
+    """Contents of the views of the rooms the log touched, as flat cells."""
+    from estimark.operators.views import views_after_log
+    f = run_fold(spark, sf)
+    return S.snapshot_cells(views_after_log(f, B.b_rooms(spark, sf), B.b_tasks(spark, sf), B.b_persons(spark, sf),
+                                            log_members(spark, sf), B.b_dictionary(spark)))

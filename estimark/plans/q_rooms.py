@@ -20,10 +20,10 @@ def _medians(spark, sf):
     return V.task_median(_latest(spark, sf), B.b_dictionary(spark))
 
 
-def _snapshot(spark, sf):
+def _snapshot(spark, sf, **kwargs):
     votes = materialize(_latest(spark, sf))  # reduced once, read for ordinals and medians
     return S.room_snapshot(B.b_rooms(spark, sf), B.b_persons(spark, sf), B.b_connections(spark, sf),
-                           B.b_tasks(spark, sf), votes, V.task_median(votes, B.b_dictionary(spark)))
+                           B.b_tasks(spark, sf), votes, V.task_median(votes, B.b_dictionary(spark)), **kwargs)
 
 
 @register("task_ordinals", ["b_tasks"], """select task_id, room_id, name, minutes,
@@ -150,3 +150,23 @@ def q_task_median_lookup(spark, sf):
     result table's unique task key."""
     return B.b_tasks(spark, sf).select("room_id", "task_id").join(
         _medians(spark, sf).select("task_id", "median"), "task_id", "left")
+
+
+@register("room_snapshot_cells", ["b_rooms", "b_tasks", "latest_votes", "task_median"], """
+select r.room_id, t.task_ord, t.name, false completed, false on_active, t.minutes, m.median, v.vote_ord, v.vote, v.score
+from b_rooms r join (select *, cast(row_number() over (partition by room_id order by task_id) as int) task_ord from b_tasks) t
+  on t.room_id = r.room_id
+left join (select task_id, cast(row_number() over (partition by task_id order by person_id) as int) vote_ord, true vote, score
+  from latest_votes) v on v.task_id = t.task_id
+left join task_median m on m.task_id = t.task_id where r.is_active""")
+def q_room_snapshot_cells(spark, sf):
+    """Contents of the room views, cut into many pages and read back as flat cells."""
+    return S.snapshot_cells(_snapshot(spark, sf, page_cells=500))
+
+
+@register("room_snapshot_persons", ["b_rooms", "b_persons", "members"], """
+select r.room_id, cast(row_number() over (partition by r.room_id order by p.person_id) as int) person_ord, p.login_name
+from b_rooms r join members m on m.room_id = r.room_id join b_persons p on p.person_id = m.person_id where r.is_active""")
+def q_room_snapshot_persons(spark, sf):
+    """Persons of the room views, cut into many pages and read back."""
+    return S.snapshot_persons(_snapshot(spark, sf, page_cells=50))

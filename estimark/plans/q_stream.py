@@ -3,8 +3,8 @@
 
 from __future__ import annotations
 
-from estimark.operators.snapshot import snapshot_summary
-from estimark.plans.q_fold import VIEW_BLOCKS, VIEWS_AFTER_LOG_SQL
+from estimark.operators.snapshot import snapshot_cells, snapshot_summary
+from estimark.plans.q_fold import CELL_BLOCKS, CELLS_AFTER_LOG_SQL, VIEW_BLOCKS, VIEWS_AFTER_LOG_SQL
 from estimark.plans.q_ingest import PARSE_SQL
 from estimark.plans.registry import register
 from estimark.sources import bindings as B
@@ -54,3 +54,9 @@ def q_append_sinks(spark, sf):
 def q_room_snapshot_upsert(spark, sf):
     """Stored room views after the stream: keyed replace per micro-batch."""
     return snapshot_summary(_stream_fold(spark, sf).state.live_views(spark))
+
+
+@register("room_snapshot_upsert_cells", CELL_BLOCKS, CELLS_AFTER_LOG_SQL)
+def q_room_snapshot_upsert_cells(spark, sf):
+    """Contents of the stored room views after the stream, as flat cells."""
+    return snapshot_cells(_stream_fold(spark, sf).state.live_views(spark))
