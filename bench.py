@@ -22,6 +22,8 @@ HEADLINE = [
     "task_median", "latest_vote", "median_window", "zero_fill_votes", "room_snapshot", "room_snapshot_xml",
     "results_grid", "parse_messages", "xml_task_shred", "create_rooms", "register_users", "recovery_redeem",
     "credential_match", "stop_voting", "room_state_fold", "quarantine", "audit_foreign_keys", "stream_vote_counts",
+    "snapshot_on_change", "fanout_updates", "room_snapshot_upsert", "stream_room_state_fold", "append_sinks",
+    "register_users_batch",
 ]
 
 

@@ -1,8 +1,9 @@
 """Votes: last vote wins, sentinel cards, the median estimate, ordinals.
 
 Votes are keyed by (task_id, person_id); the room is carried along.  All
-aggregations here are hash aggregations with a map-side partial step, so a hot
-task or person is combined before the shuffle.
+aggregations here have a map-side partial step (``latest_vote`` keeps struct
+buffers and is sort-based, the others are hash aggregations), so a hot task or
+person is combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -34,17 +35,17 @@ def latest_vote(log: DataFrame, keys: Sequence[str] = ("task_id", "person_id"),
 
 def sentinel_flag(votes: DataFrame, dictionary: DataFrame, score: str = "score") -> DataFrame:
     """Add ``is_sentinel``: the score is a dictionary card (coffee, question,
-    not voted).  The dictionary is a fixed three-row table: broadcast."""
-    d = F.broadcast(dictionary.select(F.col("score").alias("__ds")).distinct()
-                    .withColumn("is_sentinel", F.lit(True)))
+    not voted).  How the dictionary is joined is left to the planner, which
+    sees its size."""
+    d = dictionary.select(F.col("score").alias("__ds")).distinct().withColumn("is_sentinel", F.lit(True))
     return (votes.join(d, votes[score] == d["__ds"], "left")
             .withColumn("is_sentinel", F.coalesce("is_sentinel", F.lit(False))).drop("__ds"))
 
 
 def not_in_dictionary(votes: DataFrame, dictionary: DataFrame, score: str = "score") -> DataFrame:
     """``Score NOT IN (SELECT Score FROM dictionary)``; both sides are NOT NULL,
-    so a plain broadcast anti join is exact."""
-    d = F.broadcast(dictionary.select(F.col("score").alias("__ds")))
+    so a plain anti join is exact."""
+    d = dictionary.select(F.col("score").alias("__ds"))
     return votes.join(d, votes[score] == d["__ds"], "left_anti")
 
 
@@ -88,7 +89,7 @@ def decode_scores(votes: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Card label: the dictionary meaning of a sentinel, else the number; and
     ``in_deck``, whether the score is a card of the deck (scores are not
     checked when votes arrive, so this is an audit column, not a filter)."""
-    d = F.broadcast(dictionary.select(F.col("score").alias("__ds"), "meaning"))
+    d = dictionary.select(F.col("score").alias("__ds"), "meaning")
     j = votes.join(d, votes["score"] == d["__ds"], "left")
     return j.select("room_id", "task_id", "person_id", "score",
                     F.coalesce("meaning", F.col("score").cast("string")).alias("label"),
