@@ -21,6 +21,7 @@ import base64
 import hashlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from estimark.llm import words as W
 
 LEAF = 24  # bytes that a leaf merges directly
-KEEP = 1 << 18  # pieces remembered in a worker
+KEEP = 1 << 16  # pieces remembered in a worker
 DECODE_LEAF = 4096
 
 
@@ -195,7 +196,9 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                cols.append(pa.array(out, pa.list_(pa.int32())))
+                flat = pa.array(np.frombuffer(b"".join(x.tobytes() for x in out), np.uint32).astype(np.int32))
+                offs = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offs), flat))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 

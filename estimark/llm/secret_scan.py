@@ -128,7 +128,8 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
         def run_mask(batches):
             for b in batches:
                 texts = []
-                for t in b.column(at).to_pylist():
+                for t in b.column(at):
+                    t = t.as_py()
                     spans = found(t)[1] if t else ()
                     texts.append(masked(t, spans) if spans else t)
                 cols = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(b.columns)]

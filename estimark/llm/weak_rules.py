@@ -115,12 +115,16 @@ def measure_slice(s: W.Slice) -> dict[str, np.ndarray]:
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, MEASURES) per row, from whole texts in Arrow batches."""
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
+    return _measured(docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("__text")), key, lambda b: b.column(1))
+
+
+def _measured(rows: DataFrame, key: str, pick) -> DataFrame:
+    """(key, MEASURES): the first column, and the measures of the texts that ``pick`` finds in a batch."""
+    schema = f"`{key}` {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
 
     def run(batches):
         for b in batches:
-            parts = [measure_slice(s) for s in W.slices(b.column(1))]
+            parts = [measure_slice(s) for s in W.slices(pick(b))]
             cols = [np.concatenate([p[m] for p in parts]) if parts else np.empty(0, np.int64) for m in MEASURES]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], [key, *MEASURES])
 
@@ -205,6 +209,7 @@ def kept_documents(docs: DataFrame, text: str = "text", keep_at: float = 0.5, mi
     """The rows of ``docs`` that are kept, with their own columns.  Texts are
     read twice (votes, then verdicts) and never shuffled."""
     votes = measure(docs.select(F.lit(0).alias("__k"), F.col(text).alias("__t")), "__k", "__t").select(*vote_columns())
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__t"))
-    judged = judge(measure(rows, "__row", "__t").select("*", *vote_columns()), posterior(votes), keep_at, min_words, max_repeat)
+    at = docs.columns.index(text)
+    rows = _measured(docs.select(F.struct(*docs.columns).alias("__row")), "__row", lambda b: b.column(0).flatten()[at].cast(pa.string()))
+    judged = judge(rows.select("*", *vote_columns()), posterior(votes), keep_at, min_words, max_repeat)
     return judged.filter("kept").select("__row.*")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from estimark.session import ship_package
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,6 +160,15 @@ def windows(s: Slice, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in every worker."""
+    """``mapInArrow`` with this package at hand in every worker.  Memory that a
+    batch no longer needs goes back to the system: workers live on for the
+    next stage."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
