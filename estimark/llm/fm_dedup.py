@@ -4,11 +4,12 @@ A window is ``WINDOW`` consecutive words of one document.  Every word covered
 by a window whose word sequence also starts in a document with a smaller
 doc_id is removed; windows are judged on the input.
 
-1. Shards are cut by content.  A window's anchor is its first ``GRAM`` words in
-   a fixed order that puts grams of longer words before those of shorter ones
-   and is random otherwise; a run of windows with the same anchor position is a segment.  Equal
-   windows have equal anchors, so they meet in the anchor's shard wherever
-   they stand, and anchors that only one document has are dropped at once.
+1. Shards are cut by content.  A window's anchor is its smallest gram of
+   ``GRAM`` words in a fixed order: grams with a long word first, random
+   otherwise.  A run of windows with the same anchor position is a segment.
+   Equal windows have equal anchors, so they meet in the anchor's shard
+   wherever they stand, and anchors that only one document has are dropped at
+   once.
 2. Equal segments are indexed once, for their smallest doc_id (aggregated
    before the shuffle): all other documents lose such a segment entirely.
 3. A shard is a run of whole anchors of about ``SHARD`` words.  Its segments'
@@ -44,6 +45,7 @@ from estimark.llm import words as W
 from estimark.session import materialize
 
 WINDOW, GRAM = 13, 3
+LONG = 6  # bytes of a long word
 SHARD = 1 << 17  # words of an index
 CROWD = 20_000  # segments of an anchor
 LAST = (1 << 63) - 1  # stands for a missing doc_id
@@ -159,9 +161,8 @@ def segments(s: W.Slice, h: np.ndarray, k: int, q: int):
     if not len(first):
         e = np.empty(0, np.int64)
         return e, e, e, e.astype(np.uint64), e.astype(np.uint64)
-    size = np.minimum(s.ends - s.starts, 8)
-    long_ = np.lib.stride_tricks.sliding_window_view(size, q).sum(1).astype(np.uint64) >> np.uint64(2)
-    gram = (W.window_hashes(h, q) >> np.uint64(3)) | ((np.uint64(7) - np.minimum(long_, np.uint64(7))) << np.uint64(61))
+    short = np.lib.stride_tricks.sliding_window_view(s.ends - s.starts < LONG, q).all(1)
+    gram = (W.window_hashes(h, q) >> np.uint64(1)) | (short.astype(np.uint64) << np.uint64(63))
     best, at = gram[first], first.copy()
     for j in range(1, k - q + 1):
         g = gram[first + j]
@@ -177,9 +178,20 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+KEEP = 6  # bytes of a word's hash in a shard; a false match needs 13 words that all agree in them
+
+
 def _binaries(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """values[start:end] as bytes, per entry."""
-    return pa.array([values[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
+    """values[start:end] as KEEP bytes each, per entry."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEEP]).tobytes()
+    return pa.array([raw[KEEP * a:KEEP * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
+
+
+def _words(blobs) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, KEEP)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :KEEP] = raw
+    return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW, q: int = GRAM,
@@ -204,13 +216,18 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = (cuts.groupBy("anchor").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z")
               .select("anchor"))
     live = materialize(cuts.join(shared, "anchor"))
-    th, start = F.shiftrightunsigned("place", 43).cast("int"), F.shiftrightunsigned("place", 5).bitwiseAND(F.lit((1 << 38) - 1)).cast("int")
-    live = live.select("did", "place", "anchor", "seg", th.alias("th"), start.alias("start"), F.col("place").bitwiseAND(F.lit(31)).cast("int").alias("n"))
 
-    # one entry per distinct segment, for its smallest document
-    units = live.groupBy("anchor", "seg").agg(F.min(F.struct("did", "place", "th", "start", "n")).alias("r"))
-    many = units.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    units = units.join(many, "anchor").select("anchor", "seg", "r.did", "r.th", "r.start", "r.n", F.ceil(F.col("size") / crowd).cast("int").alias("parts"))
+    # a segment's smallest document has it indexed if the anchor has another segment; the others lose it entirely
+    firsts = materialize(live.groupBy("anchor", "seg").agg(F.min("did").alias("least")))
+    many = materialize(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    th, start = F.shiftrightunsigned("place", 43).cast("int"), F.shiftrightunsigned("place", 5).bitwiseAND(F.lit((1 << 38) - 1)).cast("int")
+    first = F.col("did") == F.col("least")
+    owned = live.join(firsts, ["anchor", "seg"]).join(many, "anchor", "left").filter(~first | F.col("size").isNotNull())
+    owned = materialize(owned.select("did", "place", F.when(first, F.col("anchor")).alias("anchor"), F.when(first, F.col("seg")).alias("seg"),
+                                     F.when(first, F.ceil(F.col("size") / crowd)).cast("int").alias("parts")))
+    owned = owned.select("did", th.alias("th"), start.alias("start"), F.col("place").bitwiseAND(F.lit(31)).cast("int").alias("n"),
+                         "anchor", "seg", "parts")
+    units = owned.filter("seg IS NOT NULL")
     by_doc = units.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "anchor", "seg", "parts")).alias("want"))
     source = base.select("did", "th", "t").join(by_doc, ["did", "th"]).dropDuplicates(["did", "th"])
 
@@ -260,7 +277,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
             key_, unit, did, n, words = zip(*rows)
             n, did = np.array(n), np.array(did)
             lengths = n + k - 1
-            index = FMIndex(np.frombuffer(b"".join(words), np.uint64), lengths, did)
+            index = FMIndex(_words(words), lengths, did)
             seq = np.repeat(np.arange(len(n)), n)
             off = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
             hit = index.statistics(index.begin[seq] + off, k, did[seq]) == k
@@ -279,7 +296,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 if row[0] != now:
                     if len(group) > 1:
                         held += group
-                        size += sum(len(r[4]) for r in group) // 8
+                        size += sum(len(r[4]) for r in group) // KEEP
                     if size >= shard:
                         if (got := solve(held)):
                             yield got
@@ -293,10 +310,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spread = pooled.repartition("key").sortWithinPartitions("key")
     runs = materialize(W.map_batches(spread, search, "unit long, off int, run int"))
 
-    # the smallest document of a segment loses the reported runs, the others lose all of it
-    least = live.groupBy("anchor", "seg").agg(F.min("did").alias("least"))
-    owned = live.join(least, ["anchor", "seg"])
-    copies = owned.filter("did > least").select("did", "th", "start", "n")
+    # the smallest document of a segment loses the reported runs
+    copies = owned.filter("seg IS NULL").select("did", "th", "start", "n")
     hits = runs.select(F.col("unit").alias("seg"), "off", "run")
     if crowds:  # a crowded segment's windows: met elsewhere, or owned by a smaller document
         windows = fetched.filter("crowded").select("unit", "seg", "off", "did")
@@ -306,7 +321,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         met = met.filter("d < did OR r IS NOT NULL").select("seg", "off", F.lit(1).alias("run"))
         plain = fetched.filter("NOT crowded").select(F.col("unit").alias("seg")).distinct()
         hits = hits.join(plain, "seg").unionByName(met)
-    reps = (owned.filter("did = least").join(hits, "seg")
+    reps = (units.join(hits, "seg")
             .select("did", "th", (F.col("start") + F.col("off")).alias("start"), F.col("run").alias("n")))
     gone = copies.unionByName(reps).groupBy("did", "th").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("gone"))
     joined = base.join(gone, ["did", "th"], "left").select("id", "t", "gone")
