@@ -154,7 +154,8 @@ def regions(nodes: DataFrame, most: int) -> DataFrame:
         counts = materialize(counts)
         last = d == len(DEPTHS) - 1
         fit = counts if last else counts.filter(F.col("n") <= most)
-        level = keyed.join(fit.select("region"), "region").select("region", "id")
+        # a merge join at every size: the regions grow with the documents
+        level = keyed.select("region", "id").join(fit.select("region").hint("merge"), "region")
         out = level if out is None else out.unionByName(level)
         parents = counts.filter(F.col("n") > most).select("region")
         if last or not parents.limit(1).count():
