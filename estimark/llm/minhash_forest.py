@@ -5,25 +5,24 @@ two texts link when 100 * |A & B| >= ``PERCENT`` * |A | B| on the full sets.
 
 1. Texts with equal sets are one node (the smallest doc_id), by a grouping.
 2. Every node has a signature of ``HASHES`` minima.  The forest's ``TREES``
-   sorted orders are rotations of the signature; neighbours in an order are
-   texts with a long common prefix there.  A region is a prefix of an order,
-   ``DEPTHS[0]`` values deep; a region with more than ``REGION`` nodes is cut
-   deeper, as long as it takes, so crowded regions get longer prefixes and
-   thin ones keep short prefixes.  Regions that are still larger at the
-   deepest level (equal signatures) are cut into overlapping runs of the
-   sorted order.
+   sorted orders are rotations of the signature; a region is a prefix of an
+   order, ``DEPTH`` values deep, however many nodes share it.  A region with
+   more than ``REGION`` nodes is worked on in pairs of blocks, each its own
+   task group, so every pair of its nodes meets.
 3. Inside a region, nodes whose signatures agree (``agree_at``: a margin of
    over four deviations below the threshold) are candidates; a
    region reports a spanning forest of them, never its pairs.  The forests'
    components say which nodes must meet.
 4. A node's full set is sent once to its component (to its regions, when the
-   component has more than ``REGION`` nodes).  There every candidate pair that
-   is not yet connected is checked on the full sets, and a spanning forest of
-   the true links is reported.  Their components are the answer.
+   component has more than ``REGION`` nodes; those are worked on in pairs of
+   blocks too).  There every candidate pair that is not yet connected is
+   checked on the full sets, and a spanning forest of the true links is
+   reported.  Their components are the answer.
 
 A pair at the threshold shares a region in one order at least with
-probability 1 - (1 - 0.85 ** 3) ** 16, over 0.999999 (0.99998 at 0.8); links
-inside a component need only one path.
+probability 1 - (1 - 0.85 ** 3) ** 16, over 0.999999 (0.99998 at 0.8), in
+crowded regions as in thin ones; links inside a component need only one path.
+The work in a region of m nodes grows with m * m, its copies of a node with m.
 
 Defined cases: null and empty texts have no set and link with nothing;
 rows that repeat a doc_id are one document whose texts all link for it; a row
@@ -44,12 +43,12 @@ from estimark.session import materialize
 
 SHINGLE, PERCENT = 3, 85
 HASHES, TREES, STEP = 128, 16, 8
-DEPTHS = (3, 6, 12)
+DEPTH = 3
 REGION = 1024
 MARGIN = 4.2  # standard deviations of the estimate
 
 _FACTORS = np.random.default_rng(85).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDERS = [(np.arange(DEPTHS[-1]) + t * STEP) % HASHES for t in range(TREES)]
+_ORDERS = [(np.arange(DEPTH) + t * STEP) % HASHES for t in range(TREES)]
 
 
 def agree_at(percent: int) -> float:
@@ -88,20 +87,19 @@ def _fingerprints(s: W.Slice, k: int):
 
 
 def _signatures(starts: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one-byte signature, region keys per depth and tree) of each set."""
+    """(one-byte signature, region keys per tree) of each set."""
     full = np.empty((len(starts), HASHES), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(HASHES):
             full[:, j] = np.minimum.reduceat(x * _FACTORS[j], starts)
     full = W.mix(full)
-    keys = np.empty((len(starts), len(DEPTHS), TREES), np.uint64)
+    keys = np.empty((len(starts), TREES), np.uint64)
     with np.errstate(over="ignore"):
         for t, order in enumerate(_ORDERS):
             acc = np.full(len(starts), 0x9E37 + t, np.uint64)
-            for d in range(DEPTHS[-1]):
-                acc = W.mix(acc ^ full[:, order[d]])
-                if d + 1 in DEPTHS:
-                    keys[:, DEPTHS.index(d + 1), t] = acc
+            for d in order:
+                acc = W.mix(acc ^ full[:, d])
+            keys[:, t] = acc
     return (full >> np.uint64(56)).astype(np.uint8), keys
 
 
@@ -114,7 +112,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, n, fp, sig, keys) of every row; keys by depth, then tree; n 0 and the rest null without a set."""
+    """(id, n, fp, sig, keys) of every row; keys by tree; n 0 and the rest null without a set."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
 
     def run(batches):
@@ -130,7 +128,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                     continue
                 sig, keys = _signatures(starts, x)
                 flat = pa.array(keys.reshape(-1).view(np.int64))
-                offs = pa.array(np.arange(len(at) + 1, dtype=np.int32) * (len(DEPTHS) * TREES))
+                offs = pa.array(np.arange(len(at) + 1, dtype=np.int32) * TREES)
                 where = np.full(s.n, -1)
                 where[at] = np.arange(len(at))
                 take = pa.array(where, mask=where < 0)
@@ -141,85 +139,58 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return W.map_batches(rows, run, "id long, n long, fp binary, sig binary, keys array<long>")
 
 
-def regions(nodes: DataFrame, most: int) -> DataFrame:
-    """(region, id): the forest's regions with two nodes or more, cut deeper while they hold more than ``most``."""
-    out, parents = None, None
-    for d in range(len(DEPTHS)):
-        keyed = nodes.select("id", F.posexplode(F.slice("keys", d * TREES + 1, TREES)).alias("tree", "region"))
-        if parents is not None:  # only what fell into a crowded region of the level above
-            up = nodes.select("id", F.posexplode(F.slice("keys", (d - 1) * TREES + 1, TREES)).alias("tree", "up"))
-            inside = up.join(parents, up["up"] == parents["region"], "left_semi").select("id", "tree")
-            keyed = keyed.join(inside, ["id", "tree"], "left_semi")
-        counts = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        counts = materialize(counts)
-        last = d == len(DEPTHS) - 1
-        fit = counts if last else counts.filter(F.col("n") <= most)
-        # a merge join at every size: the regions grow with the documents
-        level = keyed.select("region", "id").join(fit.select("region").hint("merge"), "region")
-        out = level if out is None else out.unionByName(level)
-        parents = counts.filter(F.col("n") > most).select("region")
-        if last or not parents.limit(1).count():
-            break
-    return materialize(out)
-
-
-class _Forest:
-    """Union-find over local indices."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    def link(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-    def roots(self) -> np.ndarray:
-        up = np.array(self.up)
-        while (up != up[up]).any():
-            up = up[up]
-        self.up = up.tolist()
-        return up
-
-
-def candidates_of(i: int, sig: np.ndarray, n: np.ndarray, percent: int, least: float) -> np.ndarray:
-    """Later rows whose signature and size allow a link with row i."""
-    rest = slice(i + 1, len(sig))
-    near = (sig[rest] == sig[i]).sum(1) >= least * HASHES
-    small, big = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-    return np.flatnonzero(near & (100 * small >= percent * big)) + i + 1
-
-
-def local_forest(sig: np.ndarray, n: np.ndarray, percent: int, sets=None) -> list[tuple[int, int]]:
-    """A spanning forest of the candidate pairs, or of the true links when the sets are given."""
-    forest, edges, least = _Forest(len(sig)), [], agree_at(percent)
-    for i in range(len(sig) - 1):
-        roots = forest.roots()
-        near = candidates_of(i, sig, n, percent, least)
-        near = near[roots[near] != roots[i]]
-        for j in near.tolist():
-            if forest.find(i) == forest.find(j):
-                continue
-            if sets is not None:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both < percent * (n[i] + n[j] - both):
-                    continue
-            forest.link(i, j)
-            edges.append((i, j))
+def regions(nodes: DataFrame) -> DataFrame:
+    """(group, id, n): the forest's regions with two nodes or more, and how many they hold."""
+    keyed = nodes.select("id", F.explode("keys").alias("group"))
+    counts = materialize(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # a merge join at every size: the regions grow with the documents
+    return materialize(keyed.join(counts.hint("merge"), "group").select("group", "id", "n"))
+
+
+def block_pairs(groups: DataFrame, most: int) -> DataFrame:
+    """(g, id, late, same) of (group, id, n): a group's blocks of about ``most`` nodes meet two by two.
+
+    In a pair (a, b) the nodes of b are late; (a, a) has its nodes once, marked same."""
+    dealt = groups.withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "id",
+                        (F.col("mine") > F.col("other")).alias("late"), (F.col("mine") == F.col("other")).alias("same"))
+
+
+def _coded(sets: list) -> list:
+    """The sets with small numbers for their values."""
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    return np.split(code, np.cumsum([len(x) for x in sets])[:-1])
+
+
+def local_forest(sig: np.ndarray, n: np.ndarray, percent: int, split=None, sets=None) -> list[tuple[int, int]]:
+    """A spanning forest of the candidate pairs, or of the true links when the sets are given, among the rows
+    (between two blocks when ``split`` says where the second begins)."""
+    part, edges, least = np.arange(len(sig)), [], agree_at(percent) * HASHES
+    if sets is not None:
+        sets = _coded(sets)
+        has = np.zeros(max(int(x.max()) for x in sets) + 1, bool)
+    for i in range(len(sig) - 1 if split is None else split):
+        near = np.arange(i + 1 if split is None else split, len(sig))
+        fit = 100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])
+        near = near[fit & (part[near] != part[i])]
+        near = near[(sig[near] == sig[i]).sum(1) >= least]
+        if sets is not None and len(near):
+            has[sets[i]] = True
+            starts = np.cumsum([0] + [len(sets[j]) for j in near[:-1]])
+            both = np.add.reduceat(has[np.concatenate([sets[j] for j in near])], starts, dtype=np.int64)
+            has[sets[i]] = False
+            near = near[100 * both >= percent * (n[near] + n[i] - both)]
+        if len(near):
+            groups, first = np.unique(part[near], return_index=True)
+            edges += [(i, j) for j in near[first].tolist()]
+            part[np.isin(part, groups)] = part[i]
     return edges
 
 
-def _groups(batches, n_cols: int, most: int):
-    """Column lists of each run of equal first values in a sorted stream; a run longer than ``most`` comes in
-    overlapping pieces of ``most`` rows (each piece repeats the last quarter of the one before)."""
+def _groups(batches, n_cols: int):
+    """Column lists of each run of equal first values in a sorted stream."""
     key, held = None, [[] for _ in range(n_cols)]
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(n_cols)]
@@ -228,15 +199,23 @@ def _groups(batches, n_cols: int, most: int):
                 if len(held[0]) > 1:
                     yield held
                 key, held = row[0], [[] for _ in range(n_cols)]
-            elif len(held[0]) >= most:
-                yield held
-                held = [h[-(most // 4):] for h in held]
             for h, x in zip(held, row):
                 h.append(x)
     if len(held[0]) > 1:
         yield held
 
 
+def _forest_of(group, percent: int):
+    """The forest's edges, as ids, of one group: (g, id, sig, n, late, same) and the sets, if any."""
+    _, ids, sigs, sizes, late, same, *blobs = group
+    split = None if same[0] else late.count(False)
+    if split in (0, len(ids)):
+        return []
+    sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), HASHES)
+    sets = [np.frombuffer(x, np.uint64) for x in blobs[0]] if blobs else None
+    return [(ids[i], ids[j]) for i, j in local_forest(sig, np.array(sizes), percent, split, sets)]
+
+
 def _edges_out(pairs) -> pa.RecordBatch:
     u, v = zip(*pairs)
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -249,28 +228,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     nodes = (table.filter("id IS NOT NULL AND fp IS NOT NULL").groupBy("fp")
              .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     nodes = materialize(nodes)
-    placed = regions(nodes, most)
+    placed = regions(nodes)
     core = nodes.select("id", "fp", "n", "sig")
 
     def propose(batches):
-        for ids, sigs, sizes in ((g[1], g[2], g[3]) for g in _groups(batches, 4, most)):
-            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), HASHES)
-            edges = local_forest(sig, np.array(sizes), percent)
-            if edges:
-                yield _edges_out([(ids[i], ids[j]) for i, j in edges])
-
-    in_regions = placed.join(core.drop("fp"), "id").select("region", "id", "sig", "n")
-    spread = in_regions.repartition("region").sortWithinPartitions("region", "sig", "id")
+        for g in _groups(batches, 6):
+            if edges := _forest_of(g, percent):
+                yield _edges_out(edges)
+
+    in_regions = block_pairs(placed, most).join(core.drop("fp"), "id").select("g", "id", "sig", "n", "late", "same")
+    spread = in_regions.repartition("g").sortWithinPartitions("g", "late", "id")
     proposed = W.map_batches(spread, propose, "u long, v long")
     meet = materialize(connected_components(proposed))
 
     # where the full sets meet: the candidate component, or the regions inside it when it is large
     size = meet.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     homes = meet.join(size, "component")
-    near = homes.filter(F.col("size") <= most).select(F.col("node").alias("id"), F.col("component").alias("home"))
+    near = homes.filter(F.col("size") <= most).select(F.col("component").alias("group"), F.col("node").alias("id"), F.col("size").alias("n"))
     far = (homes.filter(F.col("size") > most).join(placed, F.col("node") == placed["id"])
-           .select("id", F.xxhash64("region", "component").alias("home")))
-    homes = materialize(near.unionByName(far))
+           .select(F.xxhash64("group", "component").alias("group"), "id"))
+    sizes = far.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    homes = materialize(block_pairs(near.unionByName(far.join(sizes, "group").select("group", "id", "n")), most))
 
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     wanted = texts.join(homes.select("id").distinct(), "id", "left_semi")
@@ -286,17 +264,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                         [b.column(0).take(pa.array(at + s.first)), _binary(fp), pa.array(sets, pa.binary())], ["id", "fp", "set"])
 
     sets = W.map_batches(wanted, sets_of, "id long, fp binary, set binary").dropDuplicates(["id", "fp"])
-    meeting = homes.join(core, "id").join(sets, ["id", "fp"]).select("home", "id", "sig", "n", "set")
+    meeting = homes.join(core, "id").join(sets, ["id", "fp"]).select("g", "id", "sig", "n", "late", "same", "set")
 
     def verify(batches):
-        for _, ids, sigs, sizes, blobs in _groups(batches, 5, most):
-            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), HASHES)
-            arrays = [np.frombuffer(x, np.uint64) for x in blobs]
-            edges = local_forest(sig, np.array(sizes), percent, arrays)
-            if edges:
-                yield _edges_out([(ids[i], ids[j]) for i, j in edges])
-
-    spread = meeting.repartition("home").sortWithinPartitions("home", "sig", "id")
+        for g in _groups(batches, 7):
+            if edges := _forest_of(g, percent):
+                yield _edges_out(edges)
+
+    spread = meeting.repartition("g").sortWithinPartitions("g", "late", "id")
     links = W.map_batches(spread, verify, "u long, v long")
     # rows that repeat a doc_id are one document: its sets' nodes are linked through it
     reps = nodes.select(F.col("fp").alias("rfp"), F.col("id").alias("rep"))

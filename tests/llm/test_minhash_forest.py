@@ -98,3 +98,26 @@ def test_components_on_paths_stars_and_cycles(spark):
     got = {r.node: r.component for r in C.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == components(edges)
     assert C.connected_components(spark.createDataFrame([(None, 1)], "u long, v long")).count() == 0
+
+
+def changed(rnd, words, n, tag):
+    """The words with ``n`` of them, three or more apart, replaced by new ones."""
+    out, at = list(words), []
+    while len(at) < n:
+        p = rnd.randrange(2, len(words) - 2)
+        if all(abs(p - q) > 2 for q in at):
+            at.append(p)
+            out[p] = f"{tag}x{n}x{len(at)}"
+    return out
+
+
+def test_a_star_of_distinct_variants(spark):
+    """Over 2,000 variants that link with their base and not with one another, at the real REGION."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))] + [(k, " ".join(changed(rnd, base, 4, f"v{k}"))) for k in range(1, 2501)]
+    sets = [shingles(t) for _, t in rows]
+    assert all(100 * len(s & sets[0]) >= 85 * len(s | sets[0]) for s in sets)
+    assert not any(100 * len(s & t) >= 85 * len(s | t) for s, t in zip(sets[1:], sets[2:]))
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.component_id != 0} == set()
