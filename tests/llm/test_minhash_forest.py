@@ -121,3 +121,14 @@ def test_a_star_of_distinct_variants(spark):
     assert not any(100 * len(s & t) >= 85 * len(s | t) for s, t in zip(sets[1:], sets[2:]))
     got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got if r.component_id != 0} == set()
+
+
+def test_crowded_regions_keep_the_links(spark):
+    """Links just above the threshold whose regions are crowded at every depth up to six values."""
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))] + [(k, " ".join(changed(rnd, base, 5, f"v{k}"))) for k in range(1, 601)]
+    sets = [shingles(t) for _, t in rows]
+    assert all(100 * len(s & sets[0]) >= 85 * len(s | sets[0]) for s in sets)
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=200).collect()
+    assert {r.doc_id for r in got if r.component_id != 0} == set()
