@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Vectors are compared within a label.  Every vector is described by the ordered
+Vectors are compared within a label, each length for itself.  Every vector is described by the ordered
 list of its nearest reference points (pivots); inverted lists per pivot bring
 together the vectors that name it, and two vectors whose descriptions share
 ``SHARED`` pivots or more are verified by their cosine in double precision.
@@ -17,9 +17,8 @@ pairs of blocks, each its own task group, so a crowded pivot is spread.
 Equal vectors of a label are one node with a multiplicity before the index is
 built, so a vector that a third of all rows repeat costs one entry.
 
-Defined cases: vectors that are null, empty, zero, of another length than
-their label's pivots, or that hold null or non-finite components, and vectors
-without a label, link with nothing; rows that repeat a vec_id are vectors of
+Defined cases: vectors that are null, empty, zero, or that hold null
+or non-finite components, and vectors without a label, link with nothing; rows that repeat a vec_id are vectors of
 their own, each with the component of its own vector; a row without vec_id
 gets no component and keeps its row (kept true), and counts as a link of
 others; an empty table gives an empty result; other columns are ignored.
@@ -46,13 +45,14 @@ LEAST = 0.93
 
 
 def clean(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(id, label, x, ok): the vector, and whether it may link."""
+    """(id, label, x, ok): the vector, and whether it may link; vectors of one label and length share a label here."""
     zero = F.lit(0).cast(vectors.schema[vector].dataType.elementType)
     x = F.transform(F.col(vector), lambda v: F.when(v == 0, zero).otherwise(v))  # no negative zeros
     finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     nonzero = F.exists(x, lambda v: v != 0)
     ok = F.col(label).isNotNull() & F.col(vector).isNotNull() & (F.size(x) > 0) & finite & nonzero
-    return vectors.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), x.alias("x"),
+    group = F.concat_ws(":", F.size(x).cast("string"), F.col(label).cast("string"))
+    return vectors.select(F.col(key).alias("id"), group.alias("label"), x.alias("x"),
                           F.coalesce(ok, F.lit(False)).alias("ok"))
 
 

@@ -93,3 +93,16 @@ def test_labels_of_two(spark):
     rows = [(i, [1.0, float(i % 2) / 10, 0.0], i // 2) for i in range(20)]
     got = P.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all(r.n_links == 1 and r.component_id == r.vec_id - r.vec_id % 2 for r in got)
+
+
+def test_labels_of_mixed_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for d in (8, 16, 32):
+        for _ in range(20):
+            x = rng.normal(size=d)
+            x /= np.linalg.norm(x)
+            rows += [(len(rows), x.tolist(), 0), (len(rows) + 1, near(rng, x, 0.97).tolist(), 0)]
+    links, component = brute(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in P.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0]: (links[i], component[i]) for i, r in enumerate(rows)}
