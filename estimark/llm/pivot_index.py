@@ -1,18 +1,20 @@
-"""Near-duplicate vectors by a pivot-permutation index.
-
-Vectors are compared within a label, each length for itself.  Every vector is described by the ordered
-list of its nearest reference points (pivots); inverted lists per pivot bring
-together the vectors that name it, and two vectors whose descriptions share
-``SHARED`` pivots or more are verified by their cosine in double precision.
-
-Pivots are a documented bounded sample per label: ``PIVOTS`` vectors (fewer in
-small labels), the first by a keyed digest of their ids; every vector is
-indexed.  The ``NAMED`` nearest pivots, nearest first, describe a vector (all
-of them where a label has fewer).  A pair is worked on in the list of the first pivot,
-in number order, that both name, so no list emits or verifies a pair twice
-and no pair is ever shipped: a list reports a link count per vector and a
-spanning forest of its links.  A list longer than ``BLOCK`` is worked on in
-pairs of blocks, each its own task group, so a crowded pivot is spread.
+"""Near-duplicate vectors by a pivot index with exact bounds.
+
+Vectors are compared within a label, each length for itself.  A
+vector belongs to the cell of its nearest reference point (pivot).  For every
+cell the index keeps the least and greatest angle of its vectors to each pivot
+of the label.  By the triangle inequality two cells hold no link when, at some
+pivot, their angles lie further apart than the threshold's; all other pairs of
+cells meet, and there every pair is verified by its cosine in double
+precision.  So every link is found, in dense groups too.
+
+Pivots are a bounded sample per label: a vector for every ``BLOCK`` of the
+label, ``PIVOTS`` at most, the first by a keyed digest of their ids.  A cell
+longer than ``BLOCK`` is cut into blocks.  Blocks meet in pairs, each pair its
+own task group, and a pair of vectors meets in one of them only; a group
+reports a link count per vector and a spanning forest of its links, never its
+pairs.  Where the bounds separate no cells (vectors that are spread evenly in
+many dimensions) the work is quadratic in the label.
 
 Equal vectors of a label are one node with a multiplicity before the index is
 built, so a vector that a third of all rows repeat costs one entry.
@@ -36,9 +38,6 @@ from estimark.llm.components import connected_components
 from estimark.session import materialize
 
 PIVOTS = 256  # reference points per label, at most
-PER_PIVOT = 16  # vectors per reference point in small labels
-NAMED = 12  # nearest reference points that describe a vector
-SHARED = 3  # reference points that a pair must share
 BLOCK = 1024
 STREAM = 8192  # vectors of a label that one task group describes
 LEAST = 0.93
@@ -63,18 +62,19 @@ def _unit(rows: list) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def choose_pivots(nodes: DataFrame, sizes: DataFrame, most: int, per_pivot: int) -> DataFrame:
+def choose_pivots(nodes: DataFrame, sizes: DataFrame, most: int, block: int) -> DataFrame:
     """(label, r, x): a bounded sample of each label's nodes, the first by a digest, in a fixed order."""
     draw = F.xxhash64(F.lit("pivot"), "node")
     salted = nodes.select("label", "x", draw.alias("d")).withColumn("salt", F.pmod("d", F.lit(64)))
     few = salted.withColumn("r", F.row_number().over(Window.partitionBy("label", "salt").orderBy("d"))).filter(F.col("r") <= most)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("d"))).filter(F.col("r") <= most)
-    want = F.ceil(F.col("size") / per_pivot) + NAMED
+    want = F.ceil(F.col("size") / block)
     return few.join(sizes, "label").filter(F.col("r") <= want).select("label", "r", "x")
 
 
-def describe(nodes: DataFrame, pivots: DataFrame, sizes: DataFrame, named: int) -> DataFrame:
-    """(label, node, n, x, names): each node's nearest pivots, nearest first.
+def describe(nodes: DataFrame, pivots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(label, node, n, x, cell, lo, hi): each node's nearest pivot; rows without node hold the least and greatest
+    angle to every pivot of some of the cell's nodes.
 
     A label is dealt out in groups of about STREAM nodes; every group's stream
     begins with the label's pivots."""
@@ -87,12 +87,14 @@ def describe(nodes: DataFrame, pivots: DataFrame, sizes: DataFrame, named: int)
     stream = heads.unionByName(mine).repartition("label", "part").sortWithinPartitions("label", "part", "kind", "node")
     element = nodes.schema["x"].dataType.elementType.simpleString()
 
+    out = ["label", "node", "n", "x", "cell", "lo", "hi"]
+
     def run(batches):
         now, heads, own = None, [], None
         for b in batches:
             label, part, kind = (b.column(i).to_pylist() for i in range(3))
             rows = b.column(5).to_pylist()
-            names = [[] for _ in rows]
+            cell, bounds = [None] * len(rows), []
             i = 0
             while i < len(rows):
                 if (label[i], part[i]) != now:
@@ -105,34 +107,64 @@ def describe(nodes: DataFrame, pivots: DataFrame, sizes: DataFrame, named: int)
                 while j < len(rows) and kind[j] == 1 and (label[j], part[j]) == now:
                     j += 1
                 if own is None:
-                    width = len(heads[0])
-                    own = _unit([p for p in heads if len(p) == width])
-                fit = [k for k in range(i, j) if len(rows[k]) == own.shape[1]]
-                if fit:
-                    top = np.argsort(-(_unit([rows[k] for k in fit]) @ own.T), axis=1, kind="stable")[:, :named]
-                    for k, t in zip(fit, top.tolist()):
-                        names[k] = t
+                    own = _unit(heads)
+                cos = _unit(rows[i:j]) @ own.T
+                cell[i:j] = at = cos.argmax(1)
+                angle = np.arccos(np.clip(cos, -1, 1))
+                bounds += [(label[i], int(c), angle[at == c].min(0), angle[at == c].max(0)) for c in np.unique(at)]
                 i = j
             at = pa.array([k for k in range(len(rows)) if kind[k] == 1], pa.int64())
-            cols = [b.column(0), b.column(3), b.column(4), b.column(5), pa.array(names, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([c.take(at) for c in cols], ["label", "node", "n", "x", "names"])
-
-    return W.map_batches(stream, run, f"label string, node long, n long, x array<{element}>, names array<int>")
-
+            cols = [b.column(k).take(at) for k in (0, 3, 4, 5)] + [pa.array(cell, pa.int32()).take(at)]
+            none = pa.nulls(len(at), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*cols, none, none], out)
+            if bounds:
+                of, c, lo, hi = zip(*bounds)
+                none = [pa.nulls(len(of), b.column(k).type) for k in (3, 4, 5)]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *none, pa.array(c, pa.int32()),
+                                                  pa.array(lo, pa.list_(pa.float64())), pa.array(hi, pa.list_(pa.float64()))], out)
+
+    return W.map_batches(stream, run, f"label string, node long, n long, x array<{element}>, cell int, lo array<double>, hi array<double>")
+
+
+def meeting_cells(bounds: DataFrame, least: float) -> DataFrame:
+    """(label, cell, other): the cells that may hold links of a cell, itself among them."""
+    limit = np.arccos(least) + 1e-6
+
+    def solve(label, lows, highs):
+        cells = sorted(lows)
+        lo, hi = np.array([lows[c] for c in cells]), np.array([highs[c] for c in cells])
+        pairs = [(c, cells[j]) for i, c in enumerate(cells)
+                 for j in np.flatnonzero((np.maximum(lo - hi[i], lo[i] - hi).max(1) <= limit))]
+        a, b = zip(*pairs)
+        return pa.RecordBatch.from_arrays([pa.array([label] * len(pairs), pa.string()), pa.array(a, pa.int32()),
+                                           pa.array(b, pa.int32())], ["label", "cell", "other"])
 
-def _work(mult, unit, names, pivot, shared, least, split=None):
-    """Link counts and a spanning forest of the links among the rows of one list (between its two blocks when
-    ``split`` says where the second begins)."""
-    n, size = len(unit), int(max(map(max, names))) + 1
-    shared = min(shared, max(map(len, names)))  # a label with fewer pivots
-    says = np.zeros((n, size), np.float32)
-    says[np.repeat(np.arange(n), [len(t) for t in names]), np.concatenate(names)] = 1
+    def run(batches):
+        now, lows, highs = None, {}, {}
+        for b in batches:
+            for label, cell, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+                if label != now:
+                    if lows:
+                        yield solve(now, lows, highs)
+                    now, lows, highs = label, {}, {}
+                lows[cell] = np.minimum(lows.get(cell, lo), lo)
+                highs[cell] = np.maximum(highs.get(cell, hi), hi)
+        if lows:
+            yield solve(now, lows, highs)
+
+    spread = bounds.select("label", "cell", "lo", "hi").repartition("label").sortWithinPartitions("label")
+    return W.map_batches(spread, run, "label string, cell int, other int")
+
+
+def _work(mult, unit, least, split=None):
+    """Link counts and a spanning forest of the links among the rows (between two blocks when ``split`` says where
+    the second begins)."""
+    n = len(unit)
     count, part, edges = np.zeros(n, np.int64), np.arange(n), []
     for i0 in range(0, n if split is None else split, 256):
         i1 = min(i0 + 256, n if split is None else split)
         j0 = i0 + 1 if split is None else split
-        near = (says[i0:i1] @ says[j0:].T >= shared) & (says[i0:i1, :pivot] @ says[j0:, :pivot].T == 0)
-        near &= unit[i0:i1] @ unit[j0:].T >= least
+        near = unit[i0:i1] @ unit[j0:].T >= least
         if split is None:
             near &= np.arange(j0, n)[None, :] > np.arange(i0, i1)[:, None]
         count[i0:i1] += near @ mult[j0:]
@@ -148,8 +180,7 @@ def _work(mult, unit, names, pivot, shared, least, split=None):
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
-                 least: float = LEAST, pivots: int = PIVOTS, named: int = NAMED, shared: int = SHARED,
-                 block: int = BLOCK) -> DataFrame:
+                 least: float = LEAST, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept) per row."""
     rows = clean(vectors, key, vector, label).withColumn("h", F.xxhash64("x"))
     rows = materialize(rows)
@@ -158,27 +189,31 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     nodes = usable.groupBy("label", "h", "x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     nodes = materialize(nodes.withColumn("node", F.xxhash64("label", "h", "x")))
     sizes = materialize(nodes.groupBy("label").agg(F.count(F.lit(1)).alias("size")))
-    index = materialize(describe(nodes, choose_pivots(nodes, sizes, pivots, PER_PIVOT), sizes, named))
-
-    lists = index.select("label", "node", "n", "x", "names", F.explode("names").alias("pivot"))
-    size = index.select("label", F.explode("names").alias("pivot")).groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("len"))
-    lists = lists.join(materialize(size.filter("len > 1")), ["label", "pivot"])
-    blocks = F.ceil(F.col("len") / block).cast("int")
-    lists = lists.withColumn("blocks", blocks).withColumn("mine", F.pmod("node", F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    lists = lists.withColumn("other", other).select(
-        F.xxhash64("label", "pivot", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"),
-        "node", "n", "x", "names", "pivot", (F.col("mine") > F.col("other")).alias("late"), (F.col("mine") == F.col("other")).alias("same"))
+    index = materialize(describe(nodes, choose_pivots(nodes, sizes, pivots, block), sizes))
+
+    meets = meeting_cells(index.filter("node IS NULL"), least)
+    index = index.filter("node IS NOT NULL")
+    blocks = index.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    blocks = materialize(blocks)
+    theirs = blocks.select("label", F.col("cell").alias("other"), F.col("blocks").alias("others"))
+    meets = materialize(meets.join(theirs, ["label", "other"]).join(blocks, ["label", "cell"]))
+    lists = index.select("label", "cell", "node", "n", "x").join(meets, ["label", "cell"])
+    number = lambda cell, at: F.shiftleft(F.col(cell).cast("long"), 32) + at
+    lists = lists.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    lists = lists.withColumn("mine", number("cell", F.pmod("node", "blocks"))).withColumn("theirs", number("other", F.col("at")))
+    lists = lists.select(
+        F.xxhash64("label", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("g"),
+        "node", "n", "x", (F.col("mine") > F.col("theirs")).alias("late"), (F.col("mine") == F.col("theirs")).alias("same"))
     # a block pair (a, b): a's rows are not late, b's rows are late; (a, a) has its rows once, marked same
     spread = lists.repartition("g").sortWithinPartitions("g", "late", "node")
 
     def run(batches):
         def solve(held):
-            g, ids, mult, x, names, pivot, late, same = held
+            g, ids, mult, x, late, same = held
             split = None if same[0] else sum(not v for v in late)
             if len(ids) < 2 or split == 0 or split == len(ids):
                 return None
-            count, edges = _work(np.array(mult), _unit(x), names, pivot[0], shared, least, split)
+            count, edges = _work(np.array(mult), _unit(x), least, split)
             at = np.flatnonzero(count)
             if not len(at):
                 return None

@@ -106,3 +106,17 @@ def test_labels_of_mixed_lengths(spark):
     links, component = brute(rows)
     got = {r.vec_id: (r.n_links, r.component_id) for r in P.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {r[0]: (links[i], component[i]) for i, r in enumerate(rows)}
+
+
+def test_dense_group_of_a_third_of_a_label(spark):
+    """Every link among 1,000 vectors around one centre (pairs at about 0.94), in a label of 3,000, is counted."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:1000] = [near(rng, x[0], 0.97) for _ in range(1000)]
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: r.n_links for r in P.near_vectors(df).collect()}
+    assert [got[i] for i in range(3000)] == want.tolist()
