@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from array import array
 
 import numpy as np
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from estimark.llm import words as W
 
 LEAF = 24  # bytes that a leaf merges directly
-KEEP = 1 << 16  # pieces remembered in a worker
+KEEP_BYTES = 24 << 20  # memory of the pieces remembered in a worker, per generation (two are held)
+KEEP_PAIRS = 1 << 16
 DECODE_LEAF = 4096
 
 
@@ -49,7 +51,14 @@ class TreeBPE:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self._known: dict[str, bytes] = {}
+        # pieces that are one token stay; other short pieces live in two generations, each bounded by its bytes
+        self._young: dict[str, bytes] = {}
+        for token, rank in ranks.items():
+            try:
+                self._young[token.decode()] = rank.to_bytes(4, sys.byteorder)
+            except UnicodeDecodeError:
+                pass
+        self._single, self._old, self._size = dict(self._young), {}, 0
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -104,7 +113,7 @@ class TreeBPE:
         """Whether the two tokens side by side encode to themselves."""
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) >= KEEP:
+            if len(self._pairs) >= KEEP_PAIRS:
                 self._pairs.clear()
             known = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
@@ -133,17 +142,27 @@ class TreeBPE:
 
     def encode(self, text: str) -> array:
         """Token ids of a whole text as unsigned 32-bit integers."""
-        known, out = self._known, []
-        for piece in self.split(text):
-            ids = known.get(piece)
+        pieces = self.split(text)
+        out = list(map(self._young.get, pieces))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = self._piece(pieces[i])
+        return array("I", b"".join(out))
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the young generation may not hold, as bytes."""
+        ids = self._young.get(piece)
+        if ids is None:
+            ids = self._old.get(piece)
             if ids is None:
                 ids = array("I", self.encode_bytes(piece.encode())).tobytes()
-                if len(known) >= KEEP:
-                    known.clear()
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out.append(ids)
-        return array("I", b"".join(out))
+            if len(piece) <= 64:
+                if self._size >= KEEP_BYTES:  # the generation before goes, this one stays within reach
+                    self._old, self._young, self._size = self._young, dict(self._single), 0
+                self._young[piece] = ids
+                self._size += 2 * len(piece) + len(ids) + 200  # two objects and a table entry
+        return ids
 
     def decode(self, ids) -> bytes:
         """Bytes of the ids, concatenated up a balanced tree."""
@@ -165,8 +184,6 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc
     unsigned 32-bit integers and over the bytes decoded from them; ``ids``
     holds the token ids.
     """
-    import sys
-
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         ranks_file = spark.sparkContext.broadcast(f.read())
