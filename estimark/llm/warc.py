@@ -108,14 +108,15 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Write the archives under ``folder`` (shared by all executors) and return their names and record counts."""
     rows = pages.select(F.col(key).cast("long").alias("__id"), F.col(url).cast("string").alias("__url"),
                         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("__html"))
-    rows = rows.withColumn("__digest", F.unhex(F.sha1("__html")))
-    first = (rows.filter(F.octet_length("__html") >= min_bytes)
-             .groupBy("__digest").agg(F.min("__id").alias("__first")))
-    again = (rows.select("__id", "__digest").join(first, "__digest")  # no payload goes through this shuffle
-             .filter(F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))))
+    # decisions are made on (id, digest) alone; payloads move once, and unsorted: the decisions of a partition are the
+    # side that is hashed, the pages stream past them
+    keys = rows.filter(F.octet_length("__html") >= min_bytes).select("__id", F.unhex(F.sha1("__html")).alias("__digest"))
+    first = (keys.groupBy("__digest").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+             .filter("__n > 1 AND __first IS NOT NULL").drop("__n"))
+    again = keys.join(first, "__digest").filter(~F.col("__id").eqNullSafe(F.col("__first")))
     again = again.select(F.col("__id").alias("__rid"), F.col("__digest").alias("__rdigest"), "__first").distinct()
-    rows = (rows.join(again, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__digest") == F.col("__rdigest")), "left")
-            .select("__id", "__url", "__html", "__first"))
+    rows = rows.join(again.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__rid"))
+                     & (F.unhex(F.sha1("__html")) == F.col("__rdigest")), "left").select("__id", "__url", "__html", "__first")
 
     def run(batches):
         fs, base = _filesystem(folder)
