@@ -161,7 +161,33 @@ from (select distinct room_id from o_cmd) r left join (
     select *, row_number() over (partition by room_id order by seg desc) rn from o_seg) where rn = 1) l
 on l.room_id = r.room_id"""
 
-DEPENDS = {"o_cmd": ["b_commands"], "o_tord": ["b_tasks"], "o_ev": ["o_cmd", "o_tord"], "o_mk": ["o_ev"],
+# 48 bits of a cell of a view; a view's digest is the sum over its cells, kept along the log as running sums of what changed
+HASH = "cast('0x' || substr(md5({x}), 1, 12) as bigint)"
+VOTE_CELL = HASH.format(x="'v|' || task_id || '|' || person_no || '|' || coalesce(cast({v} as varchar), 'none') || '|' || "
+                          "coalesce(cast({s} as varchar), 'none')")
+DERIVED["o_views"] = f"""select room_id, cast(row_number() over w as bigint) seq, event_id, ts, kind, task_id, person_no, vote, score, active_task,
+  cast(sum(new_cell) over w as bigint) n_cells, cast(sum(score_change) over w as bigint) sum_scores,
+  cast(sum(new_done) over w as bigint) n_completed, bool_or(kind = 'FinishPlanning') over w finished,
+  cast((sum(cell_change + done_change) over w + {HASH.format(x="'a|' || coalesce(cast(active_task as varchar), 'none')")}
+    + case when bool_or(kind = 'FinishPlanning') over w then {HASH.format(x="'f'")} else 0 end) % 281474976710656 as bigint) digest
+from (select e.room_id, e.event_id, e.ts, e.kind, e.person_no, v.vote, v.score, s.open_task active_task,
+    case e.kind when 'ChangeVote' then v.task_id when 'StartVoting' then e.start_task when 'StopVoting' then p.open_task end task_id,
+    coalesce(v.new_cell, 0) new_cell, coalesce(v.score_change, 0) score_change, coalesce(v.cell_change, 0) cell_change,
+    case when f.task_id is not null then 1 else 0 end new_done,
+    case when f.task_id is not null then {HASH.format(x="'t|' || f.task_id || '|' || coalesce(cast(r.median as varchar), 'none')")} else 0 end done_change
+  from o_ev e left join o_seg s on s.room_id = e.room_id and s.seg = e.seg
+  left join o_seg p on e.kind = 'StopVoting' and p.room_id = e.room_id and p.seg = e.seg - 1
+  left join o_first f on f.room_id = p.room_id and f.task_id = p.open_task and f.first_seg = p.seg
+  left join o_results r on r.room_id = f.room_id and r.task_id = f.task_id
+  left join (select room_id, event_id, task_id, vote, score, case when pe is null then 1 else 0 end new_cell,
+      coalesce(score, 0) - case when pe is null then 0 else coalesce(ps, 0) end score_change,
+      cast({VOTE_CELL.format(v="vote", s="score")} as hugeint) - case when pe is null then 0 else {VOTE_CELL.format(v="pv", s="ps")} end cell_change
+    from (select *, lag(event_id) over k pe, lag(vote) over k pv, lag(score) over k ps from o_votes where reason is null
+      window k as (partition by room_id, task_id, person_no order by ts, event_id))) v on v.room_id = e.room_id and v.event_id = e.event_id)
+window w as (partition by room_id order by ts, event_id rows between unbounded preceding and current row)"""
+BLOCKS["b_connects"] = "select event_id connect_id, user_id room_id, event_id % 7 person_no, ts from events where event_id % 9 = 4"
+
+DEPENDS = {"o_views": ["o_ev", "o_seg", "o_first", "o_results", "o_votes"], "o_cmd": ["b_commands"], "o_tord": ["b_tasks"], "o_ev": ["o_cmd", "o_tord"], "o_mk": ["o_ev"],
            "o_seg0": ["o_mk"], "o_first": ["o_seg0"], "o_seg": ["o_seg0", "o_first"],
            "o_votes": ["o_ev", "o_seg", "b_slots"], "b_slots": ["b_commands"], "o_results": ["o_votes", "o_first", "b_dictionary"],
            "o_active": ["o_cmd", "o_seg"],

@@ -206,6 +206,12 @@ def messages_of(c: DataFrame) -> DataFrame:
     return c.select("room_id", "ts", "event_id", "person_no", msg.alias("msg"))
 
 
+def connects_of(e: DataFrame) -> DataFrame:
+    """Connections that open in the rooms of the log, from event rows (batch or stream)."""
+    return e.filter(F.col("event_id") % 9 == 4).select(F.col("event_id").alias("connect_id"), F.col("user_id").alias("room_id"),
+                                                       (F.col("event_id") % 7).alias("person_no"), "ts")
+
+
 def faulty(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
     """A table with faults for the audits (``oracle_bindings.FAULTY``), from clean ``inputs``."""
     from estimark.plans.oracle_bindings import FAULTY

@@ -1,10 +1,9 @@
-"""Sinks for ``foreachBatch``: idempotent append and keyed upsert.
+"""The idempotent append sink for ``foreachBatch``.
 
-Parquet has no MERGE, so a keyed table is a series of append-only deltas: a
-batch writes the rows it changes, a read takes the latest row per key.  A
-batch that is replayed after a failure finds its delta already committed and
-does nothing, so the sinks are exactly-once together with the stream's
-checkpoint.  No folder is written over while it is being read.
+Parquet has no MERGE, so a keyed table is a log of changed rows: a micro-batch
+appends the rows it changes, a read takes the latest row per key (``max_by`` on
+the batch).  A batch that is replayed after a failure overwrites exactly its
+own folder.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from estimark.session import checkpoint_dir
 
@@ -25,107 +23,12 @@ def scratch_root(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/estimark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-class DeltaTable:
-    """A keyed table kept as append-only deltas under ``root``.
-
-    Batch ``i`` writes the rows it inserts or replaces, and nothing else, to its
-    own folder (partitioned by a hash bucket of ``bucket_by``, so a reader of a
-    few keys opens few files).  The table is the latest row per key.  A
-    compaction writes the table as of batch ``i`` as a base.  Folders are
-    numbered ``2 i`` for the delta of batch ``i`` and ``2 i + 1`` for the base
-    as of batch ``i``: a compaction never takes a batch's number, and it orders
-    before every later batch.  A read starts from the newest base and adds the
-    deltas after it.  ``_SUCCESS`` marks a folder as committed; a replayed batch
-    finds its delta (or a base that holds it) and does nothing."""
-
-    def __init__(self, root: str, keys: Sequence[str], buckets: int = 64, bucket_by: Sequence[str] | None = None,
-                 compact_every: int = 32):
-        self.root = root.rstrip("/")
-        self.keys, self.buckets, self.compact_every = list(keys), buckets, compact_every
-        self.bucket_by = list(bucket_by or keys)
-
-    def _layout(self, spark: SparkSession) -> dict[int, bool]:
-        """Committed folder numbers, and whether each holds rows: a base, the
-        deltas since, and at most one generation before."""
-        fs, p = _fs(spark, self.root)
-        out: dict[int, bool] = {}
-        for st in fs.listStatus(p) if fs.exists(p) else []:
-            name = st.getPath().getName()
-            inside = [x.getPath().getName() for x in fs.listStatus(st.getPath())] if name.startswith("__v=") else []
-            if "_SUCCESS" in inside:
-                out[int(name[4:])] = any(x.startswith("__b=") for x in inside)
-        return out
-
-    def _folder(self, number: int) -> str:
-        return f"{self.root}/__v={number:012d}"
-
-    @staticmethod
-    def _base(layout: dict[int, bool]) -> int:
-        return max((n for n in layout if n % 2), default=-1)
-
-    def has(self, spark: SparkSession, batch_id: int) -> bool:
-        layout = self._layout(spark)
-        return 2 * batch_id in layout or 2 * batch_id < self._base(layout)
-
-    def read(self, spark: SparkSession, below: int | None = None, buckets=None) -> DataFrame | None:
-        """The latest row per key, as of the batches below ``below``; ``buckets`` reads only those."""
-        layout = {n: rows for n, rows in self._layout(spark).items() if below is None or n < 2 * below}
-        since = self._base(layout)
-        parts = [n for n, rows in sorted(layout.items()) if rows and (n == since or n > since)]
-        if not parts:
-            return None
-        df = spark.read.option("basePath", self.root).parquet(*map(self._folder, parts))
-        if buckets is not None:
-            df = df.filter(F.col("__b").isin(*buckets)) if buckets else df.filter(F.lit(False))
-        names = [c for c in df.columns if c not in ("__b", "__v")]
-        if len(parts) == 1:
-            return df.select(*names)
-        return df.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "__v").alias("r")).select("r.*")
-
-    def _bucket(self):
-        """Bucket number; by the keys' text, so integer widths don't matter."""
-        return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in self.bucket_by]), F.lit(self.buckets)).cast("int")
-
-    def _write(self, df: DataFrame, number: int) -> None:
-        df = df.withColumn("__b", self._bucket())
-        df.repartition("__b").write.mode("overwrite").partitionBy("__b").parquet(self._folder(number))
-
-    def bucket_ids(self, keys_df: DataFrame) -> set[int]:
-        """Buckets holding the given bucket-key values (at most ``buckets`` ints
-        come back to the driver)."""
-        return {r[0] for r in keys_df.select(self._bucket().alias("b")).distinct().collect()}
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Insert or replace the batch's rows (one per key).  Writes the batch
-        only; every ``compact_every`` batches the table is compacted."""
-        spark = batch.sparkSession
-        if not self.has(spark, batch_id):
-            self._write(batch, 2 * batch_id)
-        layout = self._layout(spark)
-        if sum(n > self._base(layout) for n in layout) >= self.compact_every:
-            self.compact(spark)
-
-    def compact(self, spark: SparkSession) -> None:
-        """Write the table as of its last committed batch as a base, and drop
-        what the base before this one had already replaced."""
-        layout = self._layout(spark)
-        base, last = self._base(layout), max((n for n in layout if n % 2 == 0), default=-1)
-        table = self.read(spark)
-        if table is None or last < base:
-            return
-        self._write(table, last + 1)
-        for n in layout:  # a reader may still be on the base before and the deltas after it
-            if n < base:
-                fs, p = _fs(spark, self._folder(n))
-                fs.delete(p, True)
-
-
 class AppendTable:
     """Append-only table: batch ``i`` is written to its own folder, so a replay
     of the batch overwrites exactly its own rows."""
@@ -142,12 +45,3 @@ class AppendTable:
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", self.root).parquet(f"{self.root}/batch_id=*")
-
-    def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """The rows of one batch as written (so later steps reuse the write
-        instead of recomputing the batch)."""
-        return spark.read.parquet(f"{self.root}/batch_id={batch_id}")
-
-    def exists(self, spark: SparkSession) -> bool:
-        fs, p = _fs(spark, self.root)
-        return fs.exists(p)

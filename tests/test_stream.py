@@ -1,5 +1,8 @@
+import datetime as dt
+import shutil
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows_of
@@ -10,6 +13,7 @@ from estimark.plans import q_fold
 from estimark.sources import bindings as B
 from estimark.sources.tables import read_table
 from estimark.streaming import log_stream as LS
+from estimark.streaming import serving as SV
 
 
 def _split_events(spark, parts=4):
@@ -32,26 +36,65 @@ def _split_events(spark, parts=4):
     return out
 
 
-def test_stream_fold_equals_batch(spark):
-    src = _split_events(spark)
-    msgs = LS.message_stream(spark, src, glob="events-*.parquet", max_files=1)
-    sf = LS.stream_room_fold(spark, msgs, B.b_tasks(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL),
-                             B.b_persons(spark, SF_SMALL), B.b_dictionary(spark), members=B.b_slots(spark, SF_SMALL))
-    batch = FO.room_state_fold(q_fold.run_fold(spark, SF_SMALL), B.b_dictionary(spark))
-    got = sf.state.task_states(spark)
-    assert rows_of(got) == rows_of(batch.select(*got.columns))
-    assert sf.log.read(spark).select("batch_id").distinct().count() == 4
-    q = sf.state.quarantine.read(spark).select("room_id", "event_id", "reason")
+def _fold(spark, src, root=None, glob=None, **kw):
+    msgs = LS.message_stream(spark, src, glob=glob or "events-*.parquet", **kw)
+    return LS.stream_room_fold(spark, msgs, B.b_tasks(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL), B.b_persons(spark, SF_SMALL),
+                               B.b_dictionary(spark), members=B.b_slots(spark, SF_SMALL), root=root)
+
+
+@pytest.fixture(scope="module")
+def batch(spark):
+    return q_fold.run_fold(spark, SF_SMALL)
+
+
+def _equals_batch(spark, t, f):
+    got = t.task_states()
+    assert rows_of(got) == rows_of(FO.room_state_fold(f, B.b_dictionary(spark)).select(*got.columns))
+    assert rows_of(t.votes()) == rows_of(FO.apply_votes(f))
     from estimark.operators.quarantine import quarantine
     from estimark.sources.messages import parse_messages
-    exp_q = quarantine(parse_messages(B.b_messages(spark, SF_SMALL)), q_fold.run_fold(spark, SF_SMALL)).filter(
+    want = quarantine(parse_messages(B.b_messages(spark, SF_SMALL)), f).filter(
         F.col("reason").isin("no_active_task", "no_slot", "unknown_ordinal", "overlapping_start", "already_completed"))
-    assert rows_of(q) == rows_of(exp_q)
-    # views keep the time they were first written
-    views = sf.state.live_views(spark)
-    first = sf.state.live_views(spark, below=1)
-    j = views.join(first.select("room_id", F.col("created").alias("c0")), "room_id")
-    assert j.filter("created <> c0").count() == 0
+    assert rows_of(t.quarantine()) == rows_of(want)
+
+
+def test_stream_fold_equals_batch_in_four_batches(spark, batch):
+    t = _fold(spark, _split_events(spark), max_files=1)
+    _equals_batch(spark, t, batch)
+    from estimark.operators.snapshot import snapshot_summary
+    from estimark.operators.views import views_after_log
+    exp = views_after_log(batch, B.b_rooms(spark, SF_SMALL), B.b_tasks(spark, SF_SMALL),
+                          B.b_persons(spark, SF_SMALL), q_fold.log_members(spark, SF_SMALL), B.b_dictionary(spark))
+    assert rows_of(snapshot_summary(t.views())) == rows_of(snapshot_summary(exp))
+    # a view keeps the time it was first written
+    first = t.commands().groupBy("room_id").agg(F.min("at").alias("created"))
+    assert rows_of(t.views().select("room_id", "created").distinct()) == rows_of(
+        first.join(B.b_rooms(spark, SF_SMALL).select("room_id"), "room_id"))
+
+
+def test_stream_fold_goes_on_after_a_restart(spark, batch):
+    """Two files, a stop, four more files: the state carries over, nothing is skipped or done twice."""
+    src, later = _split_events(spark, parts=6), tempfile.mkdtemp(prefix="estimark-stream-now-", dir="/tmp")
+    root = f"{later}-out"
+    for i in range(6):
+        shutil.copy2(f"{src}/events-{i}.parquet", later)
+        if i in (1, 5):
+            t = _fold(spark, later, root=root, max_files=2)
+    _equals_batch(spark, t, batch)
+
+
+def test_stream_of_a_folder_and_of_nothing(spark):
+    """A table that is a folder of part files streams whole; a path or pattern that matches nothing is an error."""
+    d = tempfile.mkdtemp(prefix="estimark-folder-", dir="/tmp")
+    read_table(spark, SF_SMALL, "events").repartition(3).write.parquet(f"{d}/events.parquet")
+    got = LS.change_log_stream(spark, LS.message_stream(spark, d))
+    one = LS.change_log_stream(spark, LS.message_stream(spark, SF_SMALL))
+    assert rows_of(got) == rows_of(one) and got.count() == read_table(spark, SF_SMALL, "events").count()
+    with pytest.raises(FileNotFoundError):
+        LS.message_stream(spark, d, glob="messages.parquet")
+    with pytest.raises(FileNotFoundError):
+        LS.parquet_stream(spark, f"{d}/nowhere", LS.EVENTS)
+    assert LS.parquet_stream(spark, f"{SF_SMALL}/events.parquet", LS.EVENTS).isStreaming
 
 
 def test_stream_vote_counts_equals_batch(spark):
@@ -65,52 +108,17 @@ def test_stream_vote_counts_equals_batch(spark):
     assert rows_of(got) == rows_of(exp)
 
 
-def _delta(spark, name, **kwargs):
-    from estimark.streaming.sinks import DeltaTable, scratch_root
-    return DeltaTable(scratch_root(spark, name), ["k"], **kwargs)
-
-
 def _kv(spark, *rows):
     return spark.createDataFrame(list(rows), "k long, v string")
 
 
-def test_delta_table_writes_the_batch_only(spark):
-    import glob
-    t = _delta(spark, "delta", buckets=8)
-    t.upsert(_kv(spark, *[(k, "v0") for k in range(40)]), 0)
-    t.upsert(_kv(spark, (3, "v1")), 1)
-    path = t._folder(2).removeprefix("file:")
-    assert spark.read.parquet(path).count() == 1 and len(glob.glob(f"{path}/__b=*/*.parquet")) == 1
-    got = dict(rows_of(t.read(spark)))
-    assert len(got) == 40 and got[3] == "v1" and got[4] == "v0"
-    assert dict(rows_of(t.read(spark, below=1)))[3] == "v0"
-    assert t.read(spark, buckets=t.bucket_ids(_kv(spark, (3, "")).select("k"))).filter("k = 3").first()["v"] == "v1"
-
-
-def test_delta_table_write_compact_write_read_replay(spark):
-    t = _delta(spark, "compact", buckets=4)
-    t.upsert(_kv(spark, (1, "a0"), (2, "b0")), 0)
-    t.upsert(_kv(spark, (2, "b1")), 1)
-    t.compact(spark)
-    assert rows_of(t.read(spark)) == [(1, "a0"), (2, "b1")]
-    t.upsert(_kv(spark, (2, "b2"), (3, "c2")), 2)  # the batch right after the compaction
-    assert rows_of(t.read(spark)) == [(1, "a0"), (2, "b2"), (3, "c2")]
-    t.upsert(_kv(spark, (2, "WRONG")), 1)  # replays, before and after the base
-    t.upsert(_kv(spark, (3, "WRONG")), 2)
-    assert rows_of(t.read(spark)) == [(1, "a0"), (2, "b2"), (3, "c2")]
-    t.compact(spark)
-    t.compact(spark)
-    t.upsert(_kv(spark, (4, "d3")), 3)
-    assert rows_of(t.read(spark)) == [(1, "a0"), (2, "b2"), (3, "c2"), (4, "d3")]
-    assert rows_of(t.read(spark, below=3)) == [(1, "a0"), (2, "b2"), (3, "c2")]
-
-
-def test_delta_table_compacts_itself_and_takes_empty_batches(spark):
-    t = _delta(spark, "auto", buckets=2, compact_every=3)
-    for i in range(8):
-        t.upsert(_kv(spark, *([] if i % 3 == 1 else [(i % 4, f"v{i}")])), i)
-    assert dict(rows_of(t.read(spark))) == {0: "v0", 2: "v6", 3: "v3", 1: "v5"}
-    assert len(t._layout(spark)) < 8
+def test_append_table_replays_overwrite_their_own_batch(spark):
+    from estimark.streaming.sinks import AppendTable, scratch_root
+    t = AppendTable(scratch_root(spark, "append"))
+    t.append(_kv(spark, (1, "a"), (2, "b")), 0)
+    t.append(_kv(spark, (2, "c")), 1)
+    t.append(_kv(spark, (2, "c"), (3, "d")), 1)
+    assert rows_of(t.read(spark), "k", "v", "batch_id") == [(1, "a", 0), (2, "b", 0), (2, "c", 1), (3, "d", 1)]
 
 
 def test_read_table_sees_appended_rows(spark):
@@ -122,66 +130,65 @@ def test_read_table_sees_appended_rows(spark):
     assert read_table(spark, folder, "t").count() == 3
 
 
-def test_finished_room_is_hidden_in_batch_and_stream(spark):
-    import datetime as dt
+AT = lambda m, s=0: dt.datetime(2024, 1, 1, 10, m, s)
 
-    from estimark.operators.views import views_after_log
-    at = lambda m: dt.datetime(2024, 1, 1, 10, m)
-    msgs = [(1, at(0), 0, 1, '<Change><StartVoting taskId="1" isCurrentActive="1"/></Change>', "StartVoting"),
-            (1, at(1), 1, 1, '<Change><AddVote vote="1" score="5"/></Change>', "ChangeVote"), (1, at(2), 2, 1, "", "StopVoting"),
-            (2, at(2), 3, 1, "", "StopVoting"), (1, at(3), 4, 1, "", "FinishPlanning")]
-    rows = [(r, t, e, p, f"{k}=={x}") for r, t, e, p, x, k in msgs]
-    log = spark.createDataFrame(rows, "room_id long, ts timestamp_ntz, event_id long, person_no long, msg string")
+
+def _small_room(spark):
+    """Two rooms; room 1 votes, stops, starts again and is finished, room 2 stays with an open task."""
+    start = '<Change><StartVoting taskId="1" isCurrentActive="1"/></Change>'
+    vote = '<Change><AddVote vote="1" score="5"/></Change>'
+    msgs = [(1, AT(0), 0, 1, f"StartVoting=={start}"), (1, AT(1), 1, 1, f"ChangeVote=={vote}"), (1, AT(2), 2, 1, "StopVoting=="),
+            (2, AT(2, 30), 3, 1, f"StartVoting=={start}"), (1, AT(3), 4, 1, "FinishPlanning=="), (2, AT(9), 5, 1, "ChangeGetVM")]
+    log = spark.createDataFrame(msgs, "room_id long, ts timestamp_ntz, event_id long, person_no long, msg string")
     rooms = spark.createDataFrame([(1, "one", True), (2, "two", True)], "room_id long, name_room string, is_active boolean")
     tasks = spark.createDataFrame([(10, 1, "t", 3), (20, 2, "u", 3)], "task_id long, room_id long, name string, minutes int")
-    persons = spark.createDataFrame([(1, "ann")], "person_id long, login_name string")
-    d = B.b_dictionary(spark)
+    return log, rooms, tasks, spark.createDataFrame([(1, "ann")], "person_id long, login_name string")
+
+
+def test_finished_room_is_hidden_in_batch_and_stream(spark):
     from estimark.operators.members import task_ordinals
+    from estimark.operators.views import views_after_log
     from estimark.sources.messages import parse_messages
-    cmds = LS.parsed_commands(parse_messages(log))
+    log, rooms, tasks, persons = _small_room(spark)
+    d = B.b_dictionary(spark)
     members = log.select("room_id", "person_no").distinct()
-    f = FO.fold(cmds, task_ordinals(tasks), members)
-    batch = views_after_log(f, rooms, tasks, persons, members, d)
+    f = FO.fold(LS.parsed_commands(parse_messages(log)), task_ordinals(tasks), members)
     want = [(1, "UnknownRoom", None), (2, None, "two")]
-    assert rows_of(batch, "room_id", "error", "NameRoom") == want
+    assert rows_of(views_after_log(f, rooms, tasks, persons, members, d), "room_id", "error", "NameRoom") == want
     src = tempfile.mkdtemp(prefix="estimark-finish-", dir="/tmp")
     log.filter("event_id < 3").coalesce(1).write.parquet(f"{src}/a")
     stream = lambda: spark.readStream.schema(log.schema).parquet(f"{src}/*")
     root = f"{src}-out"
-    sf = LS.stream_room_fold(spark, stream(), tasks, rooms, persons, d, root=root)
-    assert rows_of(sf.state.live_views(spark), "room_id", "error", "NameRoom") == [(1, None, "one")]
+    t = LS.stream_room_fold(spark, stream(), tasks, rooms, persons, d, root=root)
+    assert rows_of(t.views(), "room_id", "error", "NameRoom") == [(1, None, "one")]
     log.filter("event_id >= 3").coalesce(1).write.parquet(f"{src}/b")
-    sf = LS.stream_room_fold(spark, stream(), tasks, rooms, persons, d, root=root)
-    assert rows_of(sf.state.live_views(spark), "room_id", "error", "NameRoom") == want
-
-
-def test_stream_fold_many_small_batches(spark):
-    """Markers and votes cut at every batch boundary: six batches."""
-    src = _split_events(spark, parts=6)
-    msgs = LS.message_stream(spark, src, glob="events-*.parquet", max_files=1)
-    sf = LS.stream_room_fold(spark, msgs, B.b_tasks(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL),
-                             B.b_persons(spark, SF_SMALL), B.b_dictionary(spark), members=B.b_slots(spark, SF_SMALL))
-    got = sf.state.task_states(spark)
-    batch = FO.room_state_fold(q_fold.run_fold(spark, SF_SMALL), B.b_dictionary(spark))
-    assert rows_of(got) == rows_of(batch.select(*got.columns))
-    from estimark.operators.snapshot import snapshot_summary
-    from estimark.operators.views import views_after_log
-    exp = views_after_log(q_fold.run_fold(spark, SF_SMALL), B.b_rooms(spark, SF_SMALL), B.b_tasks(spark, SF_SMALL),
-                          B.b_persons(spark, SF_SMALL), q_fold.log_members(spark, SF_SMALL), B.b_dictionary(spark))
-    assert rows_of(snapshot_summary(sf.state.live_views(spark))) == rows_of(snapshot_summary(exp))
-
-
-def test_live_time_box(spark):
-    import datetime as dt
-    from estimark.streaming.incremental import FoldState, live_time_box
-    from estimark.streaming.sinks import scratch_root
-    st = FoldState(scratch_root(spark, "tb"))
-    rooms = spark.createDataFrame(
-        [(1, 1, "StartVoting", 10, dt.datetime(2024, 1, 1, 10, 0, 0), 1),
-         (2, 2, "StopVoting", None, dt.datetime(2024, 1, 1, 10, 0, 0), 2)],
-        "room_id long, n_markers long, last_kind string, last_task long, last_ts timestamp_ntz, last_event long")
-    st.rooms.upsert(rooms.withColumn("finished_ts", F.lit(None).cast("timestamp_ntz")), 0)
-    tasks = spark.createDataFrame([(10, 3)], "task_id long, minutes int")
-    now = F.lit(dt.datetime(2024, 1, 1, 10, 1, 30)).cast("timestamp_ntz")
-    r = live_time_box(st, spark, tasks, now=now).collect()
-    assert len(r) == 1 and r[0]["remaining_s"] == 90 and r[0]["countdown"] == "1-m: 30-sec" and not r[0]["overrun"]
+    t = LS.stream_room_fold(spark, stream(), tasks, rooms, persons, d, root=root)
+    assert rows_of(t.views(), "room_id", "error", "NameRoom") == want
+    now = spark.createDataFrame([(int(AT(9).replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000),)], "now long")
+    assert rows_of(SV.countdown(t, tasks, now), "room_id", "task_id", "remaining_s", "overrun", "countdown") == [
+        (2, 20, 0, True, "0-m: 0-sec")]
+
+
+def test_timer_reports_an_open_segment_once(spark):
+    """The watermark passes the deadline of room 2's open segment: one overrun, also after a restart."""
+    log, rooms, tasks, persons = _small_room(spark)
+    src = tempfile.mkdtemp(prefix="estimark-timer-", dir="/tmp")
+    log.coalesce(1).write.parquet(f"{src}/a")
+    stream = lambda: spark.readStream.schema(log.schema).parquet(f"{src}/*")
+    for _ in range(2):
+        t = LS.stream_room_fold(spark, stream(), tasks, rooms, persons, B.b_dictionary(spark), root=f"{src}-out", delay="1 minute")
+        assert rows_of(t.overruns()) == [(2, 1, 20, AT(2, 30))]
+
+
+def test_deliveries_begin_with_the_connection(spark):
+    log, _, tasks, _ = _small_room(spark)
+    src = tempfile.mkdtemp(prefix="estimark-fanout-", dir="/tmp")
+    log.coalesce(1).write.parquet(f"{src}/log")
+    connects = [(100, 1, 7, AT(0, 30)), (101, 1, 8, AT(2)), (102, 2, 7, AT(0)), (103, 3, 7, AT(0))]
+    spark.createDataFrame(connects, "connect_id long, room_id long, person_no long, ts timestamp_ntz").coalesce(1).write.parquet(f"{src}/connects")
+    views = LS.stream_room_views(spark, spark.readStream.schema(log.schema).parquet(f"{src}/log"), tasks, B.b_dictionary(spark))
+    k = spark.readStream.schema("connect_id long, room_id long, person_no long, ts timestamp_ntz").parquet(f"{src}/connects")
+    got = SV.fanout(spark, views, k, lifetime="5 minutes")
+    assert rows_of(got, "connect_id", "event_id") == [(100, 1), (100, 2), (100, 4), (101, 4), (102, 3)]
+    digests = {r["event_id"]: r["digest"] for r in SV.view_log(spark, views).collect()}
+    assert all(r["digest"] == digests[r["event_id"]] for r in got.collect()) and len(set(digests.values())) == 5
