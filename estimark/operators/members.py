@@ -51,6 +51,38 @@ def zero_fill_votes(connections: DataFrame, tasks: DataFrame, votes: DataFrame)
             .withColumn("n_zero_filled", F.col("n_slots") - F.col("n_voted")))
 
 
+SLOT_BITS = 63  # members a bitmap word holds (the sign bit stays free)
+
+
+def _member_words(rows: DataFrame, *keys: str) -> DataFrame:
+    """Bitmap words of the persons of each key: (keys, bucket, bits).  ``bit_or`` is aggregated partially, so a busy
+    key is a word per input partition before it is shuffled."""
+    bit = F.expr(f"shiftleft(1L, int(pmod(person_id, {SLOT_BITS})))")
+    bucket = F.floor(F.col("person_id") / SLOT_BITS).cast("bigint")
+    return rows.groupBy(*keys, bucket.alias("bucket")).agg(F.bit_or(bit).alias("bits"))
+
+
+def slot_bitmaps(connections: DataFrame, tasks: DataFrame, votes: DataFrame) -> DataFrame:
+    """The slots that connecting fills with (vote 0, score 0), as bitmaps: (room_id, task_id, bucket, slots, n_slots),
+    where bit ``b`` of ``slots`` is set if member ``63 * bucket + b`` of the room has no vote row on the task.
+
+    Members are a few words a room and voters a few words a task; the rest is ``members AND NOT voted``.  A task costs
+    a 63rd of its members, and no (member, task) row is made.  Words without a slot are left out."""
+    members = _member_words(connections.select("room_id", "person_id"), "room_id").withColumnRenamed("bits", "__members")
+    voted = _member_words(votes.select("room_id", "task_id", "person_id"), "room_id", "task_id").withColumnRenamed("bits", "__voted")
+    j = (tasks.select("room_id", "task_id").join(members, "room_id")
+         .join(voted, ["room_id", "task_id", "bucket"], "left"))
+    slots = F.col("__members").bitwiseAND(F.bitwise_not(F.coalesce("__voted", F.lit(0).cast("bigint"))))
+    return j.select("room_id", "task_id", "bucket", slots.alias("slots"), F.bit_count(slots).cast("int").alias("n_slots")).filter("slots <> 0")
+
+
+def slots_of(bitmaps: DataFrame) -> DataFrame:
+    """The (room_id, task_id, person_id) pairs of slot bitmaps, for the rooms or tasks that a caller has picked."""
+    bits = F.expr(f"filter(sequence(0, {SLOT_BITS - 1}), b -> (shiftright(slots, b) & 1) = 1)")
+    return bitmaps.select("room_id", "task_id", "bucket", F.explode(bits).alias("__b")).select(
+        "room_id", "task_id", (F.col("bucket") * SLOT_BITS + F.col("__b")).alias("person_id"))
+
+
 def creator_role(rooms: DataFrame, persons: DataFrame, pairs: DataFrame) -> DataFrame:
     """'Creator' when the person's email equals the email of the room's creator,
     else 'User' (also for an unknown room or creator: NULL never equals)."""
@@ -99,3 +131,22 @@ def resolve_rooms(log: DataFrame, rooms: DataFrame, guid: str = "room_guid") ->
     look = rooms.groupBy(key_text(F.col("room_guid")).alias("__g")).agg(F.min("room_id").alias("room_id"))
     j = log.join(look, key_text(log[guid]) == look["__g"], "left").drop("__g")
     return j.withColumn("reason", F.when(F.col("room_id").isNull(), "unknown_room"))
+
+
+KEY_COLLATION = "UTF8_LCASE_RTRIM"  # keys compare as the source's database does: case and trailing blanks don't count
+
+
+def resolve_messages(log: DataFrame, rooms: DataFrame, persons: DataFrame) -> DataFrame:
+    """Messages as they arrive, with a room's GUID and a sender's e-mail (``room_guid``, ``email``), resolved to keys:
+    adds ``room_id``, ``person_id`` and the ``reason`` why a key is missing.
+
+    Both are equi-joins on collated columns, so the comparison form is the column's and not a projection of every
+    query.  Each lookup has one row a key (the smallest id), so no message is multiplied; messages without a key get
+    a null id and a reason."""
+    key = lambda c: F.collate(F.col(c), KEY_COLLATION)
+    r = rooms.select(key("room_guid").alias("__guid"), "room_id").groupBy("__guid").agg(F.min("room_id").alias("room_id"))
+    p = persons.select(key("email").alias("__email"), "person_id").groupBy("__email").agg(F.min("person_id").alias("person_id"))
+    j = log.join(r, key("room_guid") == F.col("__guid"), "left").join(p, key("email") == F.col("__email"), "left")
+    reason = (F.when(F.col("room_id").isNull() & F.col("person_id").isNull(), "unknown_room_and_person")
+              .when(F.col("room_id").isNull(), "unknown_room").when(F.col("person_id").isNull(), "unknown_person"))
+    return j.withColumn("reason", reason).drop("__guid", "__email")

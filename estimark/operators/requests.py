@@ -61,3 +61,20 @@ def distinct_task_names(tasks: DataFrame, key: str = "request_id") -> DataFrame:
     first = F.min_by(F.struct("pos", "minutes"), F.col("pos"))
     return tasks.groupBy(key, "name").agg(first.alias("__f")).select(
         key, F.col("__f.pos").alias("pos"), "name", F.col("__f.minutes").alias("minutes"))
+
+
+def created_rooms(requests: DataFrame, persons: DataFrame) -> DataFrame:
+    """The room rows of the valid requests: (room_id, name_room, created, is_active, creator, room_guid).
+
+    ``requests`` also has ``creator_email`` and ``ts``.  The creator is looked up by e-mail under the key collation
+    (NULL if nobody has it); the GUID is a digest of the request's key, so a retry gives the same room."""
+    from estimark.operators.members import KEY_COLLATION
+
+    valid = room_request_valid(requests).filter("is_valid").select("request_id")
+    key = lambda c: F.collate(F.col(c), KEY_COLLATION)
+    who = persons.select(key("email").alias("__email"), "person_id").groupBy("__email").agg(F.min("person_id").alias("creator"))
+    r = requests.join(valid, "request_id", "left_semi").join(who, key("creator_email") == F.col("__email"), "left")
+    h = F.md5(F.concat(F.lit("room|"), F.col("request_id").cast("string")))
+    guid = F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return r.select(F.col("request_id").alias("room_id"), "name_room", F.col("ts").alias("created"), F.lit(True).alias("is_active"),
+                    "creator", guid.alias("room_guid"))

@@ -151,13 +151,8 @@ def _bit(c):
     return F.when(c, 1).when(~c, 0)
 
 
-def room_snapshot_xml(snap: DataFrame) -> DataFrame:
-    """Serialise each room view to XML text (``to_xml``), attribute-only
-    elements as the view procedure writes them:
-    ``<Room NameRoom=..><Persons><Person UserName=.. Id=../>..</Persons>
-    <Tasks><Task Id=.. ..><PersonTask PersonId=.. Vote=.. Score=../></Task></Tasks></Room>``;
-    unknown rooms become ``<Room Error="UnknownRoom"/>``.  NULL attributes are
-    left out."""
+def view_document():
+    """A page of a room view as the nested struct that ``to_xml`` and the XML files write."""
     persons = F.transform("Persons", lambda p: F.struct(p["UserName"].alias("_UserName"), p["Id"].alias("_Id")))
     tasks = F.transform("Tasks", lambda t: F.struct(
         t["Id"].alias("_Id"), t["NameTask"].alias("_NameTask"), _bit(t["Completed"]).alias("_Completed"),
@@ -166,11 +161,20 @@ def room_snapshot_xml(snap: DataFrame) -> DataFrame:
         F.transform(t["PersonTask"], lambda v: F.struct(
             v["PersonId"].alias("_PersonId"), _bit(v["Vote"]).alias("_Vote"), v["Score"].alias("_Score")))
         .alias("PersonTask")))
-    doc = F.struct(
+    return F.struct(
         F.col("error").alias("_Error"), F.col("NameRoom").alias("_NameRoom"), F.col("page").alias("_Page"),
         F.when(F.col("error").isNull(), F.struct(persons.alias("Person"))).alias("Persons"),
         F.when(F.col("error").isNull(), F.struct(tasks.alias("Task"))).alias("Tasks"))
-    return snap.select("room_id", "page", F.to_xml(doc, {"rowTag": "Room"}).alias("xml"))
+
+
+def room_snapshot_xml(snap: DataFrame) -> DataFrame:
+    """Serialise each room view to XML text (``to_xml``), attribute-only
+    elements as the view procedure writes them:
+    ``<Room NameRoom=..><Persons><Person UserName=.. Id=../>..</Persons>
+    <Tasks><Task Id=.. ..><PersonTask PersonId=.. Vote=.. Score=../></Task></Tasks></Room>``;
+    unknown rooms become ``<Room Error="UnknownRoom"/>``.  NULL attributes are
+    left out."""
+    return snap.select("room_id", "page", F.to_xml(view_document(), {"rowTag": "Room"}).alias("xml"))
 
 
 XML_VIEW_SCHEMA = ("_Error STRING, _NameRoom STRING, _Page INT, "
@@ -182,7 +186,11 @@ XML_VIEW_SCHEMA = ("_Error STRING, _NameRoom STRING, _Page INT, "
 
 def parse_room_xml(xml_rows: DataFrame) -> DataFrame:
     """Read view XML back into the nested room columns (``from_xml``)."""
-    p = xml_rows.select("room_id", F.from_xml("xml", XML_VIEW_SCHEMA, {"rowTag": "Room"}).alias("r"))
+    return view_from_document(xml_rows.select("room_id", F.from_xml("xml", XML_VIEW_SCHEMA, {"rowTag": "Room"}).alias("r")))
+
+
+def view_from_document(p: DataFrame) -> DataFrame:
+    """View rows from (room_id, r), ``r`` as ``view_document`` writes it."""
     persons = F.transform(F.coalesce(F.col("r.Persons.Person"), F.array()),
                           lambda x: F.struct(x["_Id"].alias("Id"), x["_UserName"].alias("UserName")))
     tasks = F.transform(F.coalesce(F.col("r.Tasks.Task"), F.array()), lambda t: F.struct(

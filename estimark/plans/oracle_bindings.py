@@ -185,6 +185,11 @@ from (select e.room_id, e.event_id, e.ts, e.kind, e.person_no, v.vote, v.score,
     from (select *, lag(event_id) over k pe, lag(vote) over k pv, lag(score) over k ps from o_votes where reason is null
       window k as (partition by room_id, task_id, person_no order by ts, event_id))) v on v.room_id = e.room_id and v.event_id = e.event_id)
 window w as (partition by room_id order by ts, event_id rows between unbounded preceding and current row)"""
+SENDER = "case when {n} < 10 then 'supplier.' || lpad(cast({n} as varchar), 9, '0') || '@ex.io' else 'nobody@ex.io' end"
+BLOCKS["b_raw_messages"] = f"""select event_id, ts,
+  case when event_id % 3 = 0 then upper(g) when event_id % 4 = 1 then g || '  ' else g end room_guid,
+  case when event_id % 5 = 0 then upper(m) || ' ' else m end email
+from (select event_id, ts, {GUID.format(c="('Brand#' || user_id)")} g, {SENDER.format(n="(event_id % 13)")} m from events)"""
 BLOCKS["b_connects"] = "select event_id connect_id, user_id room_id, event_id % 7 person_no, ts from events where event_id % 9 = 4"
 
 DEPENDS = {"o_views": ["o_ev", "o_seg", "o_first", "o_results", "o_votes"], "o_cmd": ["b_commands"], "o_tord": ["b_tasks"], "o_ev": ["o_cmd", "o_tord"], "o_mk": ["o_ev"],

@@ -152,13 +152,17 @@ def q_task_median_lookup(spark, sf):
         _medians(spark, sf).select("task_id", "median"), "task_id", "left")
 
 
-@register("room_snapshot_cells", ["b_rooms", "b_tasks", "latest_votes", "task_median"], """
+room_views = _snapshot
+CELLS = (["b_rooms", "b_tasks", "latest_votes", "task_median"], """
 select r.room_id, t.task_ord, t.name, false completed, false on_active, t.minutes, m.median, v.vote_ord, v.vote, v.score
 from b_rooms r join (select *, cast(row_number() over (partition by room_id order by task_id) as int) task_ord from b_tasks) t
   on t.room_id = r.room_id
 left join (select task_id, cast(row_number() over (partition by task_id order by person_id) as int) vote_ord, true vote, score
   from latest_votes) v on v.task_id = t.task_id
 left join task_median m on m.task_id = t.task_id where r.is_active""")
+
+
+@register("room_snapshot_cells", *CELLS)
 def q_room_snapshot_cells(spark, sf):
     """Contents of the room views, cut into many pages and read back as flat cells."""
     return S.snapshot_cells(_snapshot(spark, sf, page_cells=500))

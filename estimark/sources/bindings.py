@@ -206,6 +206,35 @@ def messages_of(c: DataFrame) -> DataFrame:
     return c.select("room_id", "ts", "event_id", "person_no", msg.alias("msg"))
 
 
+def _sender_mail(n: Column) -> Column:
+    return F.when(n < 10, F.concat(F.lit("supplier."), F.lpad(n.cast("string"), 9, "0"), F.lit("@ex.io"))).otherwise(F.lit("nobody@ex.io"))
+
+
+def b_raw_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as they arrive: a room's GUID and a sender's e-mail, in any case and with trailing blanks."""
+    e = read_table(spark, sf, "events", "event_id", "ts", "user_id")
+    guid = _guid(F.concat(F.lit("Brand#"), F.col("user_id").cast("string")))
+    guid = F.when(F.col("event_id") % 3 == 0, F.upper(guid)).when(F.col("event_id") % 4 == 1, F.concat(guid, F.lit("  "))).otherwise(guid)
+    mail = _sender_mail(F.col("event_id") % 13)
+    mail = F.when(F.col("event_id") % 5 == 0, F.concat(F.upper(mail), F.lit(" "))).otherwise(mail)
+    return e.select("event_id", "ts", guid.alias("room_guid"), mail.alias("email"))
+
+
+def b_posted_rooms(spark: SparkSession, sf: str) -> DataFrame:
+    """Room requests with who posted them and when."""
+    k = F.col("request_id")
+    mail = _sender_mail(k % 11)
+    return b_room_request_xml(spark, sf).select("*", F.when(k % 2 == 0, F.upper(mail)).otherwise(mail).alias("creator_email"),
+                                                F.timestamp_add("SECOND", k, F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
+
+
+def b_posted_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Task lists as posted; in every seventh the first task's element is not closed."""
+    r = b_room_request_xml(spark, sf)
+    broken = F.regexp_replace("tasks_xml", '^(.*?)"/>', '$1">')
+    return r.select("request_id", F.when(F.col("request_id") % 7 == 3, broken).otherwise(F.col("tasks_xml")).alias("tasks_xml"))
+
+
 def connects_of(e: DataFrame) -> DataFrame:
     """Connections that open in the rooms of the log, from event rows (batch or stream)."""
     return e.filter(F.col("event_id") % 9 == 4).select(F.col("event_id").alias("connect_id"), F.col("user_id").alias("room_id"),

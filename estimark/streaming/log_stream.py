@@ -59,8 +59,8 @@ def message_stream(spark: SparkSession, directory: str, glob: str = "events.parq
     return messages_of(commands_of(parquet_stream(spark, directory, EVENTS, glob, max_files)))
 
 
-def run(writer, root: str) -> None:
-    """Run a streaming query over what is there, with its state in RocksDB."""
+def run(writer, root: str) -> str:
+    """Run a streaming query over what is there, with its state in RocksDB; returns the query's id."""
     conf, key = SparkSession.active().conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(key)
     conf.set(key, STATE_STORE)
@@ -71,6 +71,7 @@ def run(writer, root: str) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    return str(q.id)
 
 
 def change_log_stream(spark: SparkSession, messages: DataFrame, root: str | None = None) -> DataFrame:
