@@ -5,12 +5,6 @@ token sequences into groups, and within a group every A token is linked with
 every B token.  How many documents hold an id pair linked is counted over the
 whole corpus, and every document is scored by the counts of its own links.
 
-Texts are worked on in segments, cut before a space that follows a character
-that is not white space.  Tokenizer A's pattern splits there, and no piece of B
-reaches over such a place (checked when the vocabularies are read), so a segment's tokens, groups
-and links depend on the segment alone: a worker encodes each new segment once
-and keeps the frequent ones in a bounded table.
-
 1. First pass: documents are encoded and aligned; their tokens are written, and
    each task counts, per id pair, its documents (sorted runs).
 2. The distinct pairs are dealt to shards by a hash; a task builds a minimal
@@ -26,7 +20,7 @@ and keeps the frequent ones in a bounded table.
 
 Defined cases: texts that are null, empty, or whose tokens don't give back
 space + text have no tokens, groups or links (zeros and an empty digest) and
-count nowhere; texts and segments of any length are worked on whole; repeated
+count nowhere; texts of any length are worked on whole; repeated
 rows count as documents of their own; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -54,15 +48,12 @@ from estimark.session import checkpoint_dir, materialize
 
 SHARD_KEYS = 1 << 18  # expected pairs of a shard
 FAN = 16  # runs of a leaf vector, vectors of a sum
-SEGMENTS, SEGMENT_BYTES = 300_000, 96 << 20  # what a worker remembers of segments at most
-SHORT = 64  # characters of a segment that is worth remembering
 RUN = 1 << 20  # pairs after which a task writes a run
 KEEP_SHARDS = 192 << 20
 BATCH_CHARS = 1 << 20
-CALL_CHARS = 1 << 14  # characters given to the tokenizers at once
 
-_SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
-_LONG = re.compile(r"\S{1000}|\s{1000}")
+LONG = 1000
+_LONG = re.compile(rf"\S{{{LONG}}}|\s{{{LONG}}}")
 
 
 class Tokenizers:
@@ -71,6 +62,7 @@ class Tokenizers:
     def __init__(self, a_json: bytes, b_model: bytes, pattern: str):
         import sentencepiece
         import tiktoken
+        from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = json.loads(a_json)
         plain = _byte_of_char()
@@ -90,14 +82,19 @@ class Tokenizers:
         self._a_json, self._a_long = a_json.decode(), None
         self._b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.n_b = self._b.get_piece_size()
-        self.b_bytes, self.cuts = [], True
+        form = proto.ModelProto.FromString(b_model)
+        # pieces then spell space + text, unless the text holds the space's own mark or a character without a piece
+        self.plain_b = (form.normalizer_spec.add_dummy_prefix and form.normalizer_spec.escape_whitespaces and not (
+            form.normalizer_spec.precompiled_charsmap or form.normalizer_spec.remove_extra_whitespaces
+            or form.trainer_spec.treat_whitespace_as_suffix))
+        self.unknown = self._b.unk_id()
+        self.b_bytes = []
         for i in range(self.n_b):
             p = self._b.id_to_piece(i)
             if self._b.is_byte(i):
                 self.b_bytes.append(bytes([int(p[3:-1], 16)]))
             else:
                 self.b_bytes.append(p.replace("▁", " ").encode())
-                self.cuts = self.cuts and not re.search("[^▁]▁", p)
         self.a_len = np.array([len(t) for t in self.a_bytes])
         self.b_len = np.array([len(t) for t in self.b_bytes])
         if max(self.n_a, self.n_b) > 1 << 16:
@@ -109,21 +106,19 @@ class Tokenizers:
                 text[0, i], text[1, i] = b"%d," % i, b"%d" % i + end
 
     def a(self, text: str) -> list[int]:
-        if _LONG.search(text):  # runs without a break need merges by a heap
-            if self._a_long is None:
-                from tokenizers import Tokenizer
+        return self._a.encode_ordinary(" " + text)
 
-                self._a_long = Tokenizer.from_str(self._a_json)
-                self._a_long.encode_special_tokens = True
-            return self._a_long.encode(text, add_special_tokens=False).ids
-        return self._a.encode_ordinary(text)
+    def a_long(self, text: str) -> list[int]:
+        """The same for texts with very long runs without a break: their merges need a heap."""
+        if self._a_long is None:
+            from tokenizers import Tokenizer
 
-    def b(self, text: str) -> list[int]:
-        return self._b.encode(text[1:])  # adds the space itself
+            self._a_long = Tokenizer.from_str(self._a_json)
+            self._a_long.encode_special_tokens = True
+        return self._a_long.encode(" " + text, add_special_tokens=False).ids
 
-    def split(self, text: str) -> list[str]:
-        """Segments of space + text."""
-        return _SEGMENT.findall(" " + text) if self.cuts else [" " + text]
+    def b(self, texts: list[str]) -> list[list[int]]:
+        return self._b.encode(texts, num_threads=1)  # adds the space itself
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -165,133 +160,54 @@ def _linked(tok: Tokenizers, a, b, a_group, b_group, in_a, in_b):
 
 
 class Aligned:
-    """Segments with their tokens: per segment the counts, the group text, the tokens and the distinct linked pairs."""
+    """Texts with their tokens: per text whether it has any, the four counts, the group text and the tokens."""
 
     def __init__(self, tok: Tokenizers, texts: list[str]):
         n = len(texts)
-        self.ok = np.ones(n, bool)
-        self.sums = np.zeros((n, 4), np.int64)  # n_a, n_b, n_groups, n_links
-        self.group_text, self.a_ids, self.b_ids = [b""] * n, [b""] * n, [b""] * n
-        units, codes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        i = 0
-        while i < n:  # a call takes several segments whose last character is no white space
-            j, size = i + 1, len(texts[i])
-            while j < n and size < CALL_CHARS and not texts[j - 1][-1].isspace():
-                size, j = size + len(texts[j]), j + 1
-            for unit, code in self._work(tok, texts, i, j):
-                units.append(unit)
-                codes.append(code)
-            i = j
-        width = np.int64(tok.n_a) * tok.n_b
-        key = np.sort(pd.unique(np.concatenate(units) * width + np.concatenate(codes)))
-        self.code = key % width
-        self.offs = np.searchsorted(key, np.arange(n + 1) * width)
-
-    def _work(self, tok, texts, i, j):
-        """Encode and align the segments i..j; yields (segment, pair code)."""
-        joined = "".join(texts[i:j])
-        data = joined.encode()
-        a, b = tok.a(joined), tok.b(joined)
-        if b"".join(map(tok.b_bytes.__getitem__, b)) != data or b"".join(map(tok.a_bytes.__getitem__, a)) != data:
-            if j - i == 1:
-                self.ok[i] = False
-            else:
-                for k in range(i, j):
-                    yield from self._work(tok, texts, k, k + 1)
-            return
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        stops = np.cumsum([len(t.encode()) for t in texts[i:j]]) if j - i > 1 else np.array([len(data)])
-        ends, a_group, b_group, in_a, in_b = _align(tok, a, b)
-        last = np.searchsorted(ends, stops)  # group that ends a segment
-        if (ends[last] != stops).any():
-            raise ValueError("a token reaches over the end of a segment")
-        seg_of = np.repeat(np.arange(i, j), np.diff(last, prepend=-1))
-        total = np.cumsum(np.stack([in_a, in_b, np.ones_like(in_a), in_a * in_b], 1), 0)[last]
-        self.sums[i:j] = np.diff(total, axis=0, prepend=0)
-        a_cut, b_cut = total[:, 0].tolist(), total[:, 1].tolist()
-        a_data, b_data = a.astype("<u2").tobytes(), b.astype("<u2").tobytes()
-        self.a_ids[i:j] = [a_data[2 * x:2 * y] for x, y in zip([0] + a_cut, a_cut)]
-        self.b_ids[i:j] = [b_data[2 * x:2 * y] for x, y in zip([0] + b_cut, b_cut)]
-        self._texts(tok, a, b, a_group, b_group, in_a, in_b, last, i, j)
-        for group, code, _ in _linked(tok, a, b, a_group, b_group, in_a, in_b):
-            yield seg_of[group], code
-
-    def _texts(self, tok, a, b, a_group, b_group, in_a, in_b, last, i, j):
-        """`a1,a2|b1;a3|b2,b3` of each segment."""
-        a_at = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[a_group]
-        b_at = np.arange(len(b)) + np.cumsum(in_a)[b_group]
-        out = np.empty(len(a) + len(b), object)
-        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        a_last[np.cumsum(in_a) - 1] = True
-        b_last[np.cumsum(in_b) - 1] = True
-        out[a_at] = tok.a_text[a_last.view(np.int8), a]
-        out[b_at] = tok.b_text[b_last.view(np.int8), b]
-        out = out.tolist()
-        cut = (np.cumsum(in_a + in_b)[last]).tolist()
-        self.group_text[i:j] = [b"".join(out[x:y])[:-1] for x, y in zip([0] + cut, cut)]
-
-
-class Segments:
-    """Segments a worker knows, by number; the least used half goes when there are too many."""
-
-    def __init__(self, tok: Tokenizers):
+        data = [(" " + t).encode() if t else b"" for t in texts]
+        breaks = np.flatnonzero(np.diff(W.SPACE[np.frombuffer(b"".join(data) + b"a ", np.uint8)]))
+        if np.diff(breaks, prepend=-1).max() > LONG:
+            a = [(tok.a_long if _LONG.search(t) else tok.a)(t) if t else [] for t in texts]
+        else:
+            a = [tok.a(t) if t else [] for t in texts]
+        b = tok.b(texts)
+        self.ok = np.array([bool(t) for t in texts])
+        if not tok.plain_b or any("▁" in t for t in texts) or any(tok.unknown in x for x in b):
+            for i, x in enumerate(data):
+                self.ok[i] &= b"".join(map(tok.b_bytes.__getitem__, b[i])) == x
+        for i in np.flatnonzero(~self.ok).tolist():
+            a[i], b[i], data[i] = [], [], b""
         self.tok = tok
-        self.number: dict[str, int] = {}
-        self.group_text, self.a_ids, self.b_ids = [], [], []
-        self.ok, self.used = np.empty(0, bool), np.empty(0, np.int64)
-        self.sums = np.empty((0, 4), np.int64)
-        self.code, self.offs = np.empty(0, np.int64), np.zeros(1, np.int64)
-        self.size = 0
-
-    def add(self, texts: list[str]) -> None:
-        got = Aligned(self.tok, texts)
-        self.size += 500 * len(texts) + sum(map(len, texts)) + sum(map(len, got.group_text)) + 8 * len(got.code)
-        first = len(self.number)
-        self.number.update(zip(texts, range(first, first + len(texts))))
-        self.group_text += got.group_text
-        self.a_ids += got.a_ids
-        self.b_ids += got.b_ids
-        self.ok = np.concatenate((self.ok, got.ok))
-        self.sums = np.concatenate((self.sums, got.sums))
-        self.offs = np.concatenate((self.offs, got.offs[1:] + len(self.code)))
-        self.code = np.concatenate((self.code, got.code))
-        self.used = np.concatenate((self.used, np.zeros(len(texts), np.int64)))
-
-    def trim(self) -> None:
-        """Forget the less used half and long segments, if there are too many."""
-        if len(self.number) <= SEGMENTS and self.size <= SEGMENT_BYTES:
-            return
-        texts = list(self.number)
-        short = np.fromiter(map(len, texts), np.int64, len(texts)) <= SHORT
-        keep = np.argsort(np.where(short, -self.used, 1), kind="stable")[:min(SEGMENTS, len(texts)) // 2]
-        keep = np.sort(keep[short[keep]])
-        rows = keep.tolist()
-        self.number = {texts[k]: i for i, k in enumerate(rows)}
-        self.group_text, self.a_ids, self.b_ids = ([x[k] for k in rows] for x in (self.group_text, self.a_ids, self.b_ids))
-        self.code, self.offs = _gather(self.code, self.offs, keep)
-        self.ok, self.sums, self.used = self.ok[keep], self.sums[keep], self.used[keep] // 2
-        self.size = 500 * len(keep) + sum(map(len, self.number)) + sum(map(len, self.group_text)) + 8 * len(self.code)
-
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(segment numbers of all texts, where each text's begin)."""
-        cut = [self.tok.split(t) if t else [] for t in texts]
-        flat = list(chain.from_iterable(cut))
-        got = list(map(self.number.get, flat))
-        if None in got:
-            missing = [i for i, g in enumerate(got) if g is None]
-            self.add(list(dict.fromkeys(map(flat.__getitem__, missing))))
-            for i in missing:
-                got[i] = self.number[flat[i]]
-        at = np.array(got, np.int64)
-        self.used += np.bincount(at, minlength=len(self.used)) if len(at) else 0
-        return at, np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
-
-
-def _gather(values: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The given rows of a ragged array."""
-    n = offs[rows + 1] - offs[rows]
-    out = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
-    return values[np.arange(out[-1]) - np.repeat(out[:-1] - offs[rows], n)], out
+        self.a = np.fromiter(chain.from_iterable(a), np.int64, sum(map(len, a)))
+        self.b = np.fromiter(chain.from_iterable(b), np.int64, sum(map(len, b)))
+        if tok.a_len[self.a].sum() != sum(map(len, data)) or tok.b_len[self.b].sum() != sum(map(len, data)):
+            raise ValueError("tokens don't spell the texts")
+        ends, a_group, b_group, in_a, in_b = self.groups = _align(tok, self.a, self.b)
+        last = np.searchsorted(ends, np.cumsum(list(map(len, data))), "right")  # groups up to the end of a text
+        total = np.cumsum(np.stack([in_a, in_b, np.ones_like(in_a), in_a * in_b], 1), 0)
+        total = np.concatenate((np.zeros((1, 4), np.int64), total))[last]
+        self.sums = np.diff(total, axis=0, prepend=0)
+        self.text_of = np.repeat(np.arange(n), np.diff(last, prepend=0))  # of a group
+        a_data, b_data = self.a.astype("<u2").tobytes(), self.b.astype("<u2").tobytes()
+        cut = lambda held, at, width: [held[width * x:width * y] for x, y in zip([0] + at, at)]
+        self.a_ids, self.b_ids = cut(a_data, total[:, 0].tolist(), 2), cut(b_data, total[:, 1].tolist(), 2)
+        self.group_text = [b"".join(x)[:-1] for x in cut(self._texts(*self.groups[1:]), (total[:, 0] + total[:, 1]).tolist(), 1)]
+
+    def _texts(self, a_group, b_group, in_a, in_b) -> list[bytes]:
+        """`a1,` `a2|` `b1;` ... in the order of the groups."""
+        out = np.empty(len(self.a) + len(self.b), object)
+        a_last, b_last = np.zeros(len(self.a), np.int8), np.zeros(len(self.b), np.int8)
+        a_last[np.cumsum(in_a) - 1] = 1
+        b_last[np.cumsum(in_b) - 1] = 1
+        out[np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[a_group]] = self.tok.a_text[a_last, self.a]
+        out[np.arange(len(self.b)) + np.cumsum(in_a)[b_group]] = self.tok.b_text[b_last, self.b]
+        return out.tolist()
+
+    def pairs(self) -> np.ndarray:
+        """The pair code of every pair that a text holds linked, once a text."""
+        width = np.int64(self.tok.n_a) * self.tok.n_b
+        found = [pd.unique(self.text_of[g] * width + code) for g, code, _ in _linked(self.tok, self.a, self.b, *self.groups[1:])]
+        return (found[0] if len(found) == 1 else pd.unique(np.concatenate(found))) % width
 
 
 def _spread(code: np.ndarray) -> np.ndarray:
@@ -449,7 +365,7 @@ class CrossTokens:
         tokenizers, with_groups = self.tokenizers, self.groups
 
         def run(batches):
-            known, codes, counts, held, kind = Segments(tokenizers()), [], [], 0, None
+            codes, counts, held, kind = [], [], 0, None
 
             def merged():
                 code, n = np.concatenate(codes), np.concatenate(counts)
@@ -471,25 +387,13 @@ class CrossTokens:
                 kind = kind or pa.schema([("__key", b.schema.field(0).type), *((c, pa.int64()) for c in _COUNTS[:4]),
                                           ("groups_sha256", pa.string()), ("groups", pa.string()), ("a", pa.binary()),
                                           ("b", pa.binary()), ("spread", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
-                at, offs = known.numbers(texts)
-                doc = np.repeat(np.arange(len(texts)), np.diff(offs))
-                bad = np.diff(offs) == 0
-                bad[doc[~known.ok[at]]] = True
-                total = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(known.sums[at], 0)))
-                sums = np.where(bad[:, None], 0, total[offs[1:]] - total[offs[:-1]])
-                numbers, cut = at.tolist(), offs.tolist()
-                joined = lambda parts, sep: [b"" if x else sep.join(map(parts.__getitem__, numbers[i:j]))
-                                             for x, i, j in zip(bad.tolist(), cut, cut[1:])]
-                groups = joined(known.group_text, b";")
+                got = Aligned(tokenizers(), texts)
                 yield rows(len(texts), __key=b.column(0).slice(first, len(texts)),
-                           **{c: pa.array(sums[:, i]) for i, c in enumerate(_COUNTS[:4])},
-                           groups_sha256=pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()),
-                           groups=pa.array([g.decode() for g in groups] if with_groups else [None] * len(groups), pa.string()),
-                           a=pa.array(joined(known.a_ids, b""), pa.binary()), b=pa.array(joined(known.b_ids, b""), pa.binary()))
-                pair = pd.unique((doc * np.int64(len(known.ok)) + at)[~bad[doc]])
-                code, cut = _gather(known.code, known.offs, pair % len(known.ok))
-                width = np.int64(known.tok.n_a) * known.tok.n_b
-                back, code = pd.factorize(pd.unique(np.repeat(pair // len(known.ok), np.diff(cut)) * width + code) % width)
+                           **{c: pa.array(got.sums[:, i]) for i, c in enumerate(_COUNTS[:4])},
+                           groups_sha256=pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in got.group_text], pa.string()),
+                           groups=pa.array([g.decode() if with_groups else None for g in got.group_text], pa.string()),
+                           a=pa.array(got.a_ids, pa.binary()), b=pa.array(got.b_ids, pa.binary()))
+                back, code = pd.factorize(got.pairs())
                 if len(code):
                     codes.append(code)
                     counts.append(np.bincount(back))
@@ -500,7 +404,6 @@ class CrossTokens:
                     if held >= RUN:
                         yield from sorted_run()
                         codes, counts, held = [], [], 0
-                known.trim()
             if codes:
                 yield from sorted_run()
 
