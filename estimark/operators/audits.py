@@ -31,21 +31,23 @@ def audit_unique(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def audit_foreign_keys(children: dict[str, tuple[DataFrame, dict[str, tuple[str, DataFrame, str]]]]) -> DataFrame:
     """``{child: (table, {constraint: (fk_col, parent, pk_col)})}`` ->
     (constraint_name, n_orphans): child rows whose non-NULL key has no parent
-    row.  A child table is scanned once and reduced to its distinct key
-    combinations (partial aggregation) before it meets each parent's keys."""
-    out = None
+    row.  A child is scanned once; each row gives one (constraint, key) per
+    foreign key, and these collapse to distinct keys with counts before any
+    shuffle.  All constraints then meet the parents' keys in one join."""
+    keys = parents = None
+    names = [n for _, constraints in children.values() for n in constraints]
     for child, constraints in children.values():
-        fks = list(dict.fromkeys(fk for fk, _, _ in constraints.values()))
-        rows = child.groupBy(*fks).agg(F.count(F.lit(1)).alias("__n"))
-        counts = []
-        for i, (name, (fk, parent, pk)) in enumerate(constraints.items()):
-            keys = parent.select(F.col(pk).alias(f"__pk{i}")).distinct().withColumn(f"__hit{i}", F.lit(True))
-            rows = rows.join(keys, F.col(fk) == F.col(f"__pk{i}"), "left")
-            orphan = F.col(fk).isNotNull() & F.col(f"__hit{i}").isNull()
-            counts.append(F.coalesce(F.sum(F.when(orphan, F.col("__n"))), F.lit(0)).alias(name))
-        part = rows.agg(*counts).unpivot([], list(constraints), "constraint_name", "n_orphans")
-        out = part if out is None else out.unionByName(part)
-    return out
+        pairs = F.array(*[F.struct(F.lit(n).alias("constraint_name"), F.col(fk).cast("bigint").alias("__key"))
+                          for n, (fk, _, _) in constraints.items()])
+        part = child.select(F.inline(pairs)).filter(F.col("__key").isNotNull()).groupBy("constraint_name", "__key").agg(
+            F.count(F.lit(1)).alias("__n"))
+        keys = part if keys is None else keys.unionByName(part)
+        for n, (_, parent, pk) in constraints.items():
+            p = parent.select(F.lit(n).alias("constraint_name"), F.col(pk).cast("bigint").alias("__key"))
+            parents = p if parents is None else parents.unionByName(p)
+    orphans = keys.join(parents, ["constraint_name", "__key"], "left_anti").groupBy("constraint_name").agg(F.sum("__n").alias("__n"))
+    every = keys.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("constraint_name"))
+    return every.join(orphans, "constraint_name", "left").select("constraint_name", F.coalesce("__n", F.lit(0)).alias("n_orphans"))
 
 
 def audit_check(tasks: DataFrame, lo: int = 1, hi: int = 10) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from estimark.operators.scan import running, time_chunk
 from estimark.operators.votes import task_median
-from estimark.session import materialize
+from estimark.session import materialize, materialize_counted
 
 START, STOP, VOTE, FINISH, GETVM = "StartVoting", "StopVoting", "ChangeVote", "FinishPlanning", "ChangeGetVM"
 
@@ -80,11 +80,11 @@ def fold(cmds: DataFrame, ordinals: DataFrame, members: DataFrame | None = None,
         rejected = cmds.filter(refused).select("room_id", "event_id", F.lit("not_creator").alias("reason"))
         cmds = cmds.filter(~refused).drop("__creator")
     is_marker = F.col("kind").isin(START, STOP)
-    chunk = time_chunk("ts", chunk_unit) if chunk_unit else None
+    chunk, rows = time_chunk("ts", chunk_unit) if chunk_unit else None, None
     if checkpoint and chunk is None:
-        cmds = materialize(cmds)  # measured, then numbered
+        cmds, rows = materialize_counted(cmds)  # measured, then numbered
     ev = running(cmds.withColumn("__m", is_marker.cast("int")), ["room_id"], ["ts", "event_id"],
-                 chunk, {"seg": ("sum", "__m")}).drop("__m")
+                 chunk, {"seg": ("sum", "__m")}, rows=rows).drop("__m")
     if checkpoint:
         ev = materialize(ev)
 
@@ -252,11 +252,8 @@ def segment_flags(f: Fold) -> DataFrame:
         (F.coalesce(F.col("__prev_open"), F.lit(False)), "overlapping_start"),
         (F.col("already_completed"), "already_completed"),
     ]
-    out = None
-    for cond, name in reasons:
-        part = s.filter(cond).select("room_id", F.col("opened_event").alias("event_id"), F.lit(name).alias("reason"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = F.filter(F.array(*[F.when(cond, F.lit(name)) for cond, name in reasons]), lambda r: r.isNotNull())
+    return s.select("room_id", F.col("opened_event").alias("event_id"), F.explode(found).alias("reason"))
 
 
 def finish_room(rooms: DataFrame, cmds: DataFrame) -> DataFrame:

@@ -19,3 +19,11 @@ def quarantine(parsed_messages: DataFrame, f: Fold) -> DataFrame:
     votes = late_votes(f).select("room_id", "event_id", "reason")
     out = fmt.unionByName(xml).unionByName(votes).unionByName(segment_flags(f))
     return out.unionByName(f.rejected) if f.rejected is not None else out
+
+
+def refused_and_late(refused: DataFrame, f: Fold) -> DataFrame:
+    """The same table from messages whose refusals, broken payloads included, are already in ``reason``: parsed once
+    for the fold and for the quarantine."""
+    out = refused.filter(F.col("reason").isNotNull()).select("room_id", "event_id", "reason")
+    out = out.unionByName(late_votes(f).select("room_id", "event_id", "reason")).unionByName(segment_flags(f))
+    return out.unionByName(f.rejected) if f.rejected is not None else out

@@ -55,19 +55,22 @@ def measured_chunks(df: DataFrame, keys: Sequence[str], by: Column, rows: int) -
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column | None,
-            aggs: dict[str, tuple[str, Column | str | None]], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            aggs: dict[str, tuple[str, Column | str | None]], chunk_rows: int = CHUNK_ROWS,
+            rows: int | None = None) -> DataFrame:
     """Add running aggregates ``{out: (kind, value)}`` with kind in count/sum/max,
     over rows of each ``keys`` group ordered by ``order`` (unbounded preceding
     to current row).  ``chunk`` must not decrease along ``order``; None measures
     (``order[0]`` must then be a number, date or time).  Measuring reads ``df``
-    once more, so pass a table or something as cheap."""
+    once more, so pass a table or something as cheap; ``rows``, the number of
+    rows where it is known, spares it when no key can be too large."""
     # the keys travel as one struct column: a struct is never NULL and compares
     # NULL fields as equal, so NULL keys form one group (as in a window) and
     # the carry join stays a plain equi-join, co-partitioned with the windows
     ck = [_KEY, _CHUNK]
     d = df.withColumn(_KEY, F.struct(*keys))
     if chunk is None:
-        bounds = measured_chunks(df, keys, _col(order[0]), chunk_rows)
+        small = rows is not None and rows <= chunk_rows
+        bounds = None if small else measured_chunks(df, keys, _col(order[0]), chunk_rows)
         if bounds is None:
             whole = Window.partitionBy(_KEY).orderBy(*[_col(o) for o in order]).rowsBetween(
                 Window.unboundedPreceding, Window.currentRow)

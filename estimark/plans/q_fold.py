@@ -12,7 +12,7 @@ from estimark.plans.registry import register
 from estimark.session import materialize
 from estimark.sources import bindings as B
 from estimark.sources.messages import parse_messages
-from estimark.sources.xml import with_change
+from estimark.sources.xml import checked_commands, with_change
 
 
 def commands(spark, sf):
@@ -158,9 +158,10 @@ union all select room_id, opened_event, 'already_completed' from o_seg where ope
 
 @register("quarantine", ["b_messages", "b_commands", "o_votes", "o_seg"], QUARANTINE_SQL)
 def q_quarantine(spark, sf):
-    from estimark.operators.quarantine import quarantine
-    parsed = parse_messages(B.b_messages(spark, sf))
-    return quarantine(parsed, run_fold(spark, sf))
+    from estimark.operators.quarantine import refused_and_late
+    checked = materialize(checked_commands(parse_messages(B.b_messages(spark, sf))).drop("msg", "payload"))
+    f = FO.fold(checked.filter(F.col("reason").isNull()).drop("reason"), M.task_ordinals(B.b_tasks(spark, sf)), log_members(spark, sf))
+    return refused_and_late(checked, f)
 
 
 @register("results_grid", ["latest_votes", "b_persons", "task_median", "o_active"], """select v.room_id, v.task_id,

@@ -78,6 +78,16 @@ def materialize(df):
     return spark.read.parquet(path)
 
 
+def materialize_counted(df):
+    """``materialize``, and the number of rows, counted by the write itself."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
 _WRITTEN: list[str] = []
 
 

@@ -50,6 +50,16 @@ def with_change(df: DataFrame, payload: str = "payload", name: str = "__c") -> D
     return parsed_once(df, parse_change(F.col(payload)), name)
 
 
+def checked_commands(parsed: DataFrame) -> DataFrame:
+    """Parsed messages with their change in columns (task_ordinal, score, vote), and ``reason`` also set where the
+    payload of a vote or a start is broken.  Rows without a reason are the well-formed commands."""
+    p = with_change(parsed)
+    broken = F.col("reason").isNull() & F.col("__c.bad_xml")
+    reason = F.when(broken, "bad_xml").otherwise(F.col("reason"))
+    return p.select(*[c for c in parsed.columns if c != "reason"], reason.alias("reason"), F.col("__c.task_ordinal").alias("task_ordinal"),
+                    F.col("__c.score").alias("score"), F.col("__c.vote").alias("vote"))
+
+
 def parse_change(payload: Column) -> Column:
     """``/Change/AddVote/@vote,@score`` (the last node wins, as a variable
     assignment over rows does) and ``TOP(1) /Change/StartVoting/@taskId``.
