@@ -9,7 +9,8 @@ When a task holds more than ``HELD`` phrases, its largest subtrees are spilled
 whole, as runs sorted by word ids.  Runs are merged by prefix partition: the
 first two words of a phrase say where its counts are added up.
 
-Phrases of k words are counted in pass k, and only where both phrases of k - 1
+Phrases of k words are counted in pass k (single words and pairs by key, to be
+spelt in the next pass if they are frequent), and only where both phrases of k - 1
 words inside are frequent: a phrase is at least as rare as its parts, so no
 frequent phrase is lost.  The frequent phrases of a pass reach the next one as
 a bitmap of at most ``BITS`` bits; what it lets through by chance is counted
@@ -187,62 +188,89 @@ def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def count_runs(rows: DataFrame, k: int, frequent=None) -> DataFrame:
-    """Sorted runs of the phrases of ``k`` words whose parts ``frequent`` (broadcast bitmap) holds: (key, w1..wk, n), with
-    (lang, word) for single words."""
-    names = ["key", *(f"w{i + 1}" for i in range(k)), "n"] + ["lang", "word"] * (k == 1)
-    schema = ", ".join(f"{c} long" for c in names[:k + 2]) + ", lang string, word string" * (k == 1)
+    """Sorted runs of the phrases of ``k`` words whose parts ``frequent`` (broadcast bitmap) holds: (key, n, w1.., lang, word).
+
+    Most words and pairs are rare, so those runs carry keys alone (w1 is null); the next pass, which knows the
+    frequent ones, brings their words: with ``k`` of 2 or 3 there are also rows of the frequent phrases of one word
+    less, and of single words their spelling."""
+    width = k if k > 2 else k - 1  # words that a row has room for
+    names = ["key", "n", *(f"w{i + 1}" for i in range(width)), "lang", "word"]
+    schema = ", ".join(f"{c} long" for c in names[:-2]) + ", lang string, word string"
 
     def run(batches):
-        trie, gathered, size = HatTrie(), [], 0
         bitmap = None if frequent is None else np.frombuffer(frequent.value, np.uint8)
-
-        def out(run):
-            key, words, n, label = run
-            for i in range(0, len(key), 1 << 16):
-                j = slice(i, i + (1 << 16))
-                cols = [pa.array(key[j].view(np.int64)), *(pa.array(words[j, c].copy()) for c in range(k)), pa.array(n[j])]
-                if k == 1:
-                    cols += [pa.array([x[0] for x in label[j]], pa.string()), pa.array([x[1] for x in label[j]], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        tries = {w: HatTrie() for w in ([k - 1, k] if k in (2, 3) else [k])}
+        gathered, size, total = {w: [] for w in tries}, 0, {}
+
+        def put():
+            for w, parts in gathered.items():
+                if parts:
+                    tries[w].insert(_merged(parts))
+                    parts.clear()
+
+        def out(w, most):
+            tries[w].compact()
+            for key, words, n, label in tries[w].spill(most):
+                spelt = w < k or k > 2
+                for i in range(0, len(key), 1 << 16):
+                    j = slice(i, i + (1 << 16))
+                    none = pa.nulls(len(key[j]), pa.int64())
+                    cols = [pa.array(key[j].view(np.int64)), pa.array(n[j])]
+                    cols += [pa.array(words[j, c].copy()) if spelt and c < w else none for c in range(width)]
+                    if len(label):
+                        cols += [pa.array([x[c] for x in label[j]], pa.string()) for c in (0, 1)]
+                    else:
+                        cols += [pa.nulls(len(key[j]), pa.string())] * 2
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
         for b in batches:
             langs = b.column(0).to_pylist()
             lang_ids = _lang_ids(langs) if langs else None
             for whole in W.slices(b.column(1)):
                 s, piece = cut_pieces(whole.data, whole.offs)
-                if len(s.starts) < k:
-                    continue
                 doc = s.word_doc()
+                if k == 1:
+                    for d, n in enumerate(np.diff(s.word_offs).tolist()):
+                        g = langs[whole.first + d]
+                        total[g] = total.get(g, 0) + n
                 with np.errstate(over="ignore"):
                     ids = W.mix(s.word_hashes(lower=True) ^ lang_ids[whole.first + doc])
-                if k == 1:
-                    at = np.arange(len(ids))
-                else:
-                    inside = piece[:len(ids) - k + 1] == piece[k - 1:]
-                    ok = _has(bitmap, W.window_hashes(ids, k - 1))
-                    at = np.flatnonzero(inside & ok[:-1] & ok[1:])
-                if not len(at):
-                    continue
-                key, n, label = W.window_hashes(ids, k)[at], np.ones(len(at), np.int64), np.empty(0, object)
-                if k == 1:  # a word is spelt once a slice
-                    key, at, n = np.unique(key, return_index=True, return_counts=True)
-                    low, label = s.data.tobytes().lower(), np.empty(len(key), object)
-                    for i, (x, y, d) in enumerate(zip(s.starts[at].tolist(), s.ends[at].tolist(), (whole.first + doc[at]).tolist())):
-                        label[i] = (langs[d], low[x:y].decode())
-                gathered.append((key, np.stack([ids[at + i] for i in range(k)], 1).view(np.int64), n, label))
-                size += len(key)
+                for w in tries:
+                    if len(ids) < w:
+                        continue
+                    keys = W.window_hashes(ids, w)
+                    take = piece[:len(ids) - w + 1] == piece[w - 1:]
+                    if w < k:
+                        take &= _has(bitmap, keys)
+                    elif k > 1:
+                        ok = _has(bitmap, W.window_hashes(ids, w - 1))
+                        take &= ok[:-1] & ok[1:]
+                    at = np.flatnonzero(take)
+                    if not len(at):
+                        continue
+                    key, n, label = keys[at], np.ones(len(at), np.int64), np.empty(0, object)
+                    if w == 1 < k:  # a word is spelt once a slice
+                        key, first, n = np.unique(key, return_index=True, return_counts=True)
+                        at = at[first]
+                        low, label = s.data.tobytes().lower(), np.empty(len(key), object)
+                        spans = zip(s.starts[at].tolist(), s.ends[at].tolist(), (whole.first + doc[at]).tolist())
+                        for i, (x, y, d) in enumerate(spans):
+                            label[i] = (langs[d], low[x:y].decode())
+                    gathered[w].append((key, np.stack([ids[at + i] for i in range(w)], 1).view(np.int64), n, label))
+                    size += len(key)
                 if size >= GATHER:
-                    trie.insert(_merged(gathered))
-                    gathered, size = [], 0
-                    if trie.n > 2 * HELD:
-                        trie.compact()
-                        for r in trie.spill(HELD):
-                            yield from out(r)
-        if gathered:
-            trie.insert(_merged(gathered))
-        trie.compact()
-        for r in trie.spill(0):
-            yield from out(r)
+                    put()
+                    size = 0
+                    for w, t in tries.items():
+                        if t.n > 2 * HELD:
+                            yield from out(w, HELD)
+        put()
+        for w in tries:
+            yield from out(w, 0)
+        if total:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([0] * len(total), pa.int64()), pa.array(list(total.values()), pa.int64()), pa.array(list(total), pa.string()),
+                pa.nulls(len(total), pa.string())], names)
 
     return W.map_batches(rows, run, schema)
 
@@ -267,23 +295,31 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", mi
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    out, bitmap, totals = [], None, None
-    for k in range(1, max_words + 1):
+    out, totals, bitmap, last = [], None, None, max(max_words, 3)
+    for k in range(1, last + 1):
         runs = count_runs(rows, k, bitmap)
-        ids = [f"w{i + 1}" for i in range(k)]
+        ids = [f"w{i + 1}" for i in range(k if k > 2 else k - 1)]
+        spelling = ["lang", "word"] if k < 3 else []
+        # runs meet by prefix (a key stands for a phrase without words), and each phrase is added up in its partition
+        prefix = {1: ["key"], 2: [F.coalesce("w1", "key")]}.get(k, ["w1", "w2"])
+        merged = runs.repartition(*prefix).groupBy(*ids, *spelling, "key").agg(F.sum("n").alias("n"))
         if k == 1:
-            runs = materialize(runs)
-            totals = materialize(runs.groupBy("lang").agg(F.sum("n").alias("n")))
-            merged = runs.groupBy("w1", "lang", "word").agg(F.sum("n").alias("n"), F.first("key").alias("key"))
+            counted = materialize(merged.filter((F.col("n") >= min_count) | F.col("lang").isNotNull()))
+            totals, now = counted.filter("lang IS NOT NULL").select("lang", "n"), counted.filter("lang IS NULL")
         else:
-            merged = runs.repartition("w1", "w2").groupBy(*ids).agg(F.sum("n").alias("n"), F.first("key").alias("key"))
-        out.append(materialize(merged.filter(F.col("n") >= min_count)))
-        n = out[-1].count()
-        if not n:
-            break
-        if k < max_words:
-            bitmap = spark.sparkContext.broadcast(_bitmap(out[-1], n))
-    return out, totals
+            counted = materialize(merged.filter(F.col("n") >= min_count))
+            whole = {2: F.col("w1").isNull(), 3: F.col("w3").isNotNull()}.get(k, F.lit(True))
+            now = counted.filter(whole)
+            if k < 4:  # the phrases of one word less, now with their words
+                out.append(counted.filter(~whole).select(*ids[:k - 1], *spelling, "key", "n"))
+            if k > 2:
+                out.append(now.select(*ids, "key", "n"))
+        if k < last:
+            n = now.count()
+            if k > 2 and not n:
+                break
+            bitmap = spark.sparkContext.broadcast(_bitmap(now, n))
+    return out[:max_words], totals
 
 
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", min_count: int = 100, max_words: int = 5,
