@@ -56,15 +56,15 @@ def sample(seed, n=150, d=64):
     return rows
 
 
-@pytest.mark.parametrize("block", [P.BLOCK, 16])
-def test_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block,per_pivot", [(P.BLOCK, P.PER_PIVOT), (16, P.PER_PIVOT), (16, 4)])
+def test_equals_brute_force(spark, block, per_pivot):
     rows = sample(1)
     odd = [None, [], [0.0] * 64, [float("nan")] * 64, [1.0] * 63 + [float("inf")], [None] + [1.0] * 63]
     rows += [(1000 + i, x, 1) for i, x in enumerate(odd)] + [(2000, rows[0][1], None), (None, rows[0][1], rows[0][2])]
     rows += [(3000 + i, [-0.0, 1.0] + [0.0] * 62, 2) for i in range(40)]  # a vector that many rows repeat
     links, component = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1L n_links")
-    got = sorted(map(repr, (tuple(r) for r in P.near_vectors(df, block=block).collect())))
+    got = sorted(map(repr, (tuple(r) for r in P.near_vectors(df, block=block, per_pivot=per_pivot).collect())))
     want = [(rows[i][0], links[i], component[i], rows[i][0] is None or component[i] == rows[i][0]) for i in range(len(rows))]
     assert got == sorted(map(repr, want))
 
