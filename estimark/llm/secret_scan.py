@@ -1,11 +1,13 @@
 """Secret scan: fixed patterns, and random strings found by token efficiency.
 
 Base patterns give spans of kind assign, access and hex.  The token test looks
-at every other long run of key characters: written language and ordinary
-identifiers take few tokens under a byte-level BPE vocabulary, random strings
-take many, so a run with few characters per token is reported as kind token.
-Known digests and identifiers (digests in hex, UUIDs, plain numbers, dates,
-versions, dotted or underscored words, paths) are not tested.
+at every long run of key characters, or what base spans leave of it: written
+language and ordinary identifiers take few tokens under a byte-level BPE
+vocabulary, random strings take many, so a run with few characters per token is
+reported as kind token.  Runs of letters with a digit or two at most need fewer
+still, as long made-up words come near random ones.  Known digests and
+identifiers (digests in hex, UUIDs, plain numbers, dates) are not tested, nor
+are runs of under 20 characters.
 
 Defined cases: a null text counts as empty; positions are code points of the
 whole text, end exclusive; repeated rows and rows without doc_id are scanned
@@ -37,16 +39,20 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 #: Runs for the token test, and how few characters per token make one random.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")  # LEAST_RUN and more
+LEAST_RUN = 20
 MAX_CHARS_PER_TOKEN = 2.1
+MAX_LETTERS_PER_TOKEN = 2.0
 _IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"  # digests
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9/_=+-]+"  # numbers, dates, rules of marks
-    r"|[A-Za-z]+(?:[/_-][A-Za-z]+)*[/_-]?[0-9]{0,4}"  # words, paths, names with a number
 )
 
 
+_MARKS = "+/_=-"
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind's index, start, end), leftmost and non-overlapping per kind."""
     low = text.lower()
@@ -60,7 +66,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def token_spans(text: str, base: list[tuple[int, int, int]], n_tokens, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs with few characters per token, outside ``base`` and the known kinds."""
+    """Runs with few characters per token, and the parts that ``base`` leaves of runs, but for the known kinds."""
     out, starts, until = [], [], []  # base spans as disjoint intervals
     for _, s, e in sorted(base, key=lambda x: (x[1], x[2])):
         if until and s <= until[-1]:
@@ -69,14 +75,23 @@ def token_spans(text: str, base: list[tuple[int, int, int]], n_tokens, max_ratio
             starts.append(s)
             until.append(e)
     for m in RUN.finditer(text):
-        run = m[0]
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or _IDENTIFIER.fullmatch(run):
-            continue
-        near = bisect.bisect_left(starts, m.end()) - 1
-        if near >= 0 and until[near] > m.start():
-            continue
-        if len(run) <= max_ratio * n_tokens(run):
-            out.append((3, m.start(), m.end()))
+        at, end, near = m.start(), m.end(), bisect.bisect_right(until, m.start())
+        parts = []
+        while near < len(starts) and starts[near] < end:
+            parts.append((at, starts[near]))
+            at, near = until[near], near + 1
+        for s, e in parts + [(at, end)]:
+            if (s, e) != (m.start(), end):  # marks between a base span and the rest belong to neither
+                while s < e and text[s] in _MARKS:
+                    s += 1
+                while s < e and text[e - 1] in _MARKS:
+                    e -= 1
+            run = text[s:e]
+            if len(run) < LEAST_RUN or not any(c.isalpha() for c in run) or _IDENTIFIER.fullmatch(run):
+                continue
+            letters = sum(c.isdigit() for c in run) <= 2
+            if len(run) <= min(max_ratio, MAX_LETTERS_PER_TOKEN if letters else max_ratio) * n_tokens(run):
+                out.append((3, s, e))
     return out
 
 

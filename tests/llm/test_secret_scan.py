@@ -63,6 +63,80 @@ def test_token_efficiency_finds_random_strings_and_spares_known_ones():
         assert S.token_spans(known, [], count, S.MAX_CHARS_PER_TOKEN) == [], known
 
 
+def brute_tokens(text, count):
+    """Token spans by trying every character: runs of key characters without those of base spans."""
+    taken = [False] * (len(text) + 1)
+    for _, s, e in brute(text):
+        taken[s:e] = [True] * (e - s)
+    key = [c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" for c in text]
+    out, i = [], 0
+    while i < len(text):
+        if not key[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(text) and key[j]:
+            j += 1
+        run = (i, j)
+        s = i
+        while s < j:
+            if taken[s]:
+                s += 1
+                continue
+            e = s
+            while e < j and not taken[e]:
+                e += 1
+            a, b = s, e
+            if (s, e) != run:
+                while a < b and text[a] in "+/_=-":
+                    a += 1
+                while a < b and text[b - 1] in "+/_=-":
+                    b -= 1
+            part = text[a:b]
+            known = re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9/_=+-]+", part) or (
+                len(part) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-fA-F]+", part))
+            few = sum(c.isdigit() for c in part) <= 2
+            if b - a >= 20 and j - i >= 20 and not known and any(c.isalpha() for c in part) and b - a <= (2.0 if few else 2.1) * count(part):
+                out.append(("token", a, b))
+            s = e
+        i = j
+    return out
+
+
+def test_query_spans_equal_brute_force(spark):
+    """All spans of the query, base and token ones, over whole documents."""
+    from estimark.llm.queries import QUERIES
+    from estimark.sources.tables import read_table
+    enc = tiktoken.Encoding("o", pat_str=P.PATTERN, mergeable_ranks=read_ranks(PATH), special_tokens={})
+    count = lambda s: len(enc.encode_ordinary(s))
+    order = {"assign": 0, "access": 1, "hex": 2, "token": 3}
+    want = lambda t: ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(brute(t) + brute_tokens(t, count), key=lambda x: (x[1], order[x[0]], x[2])))
+    got = {r.doc_id: r.spans for r in QUERIES["op2_secret_scans"](spark, "/root/testdata/sf0.001").collect()}
+    for r in read_table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text").collect():
+        assert got[r.doc_id] == want(r.text or ""), r.doc_id
+    rows = list(enumerate(t or "" for t in texts()))
+    for r in S.scan(spark.createDataFrame(rows + rows[:3], "doc_id long, text string"), PATH, P.PATTERN).collect():
+        assert r.spans == want(rows[r.doc_id][1])
+
+
+def test_parts_beside_base_spans_and_letter_keys():
+    enc = tiktoken.Encoding("o", pat_str=P.PATTERN, mergeable_ranks=read_ranks(PATH), special_tokens={})
+    count = lambda s: len(enc.encode_ordinary(s))
+    rnd = random.Random(7)
+    b64 = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rnd.choice(chars) for _ in range(n))
+    found = lambda t: S.token_spans(t, S.base_spans(t), count, S.MAX_CHARS_PER_TOKEN)
+    hits = [0, 0, 0]
+    for _ in range(100):
+        t = f"AKIA{b64(16).upper()}/{b64(40)}"
+        hits[0] += found(t) == [(3, 21, 61)]
+        t = "".join(rnd.choice("0123456789abcdef") for _ in range(32)) + "-Z" + b64(38)
+        hits[1] += found(t) == [(3, 33, 72)]
+        t = b64(32, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+        hits[2] += found(t) == [(3, 0, 32)]
+    assert min(hits) >= 95, hits
+    assert found("AKIA" + "Z9" * 8 + "/a/path/of/plain/words/and/names") == []
+
+
 def test_masking_removes_every_span(spark):
     t = 'x token = "e7fbfec6a80404dc513b99d3fdbf2a6e53400638" y'
     df = spark.createDataFrame([(1, t, "k"), (2, "clean", None), (3, None, "k")], "doc_id long, text string, spans string")
