@@ -50,7 +50,7 @@ SHARD_KEYS = 1 << 18  # expected pairs of a shard
 FAN = 16  # runs of a leaf vector, vectors of a sum
 RUN = 1 << 20  # pairs after which a task writes a run
 KEEP_SHARDS = 192 << 20
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 LONG = 1000
 _LONG = re.compile(rf"\S{{{LONG}}}|\s{{{LONG}}}")
