@@ -5,29 +5,37 @@ two texts link when 100 * |A & B| >= ``PERCENT`` * |A | B| on the full sets.
 
 1. Texts with equal sets are one node (the smallest doc_id), by a grouping.
 2. Every node has a signature of ``HASHES`` minima.  The forest's ``TREES``
-   sorted orders are rotations of the signature; a region is a prefix of an
-   order, ``DEPTH`` values deep, however many nodes share it.  A region with
-   more than ``REGION`` nodes is worked on in pairs of blocks, each its own
-   task group, so every pair of its nodes meets.
-3. Inside a region, nodes whose signatures agree (``agree_at``: a margin of
-   over four deviations below the threshold) are candidates; a
-   region reports a spanning forest of them, never its pairs.  The forests'
-   components say which nodes must meet.
+   sorted orders are rotations of the signature.  A region is the nodes of an
+   order that share a prefix; the shallowest regions share ``DEPTH`` values.
+   Nodes whose signatures agree (``agree_at``: a margin of over four deviations
+   below the threshold) are candidates if they share a region.
+3. In a region of at most ``REGION`` nodes all meet.  A larger one is walked in
+   its sorted order, where a node's neighbours are those with the longest
+   common prefixes, however deep these are there: each node meets the
+   ``WINDOW`` before it.  Regions and walks report spanning forests, never
+   their pairs, and the forests' components say which nodes must meet.
+   Where a large region is still in several components, nodes of different
+   components meet in pairs of blocks, so that no candidate pair stays apart:
+   what the walks have joined, templates with their variants above all, costs
+   nothing there.
 4. A node's full set is sent once to its component (to its regions, when the
    component has more than ``REGION`` nodes; those are worked on in pairs of
-   blocks too).  There every candidate pair that is not yet connected is
-   checked on the full sets, and a spanning forest of the true links is
-   reported.  Their components are the answer.
+   blocks).  There candidate pairs that are not yet connected are checked on the
+   full sets, those nearest to the middle of the group first, and a spanning
+   forest of the true links is reported.  Their components are the answer.
 
 A pair at the threshold shares a region in one order at least with
 probability 1 - (1 - 0.85 ** 3) ** 16, over 0.999999 (0.99998 at 0.8), in
 crowded regions as in thin ones; links inside a component need only one path.
-The work in a region of m nodes grows with m * m, its copies of a node with m.
+Walks grow with the nodes.  What still grows with the square of a region is
+step 3 where walks leave many components, and step 4 in components of more than
+``REGION`` nodes that full sets keep apart.
 
 Defined cases: null and empty texts have no set and link with nothing;
 rows that repeat a doc_id are one document whose texts all link for it; a row
 without doc_id is not linked (component_id null, kept true); an empty table
-gives an empty result; other columns are ignored by ``near_duplicates``.
+gives an empty result; texts of any length have one signature and one full set;
+other columns are ignored by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -44,7 +52,7 @@ from estimark.session import materialize
 SHINGLE, PERCENT = 3, 85
 HASHES, TREES, STEP = 128, 16, 8
 DEPTH = 3
-REGION = 1024
+REGION, WINDOW = 1024, 32
 MARGIN = 4.2  # standard deviations of the estimate
 
 _FACTORS = np.random.default_rng(85).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,22 +148,55 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """(group, id, n): the forest's regions with two nodes or more, and how many they hold."""
-    keyed = nodes.select("id", F.explode("keys").alias("group"))
+    """(group, tree, id, n): the forest's regions with two nodes or more, and how many they hold."""
+    keyed = nodes.select("id", F.posexplode("keys").alias("tree", "group"))
     counts = materialize(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     # a merge join at every size: the regions grow with the documents
-    return materialize(keyed.join(counts.hint("merge"), "group").select("group", "id", "n"))
+    return materialize(keyed.join(counts.hint("merge"), "group").select("group", "tree", "id", "n"))
 
 
 def block_pairs(groups: DataFrame, most: int) -> DataFrame:
-    """(g, id, late, same) of (group, id, n): a group's blocks of about ``most`` nodes meet two by two.
+    """(g, id, late, same, ...) of (group, id, n, ...): a group's blocks of about ``most`` nodes meet two by two.
 
     In a pair (a, b) the nodes of b are late; (a, a) has its nodes once, marked same."""
     dealt = groups.withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    more = [c for c in groups.columns if c not in ("group", "id", "n", "tree")]
     return dealt.select(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "id",
-                        (F.col("mine") > F.col("other")).alias("late"), (F.col("mine") == F.col("other")).alias("same"))
+                        (F.col("mine") > F.col("other")).alias("late"), (F.col("mine") == F.col("other")).alias("same"), *more)
+
+
+def walked(crowded: DataFrame, core: DataFrame, percent: int) -> DataFrame:
+    """(u, v): in the sorted order of each large region, every node with its nearest candidate among the WINDOW nodes
+    before it.  Ranges of the order are dealt to tasks, so a region of any size is walked by many."""
+    cut = F.col("tree") * STEP
+    turned = F.concat(F.expr(f"substring(sig, tree * {STEP} + 1, {HASHES})"), F.substring("sig", F.lit(1), cut))
+    rows = crowded.select("group", "tree", "id").join(core, "id").withColumn("turned", turned)
+    rows = rows.repartitionByRange("group", "turned").sortWithinPartitions("group", "turned", "id").select("group", "id", "n", "sig")
+    least = agree_at(percent) * HASHES
+
+    def run(batches):
+        tail = None
+        for b in batches:
+            group, ids, n = (b.column(i).to_numpy() for i in range(3))
+            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
+            if tail is not None:
+                group, ids, n, sig = (np.concatenate(x) for x in zip(tail, (group, ids, n, sig)))
+            before = len(ids) - b.num_rows
+            tail = tuple(x[-WINDOW:] for x in (group, ids, n, sig))
+            near = np.full(len(ids), -1)
+            for d in range(1, min(WINDOW, len(ids) - 1) + 1):
+                at = np.flatnonzero((near[d:] < 0) & (group[d:] == group[:-d])) + d
+                at = at[at >= before]
+                fit = 100 * np.minimum(n[at], n[at - d]) >= percent * np.maximum(n[at], n[at - d])
+                at = at[fit & ((sig[at] == sig[at - d]).sum(1) >= least)]
+                near[at] = at - d
+            at = np.flatnonzero(near >= 0)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[near[at]])], ["u", "v"])
+
+    return W.map_batches(rows, run, "u long, v long")
 
 
 def _coded(sets: list) -> list:
@@ -164,17 +205,30 @@ def _coded(sets: list) -> list:
     return np.split(code, np.cumsum([len(x) for x in sets])[:-1])
 
 
-def local_forest(sig: np.ndarray, n: np.ndarray, percent: int, split=None, sets=None) -> list[tuple[int, int]]:
+def local_forest(sig: np.ndarray, n: np.ndarray, percent: int, split=None, sets=None, part=None) -> list[tuple[int, int]]:
     """A spanning forest of the candidate pairs, or of the true links when the sets are given, among the rows
-    (between two blocks when ``split`` says where the second begins)."""
-    part, edges, least = np.arange(len(sig)), [], agree_at(percent) * HASHES
+    (between two blocks when ``split`` says where the second begins).  Rows of equal ``part`` are connected already."""
+    part = np.arange(len(sig)) if part is None else part.copy()
+    edges, least = [], agree_at(percent) * HASHES
     if sets is not None:
         sets = _coded(sets)
         has = np.zeros(max(int(x.max()) for x in sets) + 1, bool)
-    for i in range(len(sig) - 1 if split is None else split):
-        near = np.arange(i + 1 if split is None else split, len(sig))
-        fit = 100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])
-        near = near[fit & (part[near] != part[i])]
+    # a template stands in the middle of its variants: begin there, and most pairs are soon connected
+    middle = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
+    first = np.argsort(-(sig == middle).sum(1), kind="stable")
+    if split is not None:
+        first = first[first < split]
+    done = np.zeros(len(sig), bool)
+    second = np.arange(0 if split is None else split, len(sig))
+    for i in first.tolist():
+        done[i] = True
+        near = second[part[second] != part[i]]
+        if not len(near):
+            if split is None or (part[:split] == part[i]).all():
+                break
+            continue
+        near = near[~done[near]]
+        near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
         near = near[(sig[near] == sig[i]).sum(1) >= least]
         if sets is not None and len(near):
             has[sets[i]] = True
@@ -183,8 +237,8 @@ def local_forest(sig: np.ndarray, n: np.ndarray, percent: int, split=None, sets=
             has[sets[i]] = False
             near = near[100 * both >= percent * (n[near] + n[i] - both)]
         if len(near):
-            groups, first = np.unique(part[near], return_index=True)
-            edges += [(i, j) for j in near[first].tolist()]
+            groups, at = np.unique(part[near], return_index=True)
+            edges += [(i, j) for j in near[at].tolist()]
             part[np.isin(part, groups)] = part[i]
     return edges
 
@@ -205,15 +259,17 @@ def _groups(batches, n_cols: int):
         yield held
 
 
-def _forest_of(group, percent: int):
-    """The forest's edges, as ids, of one group: (g, id, sig, n, late, same) and the sets, if any."""
-    _, ids, sigs, sizes, late, same, *blobs = group
+def _forest_of(group, percent: int, apart: bool = False):
+    """The forest's edges, as ids, of one group: (g, id, sig, n, late, same), and with ``apart`` the components that
+    the nodes are in, else the sets, if any."""
+    _, ids, sigs, sizes, late, same, *more = group
     split = None if same[0] else late.count(False)
     if split in (0, len(ids)):
         return []
     sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), HASHES)
-    sets = [np.frombuffer(x, np.uint64) for x in blobs[0]] if blobs else None
-    return [(ids[i], ids[j]) for i, j in local_forest(sig, np.array(sizes), percent, split, sets)]
+    part = np.unique(more[0], return_inverse=True)[1] if apart else None
+    sets = [np.frombuffer(x, np.uint64) for x in more[0]] if more and not apart else None
+    return [(ids[i], ids[j]) for i, j in local_forest(sig, np.array(sizes), percent, split, sets, part)]
 
 
 def _edges_out(pairs) -> pa.RecordBatch:
@@ -221,6 +277,32 @@ def _edges_out(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def candidates(placed: DataFrame, core: DataFrame, percent: int, most: int) -> DataFrame:
+    """(node, component) of the graph of all candidate pairs that share a region."""
+    small, crowded = placed.filter(F.col("n") <= most), placed.filter(F.col("n") > most)
+
+    def forests(pairs: DataFrame, *more: str) -> DataFrame:
+        rows = pairs.join(core, "id").select("g", "id", "sig", "n", "late", "same", *more)
+
+        def propose(batches):
+            for g in _groups(batches, 6 + len(more)):
+                if edges := _forest_of(g, percent, bool(more)):
+                    yield _edges_out(edges)
+
+        return W.map_batches(rows.repartition("g").sortWithinPartitions("g", "late", "id"), propose, "u long, v long")
+
+    proposed = forests(block_pairs(small, most)).unionByName(walked(crowded, core, percent))
+    meet = materialize(connected_components(proposed))
+    # large regions that the walks have left in several components
+    homes = crowded.join(meet, F.col("id") == F.col("node"), "left").select("group", "id", "n", F.coalesce("component", "id").alias("part"))
+    parted = homes.groupBy("group").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("group")
+    homes = materialize(homes.join(parted, "group", "left_semi"))
+    if homes.isEmpty():
+        return meet
+    again = meet.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return materialize(connected_components(again.unionByName(forests(block_pairs(homes, most), "part"))))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE,
                     percent: int = PERCENT, most: int = REGION) -> DataFrame:
     """(key, n_shingles, component_id, kept) per row of ``docs``."""
@@ -231,15 +313,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     placed = regions(nodes)
     core = nodes.select("id", "fp", "n", "sig")
 
-    def propose(batches):
-        for g in _groups(batches, 6):
-            if edges := _forest_of(g, percent):
-                yield _edges_out(edges)
-
-    in_regions = block_pairs(placed, most).join(core.drop("fp"), "id").select("g", "id", "sig", "n", "late", "same")
-    spread = in_regions.repartition("g").sortWithinPartitions("g", "late", "id")
-    proposed = W.map_batches(spread, propose, "u long, v long")
-    meet = materialize(connected_components(proposed))
+    meet = candidates(placed, core.drop("fp"), percent, most)
 
     # where the full sets meet: the candidate component, or the regions inside it when it is large
     size = meet.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
