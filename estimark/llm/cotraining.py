@@ -2,21 +2,25 @@
 
 The content view sees the text (hashed words and character shapes), the
 metadata view sees what a page carries beside its wording: source, language,
-length and layout.  Each view has its own logistic model.  In every round each
-model labels the unlabelled pool documents it is most sure of, in proportion
-to the classes, and hands them to the *other* model as pseudo-labels; both are
-then fitted again.  Finally each view is calibrated on held-out labelled
-documents (Platt scaling), and the two calibrated log-odds are combined, with
-weights fitted on the held-out documents too, to score every document.
-
-Fitting uses bounded, documented samples: at most ``max_labelled`` labelled and
-``max_pool`` unlabelled documents, the first by a digest of the doc_id.  Their
-features are ``WIDTH`` + ``META`` numbers each.  Scoring covers all documents in
-one pass without a shuffle.
-
-Defined cases: a null text counts as empty; null source or language is a value
-of its own; documents without a label, or with a label for an unknown doc_id,
-are pool or ignored; repeated labels of a doc_id count as their mean rounded
+length and layout.  Each view has its own logistic model.  In every round both
+models score all unlabelled documents, and each labels those it is most sure
+of, in proportion to the classes, and hands them to the *other* model as
+pseudo-labels; both are then fitted again.  Finally each view is calibrated on
+held-out labelled documents (Platt scaling), and the two calibrated log-odds
+are combined, with weights fitted on the held-out documents too, to score every
+document.
+
+Features (``WIDTH`` + ``SHAPES`` + 3 and ``META`` numbers) are computed once and
+written.  Fitting uses at most ``max_labelled`` labelled documents, the first by
+a digest of the doc_id (documented bound), and per round and view the
+``handed`` surest of all unlabelled ones: every task brings forward its own
+surest, and the surest of these are collected.  Scoring covers all documents.
+
+Defined cases: a null or empty text has no words and its layout's features; texts
+of any length are read whole; null source or language is a value of its own;
+documents without a label are handed pseudo-labels, labels for an unknown
+doc_id are ignored; rows without doc_id are scored only; repeated rows of a
+doc_id are handed over once; repeated labels of a doc_id count as their mean rounded
 up (quality 1 wins a tie); without labels of both classes every score is the
 share of good labels (0.5 without any); an empty table gives an empty result.
 """
@@ -27,10 +31,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estimark.llm import words as W
+from estimark.session import materialize
 
 WIDTH, SHAPES = 256, 12  # hashed word features; counts of character shapes
 META = 40
@@ -107,38 +112,49 @@ def log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 5,
-             share: float = 0.05, sure: float = 0.95) -> list[np.ndarray]:
-    """One model per view.  Every round each model hands the other up to ``share`` of the pool as pseudo-labels:
-    the surest of each class, in proportion to the classes, and only those it gives ``sure`` probability."""
-    n = len(pool[0])
-    given = [np.full(n, -1), np.full(n, -1)]  # pseudo-labels that each view has received
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, rounds: int = 5, handed: int = 500) -> list[np.ndarray]:
+    """One model per view.  ``surest(models, given, want)`` looks through all unlabelled documents for those that each
+    model is most sure of: rows (view, label, id, (content, meta)), at most ``want[label]`` per view and label, none
+    that the other view has been given already (``given``, ids by view).  Every round each model hands its own on."""
+    given: list[dict] = [{}, {}]  # per view: id to (label, features), as received from the other
     balance = np.where(y == 1, len(y) / max(2 * y.sum(), 1), len(y) / max(2 * (1 - y).sum(), 1))
+    side = np.array([balance[y == 0].max(initial=1.0), balance[y == 1].max(initial=1.0)])
+    want = {label: max(1, int(handed * share)) for label, share in ((1, y.mean()), (0, 1 - y.mean()))}
 
     def fit(v: int) -> np.ndarray:
-        at = np.flatnonzero(given[v] >= 0)
-        x = np.vstack([views[v], pool[v][at]])
-        z = np.concatenate([y, given[v][at]])
-        side = np.array([balance[y == 0].max(initial=1.0), balance[y == 1].max(initial=1.0)])
-        return fit_logistic(x, z, np.concatenate([balance, 0.5 * side[given[v][at]]]))
+        told = [given[v][i] for i in sorted(given[v])]
+        z = np.array([label for label, _ in told], int)
+        x = np.vstack([views[v], *(f[v][None, :] for _, f in told)])
+        return fit_logistic(x, np.concatenate([y, z]), np.concatenate([balance, 0.5 * side[z]]))
 
     models = [fit(0), fit(1)]
-    for _ in range(rounds if n else 0):
-        moved = 0
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-log_odds(pool[v], models[v])))
-            free = given[1 - v] < 0
-            for label, prob, part in ((1, p, y.mean()), (0, 1 - p, 1 - y.mean())):
-                able = np.flatnonzero(free & (prob >= sure))
-                take = able[np.argsort(-prob[able], kind="stable")][: max(1, int(share * n * part))]
-                given[1 - v][take] = label
-                moved += len(take)
+    for _ in range(rounds):
+        moved = surest(models, [set(g) for g in given], want)
         if not moved:
             break
+        for v, label, i, both in moved:
+            given[1 - v].setdefault(i, (label, both))
         models = [fit(0), fit(1)]
     return models
 
 
+def surest_rows(ids, x: tuple[np.ndarray, np.ndarray], models, given, want, sure: float) -> list[tuple[int, int, int]]:
+    """(view, label, row) of the rows that the models are surest of: by log-odds, then by id; each id once."""
+    out = []
+    for v in (0, 1):
+        odds = log_odds(x[v], models[v])
+        for label, sign in ((1, 1.0), (0, -1.0)):
+            able = np.flatnonzero(sign * odds >= np.log(sure / (1 - sure)))
+            taken: set = set()
+            for i in able[np.lexsort((ids[able], -sign * odds[able]))].tolist():
+                if len(taken) == want[label]:
+                    break
+                if ids[i] not in given[1 - v] and ids[i] not in taken:
+                    taken.add(ids[i])
+                    out.append((v, label, i))
+    return out
+
+
 def features(docs: DataFrame, key: str, text: str, source: str, lang: str) -> DataFrame:
     """(id, content, meta) per row."""
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"), F.col(source).cast("string"), F.col(lang).cast("string"))
@@ -160,29 +176,61 @@ def _views(rows) -> tuple[np.ndarray, np.ndarray]:
                  for c in ("content", "meta"))
 
 
+def surest_of(unlabelled: DataFrame, models, given, want, standard, sure: float) -> list:
+    """``surest_rows`` over all of ``unlabelled`` (id, content, meta): every task brings forward its own, and Spark
+    ranks those; (view, label, id, standardised features) of at most ``want`` rows a view and label come back."""
+
+    def run(batches):
+        held: list = []  # (view, label, odds, id, content, meta) so far
+
+        def best(rows):
+            rows, out, n = sorted(rows, key=lambda r: (r[0], r[1], -r[2], r[3])), [], {}
+            for r in rows:
+                if n.get(r[:2], 0) < want[r[1]] and (not out or out[-1][:4] != r[:4]):
+                    n[r[:2]] = n.get(r[:2], 0) + 1
+                    out.append(r)
+            return out
+
+        for b in batches:
+            ids, content, meta = b.column(0).to_numpy(), b.column(1), b.column(2)
+            x = [np.frombuffer(b"".join(c.to_pylist()), np.float32).reshape(len(ids), -1).astype(float) for c in (content, meta)]
+            x = tuple(standard(m, i) for i, m in enumerate(x))
+            odds = [log_odds(x[v], models[v]) for v in (0, 1)]
+            held = best(held + [(v, label, float(odds[v][i] if label else -odds[v][i]), int(ids[i]), content[i].as_py(), meta[i].as_py())
+                                for v, label, i in surest_rows(ids, x, models, given, want, sure)])
+        if held:
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)],
+                                             ["view", "label", "odds", "id", "content", "meta"])
+
+    own = W.map_batches(unlabelled, run, "view int, label int, odds double, id long, content binary, meta binary")
+    once = F.row_number().over(Window.partitionBy("view", "label", "id").orderBy(F.desc("odds"), "content", "meta"))
+    own = own.withColumn("once", once).filter("once = 1")
+    rank = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("odds"), "id"))
+    rows = own.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("label") == 1, want[1]).otherwise(want[0]))
+    rows = rows.orderBy("view", "label", "rank").collect()  # bounded by ``handed``
+    x = _views(rows) if rows else ()
+    x = tuple(standard(m, i) for i, m in enumerate(x))
+    return [(r["view"], r["label"], r["id"], (x[0][k], x[1][k])) for k, r in enumerate(rows)]
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-                   lang: str = "lang", label: str = "quality", max_labelled: int = 10_000, max_pool: int = 10_000,
-                   rounds: int = 5, keep_at: float = 0.5) -> DataFrame:
+                   lang: str = "lang", label: str = "quality", max_labelled: int = 10_000, handed: int = 500,
+                   rounds: int = 5, sure: float = 0.95, keep_at: float = 0.5) -> DataFrame:
     """(key, score, content_score, meta_score, kept) per row of ``docs``."""
-    told = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id"))
+    told = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("__id"))
             .agg((F.avg(label) >= 0.5).cast("int").alias("y")))
-    base = docs.select(F.col(key).cast("long").alias(key), text, source, lang)
-    by_id = base.filter(F.col(key).isNotNull())
-    marked = by_id.join(told, by_id[key] == told["id"], "left").drop("id").withColumn("draw", F.xxhash64(F.lit("fit"), key))
-    keep = marked.select(key, "y", "draw")
-    fit_ids = keep.filter("y IS NOT NULL").orderBy("draw", key).limit(max_labelled).unionByName(
-        keep.filter("y IS NULL").orderBy("draw", key).limit(max_pool)).select(F.col(key).alias("id"), "y").dropDuplicates(["id"])
-    chosen = by_id.join(F.broadcast(fit_ids), by_id[key] == fit_ids["id"]).dropDuplicates([key])  # at most both bounds
-    sample = features(chosen, key, text, source, lang).join(F.broadcast(fit_ids), "id").orderBy("id").collect()
-    seen = [r for r in sample if r["y"] is not None]
+    table = features(docs, key, text, source, lang)
+    table = materialize(table.join(told, F.col("id") == F.col("__id"), "left").drop("__id"))
+    seen = table.filter("y IS NOT NULL").select("id", "y").distinct().orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(max_labelled)
+    seen = table.join(F.broadcast(seen.select("id")), "id").dropDuplicates(["id"]).orderBy("id").collect()
     y = np.array([r["y"] for r in seen], int)
+    kind = docs.schema[key].dataType
     if len(set(y.tolist())) < 2:
-        flat = float(y.mean()) if len(y) else 0.5
-        score = F.lit(flat)
-        return base.select(F.col(key).cast(docs.schema[key].dataType), score.alias("score"), score.alias("content_score"),
-                           score.alias("meta_score"), (score >= keep_at).alias("kept"))
-    views, free = _views(seen), [r for r in sample if r["y"] is None]
-    pool = _views(free) if free else tuple(v[:0] for v in views)
+        score = F.lit(float(y.mean()) if len(y) else 0.5)
+        return table.select(F.col("id").cast(kind).alias(key), score.alias("score"), score.alias("content_score"),
+                            score.alias("meta_score"), (score >= keep_at).alias("kept"))
+    views = _views(seen)
     held = np.array([hashlib.md5(str(r["id"]).encode()).digest()[0] < 64 for r in seen])  # a quarter calibrates
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.ones(len(y), bool)
@@ -192,26 +240,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     mean = [v.mean(0) for v in views]
     scale = [v.std(0) + 1e-3 for v in views]
     z = lambda v, i: np.clip((v - mean[i]) / scale[i], -5, 5)
-    models = co_train(tuple(z(v[fit], i) for i, v in enumerate(views)), y[fit], tuple(z(p, i) for i, p in enumerate(pool)), rounds)
+    unlabelled = table.filter("y IS NULL AND id IS NOT NULL").select("id", "content", "meta")
+    models = co_train(tuple(z(v[fit], i) for i, v in enumerate(views)), y[fit],
+                      lambda m, given, want: surest_of(unlabelled, m, given, want, z, sure), rounds, handed)
     odds = np.stack([log_odds(z(v, i), models[i]) for i, v in enumerate(views)], 1)
     ones = np.ones(held.sum())
     platt = [fit_logistic(odds[held, i:i + 1], y[held], ones, 1e-2) for i in (0, 1)]
     calibrated = np.stack([log_odds(odds[:, i:i + 1], platt[i]) for i in (0, 1)], 1)
     both = fit_logistic(calibrated[held], y[held], ones, 1e-2)
 
-    rows = base.select(key, text, source, lang)
-
     def run(batches):
         sig = lambda t: 1 / (1 + np.exp(-np.clip(t, -30, 30)))
         for b in batches:
-            src, lng = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for s in W.slices(b.column(1).cast(pa.string())):
-                at = slice(s.first, s.first + s.n)
-                raw = (content_features(s), metadata_features(s, src[at], lng[at]))
-                c = np.stack([log_odds(log_odds(z(x, i), models[i])[:, None], platt[i]) for i, x in enumerate(raw)], 1)
-                cols = [sig(log_odds(c, both)), sig(c[:, 0]), sig(c[:, 1])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), *map(pa.array, cols), pa.array(cols[0] >= keep_at)],
-                                                 [key, "score", "content_score", "meta_score", "kept"])
-
-    out = W.map_batches(rows, run, f"`{key}` long, score double, content_score double, meta_score double, kept boolean")
-    return out.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
+            n = b.num_rows
+            raw = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.float32).reshape(n, -1) for c in (1, 2)]
+            c = np.stack([log_odds(log_odds(z(x, i), models[i])[:, None], platt[i]) for i, x in enumerate(raw)], 1)
+            cols = [sig(log_odds(c, both)), sig(c[:, 0]), sig(c[:, 1])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols), pa.array(cols[0] >= keep_at)],
+                                             [key, "score", "content_score", "meta_score", "kept"])
+
+    out = W.map_batches(table.select("id", "content", "meta"), run,
+                        f"`{key}` long, score double, content_score double, meta_score double, kept boolean")
+    return out.withColumn(key, F.col(key).cast(kind))
