@@ -46,7 +46,7 @@ from estimark.llm.components import connected_components
 from estimark.session import materialize
 
 PIVOTS = 1 << 14  # reference points per label, at most
-PER_PIVOT, NAMED = 64, 16
+PER_PIVOT, NAMED = 32, 10
 BLOCK = 1024
 STREAM = 8192  # vectors of a label that one task group describes
 LEAST = 0.93

@@ -120,3 +120,24 @@ def test_dense_group_of_a_third_of_a_label(spark):
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
     got = {r.vec_id: r.n_links for r in P.near_vectors(df).collect()}
     assert [got[i] for i in range(3000)] == want.tolist()
+
+
+@pytest.mark.parametrize("dense,total,cos", [(20_000, 20_000, 0.966), (5_000, 30_000, 0.97), (3_000, 9_000, 0.966)])
+def test_links_of_large_dense_groups_share_pivots(dense, total, cos):
+    """Nearly all links inside a dense group of any size name a common pivot; descriptions stay short."""
+    rng = np.random.default_rng(dense)
+    x = rng.normal(size=(total, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=(dense, 64))
+    noise -= (noise @ x[0])[:, None] * x[0]
+    x[:dense] = cos * x[0] + np.sqrt(1 - cos * cos) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    pivots = x[rng.permutation(total)[: total // P.PER_PIVOT]]
+    some = rng.choice(dense, 1000, replace=False)
+    names = P.name_pivots(x[some] @ pivots.T, 0.93, P.NAMED)
+    held = np.zeros((1000, max(int(v.max()) for v in names) + 1), np.float32)
+    for i, v in enumerate(names):
+        held[i, v] = 1
+    links = np.triu(x[some] @ x[some].T >= 0.93, 1)
+    recall = (links & (held @ held.T > 0)).sum() / links.sum()
+    print("links", links.sum(), "recall", recall, "named", np.mean([len(v) for v in names]))
+    assert recall >= 0.999 and max(map(len, names)) <= P.NAMED * 12
