@@ -89,3 +89,13 @@ def test_index_counts_and_statistics():
 
 def test_empty(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A passage deep inside texts of a million words is found; nothing else goes."""
+    rnd = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    filler = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = [(1, " ".join(filler("a", 150_000) + passage + filler("b", 100))), (2, " ".join(filler("c", 200_000) + passage[5:50] + filler("d", 7)))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in D.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (150_160, 0), 2: (200_052, 45)}

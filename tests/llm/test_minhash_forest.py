@@ -132,3 +132,26 @@ def test_crowded_regions_keep_the_links(spark):
     assert all(100 * len(s & sets[0]) >= 85 * len(s | sets[0]) for s in sets)
     got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=200).collect()
     assert {r.doc_id for r in got if r.component_id != 0} == set()
+
+
+def test_very_long_texts(spark):
+    """Texts of millions of characters are compared whole: they differ at their ends only."""
+    base = " ".join(f"w{i}" for i in range(250_000))
+    rows = [(1, base), (2, base + " one more end"), (3, " ".join(f"w{i}" for i in range(100_000)) + " " + " ".join(f"x{i}" for i in range(150_000)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (249_998, 1), 2: (250_001, 1), 3: (249_998, 3)}
+
+
+def test_walks_join_a_template_without_blocks(spark):
+    """Variants of a template in one crowded region come out of the walk in one piece, whatever the block size."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(changed(rnd, base, 2, f"v{k}"))) for k in range(400)]
+    nodes = M.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3).cache()
+    placed = M.regions(nodes)
+    crowded = placed.filter("n > 100")
+    edges = M.walked(crowded, nodes.select("id", "n", "sig"), 85)
+    whole = {r.node: r.component for r in C.connected_components(edges).collect()}
+    inside = {r.id for r in crowded.select("id").distinct().collect()}
+    assert inside and len({whole.get(i) for i in inside}) == 1
+    assert edges.count() <= crowded.count()  # one edge a node and order at most

@@ -73,3 +73,89 @@ def test_very_long_and_empty(spark):
     df = spark.createDataFrame([(1, "a@b.co", "e", "q")], "doc_id long, text string, n_entities string, md5 string")
     assert P.pseudonymised(df, "k").columns == ["doc_id", "text", "md5", "n_entities"]
     assert P.pseudonymised(df.limit(0), "k").count() == 0
+
+
+def plain(texts, key):
+    """The operator in one process: entities, keyed draws with collision rounds, mentions rewritten."""
+    import hashlib
+
+    import regex
+
+    kinds = [(k, regex.compile(p)) for k, p in P.PATTERNS]
+    any_entity, hint = regex.compile(P.ANY), regex.compile("[@0-9]")
+    titles = [t for ts in P.TITLES.values() for t in ts]
+
+    def entities(m, kind):
+        if kind == "person":
+            title = regex.match(r"\p{L}+", m)[0]
+            given = "given_m" if title in P.TITLES["m"] else "given_f" if title in P.TITLES["f"] else "given_u"
+            names = m.split(" ")[1:]
+            return [("family" if i == len(names) - 1 else given, x.lower()) for i, x in enumerate(names)]
+        norm = {"email": m.lower(), "ip": m, "phone": re.sub("[^0-9+]", "", m)}.get(kind, re.sub("[ -]", "", m))
+        return [(kind, norm)]
+
+    def surrogate(kind, norm, attempt):
+        s = "".join(hashlib.sha256("\x1f".join([key, kind, norm, f"{attempt}.{i}"]).encode()).hexdigest() for i in range(4))
+        byte = lambda i: int(s[i * 2 % 256:i * 2 % 256 + 2], 16)
+
+        def shaped(x, kept):
+            return "".join(c if i < kept else str(byte(i) % 10) if c in "0123456789" else chr(byte(i) % 26 + 97) if "a" <= c <= "z"
+                           else chr(byte(i) % 26 + 65) if "A" <= c <= "Z" else c for i, c in enumerate(x))
+        if kind == "email":
+            local, domain = norm.split("@")[0], norm.split("@")[-1]
+            top = "." + domain.split(".")[-1]
+            return shaped(local + "@" + domain[:len(domain) - len(top)], 0) + top
+        if kind == "ip":
+            return ".".join(str(byte(i) % 254 + 1) for i in range(4))
+        if kind == "card":
+            drawn = shaped(norm, 1)
+            return next(drawn[:-1] + c for c in "0123456789" if luhn(drawn[:-1] + c)) if luhn(norm) else drawn
+        if kind in ("phone", "iban", "ssn"):
+            return shaped(norm, 2 if kind == "iban" or kind == "phone" and norm.startswith("+") else 0)
+        script = "cyrillic" if regex.search(r"\p{IsCyrillic}", norm) else "greek" if regex.search(r"\p{IsGreek}", norm) else "latin"
+        return "".join(P.SYLLABLES[script][byte(i) % 16] for i in range(3 + attempt)) + P.ENDINGS[script][kind]
+
+    def drawn(all_entities):
+        left, done, attempt = set(all_entities), {}, 0
+        while left:
+            new = {e: surrogate(*e, attempt) for e in left}
+            used = {(k, s) for (k, _), s in done.items()}
+            good = {e: s for e, s in new.items() if (e[0], s) not in all_entities and (e[0], s) not in used
+                    and e[1] == min(n for (k, n), t in new.items() if k == e[0] and t == s)}
+            done, left, attempt = done | good, left - set(good), attempt + 1
+        return done
+
+    def written(m, kind, got):
+        if kind == "person":
+            return m.split(" ")[0] + " " + " ".join(x[:1].upper() + x[1:] for x in got)
+        if kind == "email":
+            return got[0].upper() if m == m.upper() else got[0]
+        if kind == "ip":
+            return got[0]
+        signs, out, i = (lambda c: c in "0123456789+") if kind == "phone" else (lambda c: c not in " -"), "", 0
+        for c in m:
+            out, i = (out + got[0][i:i + 1], i + 1) if signs(c) else (out + c, i)
+        return out
+
+    found = [[m[0] for m in any_entity.finditer(t)] if t and (hint.search(t) or any(x in t for x in titles)) else [] for t in texts]
+    kind_of = {m: next(k for k, p in kinds if p.fullmatch(m)) for ms in found for m in ms}
+    table = drawn({e for m, k in kind_of.items() for e in entities(m, k)})
+    new = {m: written(m, k, [table[e] for e in entities(m, k)]) for m, k in kind_of.items()}
+    return [(any_entity.sub(lambda m: new[m[0]], t) if ms else t, len(ms)) for t, ms in zip(texts, found)]
+
+
+def test_query_equals_one_process(spark):
+    from estimark.llm.queries import QUERIES
+    from estimark.sources.tables import read_table
+    rows = read_table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text").collect()
+    want = {r.doc_id: w for r, w in zip(rows, plain([r.text for r in rows], "estimark-production"))}
+    got = {r.doc_id: (r.text, r.n_entities) for r in QUERIES["op3_pii_surrogates"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and sum(n for _, n in got.values()) > 20
+
+
+def test_hand_made_texts_equal_one_process(spark):
+    texts = [f"see a{i}@x.io, B{i}@X.IO and 10.0.0.{i}" for i in range(12)] + [
+        "Mr John Smith met Mrs Anna-Lena O’Brien; Dr Smith. Господин Иван Петров, Κυρία Μαρία Παππά", "DE89 3704 0044 0532 0130 00 / +49 30 1234567",
+        "4111-1111-1111-1111 4111111111111112 (361) 555-8283 361.555.8283 123-45-6789", None, "", "no entity at all"]
+    got = run(spark, texts)
+    assert [(got[i].text, got[i].n_entities) for i in range(len(texts))] == plain(texts, "k1")

@@ -68,3 +68,34 @@ def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([(None, "x " * 30, "k"), (1, None, None), (1, None, None)],
                                "doc_id long, text string, p_good string")
     assert R.quality_votes(df).count() == 3
+
+
+def verdicts(texts, keep_at=0.5):
+    """(p_good, kept) of every text: votes from plain loops, EM with every document on its own."""
+    votes, failed = [], []
+    for t in texts:
+        t = t or ""
+        n, _, sym, dup, rep = brute(t)
+        words = WORD.findall(t)
+        letter = lambda c: c.isascii() and c.isalpha() or ord(c) > 127
+        plain = [letter(w[0]) and (letter(w[-1]) or (len(w) > 1 and w[-1] in ".,;:!?)\"'" and letter(w[-2]))) for w in words]
+        # letters are counted by the first byte of longer characters from U+00C0 on, as the measure defines them
+        letters = sum(c.isascii() and c.isalpha() or ord(c) >= 0xC0 for c in t)
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        pairs = [(sym, n, 0.05, 0.20), (n - sum(plain), n, 0.10, 0.40), (sum("A" <= c <= "Z" for c in t), letters, 0.15, 0.60),
+                 (rep, n, 0.05, 0.20), (dup, lines, 0.10, 0.50), (n if n < 20 else 0, n, 0.0, 1.0)]
+        votes.append([0 if not d else 1 if a / d <= good else -1 if a / d >= bad else 0 for a, d, good, bad in pairs])
+        failed.append(n < 10 or 100 * rep > 20 * n)
+    _, _, post = R.fit_accuracies(np.array(votes, float), np.ones(len(votes)))
+    return [(p, not f and p >= keep_at) for p, f in zip(post, failed)]
+
+
+def test_query_verdicts_equal_brute_force(spark):
+    from estimark.llm.queries import QUERIES
+    from estimark.sources.tables import read_table
+    rows = read_table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text").collect()
+    got = {r.doc_id: (r.p_good, r.kept) for r in QUERIES["op10_quality_rules"](spark, "/root/testdata/sf0.001").collect()}
+    want = verdicts([r.text for r in rows])
+    assert len(got) == len(rows)
+    for r, (p, kept) in zip(rows, want):
+        assert abs(got[r.doc_id][0] - p) < 1e-5 and got[r.doc_id][1] == kept, r.doc_id
