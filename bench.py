@@ -23,7 +23,8 @@ HEADLINE = [
     "results_grid", "parse_messages", "xml_task_shred", "create_rooms", "register_users", "recovery_redeem",
     "credential_match", "stop_voting", "room_state_fold", "quarantine", "audit_foreign_keys", "stream_vote_counts",
     "snapshot_on_change", "fanout_updates", "room_snapshot_upsert", "stream_room_state_fold", "append_sinks",
-    "register_users_batch",
+    "register_users_batch", "resolve_messages", "slot_bitmaps", "results_grid_wide", "sql_functions", "stream_view_changes",
+    "stream_fanout",
 ]
 
 

@@ -69,15 +69,21 @@ def materialize(df):
     of executors (unlike a cache or a local checkpoint), and the read-back
     relation gets column pruning and statistics, which a checkpointed RDD
     does not."""
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/estimark-tables/{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "tables")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one run's files under the shared checkpoint folder, which ``drop_written`` deletes."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/estimark-{name}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize_counted(df):
     """``materialize``, and the number of rows, counted by the write itself."""
     from pyspark.sql import Observation
@@ -92,9 +98,9 @@ _WRITTEN: list[str] = []
 
 
 def drop_written(spark: SparkSession) -> int:
-    """Delete the intermediate tables that this process has written with
-    ``materialize``; call it once the results that read them are stored.
-    Returns how many were deleted."""
+    """Delete what this process has written under ``scratch_folder``: intermediate
+    tables, archives, stream logs.  Call it once the results that read them are
+    stored.  Returns how many folders were deleted."""
     n = 0
     while _WRITTEN:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

@@ -8,19 +8,17 @@ own folder.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estimark.session import checkpoint_dir
+from estimark.session import scratch_folder
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never machine-local
-    on a cluster: it is whatever ``spark.checkpoint.dir`` names)."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/estimark-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder for one stream under the shared checkpoint folder (never machine-local on a cluster: it is
+    whatever ``spark.checkpoint.dir`` names)."""
+    return scratch_folder(spark, name)
 
 
 def file_system(spark: SparkSession, path: str):
