@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from estimark.llm import words as W
 from estimark.llm.warc import _filesystem
-from estimark.session import checkpoint_dir, materialize
+from estimark.session import materialize, scratch_folder
 
 SHARD_KEYS = 1 << 18  # expected pairs of a shard
 FAN = 16  # runs of a leaf vector, vectors of a sum
@@ -357,7 +357,7 @@ class CrossTokens:
 
         self.tokenizers = tokenizers
         self.n_b = Tokenizers(a, b, pattern).n_b
-        self.folder = f"{checkpoint_dir(self.spark).rstrip('/')}/estimark-pairs/{uuid.uuid4().hex}"
+        self.folder = scratch_folder(self.spark, "pairs")
 
     def first_pass(self) -> DataFrame:
         """Rows of two kinds, written to the shared folder: documents with what their own alignment tells and their

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estimark.llm import words as W
-from estimark.session import checkpoint_dir, materialize
+from estimark.session import materialize, scratch_folder
 
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 18
@@ -179,5 +179,5 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write the pages as archives in the cluster's shared folder and read them back."""
-    folder = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/estimark-warc/{uuid.uuid4().hex}"
+    folder = scratch_folder(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, min_bytes=min_bytes), folder)
