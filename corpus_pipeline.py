@@ -5,17 +5,23 @@ take effect: rejected documents go, one document of each near-duplicate group
 stays, secrets are masked in the texts, sources are mixed to their targets (a
 document appears as often as it is taken), and the last stage returns token
 ids.  All stages but the last return the columns of ``documents``.
+
+Defined cases: a null or empty text fails the quality rules and goes; a row
+without doc_id is judged, never linked, scanned, mixed and encoded like any
+other; rows that repeat doc_id and text stay once after near-dedup, rows that
+repeat a doc_id with another text are one document, and either all go or all
+stay; ties are broken by the smallest doc_id (near-dedup) and by keyed digests
+(mixing); texts of any length are worked on whole; extra columns travel along,
+whatever their names; an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from estimark.llm import bpe_tree, minhash_forest, pareto_mix, secret_scan, weak_rules
 from estimark.llm.queries import tokenizer
-from estimark.session import checkpoint_dir
+from estimark.session import scratch_folder
 from estimark.sources.tables import read_table
 
 SHINGLE, PERCENT = 5, 80  # near-duplicates of the pipeline: five words, similarity of 0.8 or more
@@ -54,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/estimark-pipeline/{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
