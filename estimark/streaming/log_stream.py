@@ -10,19 +10,23 @@ driver (no memory sink).
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estimark.operators.fold import FINISH, VOTE
 from estimark.operators.members import task_ordinals
 from estimark.operators.snapshot import room_snapshot
-from estimark.session import ship_package
 from estimark.sources.bindings import commands_of, messages_of, vote_log_of
 from estimark.sources.messages import parse_messages
 from estimark.sources.xml import with_change
+from estimark.streaming import room_fold
 from estimark.streaming.room_fold import CHANGES, VIEWS, RoomFold, RoomView
 from estimark.streaming.sinks import AppendTable, file_system, scratch_root
 
+# the processors travel whole: the processes that run them need not be able to import this package
+cloudpickle.register_pickle_by_value(room_fold)
+
 ROOM_BUCKETS = 64
 DELAY = "1 hour"  # how late a message may be
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -117,13 +121,17 @@ def parsed_commands(parsed: DataFrame) -> DataFrame:
 
 
 def with_event_time(df: DataFrame, delay: str = DELAY, ts: str = "ts") -> DataFrame:
-    """Add ``us`` (microseconds) and ``at``, the watermarked event time, of a wall-clock column (no time zone enters)."""
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    """Add ``us`` (microseconds) and ``at``, the watermarked event time, of a wall-clock column.  The wall clock is read
+    as an interval since 1970, so that no time zone, and no hour that a zone skips or repeats, enters."""
+    since = f"({ts} - TIMESTAMP_NTZ '1970-01-01 00:00:00')"
+    parts = (("DAY", 86_400_000_000), ("HOUR", 3_600_000_000), ("MINUTE", 60_000_000), ("SECOND", 1_000_000))
+    us = F.expr(" + ".join(f"CAST(CAST(extract({unit} FROM {since}) AS DECIMAL(18, 6)) * {n} AS BIGINT)" for unit, n in parts))
     return df.withColumn("us", us).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
 
 
 def wall_clock(us: str):
-    return F.timestamp_add("MICROSECOND", F.col(us), F.lit("1970-01-01").cast("timestamp_ntz"))
+    """The wall-clock time of ``us``."""
+    return F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {us} / CAST(1000000 AS DECIMAL(8, 0)))")
 
 
 def room_changes(messages: DataFrame, tasks: DataFrame, dictionary: DataFrame, members: DataFrame | None = None,
@@ -132,7 +140,6 @@ def room_changes(messages: DataFrame, tasks: DataFrame, dictionary: DataFrame, m
 
     ``members`` (room_id, person_no) holds who may have a slot; without it every sender has one.  Ordinals, slots and
     special cards are looked up by stream-static joins, so the keyed state holds nothing that a table has."""
-    ship_package(messages.sparkSession)
     c = parsed_commands(parse_messages(with_event_time(messages, delay)))
     o = task_ordinals(tasks).select(F.col("room_id").alias("__room"), F.col("task_ord").alias("__ord"),
                                     F.col("task_id").cast("long").alias("start_task"), F.col("minutes").cast("int").alias("minutes"))
