@@ -33,6 +33,7 @@ LEAF = 24  # bytes that a leaf merges directly
 KEEP_BYTES = 24 << 20  # memory of the pieces remembered in a worker, per generation (two are held)
 KEEP_PAIRS = 1 << 16
 DECODE_LEAF = 4096
+_NONE = 1 << 62  # rank of what is no token
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,23 +66,18 @@ class TreeBPE:
         """Merge the adjacent pair of lowest rank, leftmost first, until none is in the vocabulary."""
         if len(piece) > 8 * LEAF:
             return self.merge_long(piece)
-        ranks = self.ranks
+        rank, none = self.ranks.get, _NONE
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        near = [ranks.get(parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
-        while near:
-            low, at = None, -1
-            for i, r in enumerate(near):
-                if r is not None and (low is None or r < low):
-                    low, at = r, i
-            if low is None:
-                break
+        near = [rank(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+        while near and (low := min(near)) < none:
+            at = near.index(low)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del near[at]
             if at:
-                near[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                near[at - 1] = rank(parts[at - 1] + parts[at], none)
             if at < len(near):
-                near[at] = ranks.get(parts[at] + parts[at + 1])
-        return [ranks[p] for p in parts]
+                near[at] = rank(parts[at] + parts[at + 1], none)
+        return [self.ranks[p] for p in parts]
 
     def merge_long(self, piece: bytes) -> list[int]:
         """The same merges in O(n log n): a heap of (rank, position) over a linked list of parts."""
