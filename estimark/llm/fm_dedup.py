@@ -215,7 +215,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     cuts = W.map_batches(base.select("did", "th", "t"), cut, "did long, place long, anchor long, seg long")
     shared = (cuts.groupBy("anchor").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z")
               .select("anchor"))
-    live = materialize(cuts.join(shared, "anchor"))
+    # written first, so that a hot anchor's cuts meet a plain shuffle, which a skew join may split
+    live = materialize(cuts.join(materialize(shared), "anchor"))
 
     # a segment's smallest document has it indexed if the anchor has another segment; the others lose it entirely
     firsts = materialize(live.groupBy("anchor", "seg").agg(F.min("did").alias("least")))
