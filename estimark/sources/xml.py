@@ -45,9 +45,25 @@ def bad_task_xml(requests: DataFrame, xml_col: str = "tasks_xml", key: str = "re
     return p.filter(_is_corrupt(F.col("__x"))).select(key, F.lit("bad_xml").alias("reason"))
 
 
+#: Changes as clients write them, one element with whole numbers: a pattern reads these exactly as the parser does, at a
+#: fraction of its cost (a parser a record).  Anything else, however slightly it differs, goes through the parser.
+_PLAIN_VOTE = r'\A<Change><AddVote vote="(-?[0-9]{1,9})" score="(-?[0-9]{1,9})"/></Change>\z'
+_PLAIN_START = r'\A<Change><StartVoting taskId="(-?[0-9]{1,9})"(?: isCurrentActive="[A-Za-z0-9]+")?/></Change>\z'
+
+
 def with_change(df: DataFrame, payload: str = "payload", name: str = "__c") -> DataFrame:
-    """``df`` plus column ``name`` = ``parse_change(payload)``, parsed once per row."""
-    return parsed_once(df, parse_change(F.col(payload)), name)
+    """``df`` plus column ``name`` = ``parse_change(payload)``, parsed once per row and only where there is something that
+    the plain forms do not cover."""
+    text = F.coalesce(F.col(payload), F.lit(""))
+    number = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("int")
+    df = parsed_once(df, F.struct(number(_PLAIN_VOTE, 1).alias("vote"), number(_PLAIN_VOTE, 2).alias("score"),
+                                  number(_PLAIN_START, 1).alias("start")), "__p")
+    plain = F.col("__p.vote").isNotNull() | F.col("__p.start").isNotNull()
+    df = parsed_once(df, F.when((text != "") & ~plain, F.from_xml(payload, CHANGE_SCHEMA, {"rowTag": "Change"})), "__x")
+    read = _change_of(F.col("__x"), F.col(payload))
+    change = F.struct(F.coalesce(F.col("__p.vote") != 0, read["vote"]).alias("vote"), F.coalesce("__p.score", read["score"]).alias("score"),
+                      F.coalesce("__p.start", read["task_ordinal"]).alias("task_ordinal"), (~plain & read["bad_xml"]).alias("bad_xml"))
+    return parsed_once(df, change, name).drop("__p", "__x")
 
 
 def checked_commands(parsed: DataFrame) -> DataFrame:
@@ -65,7 +81,10 @@ def parse_change(payload: Column) -> Column:
     assignment over rows does) and ``TOP(1) /Change/StartVoting/@taskId``.
     Returns struct(vote BOOLEAN, score INT, task_ordinal INT, bad_xml BOOLEAN).
     A missing node gives NULL (not 0, as xpath_int would)."""
-    x = F.from_xml(payload, CHANGE_SCHEMA, {"rowTag": "Change"})
+    return _change_of(F.from_xml(payload, CHANGE_SCHEMA, {"rowTag": "Change"}), payload)
+
+
+def _change_of(x: Column, payload: Column) -> Column:
     vote = F.try_element_at(x["AddVote"], F.lit(-1))
     start = F.try_element_at(x["StartVoting"], F.lit(1))
     empty = F.coalesce(payload, F.lit("")) == ""

@@ -21,7 +21,7 @@ from estimark.sources.bindings import commands_of, messages_of, vote_log_of
 from estimark.sources.messages import parse_messages
 from estimark.sources.xml import with_change
 from estimark.streaming import room_fold
-from estimark.streaming.room_fold import CHANGES, VIEWS, RoomFold, RoomView
+from estimark.streaming.room_fold import CHANGES, PACKED, VIEWS, PackedRoomFold, PackedRoomView
 from estimark.streaming.sinks import AppendTable, file_system, scratch_root
 
 # the processors travel whole: the processes that run them need not be able to import this package
@@ -122,10 +122,9 @@ def parsed_commands(parsed: DataFrame) -> DataFrame:
 
 def with_event_time(df: DataFrame, delay: str = DELAY, ts: str = "ts") -> DataFrame:
     """Add ``us`` (microseconds) and ``at``, the watermarked event time, of a wall-clock column.  The wall clock is read
-    as an interval since 1970, so that no time zone, and no hour that a zone skips or repeats, enters."""
-    since = f"({ts} - TIMESTAMP_NTZ '1970-01-01 00:00:00')"
-    parts = (("DAY", 86_400_000_000), ("HOUR", 3_600_000_000), ("MINUTE", 60_000_000), ("SECOND", 1_000_000))
-    us = F.expr(" + ".join(f"CAST(CAST(extract({unit} FROM {since}) AS DECIMAL(18, 6)) * {n} AS BIGINT)" for unit, n in parts))
+    field by field, so that no time zone, and no hour that a zone skips or repeats, enters."""
+    us = F.expr(f"CAST(datediff({ts}, DATE '1970-01-01') AS BIGINT) * 86400000000 + hour({ts}) * 3600000000L + minute({ts}) * 60000000L "
+                f"+ CAST(extract(SECOND FROM {ts}) * 1000000 AS BIGINT)")
     return df.withColumn("us", us).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
 
 
@@ -134,12 +133,15 @@ def wall_clock(us: str):
     return F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {us} / CAST(1000000 AS DECIMAL(8, 0)))")
 
 
-def room_changes(messages: DataFrame, tasks: DataFrame, dictionary: DataFrame, members: DataFrame | None = None,
-                 delay: str = DELAY) -> DataFrame:
-    """The stream of changes: what each command did, task states at the end of each micro-batch, overrun segments.
+def packed_changes(messages: DataFrame, tasks: DataFrame, dictionary: DataFrame, members: DataFrame | None = None,
+                   delay: str = DELAY) -> DataFrame:
+    """The stream of changes: what each command did, task states at the end of each micro-batch, overrun segments; in
+    blocks (schema ``PACKED``), which ``unpacked`` opens.
 
     ``members`` (room_id, person_no) holds who may have a slot; without it every sender has one.  Ordinals, slots and
     special cards are looked up by stream-static joins, so the keyed state holds nothing that a table has."""
+    # parsed by as many tasks as there are state partitions, however few row groups the files of a micro-batch have
+    messages = messages.repartition("room_id", "event_id")
     c = parsed_commands(parse_messages(with_event_time(messages, delay)))
     o = task_ordinals(tasks).select(F.col("room_id").alias("__room"), F.col("task_ord").alias("__ord"),
                                     F.col("task_id").cast("long").alias("start_task"), F.col("minutes").cast("int").alias("minutes"))
@@ -152,15 +154,34 @@ def room_changes(messages: DataFrame, tasks: DataFrame, dictionary: DataFrame, m
         c = c.withColumn("has_slot", F.col("__room").isNotNull()).drop("__room", "__person")
     d = dictionary.select(F.col("score").alias("__score")).distinct()
     c = c.join(d, F.col("score") == F.col("__score"), "left").withColumn("is_card", F.col("__score").isNull())
-    c = c.select(F.col("room_id").cast("long").alias("room_id"), "at", "us", "event_id", F.col("person_no").cast("long").alias("person_no"),
-                 "kind", "start_task", "minutes", "has_slot", "vote", "score", "is_card")
-    return c.groupBy("room_id").transformWithState(RoomFold(), CHANGES, "append", "EventTime", eventTimeColumnName="at")
+    # a command is one text: the processor's process reads every cell of its input by itself
+    command = F.to_json(F.struct("us", "event_id", F.col("person_no").cast("long").alias("person_no"), "kind", "start_task", "minutes",
+                                 "has_slot", "vote", "score", "is_card"))
+    c = c.select(F.col("room_id").cast("long").alias("room_id"), "at", command.alias("rows"))
+    return c.groupBy("room_id").transformWithState(PackedRoomFold(), PACKED, "append", "EventTime", eventTimeColumnName="at")
+
+
+def packed_views(changes: DataFrame) -> DataFrame:
+    """From packed changes, one row per command: the cell it changed and the digest of the room's view after it, packed."""
+    return changes.groupBy("room_id").transformWithState(PackedRoomView(), PACKED, "append", "EventTime", eventTimeColumnName="at")
+
+
+def unpacked(packed: DataFrame, schema: str) -> DataFrame:
+    """The rows of packed blocks, in the columns of ``schema`` (one of them ``at``, the event time)."""
+    inner = schema.replace("at timestamp", "at long")
+    rows = packed.select(F.explode(F.from_json("rows", f"array<struct<{inner.replace(' ', ': ').replace(',: ', ', ')}>>")).alias("r")).select("r.*")
+    return rows.withColumn("at", F.timestamp_micros("at"))
+
+
+def room_changes(messages: DataFrame, tasks: DataFrame, dictionary: DataFrame, members: DataFrame | None = None,
+                 delay: str = DELAY) -> DataFrame:
+    """The stream of changes, a row each (schema ``CHANGES``); see ``packed_changes``."""
+    return unpacked(packed_changes(messages, tasks, dictionary, members, delay), CHANGES)
 
 
 def room_views(changes: DataFrame) -> DataFrame:
-    """One row per command: the cell it changed and the digest of the room's view after it."""
-    return changes.filter("what = 'change'").groupBy("room_id").transformWithState(
-        RoomView(), VIEWS, "append", "EventTime", eventTimeColumnName="at")
+    """One row per command: the cell it changed and the digest of the room's view after it (from packed changes)."""
+    return unpacked(packed_views(changes), VIEWS)
 
 
 class ChangeTables:
@@ -228,6 +249,6 @@ def stream_room_views(spark: SparkSession, messages: DataFrame, tasks: DataFrame
                       members: DataFrame | None = None, delay: str = DELAY) -> str:
     """Run the fold and, chained behind it, the views; returns the folder of the view log (schema ``VIEWS``)."""
     root = root or scratch_root(spark, "room-views")
-    views = room_views(room_changes(messages, tasks, dictionary, members, delay))
+    views = room_views(packed_changes(messages, tasks, dictionary, members, delay))
     run(views.writeStream.format("parquet").option("path", f"{root}/views"), root)
     return f"{root}/views"

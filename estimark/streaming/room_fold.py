@@ -13,6 +13,11 @@ there and the segment is still open, it is reported as overrun, once.
 the room's view: after every command it emits the cell that changed and the
 digest of the whole view, which is what connected clients get.
 
+``PackedRoomFold`` and ``PackedRoomView`` are the same processors over blocks of
+rows, written as JSON: most of a processor's time goes into single cells that
+cross between the engine and its process, so a command is one cell there, and a
+block of up to ``BLOCK`` changes is one cell back.
+
 The rules are those of ``estimark.operators.fold``.  Commands older than the
 watermark are dropped by the engine, so the delay says how late a message may
 be.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Row
@@ -37,10 +43,15 @@ CHANGES = ("what string, room_id long, at timestamp, us long, seq long, event_id
 VIEWS = ("room_id long, at timestamp, us long, seq long, event_id long, kind string, task_id long, person_no long, vote boolean, "
          "score int, active_task long, n_cells long, sum_scores long, n_completed long, finished boolean, digest long")
 
+PACKED = "room_id long, at timestamp, rows string"
+BLOCK = 1000  # rows of a packed block at most
+
 _ROOM = "n long, markers long, open_task long, open_seg long, opened_us long, box_s long, due_ms long, finished boolean"
 _TASK = "n_segments long, completed boolean, median double, scores array<int>, counts array<long>"
 _CHANGE_NAMES = [c.split()[0] for c in CHANGES.split(", ")]
 _VIEW_NAMES = [c.split()[0] for c in VIEWS.split(", ")]
+_NO_COMMAND = dict.fromkeys(c.split()[0] for c in COMMANDS.split(", "))
+_NO_CHANGE = dict.fromkeys(_CHANGE_NAMES)
 
 
 def _row(names: list[str], values: dict) -> Row:
@@ -63,6 +74,25 @@ def median_of_counts(counts: dict[int, int]) -> float | None:
     return (nth((total - 1) // 2) + nth(total // 2)) / 2
 
 
+def _blocks(room: int, rows: Iterator[dict]) -> Iterator[Row]:
+    """Rows as packed blocks, in their order.  A block's event time is its last command's; a row's is in microseconds."""
+    block, latest = [], None
+
+    def packed():
+        text = json.dumps([{k: v for k, v in r.items() if v is not None} for r in block], separators=(",", ":"))
+        return Row(room_id=room, at=latest, rows=text)
+
+    for r in rows:
+        at, us = r.pop("at"), r.pop("at_us")
+        latest = at if latest is None or r.get("what") != "overrun" else latest
+        block.append(r | {"at": us})
+        if len(block) == BLOCK:
+            yield packed()
+            block, latest = [], None
+    if block:
+        yield packed()
+
+
 class RoomFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -98,14 +128,19 @@ class RoomFold(StatefulProcessor):
 
     def _overrun(self, s: dict) -> dict:
         at = dt.datetime.fromtimestamp(s["due_ms"] / 1000)
-        return {"what": "overrun", "room_id": self.key, "at": at, "us": s["opened_us"], "seg": s["open_seg"], "task_id": s["open_task"]}
+        return {"what": "overrun", "room_id": self.key, "at": at, "at_us": 1000 * s["due_ms"], "us": s["opened_us"], "seg": s["open_seg"], "task_id": s["open_task"]}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        self.key = key[0]
+        for r in self._applied(key[0], [r.asDict() for r in rows]):
+            yield _row(_CHANGE_NAMES, r)
+
+    def _applied(self, room: int, commands: list[dict]) -> list[dict]:
+        """Apply the commands of a micro-batch; what they changed."""
+        self.key = room
         s, tasks, votes, touched, out = self._load(), {}, {}, {}, []
-        for r in sorted((r.asDict() for r in rows), key=lambda r: (r["us"], r["event_id"])):
+        for r in sorted(commands, key=lambda r: (r["us"], r["event_id"])):
             kind, flags = r["kind"], []
-            change = {"what": "change", "room_id": self.key, "at": r["at"], "us": r["us"], "event_id": r["event_id"], "kind": kind,
+            change = {"what": "change", "room_id": self.key, "at": r["at"], "at_us": r["us"], "us": r["us"], "event_id": r["event_id"], "kind": kind,
                       "person_no": r["person_no"]}
             s["n"] += 1
             if kind in (START, STOP):
@@ -155,7 +190,7 @@ class RoomFold(StatefulProcessor):
             out.append(change | {"seq": s["n"], "seg": s["markers"], "active_task": s["open_task"], "flags": ",".join(flags)})
         for task in touched:
             t = self._task(tasks, task)
-            out.append({"what": "task", "room_id": self.key, "at": r["at"], "us": r["us"], "seq": s["n"], "task_id": task, "on_active": s["open_task"] == task,
+            out.append({"what": "task", "room_id": self.key, "at": r["at"], "at_us": r["us"], "us": r["us"], "seq": s["n"], "task_id": task, "on_active": s["open_task"] == task,
                         "completed": t["completed"], "n_segments": t["n_segments"], "median": t["median"]})
         for task, t in tasks.items():
             kept = {v: n for v, n in t["counts"].items() if n}
@@ -164,22 +199,36 @@ class RoomFold(StatefulProcessor):
             if v is not None:
                 self.votes.updateValue(cell, v)
         self.room.update(tuple(s.values()))
-        for r in out:
-            yield _row(_CHANGE_NAMES, r)
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.key, s = key[0], self._load()
-        if s["open_task"] is not None and s["due_ms"] == expiredTimerInfo.getExpiryTimeInMs():
-            out = [self._overrun(s)]
-            s["due_ms"] = None
-            self.room.update(tuple(s.values()))
-            for r in out:
-                yield _row(_CHANGE_NAMES, r)
+        for r in self._expired(key[0], expiredTimerInfo.getExpiryTimeInMs()):
+            yield _row(_CHANGE_NAMES, r)
+
+    def _expired(self, room: int, ms: int) -> list[dict]:
+        self.key, s = room, self._load()
+        if s["open_task"] is None or s["due_ms"] != ms:
+            return []
+        out = [self._overrun(s)]
+        s["due_ms"] = None
+        self.room.update(tuple(s.values()))
+        return out
 
     def close(self) -> None:
         pass
 
 
+class PackedRoomFold(RoomFold):
+    """``RoomFold`` from rows (room_id, at, a command as JSON) to rows of ``PACKED``."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        commands = [_NO_COMMAND | json.loads(text) | {"at": at} for _, at, text in rows]
+        yield from _blocks(key[0], self._applied(key[0], commands))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from _blocks(key[0], self._expired(key[0], expiredTimerInfo.getExpiryTimeInMs()))
+
+
 DIGEST = 1 << 48
 
 
@@ -199,9 +248,14 @@ class RoomView(StatefulProcessor):
         self.state = handle.getValueState("view", self._STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in self._viewed([r.asDict() for r in rows]):
+            yield _row(_VIEW_NAMES, r)
+
+    def _viewed(self, changes: list[dict]) -> list[dict]:
+        """The view after each change of a micro-batch."""
         total, n_cells, scores, completed, finished = self.state.get() if self.state.exists() else (0, 0, 0, 0, False)
         out = []
-        for r in sorted((r.asDict() for r in rows), key=lambda r: r["seq"]):
+        for r in sorted(changes, key=lambda r: r["seq"]):
             task = r["task_id"]
             if r["kind"] == VOTE and task is not None:
                 vote = lambda v, x: cell_hash(f"v|{task}|{r['person_no']}|{_text(v)}|{_text(x)}")
@@ -218,11 +272,20 @@ class RoomView(StatefulProcessor):
             elif r["kind"] == FINISH:
                 finished = True
             digest = total + cell_hash(f"a|{_text(r['active_task'])}") + (cell_hash("f") if finished else 0)
-            out.append({c: r[c] for c in _VIEW_NAMES if c in r} | {
+            out.append({c: r[c] for c in (*_VIEW_NAMES, "at_us") if c in r} | {
                 "n_cells": n_cells, "sum_scores": scores, "n_completed": completed, "finished": finished, "digest": digest % DIGEST})
         self.state.update((total % DIGEST, n_cells, scores, completed, finished))
-        for r in out:
-            yield _row(_VIEW_NAMES, r)
+        return out
 
     def close(self) -> None:
         pass
+
+
+class PackedRoomView(RoomView):
+    """``RoomView`` from rows of ``PACKED`` (blocks of changes) to rows of ``PACKED`` (blocks of views)."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        changes = [_NO_CHANGE | r | {"at": at, "at_us": r.get("at")} for _, at, text in rows for r in json.loads(text)
+                   if r["what"] == "change"]
+        if changes:
+            yield from _blocks(key[0], self._viewed(changes))
