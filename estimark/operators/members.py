@@ -52,6 +52,7 @@ def zero_fill_votes(connections: DataFrame, tasks: DataFrame, votes: DataFrame)
 
 
 SLOT_BITS = 63  # members a bitmap word holds (the sign bit stays free)
+SLOT_BLOCK = 256  # bitmap words of a room that are joined as one
 
 
 def _member_words(rows: DataFrame, *keys: str) -> DataFrame:
@@ -67,12 +68,21 @@ def slot_bitmaps(connections: DataFrame, tasks: DataFrame, votes: DataFrame) ->
     where bit ``b`` of ``slots`` is set if member ``63 * bucket + b`` of the room has no vote row on the task.
 
     Members are a few words a room and voters a few words a task; the rest is ``members AND NOT voted``.  A task costs
-    a 63rd of its members, and no (member, task) row is made.  Words without a slot are left out."""
-    members = _member_words(connections.select("room_id", "person_id"), "room_id").withColumnRenamed("bits", "__members")
-    voted = _member_words(votes.select("room_id", "task_id", "person_id"), "room_id", "task_id").withColumnRenamed("bits", "__voted")
-    j = (tasks.select("room_id", "task_id").join(members, "room_id")
-         .join(voted, ["room_id", "task_id", "bucket"], "left"))
-    slots = F.col("__members").bitwiseAND(F.bitwise_not(F.coalesce("__voted", F.lit(0).cast("bigint"))))
+    a 63rd of its members, and no (member, task) row is made.  Words without a slot are left out.
+
+    The result itself grows with tasks times members, so its rows are made last and are never shuffled: a room's words
+    come in blocks of ``SLOT_BLOCK`` buckets, what is joined is a row a (task, block) with the words that have votes,
+    and the blocks are opened where they meet it."""
+    block = F.floor(F.col("bucket") / SLOT_BLOCK).alias("__block")
+    words = _member_words(connections.select("room_id", "person_id").filter("person_id IS NOT NULL"), "room_id")
+    blocks = words.groupBy("room_id", block).agg(F.collect_list(F.struct("bucket", "bits")).alias("__words"))
+    voted = _member_words(votes.select("room_id", "task_id", "person_id").filter("person_id IS NOT NULL"), "room_id", "task_id")
+    voted = voted.groupBy("room_id", "task_id", block).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("__voted"))
+    j = (tasks.select("room_id", "task_id").join(blocks.select("room_id", "__block"), "room_id")
+         .join(voted, ["room_id", "task_id", "__block"], "left").join(blocks, ["room_id", "__block"])
+         .select("room_id", "task_id", "__voted", F.inline("__words").alias("bucket", "__members")))
+    found = F.coalesce(F.try_element_at("__voted", F.col("bucket")), F.lit(0).cast("bigint"))
+    slots = F.col("__members").bitwiseAND(F.bitwise_not(found))
     return j.select("room_id", "task_id", "bucket", slots.alias("slots"), F.bit_count(slots).cast("int").alias("n_slots")).filter("slots <> 0")
 
 

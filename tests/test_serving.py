@@ -36,6 +36,20 @@ def test_slot_bitmaps_hold_the_missing_pairs(spark):
     assert all(0 < r["slots"] < 1 << 63 for r in b.collect())
 
 
+def test_slot_rows_are_made_after_the_last_shuffle(spark, monkeypatch):
+    """Blocks smaller than a room's words give the same slots; nothing is shuffled once the words are opened."""
+    monkeypatch.setattr(M, "SLOT_BLOCK", 2)
+    conns = spark.createDataFrame([(1, 37 * i) for i in range(60)] + [(1, None), (2, 5)], "room_id long, person_id long")
+    tasks = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 20), (3, 30)], "room_id long, task_id long")
+    votes = spark.createDataFrame([(1, 10, 37 * i) for i in range(0, 60, 3)] + [(1, 11, 1), (1, 11, None), (2, 20, 5)],
+                                  "room_id long, task_id long, person_id long")
+    b = M.slot_bitmaps(conns, tasks, votes)
+    want = [(1, 10, 37 * i) for i in range(60) if i % 3] + 2 * [(1, 11, 37 * i) for i in range(60)]
+    assert rows_of(M.slots_of(b), "room_id", "task_id", "person_id") == sorted(want, key=repr)
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join")
+
+
 def test_view_files_round_trip_and_quarantine(spark):
     snap = spark.createDataFrame([
         (1, 1, None, 'A "quoted" <room> & more', [(1, "ann"), (2, "b<c")],
