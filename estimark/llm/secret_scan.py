@@ -52,21 +52,61 @@ _IDENTIFIER = re.compile(
 
 _MARKS = "+/_=-"
 
+# A text in ASCII, a byte a code point (others as "?"), so that plain searches find where patterns can begin.
+_STARTS = (b"passw", b"secret", b"token", b"api")
+_IN_RUN = bytes(120 if RUN.fullmatch(chr(c) * LEAST_RUN) else 32 for c in range(128)) + b" " * 128
+
+
+def _runs(flat: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the matches of ``RUN``, in order."""
+    same, out = flat.translate(_IN_RUN), []
+    at = same.find(b"x" * LEAST_RUN)
+    while at >= 0:
+        end = same.find(b" ", at)
+        end = len(same) if end < 0 else end
+        out.append((at, end))
+        at = same.find(b"x" * LEAST_RUN, end)
+    return out
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind's index, start, end), leftmost and non-overlapping per kind."""
-    low = text.lower()
-    out = []
-    if "passw" in low or "secret" in low or "token" in low or "api" in low:
-        out += [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
-    if "AKIA" in text:
+
+def _assigned(text: str, flat: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the matches of ``ASSIGN`` that are long enough."""
+    low, starts = flat.lower(), []
+    for word in _STARTS:
+        at = low.find(word)
+        while at >= 0:
+            starts.append(at)
+            at = low.find(word, at + 1)
+    out, until = [], 0
+    for at in sorted(starts):
+        m = ASSIGN.match(text, at) if at >= until else None
+        if m:
+            until = m.end()
+            out += [(at, until)] if len(m[2]) >= MIN_ASSIGN else []
+    return out
+
+
+def _base_spans(text: str, flat: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    out = [(0, s, e) for s, e in _assigned(text, flat)]
+    if b"AKIA" in flat:
         out += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
-    out += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
+    # 32 hex digits are a part of a run, and no run goes on where another begins
+    out += [(2, m.start(), m.end()) for s, e in runs for m in HEX.finditer(text, s, e)]
     return out
 
 
-def token_spans(text: str, base: list[tuple[int, int, int]], n_tokens, max_ratio: float) -> list[tuple[int, int, int]]:
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(kind's index, start, end), leftmost and non-overlapping per kind."""
+    flat = text.encode("ascii", "replace")
+    return _base_spans(text, flat, _runs(flat))
+
+
+def token_spans(text: str, base: list[tuple[int, int, int]], n_tokens, max_ratio: float,
+                runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
     """Runs with few characters per token, and the parts that ``base`` leaves of runs, but for the known kinds."""
+    runs = _runs(text.encode("ascii", "replace")) if runs is None else runs
+    if not runs:
+        return []
     out, starts, until = [], [], []  # base spans as disjoint intervals
     for _, s, e in sorted(base, key=lambda x: (x[1], x[2])):
         if until and s <= until[-1]:
@@ -74,14 +114,14 @@ def token_spans(text: str, base: list[tuple[int, int, int]], n_tokens, max_ratio
         else:
             starts.append(s)
             until.append(e)
-    for m in RUN.finditer(text):
-        at, end, near = m.start(), m.end(), bisect.bisect_right(until, m.start())
+    for start, end in runs:
+        at, near = start, bisect.bisect_right(until, start)
         parts = []
         while near < len(starts) and starts[near] < end:
             parts.append((at, starts[near]))
             at, near = until[near], near + 1
         for s, e in parts + [(at, end)]:
-            if (s, e) != (m.start(), end):  # marks between a base span and the rest belong to neither
+            if (s, e) != (start, end):  # marks between a base span and the rest belong to neither
                 while s < e and text[s] in _MARKS:
                     s += 1
                 while s < e and text[e - 1] in _MARKS:
@@ -134,8 +174,10 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
         ranks_file = spark.sparkContext.broadcast(f.read())
 
     def found(t: str):
-        base = base_spans(t)
-        return base, base + token_spans(t, base, _counter(ranks_file.value, pattern), max_ratio)
+        flat = t.encode("ascii", "replace")
+        runs = _runs(flat)
+        base = _base_spans(t, flat, runs)
+        return base, base + token_spans(t, base, _counter(ranks_file.value, pattern), max_ratio, runs) if runs else base
 
     if mask:
         at = docs.columns.index(text)

@@ -143,3 +143,19 @@ def test_masking_removes_every_span(spark):
     got = {r.doc_id: r.text for r in S.scan(df, PATH, P.PATTERN, mask=True).collect()}
     assert got == {1: 'x [SECRET]" y', 2: "clean", 3: None}
     assert S.scan(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_searches_find_what_the_patterns_find():
+    """Runs and base spans by plain searches are those of the patterns, also where keys and runs touch or overlap."""
+    bits = ["secret", "secretoken", "token", "PassWord", "passwd", "api_key", "APIkey", "=", ":", " ", '"', "AKIA", "0123456789abcdef", "deadbeef",
+            "é", "K", "İ", "ſecret", "\n", "-", "_", "/", "+", ".", "XYZ09", "q8Zr7Lm", "abcdefghij", "🙂", "?", "ABCDEFGHIJKLMNOP"]
+    rnd, runs = random.Random(11), 0
+    for _ in range(5000):
+        t = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40)))
+        found = S._runs(t.encode("ascii", "replace"))
+        assert found == [m.span() for m in S.RUN.finditer(t)]
+        runs += len(found)
+        want = [(0, *m.span()) for m in S.ASSIGN.finditer(t) if len(m[2]) >= S.MIN_ASSIGN]
+        want += [(1, *m.span()) for m in S.ACCESS.finditer(t) if len(m[0]) >= S.MIN_ACCESS]
+        assert S.base_spans(t) == want + [(2, *m.span()) for m in S.HEX.finditer(t)]
+    assert runs > 1000
