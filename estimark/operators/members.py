@@ -52,7 +52,9 @@ def zero_fill_votes(connections: DataFrame, tasks: DataFrame, votes: DataFrame)
 
 
 SLOT_BITS = 63  # members a bitmap word holds (the sign bit stays free)
-SLOT_BLOCK = 256  # bitmap words of a room that are joined as one
+SLOT_BLOCK = 256  # bitmap words of a room that are opened as one
+SLOT_GROUP = 32  # blocks that a task's votes are joined with as one
+SLOT_TASKS = 2048  # tasks of a room (about) that meet its words in one place
 
 
 def _member_words(rows: DataFrame, *keys: str) -> DataFrame:
@@ -70,18 +72,35 @@ def slot_bitmaps(connections: DataFrame, tasks: DataFrame, votes: DataFrame) ->
     Members are a few words a room and voters a few words a task; the rest is ``members AND NOT voted``.  A task costs
     a 63rd of its members, and no (member, task) row is made.  Words without a slot are left out.
 
-    The result itself grows with tasks times members, so its rows are made last and are never shuffled: a room's words
-    come in blocks of ``SLOT_BLOCK`` buckets, what is joined is a row a (task, block) with the words that have votes,
-    and the blocks are opened where they meet it."""
-    block = F.floor(F.col("bucket") / SLOT_BLOCK).alias("__block")
+    The result itself grows with tasks times members, so its rows are made last and are never shuffled, and neither is
+    a row a (task, block).  A room's words come in blocks of ``SLOT_BLOCK`` buckets.  What is shuffled is a row a (task,
+    ``SLOT_GROUP`` blocks) with its words that have votes, and the blocks once per ``SLOT_TASKS`` tasks of their room:
+    a busy room is dealt out by its tasks, and its blocks go where they are.  A block meets its tasks one after the
+    other (it is the left side), which also keeps like words together in the files of the result.
+
+    Votes are joined by task alone, with room and group as a condition: the two are compared by ``between``, since an
+    equality would become a join key, and votes that lie by task (they come from a join on it) would be shuffled again."""
+    first = lambda n: F.col("bucket") - F.pmod("bucket", F.lit(n))
+    block, group = first(SLOT_BLOCK), first(SLOT_BLOCK * SLOT_GROUP)
+    packed = F.collect_list(F.struct("bucket", "bits"))
     words = _member_words(connections.select("room_id", "person_id").filter("person_id IS NOT NULL"), "room_id")
-    blocks = words.groupBy("room_id", block).agg(F.collect_list(F.struct("bucket", "bits")).alias("__words"))
     voted = _member_words(votes.select("room_id", "task_id", "person_id").filter("person_id IS NOT NULL"), "room_id", "task_id")
-    voted = voted.groupBy("room_id", "task_id", block).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("__voted"))
-    j = (tasks.select("room_id", "task_id").join(blocks.select("room_id", "__block"), "room_id")
-         .join(voted, ["room_id", "task_id", "__block"], "left").join(blocks, ["room_id", "__block"])
-         .select("room_id", "task_id", "__voted", F.inline("__words").alias("bucket", "__members")))
-    found = F.coalesce(F.try_element_at("__voted", F.col("bucket")), F.lit(0).cast("bigint"))
+    voted = voted.groupBy("room_id", "task_id", group.alias("__group")).agg(F.map_from_entries(packed).alias("__voted"))
+    shares = tasks.groupBy("room_id").agg(F.ceil(F.count(F.lit(1)) / SLOT_TASKS).alias("__shares"))
+    groups = words.select("room_id", group.alias("__group")).distinct()
+    t = (tasks.select("room_id", "task_id").join(groups.join(shares, "room_id"), "room_id")
+         .select("room_id", "task_id", "__group", F.pmod(F.xxhash64("task_id"), "__shares").alias("__share")))
+    same = F.col("t.task_id") == F.col("v.task_id")
+    for c in ("room_id", "__group"):
+        same &= F.col(f"v.{c}").between(F.col(f"t.{c}"), F.col(f"t.{c}"))
+    t = t.alias("t").join(voted.alias("v"), same, "left").select("t.*", "__voted")
+    blocks = (words.groupBy("room_id", group.alias("__group"), block.alias("__block")).agg(packed.alias("__words")).join(shares, "room_id")
+              .withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))))
+    j = blocks.alias("b").join(t.alias("t"), [F.col(f"b.{c}") == F.col(f"t.{c}") for c in ("room_id", "__group", "__share")])
+    here = F.map_filter("__voted", lambda b, _: b.between(F.col("__block"), F.col("__block") + (SLOT_BLOCK - 1)))
+    j = (j.select("t.room_id", "task_id", here.alias("__here"), "__words")
+         .select("room_id", "task_id", "__here", F.inline("__words").alias("bucket", "__members")))
+    found = F.coalesce(F.try_element_at("__here", F.col("bucket")), F.lit(0).cast("bigint"))
     slots = F.col("__members").bitwiseAND(F.bitwise_not(found))
     return j.select("room_id", "task_id", "bucket", slots.alias("slots"), F.bit_count(slots).cast("int").alias("n_slots")).filter("slots <> 0")
 

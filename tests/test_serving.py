@@ -50,6 +50,56 @@ def test_slot_rows_are_made_after_the_last_shuffle(spark, monkeypatch):
     assert plan.index("Generate inline") < plan.index("Join")
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a plan have written, once it has run."""
+    df.collect()
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        n += p.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        inner = p.executedPlan() if kind == "AdaptiveSparkPlanExec" else p.plan() if kind.endswith("QueryStageExec") else None
+        todo += [inner] if inner else [p.children().apply(i) for i in range(p.children().size())]
+    return n
+
+
+def test_no_slot_row_per_task_and_block_is_shuffled(spark, monkeypatch):
+    """With 18 blocks a room, what is shuffled stays near the rows of members, tasks and votes, and the slots are right."""
+    monkeypatch.setattr(M, "SLOT_BLOCK", 2)
+    conns = spark.createDataFrame([(1, 37 * i) for i in range(60)], "room_id long, person_id long")
+    tasks = spark.createDataFrame([(1, i) for i in range(100)], "room_id long, task_id long")
+    votes = spark.createDataFrame([(1, i, 37 * (i % 60)) for i in range(100)], "room_id long, task_id long, person_id long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        b = M.slot_bitmaps(conns, tasks, votes)
+        assert shuffled_rows(b) < 1000 < 100 * 18
+        assert M.slots_of(b).count() == 100 * 59
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_slots_do_not_depend_on_how_a_room_is_dealt_out(spark, monkeypatch):
+    """Several groups of blocks and shares of tasks, repeated and missing keys, ids below zero and beyond a double's digits."""
+    far = 2**60 + 7
+    conns = spark.createDataFrame([(1, 37 * i - 500) for i in range(60)] + [(1, -500), (1, None), (None, 3), (2, 5), (2, 6), (2, far)],
+                                  "room_id long, person_id long")
+    tasks = spark.createDataFrame([(1, i) for i in range(20)] + [(1, 3), (2, 3), (2, None), (None, 4), (9, 1)], "room_id int, task_id long")
+    votes = spark.createDataFrame([(1, i, 37 * j - 500) for i in range(0, 20, 2) for j in range(i, 60, 3)]
+                                  + [(2, 3, 6), (1, 3, 6), (2, 3, far), (2, None, 5), (None, 4, 3), (1, 3, None)],
+                                  "room_id long, task_id long, person_id long")
+    whole = M.slot_bitmaps(conns, tasks, votes)
+    assert whole.schema["room_id"].dataType.simpleString() == "int"
+    want = rows_of(whole)
+    seen = {(r[0], r[1]): 0 for r in want}
+    for r in want:
+        seen[r[0], r[1]] += r[4]
+    assert seen[1, 1] == 60 and seen[1, 0] == 40 and seen[1, 3] == 120 and seen[2, 3] == 1 and seen[2, None] == 3 and len(seen) == 22
+    for name, n in (("SLOT_BLOCK", 2), ("SLOT_GROUP", 2), ("SLOT_TASKS", 3)):
+        monkeypatch.setattr(M, name, n)
+        assert rows_of(M.slot_bitmaps(conns, tasks, votes)) == want
+
+
 def test_view_files_round_trip_and_quarantine(spark):
     snap = spark.createDataFrame([
         (1, 1, None, 'A "quoted" <room> & more', [(1, "ann"), (2, "b<c")],
